@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsengine.llm import decontaminate, records, simhash
+from obsengine.llm import decontaminate, pii, records, simhash, substring_dedup
 from obsengine.llm.common import read_table
 
 
@@ -30,10 +30,22 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_records_and_back(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.counted(pii.find(read_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_url", "n_account", F.sha2("base_text", 256).alias("base_sha256"), F.col("span_text").alias("spans"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = substring_dedup.deduplicated(read_table(spark, sf_dir, "documents"))
+    return rest.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op6_records": op6_records,
+    "op7_pii": op7_pii,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL = {
@@ -49,4 +61,14 @@ ORACLE_SQL = {
         select dw.doc_id, cast(coalesce(len(w), 0) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(s, '')) items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) contaminated
         from dw left join per using (doc_id) left join its using (doc_id)""",
+    "op9_substring_dedup": r"""
+        with dw as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
+        win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 18)) i from dw where len(w) >= 20)),
+        rep as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) r from win) where r > 1),
+        gone as (select distinct doc_id, unnest(range(i, i + 20)) p from rep),
+        word as (select doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) x from dw),
+        kept as (select doc_id, string_agg(x, ' ' order by p) k from word anti join gone using (doc_id, p) group by 1),
+        n as (select doc_id, count(*) n_removed from gone group by 1)
+        select dw.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_removed, 0) as bigint) n_removed, sha256(coalesce(k, '')) kept_sha256
+        from dw left join kept using (doc_id) left join n using (doc_id)""",
 }
