@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsengine.llm import decontaminate, pii, records, simhash, substring_dedup
+from obsengine.llm import decontaminate, order_minhash, pii, records, simhash, substring_dedup
 from obsengine.llm.common import read_table
 
 
@@ -26,6 +26,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = order_minhash.with_edits(read_table(spark, sf_dir, "documents"))
+    return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_records_and_back(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -43,6 +48,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
+    "op3_order_minhash": op3_order_minhash,
     "op6_records": op6_records,
     "op7_pii": op7_pii,
     "op9_substring_dedup": op9_substring_dedup,
