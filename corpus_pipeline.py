@@ -1,15 +1,50 @@
-"""The corpus pipeline; its stages follow as their operators come."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again before the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from obsengine.llm import decontaminate, mixing, records, simhash, toxicity
+from obsengine.llm.common import read_table, stored
+from obsengine.llm.queries import tokenizer_path
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator predicts as toxic go."""
+    model = toxicity.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return toxicity.remove_toxic(docs, model)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of SimHash near-duplicates the document with the smallest doc_id stays."""
+    groups = simhash.near_duplicates(docs)
+    gone = groups.filter("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark go, if these cover a twentieth of their words."""
+    return decontaminate.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their rate says: languages with few tokens are repeated, none is thinned out."""
+    _, steps, classifier, _ = mixing.mix(docs, read_table(spark, sf_dir, "labels"), F.col("lang"), least_rate=1.0)
+    return mixing.apply_rates(docs, classifier, steps, least_rate=1.0)
+
+
+def written(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids as binary records; the result is read back from them, in doc_id order."""
+    return records.to_records_and_back(docs, tokenizer_path(), end_id=2)
+
+
+STAGES = [("toxicity", toxic), ("simhash", near_copies), ("decontamination", contaminated), ("mixing", mixed), ("records", written)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsengine.llm import decontaminate, order_minhash, pii, records, simhash, substring_dedup
-from obsengine.llm.common import read_table
+from obsengine.llm import decontaminate, mixing, order_minhash, ordinal_quality, pii, records, simhash, substring_dedup, token_rollups, toxicity
+from obsengine.llm.common import read_table, stored, work_dir
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,6 +31,22 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from labels: 0 poor, 1 good but toxic, 2 good. Fitted on labels that are not held out (as for op5)."""
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    model = ordinal_quality.fit(documents, labels.filter(~toxicity.held_out(F.col("doc_id"))), grade)
+    rated = ordinal_quality.scores(documents, model)
+    return rated.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_prob", (F.col("tail_prob") >= 0.5).alias("selected"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.scores(documents, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_records_and_back(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -40,18 +56,46 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_url", "n_account", F.sha2("base_text", 256).alias("base_sha256"), F.col("span_text").alias("spans"))
 
 
+def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: 1 inserts each with a quarter of its characters as the count; 2 revises this to
+    its words; 3 deletes all but the first of equal texts. Batches 2 and 3 are committed twice. The result is the totals."""
+    counted = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.xxhash64("text").alias("of_text"), F.char_length("text").alias("n"), F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / 4).cast("long").alias("guess"), token_rollups.count_words(F.col("text")).alias("words"))
+    counted = stored(counted, "counted").withColumn("tokenizer_version", F.lit("words-1"))
+    store, none = work_dir(spark, "rollups"), F.lit(None).cast("long")
+    first = counted.groupBy("of_text", "n").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, counted.of_text.eqNullSafe(first.of_text) & counted.n.eqNullSafe(first.n)).filter(F.col("doc_id") > F.col("first"))
+    batches = [
+        counted.select(F.lit("insert").alias("kind"), none.alias("old_tokens"), F.col("guess").alias("new_tokens"), *token_rollups.KEYS),
+        counted.select(F.lit("revise").alias("kind"), F.col("guess").alias("old_tokens"), F.col("words").alias("new_tokens"), *token_rollups.KEYS),
+        copies.select(F.lit("delete").alias("kind"), F.col("words").alias("old_tokens"), none.alias("new_tokens"), *token_rollups.KEYS),
+    ]
+    for k in (0, 1, 1, 2, 2):
+        token_rollups.commit(batches[k], store, k + 1)
+    return token_rollups.totals(spark, store)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = substring_dedup.deduplicated(read_table(spark, sf_dir, "documents"))
     return rest.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains: the language of labelled documents. Targets: shares of tokens to the power 0.7, no domain shrinking."""
+    rated, _, _, _ = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), F.col("lang"))
+    return rated.select("doc_id", "tokens", "domain", F.array_max("posterior").alias("posterior"), "rate")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
     "op3_order_minhash": op3_order_minhash,
+    "op4_ordinal_quality": op4_ordinal_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_records": op6_records,
     "op7_pii": op7_pii,
+    "op8_token_rollups": op8_token_rollups,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
@@ -67,6 +111,10 @@ ORACLE_SQL = {
         select dw.doc_id, cast(coalesce(len(w), 0) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(s, '')) items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) contaminated
         from dw left join per using (doc_id) left join its using (doc_id)""",
+    "op8_token_rollups": r"""
+        with t as (select source, lang, text, row_number() over (partition by text order by doc_id) r from documents)
+        select source, lang, 'words-1' tokenizer_version, count(*) docs, cast(sum(len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []))) as bigint) tokens
+        from t where r = 1 group by 1, 2""",
     "op9_substring_dedup": r"""
         with dw as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
         win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 18)) i from dw where len(w) >= 20)),
