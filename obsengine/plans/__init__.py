@@ -1 +1,5 @@
-"""Part of obsengine: plans."""
+"""Estimators, marts and the registered queries."""
+
+from obsengine.plans.observation_queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
