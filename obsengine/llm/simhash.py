@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsengine.llm.common import id_and_text, per_batch, raw_texts, stored
@@ -112,14 +112,13 @@ def points(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
 def links(fps: DataFrame, radius: int = 4, blocks: int = 3, full_from: int = 64) -> DataFrame:
     """u, v: links between distinct fingerprints that connect exactly those with a path of pairs within the radius.
 
-    fps: distinct fp, not null. Points are shuffled once; a point's fingerprints are counted before anything is paired."""
-    met = points(fps, radius, blocks)
+    fps: distinct fp, not null. Points are shuffled once; a point's fingerprints are counted before any are paired."""
+    met = points(fps.repartition("fp"), radius, blocks)
     if blocks == 1:
         return _stars(met)
     # Few points have more than one fingerprint, and only these are kept.
-    shared = met.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count("*").alias("n"))
-    here = met.join(shared.filter("n > 1"), "point")
-    here = stored(here.select("point", "fp", "least", "n"), "met")
+    here = met.withColumn("n", F.count("*").over(Window.partitionBy("point"))).filter("n > 1")
+    here = stored(here, "met")
     few = here.filter(F.col("n") <= full_from).select("point", "fp")
     pairs = few.alias("a").join(few.alias("b"), (F.col("a.point") == F.col("b.point")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius))
     pairs = pairs.select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v"))
