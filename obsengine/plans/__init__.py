@@ -1,5 +1,6 @@
 """Estimators, marts and the registered queries."""
 
+from obsengine.plans import gate_queries  # noqa: F401  registers its queries
 from obsengine.plans.observation_queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
