@@ -321,7 +321,8 @@ def fixed_effect_poisson(df: DataFrame, unit: str, exposed: Column, count: str,
     n = row[3]
     se2 = (row[2] / row[1] ** 2) * (n / max(n - 1, 1)) if n and row[1] else 0.0
     fit = Fit(["exposed"], np.array([b]), np.array([[se2]]), n)
-    fit.info["p_bonferroni"] = min(1.0, (wald("exposed", b, math.sqrt(se2))[4] or 1.0) * tests)
+    p = wald("exposed", b, math.sqrt(se2))[4]
+    fit.info["p_bonferroni"] = 1.0 if p is None else min(1.0, p * tests)
     return fit
 
 

@@ -1 +1 @@
-"""Part of obsengine: sources."""
+"""Scans and sinks."""
