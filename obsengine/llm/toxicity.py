@@ -2,8 +2,8 @@
 
 Folding lower-cases, maps look-alike letters of other scripts and digits or signs that stand for letters, and leaves
 words with one space between. The lexicon is learned from labelled rows: terms are words and starts of words (four to
-six letters, so that inflected forms share one); a term's weight is its smoothed log odds between toxic and other
-documents. Words that start like a term but are at home in other documents are exceptions, as are the phrases given:
+six letters, so that inflected forms share one) that a share of the toxic documents has; a term's weight is its smoothed log
+odds between toxic and other documents. Words that start like a term but are at home in other documents are exceptions, as are the phrases given:
 a hit inside an exception doesn't count. A document's hits are summed, also divided by the root of its length, and a
 small logistic regression on these sums gives the score.
 
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +85,10 @@ class Model:
             line = f" {' '.join(words)} "
             for end, (n, w) in self.automaton.iter(line):
                 (safe if w is None else found).append((end + 1 - n, end + 1, w or 0.0))
-            if safe:
-                found = [x for x in found if not any(s <= x[0] and x[1] <= e for s, e, _ in safe)]
+            if safe:  # a hit is safe if some exception that starts no later ends no earlier
+                safe.sort()
+                starts, reach = [x[0] for x in safe], list(accumulate((x[1] for x in safe), max))
+                found = [x for x in found if not ((k := bisect_right(starts, x[0])) and reach[k - 1] >= x[1])]
         best: dict[int, float] = {}  # one weight a word: the largest
         for s, _, w in found:
             best[s] = max(best.get(s, 0.0), w)
@@ -144,7 +148,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
     return per_batch(rows.select("text", "y"), "term string, pos long, neg long", make).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_rows: int = 20_000, least_rows: int = 4, least_weight: float = 2.0, most_terms: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_rows: int = 20_000, least_rows: int = 4, least_share: float = 0.01, least_weight: float = 3.0, most_terms: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     rows = labelled(documents, labels, label, max_fit_rows)
     totals = {(r.half, r.y): r["count"] for r in rows.groupBy("half", "y").count().collect()}
     pos, neg = totals.get((0, 1), 0), totals.get((0, 0), 0)
@@ -153,7 +157,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_r
     if pos and neg:
         counts = stored(_term_counts(rows.filter("half = 0")), "terms")
         odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-        best = counts.filter(F.col("pos") >= least_rows).withColumn("w", odds).filter(F.col("w") >= least_weight)
+        best = counts.filter(F.col("pos") >= max(least_rows, least_share * pos)).withColumn("w", odds).filter(F.col("w") >= least_weight)
         best = best.withColumn("gain", F.col("pos") * F.col("w")).orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(most_terms).collect()
         for r in best:  # a term that a chosen start covers adds nothing
             if not any(r.term.startswith(t) for t in (r.term[: n + 1] for n in STARTS) if t in weights and t != r.term):
