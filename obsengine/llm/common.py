@@ -66,6 +66,13 @@ def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20)
             yield batch.slice(start, rows)
 
 
+def bounded(df: DataFrame, size: str = "4m") -> DataFrame:
+    """df itself, in a session whose Arrow batches hold about `size` of data, however long the texts are. Batches of 64 MB,
+    Spark's default, would be held several times over by the JVM and by each Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def per_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict]]) -> DataFrame:
     """make() is called once in each task and gives the function from a batch to columns or a batch of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -81,5 +88,6 @@ def per_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Call
                 out = pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) if not isinstance(out[x.name], pa.Array) else out[x.name].cast(x.type) for x in arrow], schema=arrow)
             if out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, struct)
+    return bounded(df).mapInArrow(run, struct)

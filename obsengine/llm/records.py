@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
 
@@ -28,10 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import id_and_text, per_batch, small_batches, work_dir
+from obsengine.llm.common import bounded, id_and_text, per_batch, small_batches, work_dir
 
 INDEX = "part int, offset long, n_bytes long, doc_id long, n_tokens long"
-_caches: dict = {}
 
 
 def masked(data) -> int:
@@ -44,38 +45,56 @@ class Encoder:
     """Ids of whole texts with the tokenizers library, as bytes.
 
     A byte-level pre-tokenizer starts a piece at every space that a non-space follows. A text is cut at its spaces and
-    each distinct cut is encoded once; this gives the ids of the whole text except where a space lies between two other
-    white-space characters, or the text holds a special token. Such texts are cut only where that is safe, or not at all."""
+    distinct cuts are encoded once, many in a row; this gives the ids of the whole text except where a space lies
+    between two other white-space characters, or the text holds a special token. Such texts are cut only where that is
+    safe, or not at all. The first `most` cuts stay in memory, as the frequent ones come early."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 65536
+        vocab = self.tokenizer.get_vocab()
+        self.wide = max(vocab.values(), default=0) >= 65536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_space = '"ByteLevel"' in self.tokenizer.to_str()[:2000] or "ByteLevel" in str(self.tokenizer.pre_tokenizer)
+        self.by_space = "ByteLevel" in str(self.tokenizer.pre_tokenizer)
+        self.bytes_of = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, k in vocab.items():  # a byte-level vocabulary writes each byte as one character
+            self.bytes_of[k] = len(token)
         self.most, self.cache = most, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
         return self.encode([text])[0]
 
+    def in_a_row(self, cuts: list[str], step: int = 4000) -> list[bytes]:
+        """Ids of each cut; the cuts are encoded as one text, whose ids are told apart by their bytes."""
+        out = []
+        for k in range(0, len(cuts), step):
+            some = cuts[k : k + step]
+            raw = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends, wanted = np.cumsum(self.bytes_of[raw]), np.cumsum([len(c.encode()) for c in some])
+            cut = np.searchsorted(ends, wanted) + 1
+            if not len(ends) or (ends[np.minimum(cut, len(ends)) - 1] != wanted).any():
+                out += self.encode(some)
+            else:
+                out += [raw[a:b].tobytes() for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_space:
             return self.encode(texts)
-        if len(self.cache) > self.most:
-            self.cache.clear()
         cache, parts = self.cache, []
         for t in texts:
             parts.append(None if any(s in t for s in self.special) else t.split(" "))
-        new = {c for p in parts if p for c in p[1:] if c not in cache}
+        new = set().union(*(p[1:] for p in parts if p)) - cache.keys()
         plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        cache.update(dict.fromkeys(new))  # the others stay None
-        cache.update(zip(plain, self.encode([" " + c for c in plain]), strict=True))
+        room = len(cache) < self.most
+        cache.update(dict.fromkeys(new))  # what is not plain stays None
+        cache.update(zip(plain, self.in_a_row([" " + c for c in plain]), strict=True))
         heads = self.encode([p[0] if p else "" for p in parts])
         out = []
         for t, p, head in zip(texts, parts, heads, strict=True):
@@ -86,6 +105,9 @@ class Encoder:
                 out.append(head + b"".join(map(cache.__getitem__, p[1:])))
             except TypeError:
                 out.append(self.careful(t))
+        if not room:
+            for c in new:
+                del cache[c]
         return out
 
     def careful(self, text: str) -> bytes:
@@ -101,10 +123,11 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One for each worker process: the cache outlives a task."""
-    if path not in _caches:
-        _caches[path] = Encoder(path)
-    return _caches[path]
+    """One for each worker process, whose later tasks use it again."""
+    kept = sys.modules.setdefault("obsengine_llm_encoders", types.ModuleType("obsengine_llm_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def write_records(documents: DataFrame, tokenizer_path: str, end_id: int, uri: str, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +148,7 @@ def write_records(documents: DataFrame, tokenizer_path: str, end_id: int, uri: s
         store, root = fs.FileSystem.from_uri(uri)
         target, own = f"{root}/part-{part:06d}.rec", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
         offset, out = 0, None
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 2 << 20):
             out = out or store.open_output_stream(own)
             ids, index = batch.column(0).to_pylist(), []
             for doc_id, data in zip(ids, encode(batch.column(1).to_pylist()), strict=True):
@@ -140,12 +163,12 @@ def write_records(documents: DataFrame, tokenizer_path: str, end_id: int, uri: s
             out.close()
             store.move(own, target)
 
-    rows.mapInArrow(write, INDEX).write.parquet(f"{uri}/index")
+    bounded(rows).mapInArrow(write, INDEX).write.parquet(f"{uri}/index")
     return spark.read.schema(INDEX).parquet(f"{uri}/index")
 
 
-def read_records(spark: SparkSession, uri: str, wide: bool = False) -> DataFrame:
-    """Every record by the index, checksums verified: part, offset, doc_id and the token ids."""
+def _each_record(spark: SparkSession, uri: str, wide: bool, schema: str, columns) -> DataFrame:
+    """Every record by the index, checksums verified; columns: a function from lists of doc_ids and id arrays to columns."""
     kind = np.dtype("<u4" if wide else "<u2")
     index = spark.read.schema(INDEX).parquet(f"{uri}/index")
 
@@ -156,9 +179,8 @@ def read_records(spark: SparkSession, uri: str, wide: bool = False) -> DataFrame
         files: dict = {}
 
         def f(batch):
-            cols = [batch.column(k).to_pylist() for k in range(3)]
             ids, docs = [], []
-            for part, offset, n in zip(*cols, strict=True):
+            for part, offset, n in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 if part not in files:
                     files.clear()  # one is open at a time: the index is by file
                     files[part] = store.open_input_file(f"{root}/part-{part:06d}.rec")
@@ -168,28 +190,26 @@ def read_records(spark: SparkSession, uri: str, wide: bool = False) -> DataFrame
                 if sum_of_size != masked(record[:8]) or size != len(payload) or struct.unpack_from("<I", record, n - 4)[0] != masked(payload):
                     raise ValueError(f"damaged record at {offset} of part {part}")
                 docs.append(struct.unpack_from("<q", payload)[0])
-                ids.append(np.frombuffer(payload, kind, offset=8).astype(np.int32))
-            lengths = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            return {"part": batch.column(0), "offset": batch.column(1), "doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(ids)))}
+                ids.append(np.frombuffer(payload, kind, offset=8))
+            return {"part": batch.column(0), "offset": batch.column(1), "doc_id": docs} | columns(ids)
 
-        return f
+        def in_slices(batch, most=1000):  # the index says nothing of how long its records are together
+            rows = [f(batch.slice(k, most)) for k in range(0, batch.num_rows, most)]
+            return {c: pa.concat_arrays([pa.array(r[c]) if not isinstance(r[c], pa.Array) else r[c] for r in rows]) for c in rows[0]}
 
-    return per_batch(index, "part int, offset long, doc_id long, ids array<int>", make)
+        return in_slices
 
+    return per_batch(index, schema, make)
 
-def read_sums(spark: SparkSession, uri: str, wide: bool = False) -> DataFrame:
-    """Per record, from the files: doc_id, start (ids of all records before it), n_tokens, ids_crc32 (of the ids, little endian, 4 bytes each)."""
 
-    def make():
-        def f(batch):
-            ids = batch.column(3)
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            n = np.diff(ends)
-            return {"part": batch.column(0), "offset": batch.column(1), "doc_id": batch.column(2), "n_tokens": n.astype(np.int64), "ids_crc32": [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]}
+def read_records(spark: SparkSession, uri: str, wide: bool = False) -> DataFrame:
+    """Every record: part, offset, doc_id and the token ids."""
+    return _each_record(spark, uri, wide, "part int, offset long, doc_id long, ids array<int>", lambda ids: {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))})
 
-        return f
 
-    sums = per_batch(read_records(spark, uri, wide), "part int, offset long, doc_id long, n_tokens long, ids_crc32 long", make)
+def read_sums(spark: SparkSession, uri: str, wide: bool = False) -> DataFrame:
+    """Per record, from the files: doc_id, start (ids of all records before it), n_tokens, ids_crc32 (of the ids, little endian, 4 bytes each)."""
+    sums = _each_record(spark, uri, wide, "part int, offset long, doc_id long, n_tokens long, ids_crc32 long", lambda ids: {"n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]})
     index = spark.read.schema(INDEX).parquet(f"{uri}/index")
     # A row a file: the ids of all files before it. Files are as many as partitions, not as rows.
     before = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))

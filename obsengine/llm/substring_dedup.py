@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsengine.llm.common import id_and_text, per_batch, raw_texts, small_batches, stored
+from obsengine.llm.common import bounded, id_and_text, per_batch, raw_texts, small_batches, stored
 from obsengine.llm.fm_index import FMIndex
 
 # Odd multipliers of the polynomial hashes, and the constants of the 64-bit mixing step.
@@ -175,7 +175,7 @@ def _sorted_out(dealt: DataFrame) -> DataFrame:
             end = first[-1]
             last = ({c: v[end : end + 1] for c, v in x.items()}, bool(need[-1]) or (out and end == 0))
 
-    return dealt.mapInArrow(run, "again boolean, anchor long, doc_id long, start int, n int")
+    return bounded(dealt).mapInArrow(run, "again boolean, anchor long, doc_id long, start int, n int")
 
 
 def _with_words(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
