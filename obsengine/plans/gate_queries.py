@@ -90,10 +90,10 @@ def frame_audit(spark, sf_dir):
     return quality.frame_audit(every, ["l_orderkey", "l_linenumber"], "l_returnflag", "valid", {"bad_discount": ~F.col("l_discount").between(0, 0.09), "orphan_order": F.col("has_order").isNull(), "orphan_part": F.col("has_part").isNull()})
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey, list_filter([case when l_quantity >= 45 then 'quantity_high' end, case when l_tax = 0 then 'no_tax' end, case when l_discount > 0.09 then 'discount_high' end], lambda x: x is not null) codes from lineitem where l_quantity >= 45 or l_tax = 0 or l_discount > 0.09""")
+@query("""select l_orderkey, l_linenumber, l_partkey, array_to_string(list_filter([case when l_quantity >= 45 then 'quantity_high' end, case when l_tax = 0 then 'no_tax' end, case when l_discount > 0.09 then 'discount_high' end], lambda x: x is not null), ',') codes from lineitem where l_quantity >= 45 or l_tax = 0 or l_discount > 0.09""")
 def error_codes(spark, sf_dir):
     codes = quality.error_codes({"quantity_high": F.col("l_quantity") >= 45, "no_tax": F.col("l_tax") == 0, "discount_high": F.col("l_discount") > 0.09})
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", codes.alias("codes")).filter(F.size("codes") > 0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", codes.alias("codes")).filter(F.size("codes") > 0).withColumn("codes", F.array_join("codes", ","))
 
 
 @query("""with g as (select l_orderkey, l_linenumber, count(*) n from lineitem group by 1, 2)
@@ -137,12 +137,12 @@ def hash_chain(spark, sf_dir):
     x as (select event_id, user_id, seq, lag(seq) over w s0, event_id % 500 = 0 t, lag(event_id % 500 = 0) over w t0 from h where event_id % 400 <> 3 window w as (partition by user_id order by seq)),
     e as (select *, lag(event_id) over (partition by user_id order by seq) before from h),
     y as (select x.*, e.before is distinct from (select max(event_id) from x z where z.user_id = x.user_id and z.seq < x.seq) pm from x join e using (event_id, user_id, seq))
-    select event_id, list_filter([case when s0 is not null and seq <> s0 + 1 then 'sequence_gap' end, case when pm or (t0 and not pm) then 'predecessor_mismatch' end, case when t then 'entry_tampered' end], lambda c: c is not null) errors
+    select event_id, array_to_string(list_filter([case when s0 is not null and seq <> s0 + 1 then 'sequence_gap' end, case when pm or (t0 and not pm) then 'predecessor_mismatch' end, case when t then 'entry_tampered' end], lambda c: c is not null), ',') errors
     from y where (s0 is not null and seq <> s0 + 1) or pm or t0 or t""")
 def verify_chain(spark, sf_dir):
     chain = quality.hash_chain(table(spark, sf_dir, "events").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")), ["user_id"], "seq", F.concat_ws(":", "event_id", "event_type"))
     hurt = chain.filter("event_id % 400 <> 3").withColumn("entry_hash", F.when(F.col("event_id") % 500 == 0, F.lit("x")).otherwise(F.col("entry_hash")))
-    return quality.verify_chain(hurt, ["user_id"], "seq", F.concat_ws(":", "event_id", "event_type")).select("event_id", "errors")
+    return quality.verify_chain(hurt, ["user_id"], "seq", F.concat_ws(":", "event_id", "event_type")).select("event_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query("""with a as (select o_orderkey k, round(o_totalprice, 2) v from orders where o_orderkey % 10 <> 1), b as (select o_orderkey k, round(o_totalprice + case when o_orderkey % 50 = 0 then 1 else 0 end, 2) v from orders where o_orderkey % 10 <> 2)
@@ -243,10 +243,11 @@ def index_correlation(spark, sf_dir):
 
 
 @query(SEASON + """, j as (select t.y, total, mean - 0.05 x from t join i using (y))
-    select round(max(total) / median(total), 6) max_over_median, (select list(y order by total desc, y) from (select * from j order by total desc, y limit 3)) top_years, (select y from j order by abs(round(x, 8)), y limit 1) neutral_year from j""")
+    select round(max(total) / median(total), 6) max_over_median, (select string_agg(cast(y as varchar), ',' order by total desc, y) from (select * from j order by total desc, y limit 3)) top_years, (select y from j order by abs(round(x, 8)), y limit 1) neutral_year from j""")
 def rankings(spark, sf_dir):
     s = season_context(spark, sf_dir).filter("mean is not null").withColumn("x", F.round(F.col("mean") - 0.05, 8))
-    return rounded(aggregates.ranking_facts(s, "year", "total", "x"), ["max_over_median"])
+    out = rounded(aggregates.ranking_facts(s, "year", "total", "x"), ["max_over_median"])
+    return out.withColumn("top_years", F.array_join(F.transform("top_years", lambda y: y.cast("string")), ","))
 
 
 @query("""with s as (select year(o_orderdate) y, o_custkey, min(o_orderstatus) <> max(o_orderstatus) m from orders group by 1, 2)
@@ -271,12 +272,12 @@ def rates_and_shares(spark, sf_dir):
 
 @query("""with x as (select *, user_id as pair_key, case event_type when 'error' then 9 when 'click' then 5 when 'view' then 7 when 'signup' then 3 else 0 end k, value - 50 lat, value * 4 - 200 lon from events),
     g as (select pair_key, k, count(*) n, count(*) filter (lat between -20 and 20 and lon between -80 and 80) b, count(*) filter (not (lon between -180 and 180)) o from x group by 1, 2)
-    select pair_key, cast(sum(n) as bigint) pixels, cast(sum(n) as bigint) finite, cast(sum(b) as bigint) in_box, cast(sum(o) as bigint) out_of_range, cast(sum(case when k in (5, 7, 9) then n else 0 end) as bigint) processed, list(k || ':' || n order by cast(k as varchar)) class_counts from g group by 1""")
+    select pair_key, cast(sum(n) as bigint) pixels, cast(sum(n) as bigint) finite, cast(sum(b) as bigint) in_box, cast(sum(o) as bigint) out_of_range, cast(sum(case when k in (5, 7, 9) then n else 0 end) as bigint) processed, string_agg(k || ':' || n, ',' order by cast(k as varchar)) class_counts from g group by 1""")
 def swath_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.when(F.col("event_type") == "error", 9).when(F.col("event_type") == "click", 5).when(F.col("event_type") == "view", 7).when(F.col("event_type") == "signup", 3).otherwise(0))
     e = e.withColumn("pair_key", F.col("user_id")).withColumn("lat", F.col("value") - 50).withColumn("lon", F.col("value") * 4 - 200)
     out = aggregates.swath_summary(e, "pair_key", "k", "lat", "lon", quality.within_box("lon", "lat", -80, -20, 80, 20), [5, 7, 9])
-    return out.withColumn("class_counts", F.transform(F.map_entries("class_counts"), lambda x: F.concat_ws(":", x["key"], x["value"])))
+    return out.withColumn("class_counts", F.array_join(F.transform(F.map_entries("class_counts"), lambda x: F.concat_ws(":", x["key"], x["value"])), ","))
 
 
 # --- grid
@@ -398,15 +399,15 @@ def transition_metrics(spark, sf_dir):
     return rounded(out, ["pre_observed", "pre_natural", "post_observed", "loss", "to_pasture", "to_other"], 9)
 
 
-@query("""with f as (select label, unnest(embedding) x, generate_subscripts(embedding, 1) i from embeddings), a as (select label, i, avg(cast(x as double)) x from f group by 1, 2) select label, list(round(x, 6) order by i) mean from a group by 1""")
+@query("""with f as (select label, unnest(embedding) x, generate_subscripts(embedding, 1) i from embeddings), a as (select label, i, avg(cast(x as double)) x from f group by 1, 2) select label, cast(i - 1 as int) band, round(x, 6) mean from a""")
 def band_means(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    return grid.band_means(e, ["label"], "embedding").withColumn("mean", F.transform("mean", lambda x: F.round(x, 6)))
+    return grid.band_means(e, ["label"], "embedding").select("label", F.posexplode("mean").alias("band", "x")).select("label", "band", F.round("x", 6).alias("mean"))
 
 
-@query("""select vec_id, list_transform(embedding, lambda x: round(cast(x as double) / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y))), 5)) unit from embeddings""")
+@query("""with f as (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) i, sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y))) n from embeddings) select vec_id, cast(i - 1 as int) band, round(cast(x as double) / n, 5) unit from f""")
 def l2_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(X.l2_normalised("embedding"), lambda x: F.round(x, 5)).alias("unit"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(X.l2_normalised("embedding")).alias("band", "x")).select("vec_id", "band", F.round("x", 5).alias("unit"))
 
 
 # --- ranks and top shares

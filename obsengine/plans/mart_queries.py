@@ -115,10 +115,11 @@ def finalisation_report(spark, sf_dir):
 
 
 @query("""with s as (select p_brand asset, p_type status from part), b as (select asset, bool_and(status in ('SMALL', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD')) ready, list_sort(list_distinct(list(status))) statuses from s group by 1)
-    select * from b union all select '*', bool_and(ready), list_sort(list_distinct(flatten(list(statuses)))) from b""")
+    select asset, ready, array_to_string(statuses, ',') statuses from b union all select '*', bool_and(ready), array_to_string(list_sort(list_distinct(flatten(list(statuses)))), ',') from b""")
 def readiness(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("asset"), F.col("p_type").alias("status"))
-    return marts.readiness(p, "asset", "status", ["SMALL", "LARGE", "MEDIUM", "PROMO", "STANDARD"])
+    out = marts.readiness(p, "asset", "status", ["SMALL", "LARGE", "MEDIUM", "PROMO", "STANDARD"])
+    return out.withColumn("statuses", F.array_join("statuses", ","))
 
 
 @query()

@@ -36,11 +36,11 @@ def asset_gate(spark, sf_dir):
 
 
 @query("""with x as (select p_partkey "name", round((0.75 * p_size / 50.0 + 0.25 * p_retailprice / 2000.0) * 100, 6) score, list_filter([case when p_partkey % 11 = 0 then 'available_after_cutoff' end, case when p_partkey % 13 = 0 then 'component_of_target' end, case when p_type = 'PROMO' then 'post_treatment' end, case when p_partkey % 17 = 0 then 'no_license' end, case when p_partkey % 19 = 0 then 'negative_control' end], lambda c: c is not null) r from part),
-    y as (select "name", score, case when score < 40 then list_append(r, 'low_score') else r end reasons from x) select *, len(reasons) = 0 accepted from y""")
+    y as (select "name", score, case when score < 40 then list_append(r, 'low_score') else r end reasons from x) select "name", score, array_to_string(reasons, ',') reasons, len(reasons) = 0 accepted from y""")
 def feature_gate(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     manifest = p.select(k.alias("name"), F.create_map(F.lit("size"), F.col("p_size") / 50.0, F.lit("price"), F.col("p_retailprice") / 2000.0).alias("scores"), (k % 11 != 0).alias("before_cutoff"), (k % 13 == 0).alias("part_of_target"), F.lit(False).alias("shared_with_target"), F.when(F.col("p_type") == "PROMO", "mediator").otherwise("cause").alias("causal_position"), F.lit("u").alias("provenance_url"), F.when(k % 17 == 0, "").otherwise("l").alias("license"), (k % 19 == 0).alias("negative_control"))
-    return quality.feature_gate(manifest, {"size": 3, "price": 1}, 40)
+    return quality.feature_gate(manifest, {"size": 3, "price": 1}, 40).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("""with f as (select l_suppkey s, cast(year(l_shipdate) as int) y, l_linenumber h, round(sum(l_quantity), 2) q from lineitem group by 1, 2, 3), u as (select distinct l_suppkey s, cast(year(l_shipdate) as int) y from lineitem where l_partkey % 3 = 0)
