@@ -83,7 +83,9 @@ def previous(ids: DataFrame) -> DataFrame:
 
     A range partitioning puts ids in order; lag is taken inside partitions, and the ends meet in a table of one row for
     each partition."""
-    ordered = ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    # A stated number of partitions, so that Spark doesn't join them at run time and both uses below see the same ones.
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ids.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id())
     w = Window.partitionBy("part").orderBy("doc_id")
     inside = ordered.withColumn("previous", F.lag(F.struct("doc_id", "n_chars")).over(w))
     row = Window.orderBy("part")  # as many rows as partitions
@@ -98,18 +100,24 @@ def with_edits(documents: DataFrame, tuples: int = TUPLES, picked: int = PICKED,
     of the first of the next document (ascending doc_id, after the last: the first).
 
     doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next. Rows that share a doc_id are taken
-    for copies of one document: each is returned, and as a next document the one with the least text counts. Rows with a
+    for copies of one document: each is returned, and if their texts differ the least fingerprint and start count. Rows with a
     null doc_id are returned with themselves as the next. A single document is its own next. An empty table gives no
     rows; other columns are not read.
 
-    Numbers alone are put in order. Texts are shuffled once, by doc_id, with their fingerprints; each then sends the
-    start that the one before it needs."""
+    Numbers alone are put in order. Texts are shuffled once, by doc_id; each then sends the start that the one before it
+    needs."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = docs.filter("doc_id is not null")
-    around = previous(named.groupBy("doc_id").agg(F.min(F.char_length("text")).cast("long").alias("n_chars")))
-    printed = named.withColumn("fingerprint", fingerprint(F.col("text"), tuples, picked, k))
-    given = printed.join(around, "doc_id").select(F.col("previous_id").alias("doc_id"), F.struct(F.expr("substring(text, 1, cast(previous_chars div 4 as int))").alias("head"), F.col("fingerprint").alias("of_next")).alias("given"))
-    own = printed.join(given.groupBy("doc_id").agg(F.min("given").alias("given")), "doc_id").select("doc_id", "text", "fingerprint", "given.*")
+    named = docs.filter("doc_id is not null").repartition("doc_id")  # one shuffle, used wherever texts are asked for by id
+    around = previous(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.char_length("text")).cast("long").alias("n_chars")))
+    # Above the shuffle of texts, which both sides of the last join share, each fingerprint is made once. It goes to its own
+    # document and, with the start of its text, to the one before.
+    printed = named.join(around, "doc_id").withColumn("fingerprint", fingerprint(F.col("text"), tuples, picked, k))
+    start = F.struct(F.expr("substring(text, 1, cast(previous_chars div 4 as int))").alias("head"), F.col("fingerprint").alias("of_next"))
+    sent = printed.select(F.col("doc_id").alias("of"), F.col("previous_id"), start.alias("start"), "fingerprint")
+    both = F.array(F.struct(F.col("previous_id").alias("id"), F.lit(True).alias("back")), F.struct(F.col("of").alias("id"), F.lit(False).alias("back")))
+    sent = sent.withColumn("to", F.explode(both)).select(F.col("to.id").alias("doc_id"), F.when(F.col("to.back"), F.col("start")).alias("start"), F.when(~F.col("to.back"), F.col("fingerprint")).alias("fingerprint"))
+    given = sent.groupBy("doc_id").agg(F.min("start").alias("start"), F.min("fingerprint").alias("fingerprint"))
+    own = named.join(given, "doc_id").select("doc_id", "text", "fingerprint", "start.*")
     alone = docs.filter("doc_id is null").withColumn("fingerprint", fingerprint(F.col("text"), tuples, picked, k))
     alone = alone.select("doc_id", "text", "fingerprint", F.expr("substring(text, 1, cast(char_length(text) div 4 as int))").alias("head"), F.col("fingerprint").alias("of_next"))
     both = own.unionByName(alone).withColumn("n_chars", F.char_length("text").cast("long"))
