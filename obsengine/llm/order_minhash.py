@@ -106,7 +106,9 @@ def with_edits(documents: DataFrame, tuples: int = TUPLES, picked: int = PICKED,
 
     Numbers alone are put in order. Texts are shuffled once, by doc_id; each then sends the start that the one before it
     needs."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Without an alias that changes nothing: Spark drops such an alias on one side of a join, and then shuffles twice.
+    doc_id = F.col("doc_id") if documents.schema["doc_id"].dataType.simpleString() == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    docs = documents.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = docs.filter("doc_id is not null").repartition("doc_id")  # one shuffle, used wherever texts are asked for by id
     around = previous(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.char_length("text")).cast("long").alias("n_chars")))
     # Above the shuffle of texts, which both sides of the last join share, each fingerprint is made once. It goes to its own
