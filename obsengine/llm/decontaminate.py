@@ -6,7 +6,8 @@ of words ending there that some item contains. Where that run is as long as a wi
 window is min_words consecutive item words; an item with fewer words, but some, is one window itself.
 
 Items go to the executors in blocks of bounded size. Each block's automaton is broadcast and every document streams
-through every block; there is one block unless the items exceed block_chars.
+through every block; there is one block unless the items exceed block_chars. With several, rows are numbered first and
+the hits of all blocks are put together row by row, so the number of blocks changes no result.
 
 Cases: a null or empty text has no words, is never contaminated and never holds a window; items of null or no words are
 ignored; equal items count one by one (by item_id); repeated document rows are judged one by one; an empty table of
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import id_and_text, per_batch, raw_texts
+from obsengine.llm.common import id_and_text, per_batch, raw_texts, stored
 
 # Separators (ASCII other than letters and digits) become spaces and A-Z lower case; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -171,34 +172,51 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
     return out
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000) -> DataFrame:
-    """Per document: n_words, n_hit, longest (longest run shared with an item), item_ids (as strings) and spans of hit words."""
-    docs = id_and_text(documents, id_col, text_col)
+def _through(docs: DataFrame, shared) -> DataFrame:
+    """HITS of every row of docs (doc_id, text) in one block."""
 
-    def through(shared):
-        def make():
-            automaton = shared.value
+    def make():
+        automaton = shared.value
 
-            def f(batch):
-                rows = []
-                for raw in raw_texts(batch):
-                    words = words_of(raw)
-                    n_hit, longest, found, spans = automaton.match(words)
-                    rows.append((len(words), n_hit, longest, [automaton.names[k] for k in found], [{"start": s, "end": e} for s, e in spans]))
-                cols = list(zip(*rows, strict=True))
-                return {"doc_id": batch.column(0), "n_words": cols[0], "n_hit": cols[1], "longest": cols[2], "item_ids": cols[3], "spans": cols[4]}
+        def f(batch):
+            rows = []
+            for raw in raw_texts(batch):
+                words = words_of(raw)
+                n_hit, longest, found, spans = automaton.match(words)
+                rows.append((len(words), n_hit, longest, [automaton.names[k] for k in found], [{"start": s, "end": e} for s, e in spans]))
+            cols = list(zip(*rows, strict=True))
+            return {"doc_id": batch.column(0), "n_words": cols[0], "n_hit": cols[1], "longest": cols[2], "item_ids": cols[3], "spans": cols[4]}
 
-            return f
+        return f
+
+    return per_batch(docs, HITS, make)
 
-        return per_batch(docs, HITS, make)
 
-    parts = [through(b) for b in _blocks(benchmark, item_col, item_text_col, block_chars, min_words)]
-    out = parts[0]
-    if len(parts) > 1:  # every document comes once from each block; equal ids are one document then
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.flatten(F.collect_list("spans")).alias("spans"))
-        out = out.withColumn("spans", _merged("spans")).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with __row, which tells its rows apart: stored, so that every pass reads the same numbers."""
+    return stored(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _of_all_blocks(rows: DataFrame, text_col: str, blocks: list) -> DataFrame:
+    """HITS of every row of rows (numbered) in all blocks together; doc_id is __row. Blocks share no item, so no hit is lost or named twice."""
+    docs, out = id_and_text(rows, "__row", text_col), None
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)  # noqa: E731 - most rows hit nothing in most blocks
+    for b in blocks:
+        part = _through(docs, b).select("doc_id", "n_words", "longest", some("item_ids"), some("spans"))
+        out = part if out is None else out.unionByName(part)
+    out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return out.withColumn("spans", _merged("spans")).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000) -> DataFrame:
+    """Per document: n_words, n_hit, longest (longest run shared with an item), item_ids (as strings) and spans of hit words."""
+    docs, blocks = id_and_text(documents, id_col, text_col), _blocks(benchmark, item_col, item_text_col, block_chars, min_words)
+    if len(blocks) == 1:
+        out = _through(docs, blocks[0])
+    else:
+        rows = _numbered(docs)
+        found = _of_all_blocks(rows, "text", blocks).withColumnRenamed("doc_id", "__row")
+        out = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id")).join(found, "__row").drop("__row")
     return out.withColumn("n_items", F.size("item_ids").cast("long"))
 
 
