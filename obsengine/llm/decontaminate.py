@@ -236,33 +236,58 @@ def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, min_words: int = 13, coverage: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000, cut: bool = False) -> DataFrame:
     """documents without the contaminated ones, or (cut=True) with the hit words taken out of those; all columns are kept.
 
-    Rows stay where they are: nothing is shuffled. A document counts as contaminated if any block's hits say so. Cutting
-    leaves the words before and after, each in the text's own form, joined by what separated them."""
-    out = documents
-    for shared in _blocks(benchmark, item_col, item_text_col, block_chars, min_words):
-
-        def make(shared=shared):
-            automaton = shared.value
-
-            def f(batch):
-                at = batch.schema.get_field_index(text_col)
-                texts, keep = raw_texts(batch, text_col), []
-                for k, raw in enumerate(texts):
-                    words = words_of(raw)
-                    n_hit, _, _, spans = automaton.match(words)
-                    bad = n_hit > 0 and coverage * n_hit >= len(words)
-                    keep.append(cut or not bad)
-                    if bad and cut:
-                        texts[k] = _without(raw, words, spans)
-                if cut:
-                    column = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-                    return pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], schema=batch.schema)
-                return batch.filter(pa.array(keep, pa.bool_()))
-
-            return f
-
-        out = per_batch(out, out.schema, make)
-    return out
+    A document is judged by the hits of all blocks together, as by hits() and judged(). With one block rows stay where they
+    are and nothing is shuffled; with several, hits meet by row number. Cutting leaves the words before and after, each in
+    the text's own form, joined by what separated them."""
+    blocks = _blocks(benchmark, item_col, item_text_col, block_chars, min_words)
+    if len(blocks) > 1:
+        rows = _numbered(documents)
+        bad = judged(_of_all_blocks(rows, text_col, blocks), coverage).filter("contaminated").select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))
+        if not cut:
+            return rows.join(bad, "__row", "left_anti").select(documents.columns)
+        return _cut(rows.join(bad, "__row", "left").select(*documents.columns, "__spans"), documents.schema, text_col)
+    shared = blocks[0]
+
+    def make():
+        automaton = shared.value
+
+        def f(batch):
+            at = batch.schema.get_field_index(text_col)
+            texts, keep = raw_texts(batch, text_col), []
+            for k, raw in enumerate(texts):
+                words = words_of(raw)
+                n_hit, _, _, spans = automaton.match(words)
+                bad = n_hit > 0 and coverage * n_hit >= len(words)
+                keep.append(cut or not bad)
+                if bad and cut:
+                    texts[k] = _without(raw, words, spans)
+            if cut:
+                column = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
+                return pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], schema=batch.schema)
+            return batch.filter(pa.array(keep, pa.bool_()))
+
+        return f
+
+    return per_batch(documents, documents.schema, make)
+
+
+def _cut(df: DataFrame, schema, text_col: str) -> DataFrame:
+    """df without the words of __spans, its last column (null: nothing goes)."""
+
+    def make():
+        def f(batch):
+            at = batch.schema.get_field_index(text_col)
+            texts = raw_texts(batch, text_col)
+            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if spans:
+                    texts[k] = _without(texts[k], words_of(texts[k]), [(s["start"], s["end"]) for s in spans])
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
+            return pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+
+        return f
+
+    return per_batch(df, schema, make)
 
 
 def _without(raw: bytes, words: list[bytes], spans: list[tuple[int, int]]) -> bytes:

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from obsengine.llm import decontaminate
-from tests.llm.test_text_operators import HARD, docs_of, some_text
+from tests.llm.test_text_operators import HARD, brute_hits, docs_of, some_text
 
 COLUMNS = ["doc_id", "n_words", "n_hit", "longest", "item_ids", "spans", "n_items"]
 
@@ -18,6 +19,19 @@ def benchmark_and_texts(spark):
     return spark.createDataFrame(items, "item_id long, text string"), items, texts
 
 
+@pytest.mark.parametrize("block_chars", [10**6, 60])
+def test_contamination_is_judged_over_all_blocks(spark, block_chars):
+    bench, items, texts = benchmark_and_texts(spark)
+    docs, want = docs_of(spark, texts), brute_hits(texts, items)
+    bad = {k for k, v in want.items() if v[3]}
+    assert 0 < len(bad) < len(texts)
+    kept = decontaminate.remove_contaminated(docs, bench, block_chars=block_chars)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want) - bad)
+    cut = {r.doc_id: r.text for r in decontaminate.remove_contaminated(docs, bench, block_chars=block_chars, cut=True).collect()}
+    once = {r.doc_id: r.text for r in decontaminate.remove_contaminated(docs, bench, cut=True).collect()}
+    assert cut == once and {k for k in cut if cut[k] != texts[k]} == bad
+
+
 def test_rows_are_judged_one_by_one_with_several_blocks(spark):
     bench, _, texts = benchmark_and_texts(spark)
     docs = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 4 == 0, 7).when(F.col("doc_id") % 4 > 1, F.col("doc_id")))
