@@ -65,19 +65,19 @@ def interval_features(left: DataFrame, right: DataFrame, by: Sequence[str], key:
 
 
 def trailing_rows(left: DataFrame, right: DataFrame, by: Sequence[str], key: Sequence[str], event: str, ts: str, n: int, span_hours: int, aggs: Sequence[Column]) -> DataFrame:
-    """Aggregates of the last n right rows before the event; null unless n rows lie within span_hours of the first of them.
-
-    Rows older than span_hours can't count, so this is an interval join with a row limit on top."""
-    day = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / (span_hours * 3600))
+    """left (one row a key) with aggregates of the last n right rows before the event; null unless there are n and the last
+    of them is within span_hours of the first, however long before the event they lie.
+
+    Each right row carries itself and the n - 1 rows before it, and an event takes the latest right row before it
+    (asof_before), so nothing is paired and no row is out of reach."""
+    w = Window.partitionBy(*by).orderBy(ts)
+    known = right.dropna(subset=[*by, ts])  # null keys equal nothing
+    last = known.withColumn("__rows", F.collect_list(F.struct(*right.columns)).over(w.rowsBetween(1 - n, 0))).withColumn("__n", F.row_number().over(w))
     a = left.select(*dict.fromkeys([*by, *key, event])).withColumnRenamed(event, "__event")
-    at = F.col("__event").cast("timestamp")
-    a = a.withColumn("__d", F.explode(F.array(day(at) - 2, day(at) - 1, day(at))))
-    b = right.withColumn("__d", day(F.col(ts)))
-    joined = a.join(b, [*by, "__d"]).filter(F.col(ts) < F.col("__event"))
-    last = joined.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(ts)))).filter(F.col("__n") <= n)
-    span = F.unix_seconds(F.max(F.col(ts).cast("timestamp"))) - F.unix_seconds(F.min(F.col(ts).cast("timestamp")))
-    out = last.groupBy(*key).agg(F.count("*").alias("trailing"), span.alias("__span"), *aggs).filter((F.col("trailing") == n) & (F.col("__span") <= span_hours * 3600)).drop("__span")
-    return left.join(out, list(key), "left")
+    rows = asof_before(a, last.select(*by, ts, "__n", "__rows"), by, "__event", ts, ["__rows"], tie="__n").filter(F.size("__rows") == n)
+    at = lambda k: F.unix_seconds(F.element_at("__rows", k)[ts].cast("timestamp"))
+    out = rows.filter(at(n) - at(1) <= span_hours * 3600).select(*key, F.explode("__rows").alias("__r")).select(*key, *[F.col("__r")[c].alias(c) for c in right.columns if c not in key])
+    return left.join(out.groupBy(*key).agg(F.count("*").alias("trailing"), *aggs), list(key), "left")
 
 
 def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
