@@ -17,10 +17,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document with the smallest doc_id stays."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of SimHash near-duplicates one row stays: that of the smallest doc_id (null counts as the largest), and
+    of several such rows one chosen by the hash of their text."""
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("of_text"), F.monotonically_increasing_id().alias("row"))
+    rows = stored(docs.withColumn("__rank", rank), "ranked")
+    groups = simhash.near_duplicates(rows, id_col="__rank")
+    gone = groups.filter("doc_id.row <> component_id.row").select("doc_id.row")
+    return rows.join(gone, F.col("__rank.row") == gone["row"], "left_anti").select(docs.columns)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def written(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids as binary records; the result is read back from them, in doc_id order."""
-    return records.to_records_and_back(docs, tokenizer_path(), end_id=2)
+    """Token ids as binary records; the result is read back from them, in doc_id order, null first."""
+    return records.to_records_and_back(docs, tokenizer_path(), end_id=2, null_ids=True)
 
 
 STAGES = [("toxicity", toxic), ("simhash", near_copies), ("decontamination", contaminated), ("mixing", mixed), ("records", written)]

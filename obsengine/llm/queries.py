@@ -48,7 +48,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.to_records_and_back(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return records.to_records_and_back(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, null_ids=True)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ name of its own, renamed when complete, so a repeated task leaves one whole file
 pyarrow.fs to a URI in the shared folder.
 
 Cases: a null or empty text is one record with the end id alone; rows with equal doc_id are separate records, adjacent,
-by text; a null doc_id is an error, as the order needs one; an empty table gives no records. Other columns are not read.
+by text; a null doc_id is an error, or with null_ids comes first, written as the least signed number of 8 bytes, which no
+doc_id may be then, and is read as null with null_ids; an empty table gives no records. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from obsengine.llm.common import bounded, id_and_text, per_batch, small_batches, work_dir
 
+NULL_ID = -(1 << 63)
 INDEX = "part int, offset long, n_bytes long, doc_id long, n_tokens long"
 
 
@@ -130,11 +132,13 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def write_records(documents: DataFrame, tokenizer_path: str, end_id: int, uri: str, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the files and the index (at uri/index); returns the index."""
+def write_records(documents: DataFrame, tokenizer_path: str, end_id: int, uri: str, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """Writes the files and the index (at uri/index; NULL_ID stands for null there too); returns the index."""
     spark = documents.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = id_and_text(documents, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("doc_id is null")).cast("long")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    doc_id, error = F.col("doc_id").cast("long"), lambda what: F.raise_error(F.lit(what)).cast("long")
+    doc_id = F.when(doc_id == NULL_ID, error("doc_id is the number that stands for null")).otherwise(F.coalesce(doc_id, F.lit(NULL_ID))) if null_ids else F.coalesce(doc_id, error("doc_id is null"))
+    rows = id_and_text(documents, id_col, text_col).select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(uri).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(uri))
     names = ["part", "offset", "n_bytes", "doc_id", "n_tokens"]
@@ -167,7 +171,7 @@ def write_records(documents: DataFrame, tokenizer_path: str, end_id: int, uri: s
     return spark.read.schema(INDEX).parquet(f"{uri}/index")
 
 
-def _each_record(spark: SparkSession, uri: str, wide: bool, schema: str, columns) -> DataFrame:
+def _each_record(spark: SparkSession, uri: str, wide: bool, schema: str, columns, null_ids: bool) -> DataFrame:
     """Every record by the index, checksums verified; columns: a function from lists of doc_ids and id arrays to columns."""
     kind = np.dtype("<u4" if wide else "<u2")
     index = spark.read.schema(INDEX).parquet(f"{uri}/index")
@@ -189,9 +193,10 @@ def _each_record(spark: SparkSession, uri: str, wide: bool, schema: str, columns
                 payload = record[12:-4]
                 if sum_of_size != masked(record[:8]) or size != len(payload) or struct.unpack_from("<I", record, n - 4)[0] != masked(payload):
                     raise ValueError(f"damaged record at {offset} of part {part}")
-                docs.append(struct.unpack_from("<q", payload)[0])
+                doc_id = struct.unpack_from("<q", payload)[0]
+                docs.append(None if null_ids and doc_id == NULL_ID else doc_id)
                 ids.append(np.frombuffer(payload, kind, offset=8))
-            return {"part": batch.column(0), "offset": batch.column(1), "doc_id": docs} | columns(ids)
+            return {"part": batch.column(0), "offset": batch.column(1), "doc_id": pa.array(docs, pa.int64())} | columns(ids)
 
         def in_slices(batch, most=1000):  # the index says nothing of how long its records are together
             rows = [f(batch.slice(k, most)) for k in range(0, batch.num_rows, most)]
@@ -202,14 +207,14 @@ def _each_record(spark: SparkSession, uri: str, wide: bool, schema: str, columns
     return per_batch(index, schema, make)
 
 
-def read_records(spark: SparkSession, uri: str, wide: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, uri: str, wide: bool = False, null_ids: bool = False) -> DataFrame:
     """Every record: part, offset, doc_id and the token ids."""
-    return _each_record(spark, uri, wide, "part int, offset long, doc_id long, ids array<int>", lambda ids: {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))})
+    return _each_record(spark, uri, wide, "part int, offset long, doc_id long, ids array<int>", lambda ids: {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))}, null_ids)
 
 
-def read_sums(spark: SparkSession, uri: str, wide: bool = False) -> DataFrame:
+def read_sums(spark: SparkSession, uri: str, wide: bool = False, null_ids: bool = False) -> DataFrame:
     """Per record, from the files: doc_id, start (ids of all records before it), n_tokens, ids_crc32 (of the ids, little endian, 4 bytes each)."""
-    sums = _each_record(spark, uri, wide, "part int, offset long, doc_id long, n_tokens long, ids_crc32 long", lambda ids: {"n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]})
+    sums = _each_record(spark, uri, wide, "part int, offset long, doc_id long, n_tokens long, ids_crc32 long", lambda ids: {"n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]}, null_ids)
     index = spark.read.schema(INDEX).parquet(f"{uri}/index")
     # A row a file: the ids of all files before it. Files are as many as partitions, not as rows.
     before = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
@@ -217,9 +222,9 @@ def read_sums(spark: SparkSession, uri: str, wide: bool = False) -> DataFrame:
     return sums.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def to_records_and_back(documents: DataFrame, tokenizer_path: str, end_id: int = 2, uri: str | None = None) -> DataFrame:
+def to_records_and_back(documents: DataFrame, tokenizer_path: str, end_id: int = 2, uri: str | None = None, null_ids: bool = False) -> DataFrame:
     """Writes the documents' ids to files and returns read_sums() of them."""
     spark = documents.sparkSession
     uri = uri or work_dir(spark, "records")
-    write_records(documents, tokenizer_path, end_id, uri)
-    return read_sums(spark, uri, encoder(tokenizer_path).wide)
+    write_records(documents, tokenizer_path, end_id, uri, null_ids=null_ids)
+    return read_sums(spark, uri, encoder(tokenizer_path).wide, null_ids)

@@ -1,10 +1,12 @@
 """Cases in which an operator did less than its whole job."""
 
 import random
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from obsengine.llm import decontaminate
 from tests.llm.test_text_operators import HARD, brute_hits, docs_of, some_text
 
@@ -37,3 +39,17 @@ def test_rows_are_judged_one_by_one_with_several_blocks(spark):
     docs = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 4 == 0, 7).when(F.col("doc_id") % 4 > 1, F.col("doc_id")))
     one, many = (sorted(map(repr, decontaminate.hits(docs.repartition(3), bench, block_chars=n).select(COLUMNS).collect())) for n in (10**6, 60))
     assert len(many) == len(texts) and many == one
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated doc_ids, and a null doc_id as far as the records."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    rows = [(None, a), (5, a), (3, a), (3, a), (None, b), (None, b), (9, c), (9, f"{c} c0"), (None, None), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    kept = kept.select("doc_id", "text")
+    by_text = lambda t: [r.doc_id for r in kept.collect() if (r.text or "").startswith(t)]
+    assert by_text("a0 ") == [3] and by_text("b0 ") == [None] and by_text("c0 ") == [9] and kept.count() == 4
+    got = sorted(corpus_pipeline.written(spark, kept, "").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 1, 3, 9] and all(x.start + x.n_tokens == y.start for x, y in pairwise(got))
