@@ -9,7 +9,8 @@ Equal windows have equal anchors.
    equal content, all but the first are repeats as a whole; map tasks find those inside a batch by themselves, so a
    passage that a third of the documents share is not gathered anywhere.
 2. First segments whose anchor also occurs with other content, or twice in the segment, go on, with their words, to shards by anchor; a shard holds
-   about shard_words words. If an anchor has over hot_anchor of them, they go window by window, by the window's content.
+   about shard_words words. If an anchor has over hot_anchor of them, no words go on, but a row a window: the hash of its
+   content and its place. The first place of each content is found with map-side combining, and other places are repeats.
 3. Each shard builds its FM-index (suffix array, wavelet matrix) over its segments and streams their windows through
    backward search; a window whose first occurrence is earlier is a repeat. Intervals of repeats are reported.
 4. Intervals join the documents again.
@@ -179,13 +180,16 @@ def _sorted_out(dealt: DataFrame) -> DataFrame:
 
 
 def _with_words(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """shard, doc_id, start, words of each wanted segment (or of each of its windows, where hot)."""
+    """shard, doc_id, start, words of each wanted segment; where hot, hash, doc_id, start of each of its windows."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "shard", "hot")).alias("wanted"))
-    kind = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    kind = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("hash", pa.int64())])
 
     def run(batches):
         import xxhash
 
+        def packed(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+
         for batch in small_batches(batches):
             out = []
             for doc_id, raw, asked in zip(batch.column(0).to_pylist(), raw_texts(batch), batch.column(2).to_pylist(), strict=True):
@@ -194,17 +198,29 @@ def _with_words(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     first, n = w["start"], w["n"]
                     if w["hot"]:
                         for k in range(first, first + n):
-                            piece = b" ".join(words[k : k + size])
-                            out.append((xxhash.xxh32_intdigest(piece) % w["shard"], doc_id, k, piece))
+                            out.append((None, doc_id, k, None, xxhash.xxh64_intdigest(b" ".join(words[k : k + size])) - (1 << 63)))
                     else:
-                        out.append((w["shard"], doc_id, first, b" ".join(words[first : first + n + size - 1])))
+                        out.append((w["shard"], doc_id, first, b" ".join(words[first : first + n + size - 1]), None))
                     if len(out) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+                        yield packed(out)
                         out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+                yield packed(out)
+
+    return docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "shard int, doc_id long, start int, words binary, hash long")
+
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "shard int, doc_id long, start int, words binary")
+def _later_windows(windows: DataFrame, size: int, many: int) -> DataFrame:
+    """doc_id, start, end of all but the first of equal windows. windows: hash, doc_id, start.
+
+    What repeats over `many` times is a short list: it is broadcast, so its copies aren't gathered anywhere."""
+    place = F.struct("doc_id", "start")
+    first = stored(windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
+    often = first.filter(F.col("n") > many).select("hash", F.col("first").alias("often"))
+    met = windows.join(F.broadcast(often), "hash", "left")
+    later = met.filter(F.col("often").isNotNull() & (place != F.col("often"))).select("doc_id", "start")
+    rest = met.filter("often is null").join(first.filter(F.col("n") <= many), "hash").filter(place != F.col("first")).select("doc_id", "start")
+    return later.unionByName(rest).withColumn("end", F.col("start") + size)
 
 
 def search_shard(doc_ids: np.ndarray, starts: np.ndarray, pieces: list[bytes], size: int) -> list[tuple[int, int, int]]:
@@ -252,11 +268,14 @@ def repeats(docs: DataFrame, size: int = 20, anchor_words: int = 5, shard_words:
     known = stored(_sorted_out(dealt), "segments")
     whole = known.filter("again").select("doc_id", "start", (F.col("start") + F.col("n") + (size - 1)).alias("end"))
     asked = known.filter("not again")
-    words = asked.agg(F.sum(F.col("n") + size - 1)).first()[0] or 0
-    shards = max(1, -(-words // shard_words))
     hot = asked.groupBy("anchor").count().filter(F.col("count") > hot_anchor).select("anchor", F.lit(True).alias("hot"))
-    asked = asked.join(hot, "anchor", "left").select("doc_id", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"), F.when(F.col("hot"), F.lit(shards)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("int").alias("shard"))
-    return whole.unionByName(_search(_with_words(docs, asked, size), size))
+    asked = asked.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    words = asked.filter("not hot").agg(F.sum(F.col("n") + size - 1)).first()[0] or 0
+    shards = max(1, -(-words // shard_words))
+    asked = asked.select("doc_id", "start", "n", "hot", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"))
+    pieces = stored(_with_words(docs, asked, size), "pieces")
+    cold = _search(pieces.filter("words is not null").select("shard", "doc_id", "start", "words"), size)
+    return whole.unionByName(cold).unionByName(_later_windows(pieces.filter("words is null").select("hash", "doc_id", "start"), size, hot_anchor))
 
 
 def deduplicated(documents: DataFrame, size: int = 20, anchor_words: int = 5, shard_words: int = 1_000_000, hot_anchor: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

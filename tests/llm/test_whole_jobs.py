@@ -1,14 +1,16 @@
 """Cases in which an operator did less than its whole job."""
 
+import hashlib
 import random
+from collections import Counter
 from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from obsengine.llm import decontaminate
-from tests.llm.test_text_operators import HARD, brute_hits, docs_of, some_text
+from obsengine.llm import decontaminate, substring_dedup
+from tests.llm.test_text_operators import HARD, brute_hits, brute_repeats, docs_of, some_text
 
 COLUMNS = ["doc_id", "n_words", "n_hit", "longest", "item_ids", "spans", "n_items"]
 
@@ -53,3 +55,17 @@ def test_one_row_of_each_group_stays(spark):
     assert by_text("a0 ") == [3] and by_text("b0 ") == [None] and by_text("c0 ") == [9] and kept.count() == 4
     got = sorted(corpus_pipeline.written(spark, kept, "").collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 1, 3, 9] and all(x.start + x.n_tokens == y.start for x, y in pairwise(got))
+
+
+def test_copies_of_a_hot_window_are_not_gathered(spark, monkeypatch):
+    """Windows of a hot anchor go to no shard, however many documents hold them, and what is removed stays the same."""
+    rng = random.Random(4)
+    passage = some_text(rng, 30, [f"p{k}" for k in range(99)])
+    texts = [f"{some_text(rng, 25, [f'w{k}' for k in range(50)])} {passage} {some_text(rng, 25, [f'w{k}' for k in range(50)])}" for _ in range(40)]
+    seen = []
+    search = substring_dedup._search
+    monkeypatch.setattr(substring_dedup, "_search", lambda pieces, size: seen.append([r.words.decode() for r in pieces.collect()]) or search(pieces, size))
+    got = substring_dedup.deduplicated(docs_of(spark, texts).repartition(5), hot_anchor=10)
+    assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got.collect()} == brute_repeats(texts, 20)
+    windows = Counter(tuple(w[k : k + 20]) for p in seen[0] for w in [p.split()] for k in range(len(w) - 19))
+    assert max(windows.values(), default=0) <= 10
