@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,15 +44,22 @@ def masked(data) -> int:
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Ids of whole texts with the tokenizers library, as bytes.
 
-    A byte-level pre-tokenizer starts a piece at every space that a non-space follows. A text is cut at its spaces and
-    distinct cuts are encoded once, many in a row; this gives the ids of the whole text except where a space lies
-    between two other white-space characters, or the text holds a special token. Such texts are cut only where that is
-    safe, or not at all. The first `most` cuts stay in memory, as the frequent ones come early."""
+    A byte-level pre-tokenizer starts a piece at every space between two characters that aren't white space. Texts are
+    cut there, and of the distinct cuts of a batch those not known are encoded, many in a row. What lies around other
+    white space, texts with special tokens, and everything if the pre-tokenizer is another one, is encoded as it stands.
+    Known cuts are kept as one Arrow array beside one array of ids; when they are over `most`, those of the last batch stay,
+    as a frequent cut is in every batch."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,64 +72,82 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, k in vocab.items():  # a byte-level vocabulary writes each byte as one character
             self.bytes_of[k] = len(token)
-        self.most, self.cache = most, {}
+        self.most, self.known, self.ids, self.counts = most, pa.array([], pa.string()), np.empty(0, self.kind), np.empty(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, text: str) -> bytes:
-        return self.encode([text])[0]
-
-    def in_a_row(self, cuts: list[str], step: int = 4000) -> list[bytes]:
-        """Ids of each cut; the cuts are encoded as one text, whose ids are told apart by their bytes."""
-        out = []
+    def in_a_row(self, cuts: list[str], step: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all cuts and how many each has; the cuts are encoded as one text, whose ids are told apart by their bytes."""
+        ids, counts = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
         for k in range(0, len(cuts), step):
             some = cuts[k : k + step]
-            raw = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends, wanted = np.cumsum(self.bytes_of[raw]), np.cumsum([len(c.encode()) for c in some])
-            cut = np.searchsorted(ends, wanted) + 1
-            if not len(ends) or (ends[np.minimum(cut, len(ends)) - 1] != wanted).any():
-                out += self.encode(some)
-            else:
-                out += [raw[a:b].tobytes() for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_space:
-            return self.encode(texts)
-        cache, parts = self.cache, []
-        for t in texts:
-            parts.append(None if any(s in t for s in self.special) else t.split(" "))
-        new = set().union(*(p[1:] for p in parts if p)) - cache.keys()
-        plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        room = len(cache) < self.most
-        cache.update(dict.fromkeys(new))  # what is not plain stays None
-        cache.update(zip(plain, self.in_a_row([" " + c for c in plain]), strict=True))
-        heads = self.encode([p[0] if p else "" for p in parts])
-        out = []
-        for t, p, head in zip(texts, parts, heads, strict=True):
-            if p is None:
-                out.append(self.whole(t))
-                continue
-            try:
-                out.append(head + b"".join(map(cache.__getitem__, p[1:])))
-            except TypeError:
-                out.append(self.careful(t))
-        if not room:
-            for c in new:
-                del cache[c]
+            got = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends, wanted = np.cumsum(self.bytes_of[got]), np.cumsum([len(c.encode()) for c in some])
+            upto = np.searchsorted(ends, wanted) + 1
+            if not len(ends) or (ends[np.minimum(upto, len(ends)) - 1] != wanted).any():
+                each = [np.frombuffer(x, self.kind) for x in self.encode(some)]
+                got, upto = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(got)
+            counts.append(np.diff(upto, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _of_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in self.ids the ids of each cut start, and how many they are: -1 where the cut has white space at an end."""
+        at = pc.index_in(words, value_set=self.known)
+        fresh = words.filter(pc.is_null(at))
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(fresh))
+        cuts = fresh.to_pylist()
+        plain = np.array([bool(c) and not c[0].isspace() and not c[-1].isspace() for c in cuts], bool)
+        ids, n = self.in_a_row([" " + c for c, good in zip(cuts, plain.tolist(), strict=True) if good])
+        counts = np.full(len(cuts), -1)
+        counts[plain] = n
+        self.known, self.ids, self.counts = pa.concat_arrays([self.known, fresh]), np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
+        size = np.maximum(self.counts, 0)
+        starts, counts = (np.cumsum(size) - size)[at], self.counts[at]
+        if len(self.known) > self.most:
+            size = np.maximum(counts, 0)
+            self.known, self.ids, self.counts = words, self.ids[_spread(starts, size)], counts
+            starts = np.cumsum(size) - size
+        return starts, counts
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        if not self.by_space or not len(column):
+            return self.encode(column.to_pylist())
+        whole = np.zeros(len(column), bool)
+        for s in self.special:
+            whole |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(column, " ")
+        n_cuts = pc.list_value_length(parts).to_numpy().astype(np.int64)
+        last = np.cumsum(n_cuts)
+        coded = parts.flatten().dictionary_encode()
+        starts, counts = self._of_distinct(coded.dictionary)
+        of = coded.indices.to_numpy()
+        starts, counts = starts[of], counts[of]
+        rough = np.add.reduceat(counts < 0, last - n_cuts) > 0
+        heads = self.encode(coded.dictionary.take(coded.indices.take(pa.array(last - n_cuts))).to_pylist())
+        mine = np.maximum(counts, 0)
+        mine[last - n_cuts] = 0  # the first cut of a text has no space before it
+        ids, ends = self.ids[_spread(starts, mine)], np.concatenate(([0], np.cumsum(mine)))[np.concatenate(([0], last))].tolist()
+        out = [head + ids[a:b].tobytes() for head, a, b in zip(heads, ends, ends[1:], strict=False)]
+        for k in np.flatnonzero(whole | rough).tolist():
+            text = column[k].as_py()
+            out[k] = self.encode([text])[0] if whole[k] else b"".join(self.encode(self._apart(text)))
         return out
 
-    def careful(self, text: str) -> bytes:
+    @staticmethod
+    def _apart(text: str) -> list[str]:
         """Cut only at single spaces between two characters that aren't white space."""
-        cuts, last = [], 0
+        out, last = [], 0
         k = text.find(" ")
         while k >= 0:
             if 0 < k < len(text) - 1 and not text[k - 1].isspace() and not text[k + 1].isspace():
-                cuts.append(text[last:k])
+                out.append(text[last:k])
                 last = k
             k = text.find(" ", k + 1)
-        return b"".join(self.encode([*cuts, text[last:]]))
+        return [*out, text[last:]]
 
 
 def encoder(path: str) -> Encoder:
@@ -152,10 +178,10 @@ def write_records(documents: DataFrame, tokenizer_path: str, end_id: int, uri: s
         store, root = fs.FileSystem.from_uri(uri)
         target, own = f"{root}/part-{part:06d}.rec", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
         offset, out = 0, None
-        for batch in small_batches(batches, 2 << 20):
+        for batch in small_batches(batches):
             out = out or store.open_output_stream(own)
             ids, index = batch.column(0).to_pylist(), []
-            for doc_id, data in zip(ids, encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, data in zip(ids, encode(batch.column(1)), strict=True):
                 payload = struct.pack("<q", doc_id) + data + end
                 head = struct.pack("<Q", len(payload))
                 record = b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
