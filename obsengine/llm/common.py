@@ -22,13 +22,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a temporary one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one is made if all
+    runs in one process, as in tests; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        at = context._jsc.sc().getCheckpointDir()
         if at.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            at = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            at = context._jsc.sc().getCheckpointDir()
         base = at.get()
     return base.rstrip("/")
 
@@ -38,12 +42,36 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def made(spark: SparkSession, uri: str) -> str:
+    """uri, as a folder that is there now."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(path)
+    return uri
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def by_value(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """Broadcasts a model (of a size its operator bounds) as bytes that name none of this package's modules; the function
+    returned gives it back in a task. SparkContext.broadcast alone would send classes by reference."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: cloudpickle.loads(data.value)
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,8 +96,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20)
 
 def bounded(df: DataFrame, size: str = "4m") -> DataFrame:
     """df itself, in a session whose Arrow batches hold about `size` of data, however long the texts are. Batches of 64 MB,
-    Spark's default, would be held several times over by the JVM and by each Python worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    Spark's default, would be held several times over by the JVM and by each Python worker. Spark reads the option when the
+    query runs, so it stays set; a value that the caller has chosen is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, size)
     return df
 
 

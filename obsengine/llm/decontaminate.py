@@ -5,33 +5,37 @@ run of words of every item. Each document streams through it; at each word the a
 of words ending there that some item contains. Where that run is as long as a window, the window's words are hit. A
 window is min_words consecutive item words; an item with fewer words, but some, is one window itself.
 
-Items go to the executors in blocks of bounded size. Each block's automaton is broadcast and every document streams
-through every block; there is one block unless the items exceed block_chars. With several, rows are numbered first and
-the hits of all blocks are put together row by row, so the number of blocks changes no result.
-
-Cases: a null or empty text has no words, is never contaminated and never holds a window; items of null or no words are
-ignored; equal items count one by one (by item_id); repeated document rows are judged one by one; an empty table of
-items hits nothing. Other columns of documents, clashing names included, are never read by hits() and are passed
-through by remove_contaminated().
+Items of over piece_words words are dealt with in pieces that overlap by min_words - 1 words, so that each window lies in
+one. Pieces go to blocks of about block_chars; a task for each block builds its automaton and writes it to the shared
+folder. Documents are read once: a task takes each Arrow batch of them through all blocks, reading those again that it
+doesn't hold, and judges each row by the hits of all blocks together. So nothing of the items passes through the driver,
+and no result depends on the number of blocks.
+
+Cases: a null or empty text has no words, is never contaminated and never holds a window; items of null or no words and
+of null item_id are ignored; equal items count one by one (by item_id); items that share an item_id are one item with the
+windows of each; document rows, repeated ones and those of null or equal doc_id included, are judged one by one; an empty
+table of items hits nothing. doc_id may be of any type. Other columns of documents, clashing names included, are never
+read by hits() and are passed through by remove_contaminated().
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from obsengine.llm.common import id_and_text, per_batch, raw_texts, stored
+from obsengine.llm.common import id_and_text, made, per_batch, raw_texts, work_dir
 
 # Separators (ASCII other than letters and digits) become spaces and A-Z lower case; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-HITS = "doc_id long, n_words long, n_hit long, longest int, item_ids array<string>, spans array<struct<start:int,end:int>>"
-
-
 def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(_FOLD).split() if raw else []
 
@@ -158,74 +162,111 @@ class Automaton:
         return sum(e - s for s, e in spans), longest, sorted(found), [(s, e) for s, e in spans]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int, min_words: int) -> list:
-    """Broadcast automata; each gathers at most about block_chars of items."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
-    out = []
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()
-        words = [(r.item, words_of(r.text.encode())) for r in sorted(rows)]
-        out.append(spark.sparkContext.broadcast(Automaton([x for x in words if x[1]], min_words)))
+class Blocks:
+    """The automata of all blocks, read from the shared folder. Only the first `held` stay in memory."""
+
+    def __init__(self, uris: list[str], held: int = 4):
+        self.uris, self.held, self.here = uris, held, {}
+
+    def __iter__(self) -> Iterator[Automaton]:
+        from pyarrow import fs
+
+        for k, uri in enumerate(self.uris):
+            automaton = self.here.get(k)
+            if automaton is None:
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(path) as f:
+                    automaton = Automaton.__new__(Automaton)
+                    automaton.__dict__.update(pickle.loads(f.read()))
+                if k < self.held:
+                    self.here[k] = automaton
+            yield automaton
+
+    def match(self, texts: list[list[bytes]]) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
+        """Of each text: words hit, longest run, names of items, and hit spans, over all blocks."""
+        out: list = [(0, 0, [], [])] * len(texts)
+        for automaton in self:
+            for k, words in enumerate(texts):
+                n_hit, longest, found, spans = automaton.match(words)
+                if longest:
+                    before = out[k]
+                    names = {*before[2], *(automaton.names[x] for x in found)}
+                    joined = _joined([*before[3], *spans]) if before[3] and spans else before[3] or spans
+                    out[k] = (sum(e - s for s, e in joined), max(longest, before[1]), sorted(names), joined)
+        return out
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one, by start."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and out[-1][1] >= s:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
     return out
 
 
-def _through(docs: DataFrame, shared) -> DataFrame:
-    """HITS of every row of docs (doc_id, text) in one block."""
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, min_words: int, piece_words: int) -> DataFrame:
+    """item, words (one space between): the pieces of all items."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
 
     def make():
-        automaton = shared.value
-
         def f(batch):
-            rows = []
-            for raw in raw_texts(batch):
+            names, lines = [], []
+            for name, raw in zip(batch.column(0).to_pylist(), raw_texts(batch), strict=True):
                 words = words_of(raw)
-                n_hit, longest, found, spans = automaton.match(words)
-                rows.append((len(words), n_hit, longest, [automaton.names[k] for k in found], [{"start": s, "end": e} for s, e in spans]))
-            cols = list(zip(*rows, strict=True))
-            return {"doc_id": batch.column(0), "n_words": cols[0], "n_hit": cols[1], "longest": cols[2], "item_ids": cols[3], "spans": cols[4]}
+                for k in range(0, max(len(words) - min_words + 1, min(1, len(words))), piece_words - min_words + 1):
+                    names.append(name)
+                    lines.append(b" ".join(words[k : k + piece_words]))
+            return {"item": names, "words": pa.array(lines, pa.binary())}
 
         return f
 
-    return per_batch(docs, HITS, make)
+    return per_batch(items, "item string, words binary", make)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """df with __row, which tells its rows apart: stored, so that every pass reads the same numbers."""
-    return stored(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", min_words: int = 13, block_chars: int = 1_000_000, piece_words: int = 20_000) -> Blocks:
+    """Builds the automata, each in a task of its own, and writes them; the driver sees their number alone."""
+    spark = benchmark.sparkSession
+    pieces = _pieces(benchmark, item_col, text_col, min_words, max(piece_words, min_words))
+    total = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = max(1, -(-total // block_chars))
+    uri = made(spark, work_dir(spark, "automata"))
 
+    def build(table: pa.Table) -> pa.Table:
+        from pyarrow import fs
 
-def _of_all_blocks(rows: DataFrame, text_col: str, blocks: list) -> DataFrame:
-    """HITS of every row of rows (numbered) in all blocks together; doc_id is __row. Blocks share no item, so no hit is lost or named twice."""
-    docs, out = id_and_text(rows, "__row", text_col), None
-    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)  # noqa: E731 - most rows hit nothing in most blocks
-    for b in blocks:
-        part = _through(docs, b).select("doc_id", "n_words", "longest", some("item_ids"), some("spans"))
-        out = part if out is None else out.unionByName(part)
-    out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return out.withColumn("spans", _merged("spans")).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
+        block = table["block"][0].as_py()
+        words = sorted(zip(table["item"].to_pylist(), table["words"].to_pylist(), strict=True))
+        data = pickle.dumps(Automaton([(name, line.split()) for name, line in words], min_words).__dict__)
+        store, root = fs.FileSystem.from_uri(uri)
+        own = f"{root}/.{block}-{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as f:
+            f.write(data)
+        store.move(own, f"{root}/{block}")
+        return pa.table({"block": pa.array([block], pa.int32())})
 
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n)).cast("int"))
+    built = dealt.groupBy("block").applyInArrow(build, "block int").collect()  # a number a block
+    return Blocks([f"{uri}/{b}" for b in sorted(r.block for r in built)])
 
-def hits(documents: DataFrame, benchmark: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000) -> DataFrame:
-    """Per document: n_words, n_hit, longest (longest run shared with an item), item_ids (as strings) and spans of hit words."""
-    docs, blocks = id_and_text(documents, id_col, text_col), _blocks(benchmark, item_col, item_text_col, block_chars, min_words)
-    if len(blocks) == 1:
-        out = _through(docs, blocks[0])
-    else:
-        rows = _numbered(docs)
-        found = _of_all_blocks(rows, "text", blocks).withColumnRenamed("doc_id", "__row")
-        out = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id")).join(found, "__row").drop("__row")
-    return out.withColumn("n_items", F.size("item_ids").cast("long"))
 
+def hits(documents: DataFrame, benchmark: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000, piece_words: int = 20_000) -> DataFrame:
+    """Per row of documents: n_words, n_hit, longest (longest run shared with a piece of an item), item_ids (as strings),
+    n_items and spans of hit words."""
+    docs, blocks = id_and_text(documents, id_col, text_col), blocks_of(benchmark, item_col, item_text_col, min_words, block_chars, piece_words)
+    counts = T.StructType.fromDDL("n_words long, n_hit long, longest int, item_ids array<string>, spans array<struct<start:int,end:int>>")
 
-def _merged(name: str):
-    """Overlapping spans joined, by start."""
-    return F.expr(
-        f"aggregate(array_sort({name}), cast(array() as array<struct<start:int,end:int>>), (out, s) -> case when size(out) > 0 and element_at(out, -1).end >= s.start"
-        " then concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(element_at(out, -1).end, s.end)))) else concat(out, array(s)) end)"
-    )
+    def make():
+        def f(batch):
+            texts = [words_of(raw) for raw in raw_texts(batch)]
+            n_hit, longest, names, spans = zip(*blocks.match(texts), strict=True) if texts else ([], [], [], [])
+            return {"doc_id": batch.column(0), "n_words": list(map(len, texts)), "n_hit": n_hit, "longest": longest, "item_ids": names, "spans": [[{"start": s, "end": e} for s, e in some] for some in spans]}
+
+        return f
+
+    return per_batch(docs, T.StructType([docs.schema["doc_id"], *counts]), make).withColumn("n_items", F.size("item_ids").cast("long"))
 
 
 def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
@@ -233,61 +274,29 @@ def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words")))
 
 
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, min_words: int = 13, coverage: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000, cut: bool = False) -> DataFrame:
-    """documents without the contaminated ones, or (cut=True) with the hit words taken out of those; all columns are kept.
-
-    A document is judged by the hits of all blocks together, as by hits() and judged(). With one block rows stay where they
-    are and nothing is shuffled; with several, hits meet by row number. Cutting leaves the words before and after, each in
-    the text's own form, joined by what separated them."""
-    blocks = _blocks(benchmark, item_col, item_text_col, block_chars, min_words)
-    if len(blocks) > 1:
-        rows = _numbered(documents)
-        bad = judged(_of_all_blocks(rows, text_col, blocks), coverage).filter("contaminated").select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))
-        if not cut:
-            return rows.join(bad, "__row", "left_anti").select(documents.columns)
-        return _cut(rows.join(bad, "__row", "left").select(*documents.columns, "__spans"), documents.schema, text_col)
-    shared = blocks[0]
-
-    def make():
-        automaton = shared.value
-
-        def f(batch):
-            at = batch.schema.get_field_index(text_col)
-            texts, keep = raw_texts(batch, text_col), []
-            for k, raw in enumerate(texts):
-                words = words_of(raw)
-                n_hit, _, _, spans = automaton.match(words)
-                bad = n_hit > 0 and coverage * n_hit >= len(words)
-                keep.append(cut or not bad)
-                if bad and cut:
-                    texts[k] = _without(raw, words, spans)
-            if cut:
-                column = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-                return pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], schema=batch.schema)
-            return batch.filter(pa.array(keep, pa.bool_()))
-
-        return f
-
-    return per_batch(documents, documents.schema, make)
-
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, min_words: int = 13, coverage: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000, piece_words: int = 20_000, cut: bool = False) -> DataFrame:
+    """documents without the contaminated ones, or (cut=True) with the hit words taken out of those; all columns are kept,
+    and rows stay where they are.
 
-def _cut(df: DataFrame, schema, text_col: str) -> DataFrame:
-    """df without the words of __spans, its last column (null: nothing goes)."""
+    Cutting leaves the words before and after, each in the text's own form, joined by what separated them."""
+    blocks = blocks_of(benchmark, item_col, item_text_col, min_words, block_chars, piece_words)
 
     def make():
         def f(batch):
             at = batch.schema.get_field_index(text_col)
             texts = raw_texts(batch, text_col)
-            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if spans:
-                    texts[k] = _without(texts[k], words_of(texts[k]), [(s["start"], s["end"]) for s in spans])
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-            return pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+            words = [words_of(raw) for raw in texts]
+            found = blocks.match(words)
+            bad = [n_hit > 0 and coverage * n_hit >= len(w) for w, (n_hit, *_) in zip(words, found, strict=True)]
+            if not cut:
+                return batch.filter(pa.array([not b for b in bad], pa.bool_()))
+            column = [_without(raw, w, spans) if b else raw for raw, w, (*_, spans), b in zip(texts, words, found, bad, strict=True)]
+            column = pa.array(column, pa.binary()).cast(batch.schema.field(at).type)
+            return pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], schema=batch.schema)
 
         return f
 
-    return per_batch(df, schema, make)
+    return per_batch(documents, documents.schema, make)
 
 
 def _without(raw: bytes, words: list[bytes], spans: list[tuple[int, int]]) -> bytes:

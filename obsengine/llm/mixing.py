@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsengine.llm.common import id_and_text, per_batch, raw_texts, stored
+from obsengine.llm.common import by_value, id_and_text, per_batch, raw_texts, stored
 from obsengine.llm.substring_dedup import word_hashes
 
 
@@ -86,10 +86,10 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, domain: Column, max_
 def memberships(documents: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, tokens (runs without ASCII white space), posterior (in the order of classifier.domains)."""
     docs = id_and_text(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(classifier)
+    shared = by_value(documents.sparkSession, classifier)
 
     def make():
-        own = shared.value
+        own = shared()
 
         def f(batch):
             texts = raw_texts(batch)
@@ -191,10 +191,10 @@ def apply_rates(documents: DataFrame, classifier: Classifier, steps: list[np.nda
     nothing is shuffled."""
     import xxhash
 
-    shared = documents.sparkSession.sparkContext.broadcast((classifier, steps))
+    shared = by_value(documents.sparkSession, (classifier, steps))
 
     def make():
-        own, own_steps = shared.value
+        own, own_steps = shared()
 
         def f(batch):
             texts = raw_texts(batch)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsengine.llm.common import id_and_text, per_batch, raw_texts, stored
+from obsengine.llm.common import by_value, id_and_text, per_batch, raw_texts, stored
 from obsengine.llm.substring_dedup import word_hashes
 
 SHAPE = 8
@@ -109,10 +109,10 @@ def fit(documents: DataFrame, ratings: DataFrame, grade: Column, max_fit_rows: i
 def scores(documents: DataFrame, model: Model, at_least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, expected_grade, tail_prob: P(grade >= at_least), 0 if the model has no such grade."""
     docs = id_and_text(documents, id_col, text_col)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(documents.sparkSession, model)
 
     def make():
-        own = shared.value
+        own = shared()
 
         def f(batch):
             tails = [own.tails(t) for t in raw_texts(batch)]
@@ -126,10 +126,10 @@ def scores(documents: DataFrame, model: Model, at_least: int = 1, id_col: str =
 
 def keep_quality(documents: DataFrame, model: Model, at_least: int = 1, least_prob: float = 0.5, text_col: str = "text") -> DataFrame:
     """documents whose tail probability reaches least_prob; all columns are kept."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(documents.sparkSession, model)
 
     def make():
-        own = shared.value
+        own = shared()
 
         def f(batch):
             keep = []

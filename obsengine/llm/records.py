@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import bounded, id_and_text, per_batch, small_batches, work_dir
+from obsengine.llm.common import bounded, id_and_text, made, per_batch, small_batches, work_dir
 
 NULL_ID = -(1 << 63)
 INDEX = "part int, offset long, n_bytes long, doc_id long, n_tokens long"
@@ -77,6 +77,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def whole(self, text: str) -> bytes:
+        return self.encode([text])[0]
+
     def in_a_row(self, cuts: list[str], step: int = 4000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all cuts and how many each has; the cuts are encoded as one text, whose ids are told apart by their bytes."""
         ids, counts = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
@@ -134,7 +137,7 @@ class Encoder:
         out = [head + ids[a:b].tobytes() for head, a, b in zip(heads, ends, ends[1:], strict=False)]
         for k in np.flatnonzero(whole | rough).tolist():
             text = column[k].as_py()
-            out[k] = self.encode([text])[0] if whole[k] else b"".join(self.encode(self._apart(text)))
+            out[k] = self.whole(text) if whole[k] else b"".join(self.encode(self._apart(text)))
         return out
 
     @staticmethod
@@ -166,7 +169,7 @@ def write_records(documents: DataFrame, tokenizer_path: str, end_id: int, uri: s
     doc_id = F.when(doc_id == NULL_ID, error("doc_id is the number that stands for null")).otherwise(F.coalesce(doc_id, F.lit(NULL_ID))) if null_ids else F.coalesce(doc_id, error("doc_id is null"))
     rows = id_and_text(documents, id_col, text_col).select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(uri).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(uri))
+    made(spark, uri)
     names = ["part", "offset", "n_bytes", "doc_id", "n_tokens"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 

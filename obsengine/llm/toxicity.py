@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import id_and_text, per_batch, stored
+from obsengine.llm.common import by_value, id_and_text, per_batch, stored
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ⅼ": "l"}
@@ -190,10 +190,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_r
 def scores(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from 0.5 on)."""
     docs = id_and_text(documents, id_col, text_col)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(documents.sparkSession, model)
 
     def make():
-        own = shared.value
+        own = shared()
 
         def f(batch):
             return {"doc_id": batch.column(0), "score": [own.score(t) for t in batch.column(1).to_pylist()]}
@@ -205,10 +205,10 @@ def scores(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 def remove_toxic(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """documents with a score below the threshold; all columns are kept and nothing is shuffled."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(documents.sparkSession, model)
 
     def make():
-        own = shared.value
+        own = shared()
 
         def f(batch):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
