@@ -1,4 +1,8 @@
-"""An FM-index over a sequence of small integers: suffix array, Burrows-Wheeler transform, wavelet matrix of packed bits."""
+"""A compressed FM-index over a sequence of small integers.
+
+The Burrows-Wheeler transform is kept as a wavelet matrix of packed bits. The suffix array is used while the index is built
+and not kept: of it stay one bit a suffix, which marks where two or more suffixes with `depth` equal first symbols begin, and
+the first place of each such group."""
 
 from __future__ import annotations
 
@@ -53,30 +57,48 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Of text (symbols below n_symbols), for patterns of fewer than depth symbols."""
+    """Of text (symbols below n_symbols, 0 ends a sequence)."""
 
     def __init__(self, text: np.ndarray, n_symbols: int, depth: int):
-        self.places = suffix_order(text, depth)
+        places = suffix_order(text, depth + 1)
+        self.depth = depth
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols))))
-        self.wavelet = WaveletMatrix(text[self.places - 1], n_symbols)
-
-    def repeated(self, text: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the windows of size symbols that start at the places at of text (symbols of the index): those that occur
-        more than once in the index, and the first place of each. Backward search, all windows at once; a window leaves
-        as soon as a suffix of it has one occurrence."""
-        last = text[at + size - 1]
-        low, high = self.starts[last], self.starts[last + 1]
-        for k in range(size - 2, -1, -1):
-            alive = high - low > 1
-            at, low, high = at[alive], low[alive], high[alive]
-            if not len(at):
-                break
-            symbol = text[at + k]
+        self.wavelet = WaveletMatrix(text[places - 1], n_symbols)
+        self._group(text, places)
+
+    def _group(self, text: np.ndarray, places: np.ndarray) -> None:
+        """Suffixes of equal first `depth` symbols stand together, in the order of the suffix array."""
+        n, new = len(places), np.zeros(len(places), bool)
+        new[:1] = True
+        for k in range(self.depth):
+            at = places + k
+            symbol = np.where(at < n, text[np.minimum(at, n - 1)], -1)
+            new[1:] |= symbol[1:] != symbol[:-1]
+        begin = np.flatnonzero(new)
+        least = np.minimum.reduceat(places, begin) if n else places
+        many = np.diff(np.append(begin, n)) > 1
+        marks = np.zeros(n, np.uint8)
+        marks[begin[many]] = 1
+        self.groups, self.first = Bits(marks), least[many].astype(np.int32)
+
+    def matching(self, text: np.ndarray, ends: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics up to depth. For each end in text (symbols of the index): the length of the longest run that
+        ends there and occurs at least `least` times in the index, depth at most, and where the suffixes that start with that
+        run begin. Backward search, all ends at once; an end leaves as soon as its run can't be made longer."""
+        length, at = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        alive, low, high = np.arange(len(ends)), np.zeros(len(ends), np.int64), np.full(len(ends), self.starts[-1])
+        for k in range(self.depth):
+            place = ends[alive] - k
+            symbol = np.where(place >= 0, text[np.maximum(place, 0)], 0)
             low, high = (self.starts[symbol] + self.wavelet.rank(symbol, x) for x in (low, high))
-        alive = high - low > 1
-        at, low, high = at[alive], low[alive], high[alive]
-        if not len(at):
-            return at, at
-        ranges, inverse = np.unique(np.stack((low, high), axis=1), axis=0, return_inverse=True)  # apart from one another
-        first = np.minimum.reduceat(np.append(self.places, len(self.places)), ranges.ravel())[::2]
-        return at, first[inverse.ravel()]
+            going = (symbol > 0) & (high - low >= least)
+            alive, low, high = alive[going], low[going], high[going]
+            if not len(alive):
+                break
+            length[alive] = k + 1
+            at[alive] = low
+        return length, at
+
+    def first_place(self, at: np.ndarray) -> np.ndarray:
+        """The first place in the indexed text of runs of depth symbols with two or more occurrences, by where their suffixes begin."""
+        return self.first[self.groups.ones(at)]

@@ -5,14 +5,17 @@ occur in more than one place must meet in one shard, and what never repeats shou
 by its anchor, the least hash among its runs of anchor_words words; consecutive windows with one anchor make a segment.
 Equal windows have equal anchors.
 
-1. Segments are emitted (anchor, hash of the content, document, start, windows) and dealt by anchor. Of segments with
-   equal content, all but the first are repeats as a whole; map tasks find those inside a batch by themselves, so a
-   passage that a third of the documents share is not gathered anywhere.
-2. First segments whose anchor also occurs with other content, or twice in the segment, go on, with their words, to shards by anchor; a shard holds
-   about shard_words words. If an anchor has over hot_anchor of them, no words go on, but a row a window: the hash of its
-   content and its place. The first place of each content is found with map-side combining, and other places are repeats.
-3. Each shard builds its FM-index (suffix array, wavelet matrix) over its segments and streams their windows through
-   backward search; a window whose first occurrence is earlier is a repeat. Intervals of repeats are reported.
+1. Segments are emitted (anchor, digest of the content, document, start, windows) and dealt by anchor. Copies of a segment
+   are put together before anything else is done with them: all but the first are repeats as a whole, and map tasks find those
+   inside a batch by themselves, so a passage that a third of the documents share is not gathered anywhere. Copies are told
+   by a cryptographic digest of 128 bits of their text (blake2b), never by the hashes that choose anchors.
+2. First segments whose anchor also occurs with other content, or twice in the segment, go on, with their words, to shards
+   by anchor; a shard holds about shard_words words. If an anchor has over hot_anchor of them, no words go on, but a row a
+   window: the digest of its content and its place. The first place of each content is found with map-side combining, and
+   other places are repeats.
+3. Each shard builds its FM-index over its segments (words are numbered by their bytes) and streams the segments through it:
+   backward search gives the matching statistics at each word, up to size. Where they reach size and the run's first place
+   in the shard is earlier, a repeat ends; runs of such ends are reported as intervals.
 4. Intervals join the documents again.
 
 Cases: a null or empty text has no words; documents of fewer than size words keep all; a document may repeat itself; of
@@ -27,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +38,9 @@ from pyspark.sql import types as T
 from obsengine.llm.common import bounded, id_and_text, per_batch, raw_texts, small_batches, stored
 from obsengine.llm.fm_index import FMIndex
 
-# Odd multipliers of the polynomial hashes, and the constants of the 64-bit mixing step.
+# Odd multipliers of the polynomial hashes that choose anchors, and the constants of the 64-bit mixing step.
 _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-SEGMENTS = "again boolean, loop boolean, anchor long, seg long, doc_id long, start int, n int"
+SEGMENTS = "again boolean, loop boolean, anchor long, seg long, seg2 long, doc_id long, start int, n int"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -87,6 +91,27 @@ def _least_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - have)], values[width - have :]) if have < width else values
 
 
+def digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def _digests(lines: list[bytes], counts: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the runs of words from begin to end (numbered through all lines, each run in one line), in two numbers."""
+    lasts = np.cumsum(counts)
+    of = np.searchsorted(lasts, begin, side="right")
+    out, upto = [], np.append(np.flatnonzero(np.diff(of)) + 1, len(of))
+    at = 0
+    for stop in upto.tolist() if len(of) else []:  # a line at a time
+        line, first = lines[of[at]], lasts[of[at]] - counts[of[at]]
+        data = np.frombuffer(line, np.uint8)
+        spaces = np.concatenate(([-1], np.flatnonzero(data == 32), [len(data)]))
+        a, b = (spaces[begin[at:stop] - first] + 1).tolist(), spaces[end[at:stop] - first].tolist()
+        out += [digest(line[x:y]) for x, y in zip(a, b, strict=True)]
+        at = stop
+    both = np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def segments(doc_ids: np.ndarray, lines: list[bytes], counts: np.ndarray, size: int, anchor_words: int) -> dict[str, np.ndarray]:
     """Segments of documents that have size words at least: columns of SEGMENTS."""
     ranges = _Ranges(word_hashes(lines), _WORD)
@@ -104,7 +129,8 @@ def segments(doc_ids: np.ndarray, lines: list[bytes], counts: np.ndarray, size:
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(windows)))
     begin = windows[first]
-    seg, of = ranges(begin, begin + n + size - 1).view(np.int64), doc[begin]
+    of = doc[begin]
+    seg, seg2 = _digests(lines, counts, begin, begin + n + size - 1)
     # A segment that has its anchor in two places may repeat a window of its own.
     long = n + width - 1
     cut = np.cumsum(long) - long
@@ -112,14 +138,14 @@ def segments(doc_ids: np.ndarray, lines: list[bytes], counts: np.ndarray, size:
     loop = np.add.reduceat((runs[places] == np.repeat(anchors[first], long)).astype(np.int32), cut) > 1
     offsets = np.concatenate(([0], np.cumsum(counts)[:-1]))
     start, ids = begin - offsets[of], doc_ids[of]
-    order = np.lexsort((start, ids, seg))
-    same = seg[order[1:]] == seg[order[:-1]]
+    order = np.lexsort((start, ids, seg2, seg))
+    same = (seg[order[1:]] == seg[order[:-1]]) & (seg2[order[1:]] == seg2[order[:-1]])
     again = np.zeros(len(seg), bool)
     # Not the first of its content here, and truly later than the first: rows given twice are not.
     group = np.flatnonzero(np.concatenate(([True], ~same)))
     lead = np.repeat(order[group], np.diff(np.append(group, len(seg))))
     again[order] = (ids[order] != ids[lead]) | (start[order] != start[lead])
-    return {"again": again, "loop": loop, "anchor": anchors[first].view(np.int64), "seg": seg, "doc_id": ids, "start": start.astype(np.int32), "n": n.astype(np.int32)}
+    return {"again": again, "loop": loop, "anchor": anchors[first].view(np.int64), "seg": seg, "seg2": seg2, "doc_id": ids, "start": start.astype(np.int32), "n": n.astype(np.int32)}
 
 
 def _emit(docs: DataFrame, size: int, anchor_words: int) -> DataFrame:
@@ -133,7 +159,7 @@ def _emit(docs: DataFrame, size: int, anchor_words: int) -> DataFrame:
                     lines.append(b" ".join(words))
                     counts.append(len(words))
             if not ids:
-                return {c: [] for c in ("again", "loop", "anchor", "seg", "doc_id", "start", "n")}
+                return {c: [] for c in ("again", "loop", "anchor", "seg", "seg2", "doc_id", "start", "n")}
             return segments(np.array(ids, np.int64), lines, np.array(counts), size, anchor_words)
 
         return f
@@ -151,7 +177,7 @@ def _sorted_out(dealt: DataFrame) -> DataFrame:
     def run(batches):
         last = None  # the last first segment: its columns, and whether it is out already
         for batch in batches:
-            x = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("again", "loop", "anchor", "seg", "doc_id", "start", "n")}
+            x = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("again", "loop", "anchor", "seg", "seg2", "doc_id", "start", "n")}
             if (own := np.flatnonzero(x["again"])).size:
                 yield rows(True, x, own)
             x = {c: v[~x["again"]] for c, v in x.items()}
@@ -159,7 +185,7 @@ def _sorted_out(dealt: DataFrame) -> DataFrame:
                 continue
             if last:  # goes before the batch as a row that has been seen
                 x = {c: np.concatenate((last[0][c], v)) for c, v in x.items()}
-            new = np.concatenate(([True], (x["seg"][1:] != x["seg"][:-1]) | (x["anchor"][1:] != x["anchor"][:-1])))
+            new = np.concatenate(([True], (x["seg"][1:] != x["seg"][:-1]) | (x["seg2"][1:] != x["seg2"][:-1]) | (x["anchor"][1:] != x["anchor"][:-1])))
             first = np.flatnonzero(new)
             lead = np.repeat(first, np.diff(np.append(first, len(new))))
             later = np.flatnonzero(~new & ((x["doc_id"] != x["doc_id"][lead]) | (x["start"] != x["start"][lead])))
@@ -182,11 +208,9 @@ def _sorted_out(dealt: DataFrame) -> DataFrame:
 def _with_words(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """shard, doc_id, start, words of each wanted segment; where hot, hash, doc_id, start of each of its windows."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "shard", "hot")).alias("wanted"))
-    kind = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("hash", pa.int64())])
+    kind = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.binary()), ("hash", pa.binary())])
 
     def run(batches):
-        import xxhash
-
         def packed(out):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
 
@@ -198,7 +222,7 @@ def _with_words(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     first, n = w["start"], w["n"]
                     if w["hot"]:
                         for k in range(first, first + n):
-                            out.append((None, doc_id, k, None, xxhash.xxh64_intdigest(b" ".join(words[k : k + size])) - (1 << 63)))
+                            out.append((None, doc_id, k, None, digest(b" ".join(words[k : k + size]))))
                     else:
                         out.append((w["shard"], doc_id, first, b" ".join(words[first : first + n + size - 1]), None))
                     if len(out) >= 20_000:
@@ -207,7 +231,7 @@ def _with_words(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             if out:
                 yield packed(out)
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "shard int, doc_id long, start int, words binary, hash long")
+    return docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "shard int, doc_id long, start int, words binary, hash binary")
 
 
 def _later_windows(windows: DataFrame, size: int, many: int) -> DataFrame:
@@ -217,7 +241,7 @@ def _later_windows(windows: DataFrame, size: int, many: int) -> DataFrame:
     place = F.struct("doc_id", "start")
     first = stored(windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     often = first.filter(F.col("n") > many).select("hash", F.col("first").alias("often"))
-    met = windows.join(F.broadcast(often), "hash", "left")
+    met = windows.join(F.broadcast(often) if often.count() <= 1_000_000 else often, "hash", "left")
     later = met.filter(F.col("often").isNotNull() & (place != F.col("often"))).select("doc_id", "start")
     rest = met.filter("often is null").join(first.filter(F.col("n") <= many), "hash").filter(place != F.col("first")).select("doc_id", "start")
     return later.unionByName(rest).withColumn("end", F.col("start") + size)
@@ -227,17 +251,19 @@ def search_shard(doc_ids: np.ndarray, starts: np.ndarray, pieces: list[bytes], s
     """Repeats among the segments of a shard: (doc_id, first word, end) of each run of repeated windows."""
     order = np.lexsort((starts, doc_ids))
     doc_ids, starts, pieces = doc_ids[order], starts[order], [pieces[k] for k in order]
-    hashes = word_hashes(pieces)
-    counts = np.array([p.count(b" ") + 1 for p in pieces])
-    symbols = np.unique(hashes, return_inverse=True)[1] + 1
+    words = pc.split_pattern(pa.array(pieces, pa.string()), " ")
+    counts = pc.list_value_length(words).to_numpy().astype(np.int64)
+    symbols = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
     of = np.repeat(np.arange(len(pieces)), counts)
     text = np.zeros(len(symbols) + len(pieces), np.int64)  # a 0 ends each segment
     begin = np.concatenate(([0], np.cumsum(counts + 1)[:-1]))
     inside = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts)
     text[begin[of] + inside] = symbols
-    index = FMIndex(text, int(symbols.max()) + 1, size + 1)
-    windows = (begin[of] + inside)[inside <= np.repeat(counts, counts) - size]
-    at, first = index.repeated(text, windows, size)
+    index = FMIndex(text, int(symbols.max()) + 1, size)
+    ends = (begin[of] + inside)[inside >= size - 1]
+    length, where = index.matching(text, ends)
+    at = ends[length == size] - (size - 1)
+    first = index.first_place(where[length == size]).astype(np.int64)
     segment = lambda x: np.searchsorted(begin, x, side="right") - 1
     mine, theirs = segment(at), segment(first)
     my_start, their_start = starts[mine] + at - begin[mine], starts[theirs] + first - begin[theirs]
@@ -268,8 +294,9 @@ def repeats(docs: DataFrame, size: int = 20, anchor_words: int = 5, shard_words:
     known = stored(_sorted_out(dealt), "segments")
     whole = known.filter("again").select("doc_id", "start", (F.col("start") + F.col("n") + (size - 1)).alias("end"))
     asked = known.filter("not again")
-    hot = asked.groupBy("anchor").count().filter(F.col("count") > hot_anchor).select("anchor", F.lit(True).alias("hot"))
-    asked = asked.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = stored(asked.groupBy("anchor").count().filter(F.col("count") > hot_anchor).select("anchor", F.lit(True).alias("hot")), "hot")
+    # A hot anchor has over hot_anchor rows, so the list is short; one of over a million anchors is joined by shuffle.
+    asked = asked.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     words = asked.filter("not hot").agg(F.sum(F.col("n") + size - 1)).first()[0] or 0
     shards = max(1, -(-words // shard_words))
     asked = asked.select("doc_id", "start", "n", "hot", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"))
