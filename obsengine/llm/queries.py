@@ -56,22 +56,50 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_url", "n_account", F.sha2("base_text", 256).alias("base_sha256"), F.col("span_text").alias("spans"))
 
 
-def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents: 1 inserts each with a quarter of its characters as the count; 2 revises this to
-    its words; 3 deletes all but the first of equal texts. Batches 2 and 3 are committed twice. The result is the totals."""
-    counted = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.xxhash64("text").alias("of_text"), F.char_length("text").alias("n"), F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / 4).cast("long").alias("guess"), token_rollups.count_words(F.col("text")).alias("words"))
-    counted = stored(counted, "counted").withColumn("tokenizer_version", F.lit("words-1"))
-    store, none = work_dir(spark, "rollups"), F.lit(None).cast("long")
-    first = counted.groupBy("of_text", "n").agg(F.min("doc_id").alias("first"))
-    copies = counted.join(first, counted.of_text.eqNullSafe(first.of_text) & counted.n.eqNullSafe(first.n)).filter(F.col("doc_id") > F.col("first"))
+def _told_apart(documents: DataFrame) -> DataFrame:
+    """What the rollups need of documents: keys, text, a guess of its tokens, and what tells equal texts."""
+    return documents.select("doc_id", "source", "lang", "text", F.xxhash64("text").alias("of_text"), F.char_length("text").alias("n"), F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / 4).cast("long").alias("guess"))
+
+
+def _rolled_up(spark: SparkSession, counted: DataFrame, versions: list[str]) -> DataFrame:
+    """Four batches over all documents: 1 inserts each under the first version with the guess as the count; 2 revises these
+    to its tokens; 3 inserts all under the next version; 4 deletes all but the first of equal texts under both. Batches are
+    committed more than once, and 1 again after it was folded. counted: of _told_apart(), with a column for each version."""
+    counted, none = stored(counted, "counted"), F.lit(None).cast("long")
+    first = counted.groupBy("of_text", "n").agg(F.min("doc_id").alias("first")).withColumnsRenamed({"of_text": "of_first", "n": "n_first"})
+    deleted = counted.join(first, F.col("of_text").eqNullSafe(F.col("of_first")) & F.col("n").eqNullSafe(F.col("n_first"))).filter(F.col("doc_id") > F.col("first"))
+
+    def batch(kind: str, version: str, old, new, rows: DataFrame = counted) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), old.alias("old_tokens"), new.alias("new_tokens"), "source", "lang", F.lit(version).alias("tokenizer_version"))
+
+    a, b = versions
     batches = [
-        counted.select(F.lit("insert").alias("kind"), none.alias("old_tokens"), F.col("guess").alias("new_tokens"), *token_rollups.KEYS),
-        counted.select(F.lit("revise").alias("kind"), F.col("guess").alias("old_tokens"), F.col("words").alias("new_tokens"), *token_rollups.KEYS),
-        copies.select(F.lit("delete").alias("kind"), F.col("words").alias("old_tokens"), none.alias("new_tokens"), *token_rollups.KEYS),
+        batch("insert", a, none, F.col("guess")),
+        batch("revise", a, F.col("guess"), F.col(a)),
+        batch("insert", b, none, F.col(b)),
+        batch("delete", a, F.col(a), none, deleted).unionByName(batch("delete", b, F.col(b), none, deleted)),
     ]
-    for k in (0, 1, 1, 2, 2):
+    store, folded = work_dir(spark, "rollups"), work_dir(spark, "rollups")
+    for k in (0, 1, 1, 2):
         token_rollups.commit(batches[k], store, k + 1)
-    return token_rollups.totals(spark, store)
+    token_rollups.compact(spark, store, folded, 3)
+    for k in (0, 3, 2, 3):
+        token_rollups.commit(batches[k], folded, k + 1)
+    return token_rollups.totals(spark, folded)
+
+
+def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by source, language and tokenizer version, of two byte-level vocabularies, by way of _rolled_up()."""
+    versions = ["byte_bpe_50k", "byte_bpe_multi_50k"]
+    paths = dict(zip(versions, map(tokenizer_path, ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")), strict=True))
+    return _rolled_up(spark, token_rollups.counted(_told_apart(read_table(spark, sf_dir, "documents")), paths), versions)
+
+
+def word_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with counts that SQL can make: words and UTF-8 bytes."""
+    documents = _told_apart(read_table(spark, sf_dir, "documents"))
+    counted = documents.withColumn("words", token_rollups.count_words(F.col("text"))).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    return _rolled_up(spark, counted.drop("text"), ["words", "bytes"])
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +124,7 @@ QUERIES = {
     "op8_token_rollups": op8_token_rollups,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "word_rollups": word_rollups,
 }
 
 ORACLE_SQL = {
@@ -111,10 +140,11 @@ ORACLE_SQL = {
         select dw.doc_id, cast(coalesce(len(w), 0) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(s, '')) items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) contaminated
         from dw left join per using (doc_id) left join its using (doc_id)""",
-    "op8_token_rollups": r"""
-        with t as (select source, lang, text, row_number() over (partition by text order by doc_id) r from documents)
-        select source, lang, 'words-1' tokenizer_version, count(*) docs, cast(sum(len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []))) as bigint) tokens
-        from t where r = 1 group by 1, 2""",
+    "word_rollups": r"""
+        with t as (select source, lang, text, row_number() over (partition by text order by doc_id) r from documents),
+        v as (select source, lang, 'words' tokenizer_version, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) n from t where r = 1
+              union all select source, lang, 'bytes', coalesce(octet_length(encode(text)), 0) from t where r = 1)
+        select source, lang, tokenizer_version, count(*) docs, cast(sum(n) as bigint) tokens from v group by 1, 2, 3""",
     "op9_substring_dedup": r"""
         with dw as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
         win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 18)) i from dw where len(w) >= 20)),

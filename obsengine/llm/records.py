@@ -18,6 +18,7 @@ doc_id may be then, and is read as null with null_ids; an empty table gives no r
 
 from __future__ import annotations
 
+import base64
 import os
 import struct
 import sys
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from obsengine.llm.common import bounded, id_and_text, made, per_batch, small_batches, work_dir
 
 NULL_ID = -(1 << 63)
+# Fixed value: the pattern by which the vocabularies of ranks cut texts into pieces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 INDEX = "part int, offset long, n_bytes long, doc_id long, n_tokens long"
 
 
@@ -51,7 +54,7 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts with the tokenizers library, as bytes.
+    """Ids of whole texts, as bytes, with the tokenizers library (a .json file), or tiktoken (ranks in a .tiktoken file).
 
     A byte-level pre-tokenizer starts a piece at every space between two characters that aren't white space. Texts are
     cut there, and of the distinct cuts of a batch those not known are encoded, many in a row. What lies around other
@@ -61,21 +64,35 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
+        vocab = self._from_ranks(path) if path.endswith(".tiktoken") else self._from_json(path)
         self.wide = max(vocab.values(), default=0) >= 65536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_space = "ByteLevel" in str(self.tokenizer.pre_tokenizer)
         self.bytes_of = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, k in vocab.items():  # a byte-level vocabulary writes each byte as one character
             self.bytes_of[k] = len(token)
         self.most, self.known, self.ids, self.counts = most, pa.array([], pa.string()), np.empty(0, self.kind), np.empty(0, np.int64)
 
+    def _from_json(self, path: str) -> dict:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.by_space = "ByteLevel" in str(tokenizer.pre_tokenizer)
+        self.ids_of = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return tokenizer.get_vocab()
+
+    def _from_ranks(self, path: str) -> dict:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        tokenizer = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special, self.by_space = [], True
+        self.ids_of = lambda texts: [tokenizer.encode_ordinary(t) for t in texts]
+        return ranks
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(ids, self.kind).tobytes() for ids in self.ids_of(texts)]
 
     def whole(self, text: str) -> bytes:
         return self.encode([text])[0]
@@ -85,7 +102,7 @@ class Encoder:
         ids, counts = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
         for k in range(0, len(cuts), step):
             some = cuts[k : k + step]
-            got = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            got = np.array(self.ids_of(["".join(some)])[0], self.kind)
             ends, wanted = np.cumsum(self.bytes_of[got]), np.cumsum([len(c.encode()) for c in some])
             upto = np.searchsorted(ends, wanted) + 1
             if not len(ends) or (ends[np.minimum(upto, len(ends)) - 1] != wanted).any():

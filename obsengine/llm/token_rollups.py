@@ -3,18 +3,25 @@
 A change is an insert, a delete or a revised count of one document under one tokenizer version. As signed deltas these
 are additive: +1 document and +n tokens, -1 and -n, or 0 and new - old. A batch of changes is summed by source, language
 and tokenizer version before it is stored, so the store grows with batches times keys, not with documents. A batch has an
-id; committing it writes its own partition and replaces what that partition held, so a batch that is committed again,
-after a failure or by mistake, changes nothing. Totals are the sums over all batches; compact() folds old ones into one.
+id; committing it replaces the whole folder of that id, so a batch that is committed again, after a failure or by mistake,
+changes nothing, and one committed again with other rows counts with those alone. Totals are the sums over all batches.
+compact() folds old batches into one and remembers up to which id; a batch that is folded already is not committed again.
 
-Cases: null source, language or version are keys of their own; a null count is 0 tokens; a revision without an old count
-counts from 0; keys whose documents and tokens are both 0 are left out of totals; an empty batch commits nothing (and
-empties an earlier commit of its id); an empty store gives no rows.
+Counts come from the tokenizer that the version names (counted()), or from any column of numbers.
+
+Cases: null source, language or version are keys of their own; a null count is 0 tokens, as is that of a null text; a
+revision without an old count counts from 0; keys whose documents and tokens are both 0 are left out of totals; an empty
+batch empties an earlier commit of its id; a store without batches gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from obsengine.llm.common import made, per_batch
+from obsengine.llm.records import encoder
 
 KEYS = ("source", "lang", "tokenizer_version")
 SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long, batch_id long"
@@ -34,19 +41,48 @@ def deltas(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*[F.col(k).cast("string").alias(k) for k in KEYS]).agg(F.sum(sign).cast("long").alias("docs"), F.sum(tokens).cast("long").alias("tokens"))
 
 
-def commit(changes: DataFrame, store: str, batch_id: int) -> None:
-    """One partition of the store is this batch; it is written as a whole, whatever it held."""
-    out = deltas(changes).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(store)
+def counted(documents: DataFrame, paths: dict[str, str], text_col: str = "text") -> DataFrame:
+    """documents without their text and, for each name in paths, with a column of that name: the tokens of the whole text
+    with the tokenizer file at that path (see records.Encoder). A column of a name in paths is replaced."""
+    rows = documents.select(*[c for c in documents.columns if c != text_col and c not in paths], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    kept = rows.columns[:-1]
+
+    def make():
+        encoders = {name: encoder(path) for name, path in paths.items()}
+
+        def f(batch):
+            counts = {name: [len(ids) // e.kind.itemsize for ids in e(batch.column(len(kept)))] for name, e in encoders.items()}
+            return {c: batch.column(k) for k, c in enumerate(kept)} | counts
+
+        return f
+
+    return per_batch(rows, T.StructType([*rows.schema[: len(kept)], *(T.StructField(name, T.LongType()) for name in paths)]), make)
+
+
+def _folded_below(spark: SparkSession, store: str) -> int | None:
+    """Batches under this id were folded into one. A folder whose name begins with _ is none of the table's."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/_folded_below=*")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return max((int(x.getPath().getName().split("=")[1]) for x in found or ()), default=None)
+
+
+def commit(changes: DataFrame, store: str, batch_id: int) -> bool:
+    """Writes the batch's folder as a whole, whatever it held. False, and nothing is written, if its id is among those folded."""
+    below = _folded_below(changes.sparkSession, store)
+    if below is not None and batch_id < below:
+        return False
+    deltas(changes).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+    return True
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
-    rows = spark.read.schema(SCHEMA).parquet(store)
+    rows = spark.read.schema(SCHEMA).parquet(made(spark, store))
     return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 
 
 def compact(spark: SparkSession, store: str, into: str, below: int) -> None:
-    """A new store in which batches under `below` are one batch, 0 before the least: their sums. Later ids stay."""
-    rows = spark.read.schema(SCHEMA).parquet(store)
+    """A new store in which batches under `below` are one, of the id below - 1: their sums. Later ids stay as they are."""
+    rows = spark.read.schema(SCHEMA).parquet(made(spark, store))
     folded = rows.groupBy(*KEYS, F.when(F.col("batch_id") < below, F.lit(below - 1)).otherwise(F.col("batch_id")).alias("batch_id")).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     folded.select(*KEYS, "docs", "tokens", "batch_id").write.partitionBy("batch_id").parquet(into)
+    made(spark, f"{into}/_folded_below={max(below, _folded_below(spark, store) or below)}")
