@@ -67,6 +67,18 @@ def remove(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, many: int = 1_000) -> DataFrame:
+    """rows joined with keyed (stored; one row a key, n: the rows that have it) on key; n is dropped.
+
+    Keys with over `many` rows are a short list, of len(rows) / many at most, and are broadcast, so their rows stay where they
+    are; the others meet by shuffle. A list of over a million keys isn't broadcast."""
+    heavy = keyed.filter(F.col("n") > many).drop("n")
+    if heavy.count() > 1_000_000:
+        return rows.join(keyed.drop("n"), key)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(keyed.filter(F.col("n") <= many).drop("n"), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
+
+
 def by_value(spark: SparkSession, thing: object) -> Callable[[], object]:
     """Broadcasts a model (of a size its operator bounds) as bytes that name none of this package's modules; the function
     returned gives it back in a task. SparkContext.broadcast alone would send classes by reference."""

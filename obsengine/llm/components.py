@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import stored
+from obsengine.llm.common import join_skewed, remove, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """edges (u, v) with m, the smallest v of u. Hubs are counted by the same aggregate and not gathered."""
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    used.append(least)
+    return join_skewed(edges, least, "u").withColumn("m", F.least("u", "m"))
+
+
+def _large_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Each node's larger neighbours go to its smallest neighbour (itself included). edges: u > v, without repeats."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, used).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Each node's smaller neighbours, and itself, go to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    near = _with_least(edges, used)
+    return near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -31,7 +36,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(most_rounds):
-        now = stored(_small_star(_large_star(now)), "edges")
+        used = [now]
+        half = stored(_large_star(now, used), "half")
+        now = stored(_small_star(half, used), "edges")
+        remove(half, *used)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsengine.llm.common import id_and_text, per_batch, raw_texts, stored
+from obsengine.llm.common import id_and_text, join_skewed, per_batch, raw_texts, remove, stored
 from obsengine.llm.components import components
 
 BITS = 64
@@ -128,8 +128,8 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 3, full_from: int = 64)
 
 def _stars(met: DataFrame) -> DataFrame:
     """A link from each point's fingerprints to its smallest."""
-    least = met.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("point", "v")
-    return met.join(least, "point").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    least = stored(met.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1"), "least")
+    return join_skewed(met, least, "point").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, size: int = 4, blocks: int = 3, full_from: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,12 +139,13 @@ def near_duplicates(documents: DataFrame, radius: int = 4, size: int = 4, blocks
     smallest id; a null doc_id is kept and is never the smallest unless its group has no other. An empty table gives no
     rows."""
     docs = stored(fingerprints(documents, size, id_col, text_col), "fingerprints")
-    distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs")), "distinct")
     roots = components(links(distinct.select("fp"), radius, blocks, full_from))
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = stored(grouped.join(smallest, "root").select("fp", "component_id"), "groups")
-    return docs.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    grouped = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n_docs", F.coalesce("root", "fp").alias("root")), "grouped")
+    smallest = stored(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "smallest")
+    of_fp = stored(join_skewed(grouped, smallest, "root").select("fp", "component_id", F.col("n_docs").alias("n")), "groups")
+    remove(distinct, grouped, smallest)
+    return join_skewed(docs, of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):
