@@ -90,6 +90,53 @@ def test_rollups_are_additive_and_idempotent(spark):
     assert token_rollups.deltas(first.limit(0)).count() == 0
 
 
+def test_a_batch_committed_again_counts_with_its_last_rows_alone(spark):
+    store, into = work_dir(spark, "rollups"), work_dir(spark, "rollups")
+    row = lambda n: spark.createDataFrame([("insert", None, n, "s", "en", "1")], "kind string, old_tokens long, new_tokens long, source string, lang string, tokenizer_version string")
+    sums = lambda at: [tuple(r)[3:] for r in token_rollups.totals(spark, at).collect()]
+    assert sums(store) == []
+    assert token_rollups.commit(row(5), store, 1) and sums(store) == [(1, 5)]
+    assert token_rollups.commit(row(5).limit(0), store, 1) and sums(store) == []
+    token_rollups.commit(row(5), store, 1)
+    token_rollups.commit(row(8), store, 2)
+    token_rollups.commit(row(9), store, 7)
+    token_rollups.compact(spark, store, into, 3)
+    assert sums(into) == [(3, 22)]
+    assert not token_rollups.commit(row(5), into, 1) and not token_rollups.commit(row(5), into, 2) and sums(into) == [(3, 22)]
+    assert token_rollups.commit(row(1), into, 7) and sums(into) == [(3, 14)]
+    again = work_dir(spark, "rollups")
+    token_rollups.compact(spark, into, again, 2)
+    assert not token_rollups.commit(row(5), again, 2) and sums(again) == [(3, 14)]
+
+
+def test_rollups_of_two_tokenizers_equal_brute_force(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from obsengine.llm import queries
+
+    docs, _ = corpus(spark, 60)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.lit("en"))).union(docs.limit(4).withColumn("lang", F.lit("en")).withColumn("doc_id", F.col("doc_id") + 900)).repartition(3)
+    versions = {"byte_bpe_50k": "byte_bpe_50k.json", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+    counted = token_rollups.counted(queries._told_apart(docs), {k: queries.tokenizer_path(v) for k, v in versions.items()})
+    got = {(r.source, r.lang, r.tokenizer_version): (r.docs, r.tokens) for r in queries._rolled_up(spark, counted, list(versions)).collect()}
+    with open(queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    multi = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    one = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    want, seen = {}, set()
+    for r in docs.orderBy("doc_id").collect():
+        if r.text not in seen:
+            seen.add(r.text)
+            for version, n in (("byte_bpe_50k", len(one.encode(r.text or "", add_special_tokens=False).ids)), ("byte_bpe_multi_50k", len(multi.encode_ordinary(r.text or "")))):
+                d, t = want.get((r.source, r.lang, version), (0, 0))
+                want[r.source, r.lang, version] = (d + 1, t + n)
+    assert got == want
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(2)
     words = {"x": ["xara", "xuna", "xolo"], "y": ["ypsi", "ytri"], "z": ["zed", "zum"]}

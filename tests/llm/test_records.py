@@ -61,3 +61,17 @@ def test_empty_table_and_null_id(spark):
     assert records.to_records_and_back(empty, tokenizer_path()).collect() == []
     with pytest.raises(Exception, match="doc_id is null"):
         records.to_records_and_back(spark.createDataFrame([(None, "x")], "doc_id long, text string"), tokenizer_path()).collect()
+
+
+def test_known_cuts_are_renewed():
+    """Frequent and rare cuts over many batches, in Latin and other letters, with a small and a large store."""
+    import random
+
+    rng = random.Random(6)
+    common = ["the", "don't", "naïve,", "東京", "x.\ny", "¿qué?", "a\u00a0b", "emoji😀", "12,5", "<|endoftext|>"]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.7 else "".join(rng.choice("abcdé.-7") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(30))) for _ in range(60)]
+    for most in (5, 10**6):
+        e = records.Encoder(tokenizer_path(), most=most)
+        for k in range(0, 60, 7):
+            assert e(texts[k : k + 7]) == [e.whole(t) for t in texts[k : k + 7]]
+    assert e([]) == []

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,10 +265,30 @@ def test_wavelet_ranks_and_backward_search():
     wavelet = fm_index.WaveletMatrix(text, 6)
     symbols, at = rng.integers(0, 6, 300), rng.integers(0, 401, 300)
     assert wavelet.rank(symbols, at).tolist() == [int((text[:a] == s).sum()) for s, a in zip(symbols, at, strict=True)]
-    index = fm_index.FMIndex(text, 6, 4)
-    places = np.array([k for k in range(397) if 0 not in text[k : k + 3]])
-    found, first = index.repeated(text, places, 3)
-    grams = {}
-    for k in places.tolist():
-        grams.setdefault(tuple(text[k : k + 3]), []).append(k)
-    assert dict(zip(found.tolist(), first.tolist(), strict=True)) == {k: v[0] for v in grams.values() if len(v) > 1 for k in v}
+    index = fm_index.FMIndex(text, 6, 3)
+    ends = np.flatnonzero(text)
+    length, at = index.matching(text, ends)
+    runs = Counter(tuple(text[a:b].tolist()) for b in range(1, 401) for a in range(max(0, b - 3), b) if 0 not in text[a:b])
+    want = [max([n for n in (1, 2, 3) if e >= n - 1 and 0 not in text[e + 1 - n : e + 1] and runs[tuple(text[e + 1 - n : e + 1].tolist())] > 1], default=0) for e in ends.tolist()]
+    assert length.tolist() == want and {1, 2, 3} <= set(want)
+    first = {}
+    for k in range(398):
+        first.setdefault(tuple(text[k : k + 3].tolist()), k)
+    assert index.first_place(at[length == 3]).tolist() == [first[tuple(text[e - 2 : e + 1].tolist())] for e in ends[length == 3].tolist()]
+
+
+def thue_morse(n, a, b):
+    return [a if k.bit_count() % 2 else b for k in range(n)]
+
+
+def test_structured_words_and_sequences_are_told_apart(spark):
+    """Words and sequences on which polynomial hashes modulo 2**64 collide for every odd base."""
+    common = [f"c{k}" for k in range(19)]
+    words = ["".join(thue_morse(1024, *x)) for x in ("ab", "ba")]
+    texts = [" ".join([*common, words[0]]), " ".join([*common, words[1]])]
+    texts += [" ".join(thue_morse(1024, *x)) for x in (("x", "y"), ("y", "x"))]
+    got = substring_dedup.deduplicated(docs_of(spark, texts))
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got.collect()}
+    assert got == brute_repeats(texts, 20) and got[0][1] == got[1][1] == 0
+    cut = substring_dedup.deduplicated(docs_of(spark, texts), 1024)
+    assert [r.n_removed for r in cut.collect()] == [0, 0, 0, 0]

@@ -69,3 +69,65 @@ def test_copies_of_a_hot_window_are_not_gathered(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got.collect()} == brute_repeats(texts, 20)
     windows = Counter(tuple(w[k : k + 20]) for p in seen[0] for w in [p.split()] for k in range(len(w) - 19))
     assert max(windows.values(), default=0) <= 10
+
+
+def test_long_items_are_dealt_with_in_pieces(spark):
+    rng = random.Random(12)
+    item = some_text(rng, 300, [f"v{k}" for k in range(200)])
+    words = item.split()
+    texts = [" ".join(words[k : k + 13]) for k in range(288)] + [f"p q {item} r", " ".join(words[:12])]
+    bench = spark.createDataFrame([("long", item), ("other", "one two three")], "item_id string, text string")
+    docs = docs_of(spark, texts)
+    for piece in (13, 40, 20_000):
+        got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in decontaminate.hits(docs, bench, piece_words=piece, block_chars=400).collect()}
+        assert got == brute_hits(texts, [("long", item), ("other", "one two three")])
+
+
+def test_ids_of_any_type_and_more_blocks_than_are_held(spark):
+    bench, items, texts = benchmark_and_texts(spark)
+    docs = docs_of(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    want = brute_hits(texts, items)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.hits(docs, bench, block_chars=20).collect()}
+    assert got == {f"d{k}": v[:3] for k, v in want.items()}
+
+
+WITHOUT_REPO = """
+import json, sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import corpus_pipeline
+from obsengine.llm.queries import QUERIES
+sys.path.remove({repo!r})
+import os
+assert not os.environ.get("PYTHONPATH")
+
+def lost(batches):
+    try:
+        import obsengine
+    except ImportError:
+        yield from batches
+
+assert spark.range(3).mapInArrow(lost, "id long").count() == 3
+print(json.dumps({{name: QUERIES[name](spark, {sf!r}).count() for name in {names!r}}}))
+"""
+
+
+def test_executors_need_no_copy_of_the_repository(tmp_path):
+    """op1, op4, op5 and op10 in workers that can't import the package."""
+    import json
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("no test tables")
+    names = ["op1_decontamination", "op4_ordinal_quality", "op5_toxicity", "op10_mixing"]
+    code = WITHOUT_REPO.format(repo=str(Path(__file__).resolve().parents[2]), sf=sf, names=names)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-3000:]
+    counts = json.loads(out.stdout.strip().splitlines()[-1])
+    assert set(counts) == set(names) and len(set(counts.values())) == 1
