@@ -77,9 +77,9 @@ def private_id(prefix: str, *parts: Column | str, length: int = 20) -> Column:
 
 
 def strict_boolean(x: Column | str) -> Column:
-    """true/false/1/0 in any case; null stays; any other text fails the job."""
+    """true/false/1/0 in any case, white space around it allowed; any other text, and null, fails the job."""
     t = F.lower(F.trim(col(x).cast("string")))
-    return F.when(t.isin("true", "1", "yes"), True).when(t.isin("false", "0", "no"), False).when(t.isNull(), F.lit(None).cast("boolean")).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), t)).cast("boolean"))
+    return F.when(t.isin("true", "1"), True).when(t.isin("false", "0"), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), F.coalesce(t, F.lit("null")))).cast("boolean"))
 
 
 def l2_normalised(vector: Column | str) -> Column:

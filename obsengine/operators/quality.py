@@ -168,39 +168,86 @@ def error_codes(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
 
 
-def feature_gate(manifest: DataFrame, weights: dict[str, float], least: float = 60.0) -> DataFrame:
-    """Rules over a manifest of candidate features: weighted score 0 to 100, reasons to reject, verdict.
-
-    Columns: name, scores (map of criterion to 0..1), before_cutoff, part_of_target, shared_with_target, causal_position,
-    provenance_url, license, negative_control. A negative control has to be rejected, whatever else holds."""
-    total = sum(weights.values())
-    score = sum((F.coalesce(F.element_at("scores", F.lit(k)), F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0)) * (100 / total)
+def feature_gate(manifest: DataFrame, weights: dict[str, float], temporal: Sequence[str], causal: Sequence[str], least: float = 60.0) -> DataFrame:
+    """Rules over a manifest of candidate features and negative controls: score 0 to 100, reasons to reject, verdict.
+
+    Columns: name, scores (map of criterion to 0..5), available_before_prediction_cutoff, mathematical_component_of_target,
+    shared_data_generation_with_target (a null counts against the feature), temporal_relation (one of temporal),
+    minimum_lag_years (text or a number; a feature of the prior calendar year needs at least 1), causal_position (one of
+    causal), provenance_url (https), license, required, negative_control. The last two are passed on and decide nothing: a
+    negative control is judged like any feature, see feature_gate_report(). A score that is missing or out of range makes
+    the whole score 0. Scores are rounded to two digits before they are compared."""
+    if not weights or min(weights.values()) <= 0:
+        raise ValueError("weights have to be positive")
+    values = {k: F.element_at("scores", F.lit(k)) for k in weights}
+    fit = F.lit(True)
+    for v in values.values():
+        fit = fit & F.coalesce(v.between(0, 5), F.lit(False))
+    lag = F.col("minimum_lag_years").try_cast("double")
+    score = F.round(sum((v * w for v, w in zip(values.values(), weights.values(), strict=True)), F.lit(0.0)) * 100 / (5 * sum(weights.values())), 2)
+    out = manifest.withColumn("score", F.when(fit, score).otherwise(0.0))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     reasons = error_codes({
-        "available_after_cutoff": ~F.col("before_cutoff"), "component_of_target": F.col("part_of_target"), "shares_generation_with_target": F.col("shared_with_target"),
-        "post_treatment": F.col("causal_position").isin("mediator", "collider", "outcome_descendant"), "no_provenance": F.coalesce(F.trim("provenance_url") == "", F.lit(True)), "no_license": F.coalesce(F.trim("license") == "", F.lit(True)),
-        "negative_control": F.col("negative_control"),
+        "missing_field": F.col("name").isNull() | F.col("causal_position").isNull() | F.col("temporal_relation").isNull() | F.col("scores").isNull(),
+        "provenance_not_https": ~F.col("provenance_url").startswith("https://"), "no_license": blank(F.col("license")),
+        "component_of_target": F.col("mathematical_component_of_target"), "shares_generation_with_target": F.col("shared_data_generation_with_target"),
+        "temporal_relation_not_allowed": ~F.col("temporal_relation").isin(list(temporal)), "available_after_cutoff": ~F.col("available_before_prediction_cutoff"),
+        "lag_not_numeric": lag.isNull(), "lag_too_short": F.coalesce((F.col("temporal_relation") == "prior_calendar_year") & (lag < 1), F.lit(False)),
+        "causal_position_not_eligible": ~F.col("causal_position").isin(list(causal)), "bad_scores": ~fit, "low_score": F.col("score") < least,
     })
-    out = manifest.withColumn("score", F.round(score, 6)).withColumn("reasons", reasons)
-    out = out.withColumn("reasons", F.when(F.col("score") < least, F.array_append("reasons", F.lit("low_score"))).otherwise(F.col("reasons")))
-    return out.select("name", "score", "reasons", (F.size("reasons") == 0).alias("accepted"))
+    return out.withColumn("reasons", reasons).select("name", "required", "negative_control", "score", "reasons", (F.size("reasons") == 0).alias("accepted"))
+
+
+def feature_gate_report(decisions: DataFrame) -> DataFrame:
+    """One row on feature_gate(): candidates, accepted ones, required ones that were rejected, negative controls, those that the
+    rules let pass, and whether all is ready: no required feature rejected, every negative control caught."""
+    control = F.coalesce(F.col("negative_control"), F.lit(False))
+    lost = ~control & F.coalesce(F.col("required"), F.lit(False)) & ~F.col("accepted")
+    out = decisions.agg(F.count_if(~control).alias("candidates"), F.count_if(~control & F.col("accepted")).alias("accepted"), F.count_if(lost).alias("required_rejections"), F.count_if(control).alias("negative_controls"), F.count_if(control & F.col("accepted")).alias("negative_controls_missed"))
+    return out.withColumn("ready", (F.col("required_rejections") == 0) & (F.col("negative_controls_missed") == 0))
+
+
+def entry_hash(sequence: Column, previous: Column, payload: Column) -> Column:
+    """sha256 of an entry's number, its predecessor's hash (empty for the first) and its payload, a line each."""
+    return F.sha2(F.concat_ws("\n", sequence.cast("string"), F.coalesce(previous, F.lit("")), F.coalesce(payload, F.lit(""))), 256)
 
 
 def hash_chain(df: DataFrame, log: Sequence[str], sequence: str, payload: Column) -> DataFrame:
-    """df with entry_hash and previous_hash: sha256 of payload and of the payload's predecessor in the log."""
-    w = Window.partitionBy(*log).orderBy(sequence)
-    own = F.sha2(payload, 256)
-    return df.withColumn("entry_hash", own).withColumn("previous_hash", F.lag("entry_hash").over(w))
+    """df with previous_hash and entry_hash: each entry's hash covers its number, its payload and the hash before it.
+
+    A chain is made one entry after the other; logs are dealt to tasks, and a task streams its entries in order and carries
+    one hash, so no log is held in memory."""
+    from hashlib import sha256
+
+    import pyarrow as pa
+
+    names = list(log)
+    rows = df.withColumn("__log", F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).withColumn("__text", F.concat(F.lit("\n"), F.coalesce(payload, F.lit("")))).withColumn("__number", F.col(sequence).cast("string"))
+    rows = rows.repartition("__log").sortWithinPartitions("__log", sequence)
+    width = len(df.columns)
+
+    def run(batches):
+        last = (None, None)
+        for batch in batches:
+            before, own = [], []
+            for key, text, number in zip(*(batch.column(width + k).to_pylist() for k in range(3)), strict=True):
+                previous = last[1] if last[0] == key else None
+                last = key, sha256(f"{number}\n{previous or ''}{text}".encode()).hexdigest()
+                before.append(previous)
+                own.append(last[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(before, pa.string()), pa.array(own, pa.string())], [*batch.schema.names[:width], "previous_hash", "entry_hash"])
+
+    return rows.mapInArrow(run, df.withColumn("previous_hash", F.lit(None).cast("string")).withColumn("entry_hash", F.lit(None).cast("string")).schema)
 
 
 def verify_chain(df: DataFrame, log: Sequence[str], sequence: str, payload: Column, entry: str = "entry_hash", previous: str = "previous_hash") -> DataFrame:
-    """Rows that break a log: sequence_gap, predecessor_mismatch or entry_tampered, as an array of codes."""
+    """Rows that break a log: sequence_gap (numbers count from 1), broken_predecessor_link or entry_tampered, as an array of codes."""
     w = Window.partitionBy(*log).orderBy(sequence)
-    before, seq = F.lag(entry).over(w), F.lag(sequence).over(w)
-    out = df.withColumn("__before", before).withColumn("__seq", seq)
+    out = df.withColumn("__before", F.lag(entry).over(w)).withColumn("__seq", F.coalesce(F.lag(sequence).over(w), F.lit(0)))
     codes = error_codes({
-        "sequence_gap": F.col("__seq").isNotNull() & (F.col(sequence) != F.col("__seq") + 1),
-        "predecessor_mismatch": ~F.col(previous).eqNullSafe(F.col("__before")),
-        "entry_tampered": ~F.col(entry).eqNullSafe(F.sha2(payload, 256)),
+        "sequence_gap": F.col(sequence) != F.col("__seq") + 1,
+        "broken_predecessor_link": ~F.col(previous).eqNullSafe(F.col("__before")),
+        "entry_tampered": ~F.col(entry).eqNullSafe(entry_hash(F.col(sequence), F.col(previous), payload)),
     })
     return out.withColumn("errors", codes).filter(F.size("errors") > 0).drop("__before", "__seq")
 

@@ -126,23 +126,32 @@ def dense_grid(spark, sf_dir):
     return quality.dense_grid_errors(counts, {"user_id": e.select("user_id"), "event_type": e.select("event_type")}, "n")
 
 
-@query("""with h as (select event_id, user_id, row_number() over (partition by user_id order by event_id) seq, sha256(concat_ws(':', event_id, event_type)) entry_hash from events)
-    select *, lag(entry_hash) over (partition by user_id order by seq) previous_hash from h""")
+# An entry's hash covers its number, the hash before it and its payload, so SQL has to go from entry to entry.
+CHAIN = """recursive numbered as (select event_id, user_id, event_type, row_number() over (partition by user_id order by event_id) seq from events),
+    chain as (select event_id, user_id, event_type, seq, cast(null as varchar) previous_hash, sha256(concat(seq, chr(10), '', chr(10), event_id, ':', event_type)) entry_hash from numbered where seq = 1
+        union all select n.event_id, n.user_id, n.event_type, n.seq, c.entry_hash, sha256(concat(n.seq, chr(10), c.entry_hash, chr(10), n.event_id, ':', n.event_type)) from chain c join numbered n on n.user_id = c.user_id and n.seq = c.seq + 1)"""
+
+
+def event_log(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    return e.select("event_id", "user_id", "event_type", "seq")
+
+
+@query(f"""with {CHAIN} select event_id, user_id, seq, previous_hash, entry_hash from chain""")
 def hash_chain(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    return quality.hash_chain(e, ["user_id"], "seq", F.concat_ws(":", "event_id", "event_type")).select("event_id", "user_id", F.col("seq").cast("long").alias("seq"), "entry_hash", "previous_hash")
+    return quality.hash_chain(event_log(spark, sf_dir), ["user_id"], "seq", F.concat_ws(":", "event_id", "event_type")).drop("event_type")
 
 
-@query("""with h as (select *, row_number() over (partition by user_id order by event_id) seq from events),
-    x as (select event_id, user_id, seq, lag(seq) over w s0, event_id % 500 = 0 t, lag(event_id % 500 = 0) over w t0 from h where event_id % 400 <> 3 window w as (partition by user_id order by seq)),
-    e as (select *, lag(event_id) over (partition by user_id order by seq) before from h),
-    y as (select x.*, e.before is distinct from (select max(event_id) from x z where z.user_id = x.user_id and z.seq < x.seq) pm from x join e using (event_id, user_id, seq))
-    select event_id, array_to_string(list_filter([case when s0 is not null and seq <> s0 + 1 then 'sequence_gap' end, case when pm or (t0 and not pm) then 'predecessor_mismatch' end, case when t then 'entry_tampered' end], lambda c: c is not null), ',') errors
-    from y where (s0 is not null and seq <> s0 + 1) or pm or t0 or t""")
+@query(f"""with {CHAIN}, hurt as (select event_id, user_id, seq, previous_hash, entry_hash, case when event_id % 500 = 0 then 'x' else concat(event_id, ':', event_type) end payload from chain where event_id % 400 <> 3),
+    placed as (select *, lag(seq) over w seq_before, lag(entry_hash) over w hash_before, sha256(concat(seq, chr(10), coalesce(previous_hash, ''), chr(10), payload)) again from hurt window w as (partition by user_id order by seq)),
+    found as (select event_id, list_filter([case when seq <> coalesce(seq_before, 0) + 1 then 'sequence_gap' end, case when previous_hash is distinct from hash_before then 'broken_predecessor_link' end, case when entry_hash <> again then 'entry_tampered' end], lambda c: c is not null) e from placed)
+    select event_id, array_to_string(e, ',') errors from found where len(e) > 0""")
 def verify_chain(spark, sf_dir):
-    chain = quality.hash_chain(table(spark, sf_dir, "events").withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")), ["user_id"], "seq", F.concat_ws(":", "event_id", "event_type"))
-    hurt = chain.filter("event_id % 400 <> 3").withColumn("entry_hash", F.when(F.col("event_id") % 500 == 0, F.lit("x")).otherwise(F.col("entry_hash")))
-    return quality.verify_chain(hurt, ["user_id"], "seq", F.concat_ws(":", "event_id", "event_type")).select("event_id", F.array_join("errors", ",").alias("errors"))
+    """A log of each user's events, of which some entries are lost and some are edited."""
+    payload = F.concat_ws(":", "event_id", "event_type")
+    chain = quality.hash_chain(event_log(spark, sf_dir), ["user_id"], "seq", payload)
+    hurt = chain.filter("event_id % 400 <> 3").withColumn("payload", F.when(F.col("event_id") % 500 == 0, F.lit("x")).otherwise(payload))
+    return quality.verify_chain(hurt, ["user_id"], "seq", F.col("payload")).select("event_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query("""with a as (select o_orderkey k, round(o_totalprice, 2) v from orders where o_orderkey % 10 <> 1), b as (select o_orderkey k, round(o_totalprice + case when o_orderkey % 50 = 0 then 1 else 0 end, 2) v from orders where o_orderkey % 10 <> 2)
@@ -192,11 +201,13 @@ def pivot_platform(spark, sf_dir):
     return aggregates.composition(table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate").cast("long")), ["year"], "o_orderstatus", ["F", "O", "P"], "o_orderdate")
 
 
-@query("""with p as (select c_nationkey, o_orderstatus from orders join customer on o_custkey = c_custkey where c_nationkey % 3 <> 0), g as (select c_nationkey, count(*) t, count(*) filter (o_orderstatus = 'F') f, count(*) filter (o_orderstatus = 'O') o from p group by 1)
-    select n_nationkey nation, coalesce(t, 0) total, coalesce(f, 0) "n_F", coalesce(o, 0) "n_O", case when t > 0 then 'positive_detections' else 'no_positive_detection' end status from nation left join g on n_nationkey = c_nationkey""")
+@query("""with p as (select c_nationkey, o_orderstatus from orders join customer on o_custkey = c_custkey), g as (select c_nationkey, count(*) t, count(*) filter (o_orderstatus = 'F') f, count(*) filter (o_orderstatus = 'O') o from p group by 1), u as (select n_nationkey nation from nation union all select n_nationkey + 100 from nation)
+    select nation, coalesce(t, 0) total, coalesce(f, 0) "n_F", coalesce(o, 0) "n_O", case when t > 0 then 'positive_detections' else 'no_positive_detection' end status from u left join g on nation = c_nationkey""")
 def unit_counts(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter("c_nationkey % 3 <> 0")
-    return aggregates.unit_counts(o.withColumn("nation", F.col("c_nationkey")), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation")), "nation", "o_orderstatus", ["F", "O"])
+    """Nations, and as many units that have no order."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
+    return aggregates.unit_counts(o.withColumn("nation", F.col("c_nationkey")), n.union(n.select(F.col("nation") + 100)), "nation", "o_orderstatus", ["F", "O"])
 
 
 @query("""select event_type, cast(t as double) threshold, count(*) filter (v >= t) above, count(*) filter (v < t) below, count(*) filter (v is null) "unknown" from (select event_type, case when event_id % 11 = 0 then null else value end v from events), (values (25), (50), (75)) x(t) group by 1, 2""")

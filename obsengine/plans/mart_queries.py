@@ -18,9 +18,12 @@ from obsengine.streaming import jobs
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary one if all runs in one process, as in tests;
+    on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 MONTHLY = "monthly as (select date_trunc('month', o_orderdate)::date d, round(avg(o_totalprice) / 50000 - 5, 6) v from orders group by 1)"
@@ -128,9 +131,9 @@ def publication_table(spark, sf_dir):
     return marts.publication_table(fits, "subset")
 
 
-@query("""select n_nationkey, lower(replace(n_name, '_', '')) key, substr(sha256(concat_ws(':', 'nation', n_nationkey)), 1, 20) id from nation""")
+@query("""select c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') || 'ne' key, substr(sha256(concat_ws(':', 'customer', c_nationkey, c_custkey)), 1, 20) id from customer""")
 def keys_and_ids(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", X.ascii_key("n_name").alias("key"), X.private_id("nation", "n_nationkey").alias("id"))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.ascii_key(F.concat("c_name", F.lit(" Ñ-É"))).alias("key"), X.private_id("customer", "c_nationkey", "c_custkey").alias("id"))
 
 
 @query("""select event_id, round(0.6108 * exp(17.27 * (value / 3) / (value / 3 + 237.3)), 6) es, round(greatest(0, 0.6108 * exp(17.27 * (value / 3) / (value / 3 + 237.3)) - 0.6108 * exp(17.27 * (user_id / 10.0) / (user_id / 10.0 + 237.3))), 6) vpd, round(sqrt(value * value + user_id * user_id), 6) wind,

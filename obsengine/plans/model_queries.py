@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from obsengine.operators import aggregates, matching, windows
 from obsengine.plans import models
-from obsengine.plans.observation_queries import MATCHED, matched_user_days, query, rounded, table
+from obsengine.plans.observation_queries import MATCHED, matched_user_days, normal_p, query, rounded, table, wald_rows, wald_sql, within_set_sql
 
 # --- multiple testing, ranks
 
@@ -106,8 +106,8 @@ def ridge_logit_metrics(spark, sf_dir):
 def spatial_cv(spark, sf_dir):
     """Penalty chosen over purged spatial folds."""
     x = covariates(spark, sf_dir)
-    folds = matching.spatial_folds(x, "block", "matched_set_id", 3)
-    return models.grid_search(x, "matched_set_id", "outcome", "cell", ["a", "b"], folds, "block", 3, [0.1, 10.0])
+    folds = matching.spatial_folds(x, "block", "matched_set_id", 5)
+    return models.grid_search(x, "matched_set_id", "outcome", "cell", ["a", "b"], folds, "block", 5, [0.01, 0.1, 1.0, 10.0, 100.0])
 
 
 @query()
@@ -115,7 +115,7 @@ def bootstrap_gain(spark, sf_dir):
     """Mean loss difference of two models by matched set, with a bootstrap interval."""
     x = covariates(spark, sf_dir)
     losses = [windows.group_softmax(x.withColumn("s", models.linear_score(["a", "b"], beta)), ["matched_set_id"], "s").filter("outcome = 1").select("matched_set_id", (-F.log("probability")).alias(f"loss{k}")) for k, beta in enumerate(([0.0, 0.0], [0.2, 0.0]))]
-    return models.bootstrap_mean(losses[0].join(losses[1], "matched_set_id").withColumn("gain", F.col("loss0") - F.col("loss1")), "matched_set_id", "gain", 200)
+    return models.bootstrap_mean(losses[0].join(losses[1], "matched_set_id").withColumn("gain", F.col("loss0") - F.col("loss1")), "matched_set_id", "gain", 1000)
 
 
 @query()
@@ -149,27 +149,50 @@ def price_frame(spark, sf_dir):
     return o.select(F.col("o_custkey").alias("set_id"), F.year("o_orderdate").alias("year"), F.trunc("o_orderdate", "month").alias("m"), (F.col("o_orderstatus") == "F").cast("double").alias("x"), (F.col("o_totalprice") > 200_000).cast("int").alias("y1"), (F.col("o_totalprice") > 400_000).cast("int").alias("y2"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("y3"), (F.col("o_totalprice") / 1e5).alias("pre"))
 
 
-@query()
+PRICE = "price as (select o_custkey c, year(o_orderdate) yr, date_trunc('month', o_orderdate) m, case when o_orderstatus = 'F' then 1.0 else 0.0 end x, cast(o_totalprice > 200000 as double) y1, cast(o_totalprice > 400000 as double) y2, cast(o_orderpriority = '1-URGENT' as double) y3, o_totalprice / 1e5 pre from orders)"
+
+
+def price_sql(*subsets: tuple[str, str, str]) -> str:
+    """Frames of price: (SQL of the subset's name, outcome, condition)."""
+    return " union all ".join(f"select {name} subset, c, c a, m, {y} y, x from price where {keep}" for name, y, keep in subsets)
+
+
+FAMILY = price_sql(*[(f"'{y}'", y, "true") for y in ("y1", "y2", "y3")])
+
+
+@query(f"""with {PRICE}, v as (select o outcome, count(*) sets, count(*) filter (lo <> hi) "varying" from (select o, c, min(y) lo, max(y) hi from (select subset o, c, y from ({FAMILY})) group by 1, 2) group by 1), {within_set_sql(FAMILY)},
+    g as (select outcome, sets, "varying", sets >= 200 and "varying" >= 50 ok, estimate, se, {normal_p("(estimate / se)")} p from v join fit on subset = outcome), h as (select *, case when ok then p * (count(*) filter (ok) over () - row_number() over (order by not ok, p, outcome) + 1) end raw from g)
+    select outcome, sets, "varying", case when ok then 'fitted' else 'insufficient_support' end status, case when ok then round(estimate, 6) end estimate, case when ok then round(se, 6) end se, case when ok then round(p, 5) end p, case when ok then round(least(1.0, max(raw) over (order by not ok, p, outcome)), 5) end p_holm from h""")
 def model_family(spark, sf_dir):
     """A family of outcomes with the support gate and Holm."""
-    return models.model_family(price_frame(spark, sf_dir), "set_id", ["y1", "y2", "y3"], ["x"], "set_id", "m")
+    return rounded(rounded(models.model_family(price_frame(spark, sf_dir), "set_id", ["y1", "y2", "y3"], ["x"], "set_id", "m"), ["estimate", "se"]), ["p", "p_holm"], 5)
 
 
-@query()
+LEFT_OUT = "select 'without ' || o subset, c, c a, m, y1 y, x from price, (select distinct yr o from price) where yr <> o"
+
+
+@query(f"""with {PRICE}, {within_set_sql(LEFT_OUT)} {wald_sql()}""")
 def leave_one_year_out(spark, sf_dir):
     f = price_frame(spark, sf_dir)
     years = [r.year for r in f.select("year").distinct().orderBy("year").collect()]
-    return models.by_subset(f, {f"without {y}": F.col("year") != y for y in years}, lambda d: models.within_set_lpm(d, "set_id", "y1", ["x"], "set_id", "m"))
+    return wald_rows(models.by_subset(f, {f"without {y}": F.col("year") != y for y in years}, lambda d: models.within_set_lpm(d, "set_id", "y1", ["x"], "set_id", "m")))
 
 
-@query()
+TRIMMED = " union all ".join(f"select 'without top {share}' subset, p.c, p.c a, m, y1 y, x from price p join norms using (c) where r > ceil(n * {share})" for share in ("0.005", "0.01"))
+
+
+@query(f"""with {PRICE}, {within_set_sql("select 'all' subset, c, c a, m, y1 y, x from price", "w")}, norms as (select c, row_number() over (order by abs(sum(u)) desc, c) r, count(*) over () n from ws group by c), {within_set_sql(TRIMMED)}
+    {wald_sql("wfit")} union all {wald_sql()}""")
 def influence_refit(spark, sf_dir):
-    return models.trimmed_refit(price_frame(spark, sf_dir), "set_id", "y1", ["x"], "set_id", "m")
+    return wald_rows(models.trimmed_refit(price_frame(spark, sf_dir), "set_id", "y1", ["x"], "set_id", "m"))
 
 
-@query()
+CHANGE = price_sql(("'post'", "y1", "true"), ("'pre'", "y3", "true"), ("'post minus pre'", "y1 - y3", "true"))
+
+
+@query(f"""with {PRICE}, {within_set_sql(CHANGE)} {wald_sql()}""")
 def negative_control(spark, sf_dir):
-    return models.before_and_after(price_frame(spark, sf_dir), "set_id", "y1", "y3", ["x"], "set_id", "m")
+    return wald_rows(models.before_and_after(price_frame(spark, sf_dir), "set_id", "y1", "y3", ["x"], "set_id", "m"))
 
 
 @query("""with f as (select year(o_orderdate) y, o_totalprice p from orders), s as (select avg(p) m, stddev_pop(p) s from f where y <= 1999) select o_orderkey, round((o_totalprice - m) / s, 6) + 0.0 z, cast(o_totalprice >= 200000 as double) exposed, round(case when o_totalprice >= 200000 then (o_totalprice - m) / s else 0 end, 6) + 0.0 exposed_x_z from orders, s""")

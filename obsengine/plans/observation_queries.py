@@ -33,6 +33,33 @@ def rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def normal_p(z: str) -> str:
+    """SQL of the two-sided p of a normal z: 1 - 2 * (density * series), whose terms are all positive; 0 beyond 8."""
+    term = f"exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))"
+    return f"case when {z} = 0 then 1.0 when abs({z}) > 8 then 0.0 else greatest(0.0, 1 - 2 / sqrt(2 * pi()) * exp(-{z} * {z} / 2) * list_sum(list_transform(range(0, 200), lambda k: {term}))) end"
+
+
+def within_set_sql(frames: str, prefix: str = "") -> str:
+    """SQL (common tables, the last of which is <prefix>fit: subset, estimate, se) of the within-set model with one column.
+
+    frames: a select of subset, c (set), a and m (the clusters), y and x. An error that comes out negative two ways is that
+    of the first cluster alone, and one_way says so."""
+    meat = lambda by: f"select subset, sum(u * u) * count(*) / (count(*) - 1) v from (select subset, sum(u) u from {prefix}s group by subset, {by}) group by 1"
+    return f"""{prefix}f as ({frames}), {prefix}d as (select subset, c, a, m, y - avg(y) over w y, x - avg(x) over w x from {prefix}f window w as (partition by subset, c)),
+    {prefix}b as (select subset, sum(x * y) / sum(x * x) b, sum(x * x) xx from {prefix}d group by 1), {prefix}s as (select subset, c, a, m, x * (y - b * x) u from {prefix}d join {prefix}b using (subset)),
+    {prefix}va as ({meat("a")}), {prefix}vm as ({meat("m")}), {prefix}vb as ({meat("a, m")}),
+    {prefix}fit as (select subset, b estimate, sqrt(case when va.v + vm.v - vb.v < 0 then va.v else va.v + vm.v - vb.v end) / xx se, va.v + vm.v - vb.v < 0 one_way from {prefix}b join {prefix}va va using (subset) join {prefix}vm vm using (subset) join {prefix}vb vb using (subset))"""
+
+
+def wald_sql(fit: str = "fit") -> str:
+    return f"select subset, round(estimate, 6) estimate, round(se, 6) se, round(estimate / se, 4) z, round({normal_p('(estimate / se)')}, 5) p, round(estimate - 1.96 * se, 6) low, round(estimate + 1.96 * se, 6) high, round(exp(estimate), 6) ratio from {fit}"
+
+
+def wald_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """subset and Wald columns as wald_sql() has them."""
+    return rounded(rounded(rounded(df, ["estimate", "se", "low", "high", "ratio"]), ["z"], 4), ["p"], 5).select("subset", *keep, "estimate", "se", "z", "p", "low", "high", "ratio")
+
+
 # --- user-days of the events: the small stand-in for cell-days
 
 USER_DAYS = """user_days as (select cast(ts as date) "date", cast(user_id // 10 as int) grid_row, cast(user_id % 10 as int) grid_col,

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Season code to the month that ends it; NDJ ends in January of the next year.
 SEASON_END_MONTH = {"DJF": 2, "JFM": 3, "FMA": 4, "MAM": 5, "AMJ": 6, "MJJ": 7, "JJA": 8, "JAS": 9, "ASO": 10, "SON": 11, "OND": 12, "NDJ": 1}
+# The header of a portal file, and the names its columns get here.
+PORTAL_HEADER = ("Provinsi", "Kab Kota", "Kecamatan", "Desa", "Tanggal", "Waktu", "Satelit", "Confidence", "Latitude", "Longitude")
 PORTAL_COLUMNS = ("province", "district", "subdistrict", "village", "reported_date", "reported_time", "satellite", "confidence", "latitude", "longitude")
 
 
@@ -46,19 +48,32 @@ def seasonal_index(lines: DataFrame) -> DataFrame:
     return rows.select("season", year.alias("season_year"), end.alias("end_date"), F.col("a").cast("double").alias("anomaly_c"))
 
 
+def quoted_fields(line: Column) -> Column:
+    """Fields of a comma line: a comma inside double quotes doesn't part, quotes around a field go, doubled ones become one."""
+    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+
+    def plain(f: Column) -> Column:
+        t = F.trim(f)
+        inner = F.regexp_extract(t, r'(?s)^"(.*)"$', 1)
+        return F.trim(F.when(t.rlike(r'(?s)^".*"$'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(t))
+
+    return F.transform(parts, plain)
+
+
 def portal_records(lines: DataFrame, first_day: str | None = None, last_day: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) from comma lines of ten fields whose village may hold unquoted commas.
+    """(records, rejects) from comma lines of ten fields, quoted or not, whose village may hold unquoted commas.
 
-    lines: value, source_file. The first three and the last six fields are fixed; what lies between is the village, joined
-    by commas again, and the row is marked as repaired. A line with fewer fields, a bad date, bad coordinates or a day
-    outside the bounds goes to rejects with a reason and a content hash. A header line is skipped."""
-    f = F.split("value", ",", -1)
+    lines: value, source_file; without header lines (portal_scan() checks and drops them). The first three and the last six
+    fields are fixed; what lies between is the village, joined by commas again, and the row is marked as repaired. A line
+    with fewer fields, a bad date, bad coordinates or a day outside the bounds goes to rejects with a reason and a content
+    hash."""
+    f = quoted_fields(F.col("value"))
     n = F.size(f)
     head = [F.trim(F.get(f, F.lit(k))) for k in range(3)]
     tail = [F.trim(F.get(f, n - k)) for k in range(6, 0, -1)]
     village = F.trim(F.concat_ws(",", F.slice(f, 4, F.greatest(n - 9, F.lit(1)))))
     named = dict(zip(PORTAL_COLUMNS, [*head, village, *tail], strict=True))
-    rows = lines.filter((F.trim("value") != "") & ~F.lower("value").startswith("province,")).withColumns(named).withColumn("source_schema_repaired", n > 10).withColumn("__n", n)
+    rows = lines.filter(F.translate("value", ',"', "  ").rlike(r"\S")).withColumns(named).withColumn("source_schema_repaired", n > 10).withColumn("__n", n)
     rows = rows.withColumn("reported_date", F.to_date(F.try_to_timestamp("reported_date", F.lit("dd-MM-yyyy")))).withColumn("latitude", F.col("latitude").try_cast("double")).withColumn("longitude", F.col("longitude").try_cast("double"))
     inside = F.lit(True)
     if first_day:
@@ -72,14 +87,18 @@ def portal_records(lines: DataFrame, first_day: str | None = None, last_day: str
 
 
 def portal_scan(spark: SparkSession, path: str, **bounds) -> tuple[DataFrame, DataFrame]:
-    """portal_records() of text files, each of which may instead be the JSON {"data": []}: a valid zero. Other JSON fails."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source_file"))
+    """portal_records() of text files, each of which starts with the header PORTAL_HEADER, or is the JSON {"data": []}: a valid
+    zero. Another header, no header, and other JSON fail."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("content"), F.col("_metadata.file_path").alias("source_file"))
     start = F.ltrim(F.col("content"))
     empty = F.regexp_replace("content", r"\s", "") == '{"data":[]}'
     is_json = start.startswith("{") | start.startswith("[")
     files = whole.filter(failing(~is_json | empty, "unexpected JSON response", F.col("source_file"))).filter(~is_json)
-    lines = files.select("source_file", F.explode(F.split("content", r"\r?\n")).alias("value"))
-    return portal_records(lines, **bounds)
+    lines = F.split("content", r"\r?\n")
+    header = quoted_fields(F.element_at(lines, 1))
+    files = files.filter(failing(F.array_join(header, "\n") == "\n".join(PORTAL_HEADER), "unexpected header", F.concat_ws(" ", "source_file", F.element_at(lines, 1))))
+    rows = files.select("source_file", F.explode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("value"))
+    return portal_records(rows, **bounds)
 
 
 def quarantine(good: DataFrame, bad: DataFrame, good_path: str, bad_path: str) -> None:
@@ -88,6 +107,45 @@ def quarantine(good: DataFrame, bad: DataFrame, good_path: str, bad_path: str) -
     bad.write.mode("overwrite").partitionBy("reason").parquet(bad_path)
 
 
+def named_files(df: DataFrame, line: str, name: Column, header: str | None, path: str) -> str:
+    """Text files below path, each named by its rows: the header, if any, and the rows' lines in order. Returns path.
+
+    Each name is dealt to one task, which streams its sorted lines into a file of a passing name and renames it when whole."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(folder)
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        out = at = own = None
+
+        def close():
+            if out:
+                out.close()
+                store.move(own, f"{root}/{at}")
+
+        for batch in batches:
+            for to, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if to != at:
+                    close()
+                    at, own = to, f"{root}/_{uuid.uuid4().hex}"
+                    out = store.open_output_stream(own)
+                    if header is not None:
+                        out.write(f"{header}\n".encode())
+                out.write(f"{text}\n".encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["n"])
+
+    rows = df.select(name.alias("name"), F.col(line).alias("line")).repartition("name").sortWithinPartitions("name", "line")
+    rows.mapInArrow(run, "n int").write.format("noop").mode("overwrite").save()
+    return path
+
+
 def country_detections(spark: SparkSession, path: str, least_confidence: int = 30) -> DataFrame:
     """Detections of per-country CSV files (modis_<year>_<country>.csv): type 0 and enough confidence; rows that don't parse
     are left out. country comes from the file name."""

@@ -109,9 +109,10 @@ def test_ids_rates_and_expressions(spark):
     assert r.ratio == pytest.approx(0.57256, abs=1e-5) and r.score == pytest.approx(-231.41, abs=0.01)
     one = spark.range(1)
     assert one.select(X.vapour_pressure_deficit_kpa(F.lit(10.0), F.lit(20.0)).alias("v")).first().v == 0.0
-    assert [r.b for r in spark.createDataFrame([("TRUE",), ("0",), (None,)], "x string").select(X.strict_boolean("x").alias("b")).collect()] == [True, False, None]
-    with pytest.raises(Exception, match="not a boolean"):
-        spark.createDataFrame([("maybe",)], "x string").select(X.strict_boolean("x")).collect()
+    assert [r.b for r in spark.createDataFrame([("TRUE",), (" 0",)], "x string").select(X.strict_boolean("x").alias("b")).collect()] == [True, False]
+    for other in ("maybe", "yes", "no", "", None):
+        with pytest.raises(Exception, match="not a boolean"):
+            spark.createDataFrame([(other,)], "x string").select(X.strict_boolean("x")).collect()
     rows = [(float("nan"),), (float("inf"),), (None,), (1.0,)]
     assert [r.f for r in spark.createDataFrame(rows, "x double").select(X.is_finite("x").alias("f")).collect()] == [False, False, False, True]
     assert one.select(F.abs(X.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)) - math.pi * 6371.0088).alias("d")).first().d < 1e-6
@@ -138,8 +139,17 @@ def test_chain_requests_and_completeness(spark):
     log = spark.createDataFrame([("l", k, f"note {k}") for k in range(1, 5)], "log string, seq int, note string")
     chain = quality.hash_chain(log, ["log"], "seq", F.col("note")).cache()
     assert quality.verify_chain(chain, ["log"], "seq", F.col("note")).count() == 0
+    verified = lambda rows: [(r.seq, r.errors) for r in quality.verify_chain(rows, ["log"], "seq", F.col("note")).collect()]
     hurt = chain.withColumn("note", F.when(F.col("seq") == 2, "edited").otherwise(F.col("note")))
-    assert [(r.seq, r.errors) for r in quality.verify_chain(hurt, ["log"], "seq", F.col("note")).collect()] == [(2, ["entry_tampered"])]
+    assert verified(hurt) == [(2, ["entry_tampered"])]
+    # An edited entry with its own hash made anew, and the link after it patched, shows in the entry after it.
+    own = quality.entry_hash(F.col("seq"), F.col("previous_hash"), F.col("note"))
+    forged = hurt.withColumn("entry_hash", F.when(F.col("seq") == 2, own).otherwise(F.col("entry_hash"))).cache()
+    link = forged.filter("seq = 2").first().entry_hash
+    assert verified(forged) == [(3, ["broken_predecessor_link"])]
+    assert verified(forged.withColumn("previous_hash", F.when(F.col("seq") == 3, F.lit(link)).otherwise(F.col("previous_hash")))) == [(3, ["entry_tampered"])]
+    assert verified(chain.filter("seq > 1")) == [(2, ["sequence_gap", "broken_predecessor_link"])]
+    assert verified(chain.filter("seq <> 3")) == [(4, ["sequence_gap", "broken_predecessor_link"])]
     frame = spark.createDataFrame([("a", 2018), ("a", 2018), ("a", 2019)], "cell string, year int")
     got = joins.embedding_requests(frame, frame.select("cell"), "cell", "year").collect()
     assert sorted((r.record_id, r.event_year - r.embedding_year) for r in got) == [("a:2018", 1), ("a:2019", 1)]
@@ -159,10 +169,25 @@ def test_gates_and_assets(spark):
     inventory = spark.createDataFrame([("p1", "h1"), ("p2", "h2")], "path string, sha256 string")
     papers = spark.createDataFrame([("x", "h1", "u"), ("y", "h3", "u")], "asset string, sha256 string, provenance_url string")
     assert {r.asset: r.gate_ready for r in quality.asset_gate(manifest, inventory, papers).collect()} == {"x": True, "y": False}
-    schema = "name string, scores map<string,double>, before_cutoff boolean, part_of_target boolean, shared_with_target boolean, causal_position string, provenance_url string, license string, negative_control boolean"
-    features = spark.createDataFrame([("good", {"a": 1.0, "b": 0.5}, True, False, False, "cause", "u", "l", False), ("leak", {"a": 1.0, "b": 1.0}, False, False, False, "cause", "u", "l", False), ("neg", {"a": 1.0}, True, False, False, "cause", "u", "l", True)], schema)
-    got = {r.name: (r.score, r.accepted) for r in quality.feature_gate(features, {"a": 3, "b": 1}).collect()}
-    assert got == {"good": (87.5, True), "leak": (100.0, False), "neg": (75.0, False)}
+    schema = "name string, scores map<string,double>, available_before_prediction_cutoff boolean, mathematical_component_of_target boolean, shared_data_generation_with_target boolean, temporal_relation string, minimum_lag_years string, causal_position string, provenance_url string, license string, required boolean, negative_control boolean"
+    good = {"name": "good", "scores": {"a": 5.0, "b": 2.5}, "available_before_prediction_cutoff": True, "mathematical_component_of_target": False, "shared_data_generation_with_target": False, "temporal_relation": "prior_calendar_year", "minimum_lag_years": "1", "causal_position": "confounder", "provenance_url": "https://x", "license": "l", "required": True, "negative_control": False}
+    cases = {
+        "good": {}, "unmarked": {"mathematical_component_of_target": None}, "leak": {"available_before_prediction_cutoff": False}, "http": {"provenance_url": "http://x"}, "bare": {"license": " "}, "shared": {"shared_data_generation_with_target": True},
+        "late": {"temporal_relation": "same_year"}, "short": {"minimum_lag_years": "0.5"}, "lagless": {"minimum_lag_years": "n/a"}, "mediator": {"causal_position": "mediator"}, "high": {"scores": {"a": 6.0, "b": 1.0}}, "part": {"scores": {"a": 5.0}}, "low": {"scores": {"a": 1.0, "b": 1.0}},
+        "caught": {"negative_control": True, "mathematical_component_of_target": True}, "slipped": {"negative_control": True},
+    }
+    features = spark.createDataFrame([good | {"name": k} | v for k, v in cases.items()], schema)
+    decided = quality.feature_gate(features, {"a": 3, "b": 1}, ["prior_calendar_year"], ["confounder"]).cache()
+    got = {r.name: (r.score, r.reasons) for r in decided.collect()}
+    ok = 87.5
+    assert got == {
+        "good": (ok, []), "unmarked": (ok, ["component_of_target"]), "leak": (ok, ["available_after_cutoff"]), "http": (ok, ["provenance_not_https"]), "bare": (ok, ["no_license"]), "shared": (ok, ["shares_generation_with_target"]),
+        "late": (ok, ["temporal_relation_not_allowed"]), "short": (ok, ["lag_too_short"]), "lagless": (ok, ["lag_not_numeric"]), "mediator": (ok, ["causal_position_not_eligible"]), "high": (0.0, ["bad_scores", "low_score"]), "part": (0.0, ["bad_scores", "low_score"]), "low": (20.0, ["low_score"]),
+        "caught": (ok, ["component_of_target"]), "slipped": (ok, []),
+    }
+    report = quality.feature_gate_report(decided).first()
+    assert (report.candidates, report.accepted, report.required_rejections, report.negative_controls, report.negative_controls_missed, report.ready) == (13, 1, 12, 2, 1, False)
+    assert quality.feature_gate_report(decided.filter("name in ('good', 'caught')")).first().ready
 
 
 def test_polygons_and_area(spark):

@@ -33,16 +33,22 @@ def test_seasonal_index(spark):
 
 
 def test_portal_repair_sentinel_and_rejects(spark, tmp_path):
-    lines = ["province,district,subdistrict,village,reported_date,reported_time,satellite,confidence,latitude,longitude", "P,D,S,PULAU KU,U,14-09-2015,01:00,NOAA20,high,-1.5,113.2", "P,D,S,V,15-09-2015,01:00,TERRA,high,-1.5,113.2", "P,D,S,V,2015,01:00,TERRA,high,-1.5,113.2", "P,D,S", "P,D,S,V,15-09-2015,01:00,TERRA,high,-91,113.2", "P,D,S,V,15-01-2016,01:00,TERRA,high,-1,113.2"]
+    header = ",".join(readers.PORTAL_HEADER)
+    lines = [header, "P,D,S,PULAU KU,U,14-09-2015,01:00,NOAA20,high,-1.5,113.2", "P,D,S,V,15-09-2015,01:00,TERRA,high,-1.5,113.2", "P,D,S,V,2015,01:00,TERRA,high,-1.5,113.2", "P,D,S", "P,D,S,V,15-09-2015,01:00,TERRA,high,-91,113.2", "P,D,S,V,15-01-2016,01:00,TERRA,high,-1,113.2", '"P","D, E",S,"W ""x"", Y",16-09-2015,01:00,TERRA,high,-1.5,113.2', ",,,"]
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("\n".join(lines))
     (tmp_path / "in/b.txt").write_text('{"data": []}')
     good, bad = readers.portal_scan(spark, str(tmp_path / "in"), last_day="2015-12-31")
     rows = {r.village: (str(r.reported_date), r.source_schema_repaired) for r in good.collect()}
-    assert rows == {"PULAU KU,U": ("2015-09-14", True), "V": ("2015-09-15", False)}
+    assert rows == {"PULAU KU,U": ("2015-09-14", True), "V": ("2015-09-15", False), 'W "x", Y': ("2015-09-16", False)}
     assert sorted(r.reason for r in bad.collect()) == ["bad_coordinates", "bad_date", "outside_window", "too_few_fields"]
     readers.quarantine(good, bad, str(tmp_path / "good"), str(tmp_path / "bad"))
-    assert spark.read.parquet(str(tmp_path / "good")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 3
+    for k, first in enumerate(("province,district,subdistrict,village,reported_date,reported_time,satellite,confidence,latitude,longitude", "P,D,S,V,15-09-2015,01:00,TERRA,high,-1.5,113.2", header.replace("Desa,", ""))):
+        (tmp_path / f"other{k}").mkdir()
+        (tmp_path / f"other{k}/a.txt").write_text(f"{first}\nP,D,S,V,15-09-2015,01:00,TERRA,high,-1.5,113.2")
+        with pytest.raises(Exception, match="unexpected header"):
+            readers.portal_scan(spark, str(tmp_path / f"other{k}"))[0].collect()
     (tmp_path / "in/c.txt").write_text('{"error": 1}')
     with pytest.raises(Exception, match="unexpected JSON"):
         readers.portal_scan(spark, str(tmp_path / "in"))[0].collect()
