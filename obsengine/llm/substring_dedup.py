@@ -277,16 +277,18 @@ def search_shard(doc_ids: np.ndarray, starts: np.ndarray, pieces: list[bytes], s
     return list(zip(doc_ids[s].tolist(), (starts[s] + a - begin[s]).tolist(), (starts[s] + b - begin[s] + size).tolist(), strict=True))
 
 
-def _search(pieces: DataFrame, size: int) -> DataFrame:
+def _search(pieces: DataFrame, size: int, shards: int = 1) -> DataFrame:
+    """search_shard() of each shard, in a task of its own."""
+
     def run(table: pa.Table) -> pa.Table:
         found = search_shard(table["doc_id"].to_numpy(), table["start"].to_numpy(), table["words"].to_pylist(), size)
         cols = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int32()), "end": pa.array(cols[2], pa.int32())})
 
-    return pieces.groupBy("shard").applyInArrow(run, "doc_id long, start int, end int")
+    return pieces.repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(run, "doc_id long, start int, end int")
 
 
-def repeats(docs: DataFrame, size: int = 20, anchor_words: int = 5, shard_words: int = 1_000_000, hot_anchor: int = 5_000) -> DataFrame:
+def repeats(docs: DataFrame, size: int = 20, anchor_words: int = 5, shard_words: int = 500_000, hot_anchor: int = 5_000) -> DataFrame:
     """doc_id, start, end: runs of words covered by repeated windows (not merged). docs: doc_id (long, not null), text."""
     dealt = _emit(docs, size, anchor_words)
     # What is settled already is dealt by document, the rest by anchor.
@@ -301,11 +303,11 @@ def repeats(docs: DataFrame, size: int = 20, anchor_words: int = 5, shard_words:
     shards = max(1, -(-words // shard_words))
     asked = asked.select("doc_id", "start", "n", "hot", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"))
     pieces = stored(_with_words(docs, asked, size), "pieces")
-    cold = _search(pieces.filter("words is not null").select("shard", "doc_id", "start", "words"), size)
+    cold = _search(pieces.filter("words is not null").select("shard", "doc_id", "start", "words"), size, shards)
     return whole.unionByName(cold).unionByName(_later_windows(pieces.filter("words is null").select("hash", "doc_id", "start"), size, hot_anchor))
 
 
-def deduplicated(documents: DataFrame, size: int = 20, anchor_words: int = 5, shard_words: int = 1_000_000, hot_anchor: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(documents: DataFrame, size: int = 20, anchor_words: int = 5, shard_words: int = 500_000, hot_anchor: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, one space between), removed (spans of words, end exclusive)."""
     docs = id_and_text(documents, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     named = docs.filter("doc_id is not null")

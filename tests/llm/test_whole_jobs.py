@@ -64,7 +64,7 @@ def test_copies_of_a_hot_window_are_not_gathered(spark, monkeypatch):
     texts = [f"{some_text(rng, 25, [f'w{k}' for k in range(50)])} {passage} {some_text(rng, 25, [f'w{k}' for k in range(50)])}" for _ in range(40)]
     seen = []
     search = substring_dedup._search
-    monkeypatch.setattr(substring_dedup, "_search", lambda pieces, size: seen.append([r.words.decode() for r in pieces.collect()]) or search(pieces, size))
+    monkeypatch.setattr(substring_dedup, "_search", lambda pieces, size, shards: seen.append([r.words.decode() for r in pieces.collect()]) or search(pieces, size, shards))
     got = substring_dedup.deduplicated(docs_of(spark, texts).repartition(5), hot_anchor=10)
     assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got.collect()} == brute_repeats(texts, 20)
     windows = Counter(tuple(w[k : k + 20]) for p in seen[0] for w in [p.split()] for k in range(len(w) - 19))
