@@ -116,8 +116,8 @@ def bounded(df: DataFrame, size: str = "4m") -> DataFrame:
     return df
 
 
-def per_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict]]) -> DataFrame:
-    """make() is called once in each task and gives the function from a batch to columns or a batch of the schema."""
+def per_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict]], most_bytes: int = 8 << 20) -> DataFrame:
+    """make() is called once in each task and gives the function from a batch, of about most_bytes, to columns or a batch of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -125,7 +125,7 @@ def per_batch(df: DataFrame, schema: str | T.StructType, make: Callable[[], Call
 
     def run(batches):
         f = make()
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most_bytes):
             out = f(batch)
             if isinstance(out, dict):
                 out = pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) if not isinstance(out[x.name], pa.Array) else out[x.name].cast(x.type) for x in arrow], schema=arrow)

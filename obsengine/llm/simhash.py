@@ -100,13 +100,11 @@ def points(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
                 out.append(at.ravel())
             return {"point": pa.array(np.concatenate(out).view(np.int64)), "fp": pa.array(np.concatenate([np.repeat(fp, len(flips)) for _, _, flips in chosen]).view(np.int64))}
 
-        def in_slices(batch, most=4096):
-            rows = [f(batch.slice(k, most)) for k in range(0, batch.num_rows, most)]
-            return {c: pa.concat_arrays([r[c] for r in rows]) for c in ("point", "fp")}
-
-        return in_slices
+        return f
 
-    return per_batch(fps.select("fp"), "point long, fp long", make)
+    # Fingerprints are taken few at a time, so that a task holds about 200,000 points however large the balls are.
+    each = sum(len(flips) for _, _, flips in chosen)
+    return per_batch(fps.select("fp"), "point long, fp long", make, most_bytes=max(8, 8 * 200_000 // each))
 
 
 def links(fps: DataFrame, radius: int = 4, blocks: int = 3, full_from: int = 64) -> DataFrame:
