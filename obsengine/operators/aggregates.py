@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsengine.functions.expressions import in_season, is_finite, safe_rate
+from obsengine.operators.ranks import with_quantiles
 
 
 def swath_summary(pixels: DataFrame, key: str, klass: str, lat: str, lon: str, inside: Column, processed: Sequence[int]) -> DataFrame:
@@ -69,9 +70,10 @@ def overpass_rollup(cells: DataFrame, pair: str, sums: Sequence[str], means: Seq
 
 def quality_composites(pixels: DataFrame, group: Sequence[str], value: str, good: Column, day: str, digits: int = 6) -> DataFrame:
     """By tile and composite: pixels, pixels that pass, their share, mean, 5th, 50th and 95th percentile, first and last day."""
-    v = F.when(good, F.col(value))
-    out = pixels.groupBy(*group).agg(F.count("*").alias("pixels"), F.count(v).alias("passed"), F.round(F.avg(v), digits).alias("mean"), F.percentile(v, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("__p"), F.min(F.when(good, F.col(day))).alias("first_day"), F.max(F.when(good, F.col(day))).alias("last_day"))
-    return out.select(*group, "pixels", "passed", F.round(F.col("passed") / F.col("pixels"), digits).alias("share"), "mean", *[F.round(F.get("__p", F.lit(k)), digits).alias(n) for k, n in enumerate(("p05", "p50", "p95"))], "first_day", "last_day")
+    v, named = F.when(good, F.col(value)), {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    out = pixels.groupBy(*group).agg(F.count("*").alias("pixels"), F.count(v).alias("passed"), F.round(F.avg(v), digits).alias("mean"), F.min(F.when(good, F.col(day))).alias("first_day"), F.max(F.when(good, F.col(day))).alias("last_day"))
+    out = with_quantiles(out, pixels, group, v, named)
+    return out.select(*group, "pixels", "passed", F.round(F.col("passed") / F.col("pixels"), digits).alias("share"), "mean", *[F.round(n, digits).alias(n) for n in named], "first_day", "last_day")
 
 
 def season_totals(df: DataFrame, day: str, sums: Sequence[str], by: Sequence[str] = (), first_month: int = 7, last_month: int = 11) -> DataFrame:
@@ -127,9 +129,8 @@ def rates_and_shares(df: DataFrame, count: str, area: str, per: float = 1000.0,
 def distribution(df: DataFrame, by: Sequence[str], variables: Sequence[str]) -> DataFrame:
     """By group and variable: n, mean, median, sample deviation, and percentiles 5, 25, 75, 95 (linear)."""
     flat = df.select(*by, F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables])).alias("s")).select(*by, "s.*").filter(is_finite("x"))
-    p = F.percentile("x", F.array(*[F.lit(q) for q in (0.5, 0.05, 0.25, 0.75, 0.95)]))
-    out = flat.groupBy(*by, "variable").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), p.alias("p"))
-    return out.select(*by, "variable", "n", "mean", "sd", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("median", "p05", "p25", "p75", "p95"))])
+    out = flat.groupBy(*by, "variable").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    return with_quantiles(out, flat, [*by, "variable"], F.col("x"), {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95})
 
 
 def standardised_difference(df: DataFrame, flag: Column, variables: Sequence[str]) -> DataFrame:
@@ -137,8 +138,11 @@ def standardised_difference(df: DataFrame, flag: Column, variables: Sequence[str
     where a side has fewer than two values or neither varies."""
     flat = df.select(flag.alias("f"), F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables])).alias("s")).select("f", "s.*").filter(is_finite("x") & F.col("f").isNotNull())
     side = lambda on: F.when(F.col("f") if on else ~F.col("f"), F.col("x"))
-    out = flat.groupBy("variable").agg(*[a for s, on in (("with", True), ("without", False)) for a in (F.count(side(on)).alias(f"n_{s}"), F.avg(side(on)).alias(f"mean_{s}"), F.median(side(on)).alias(f"median_{s}"), F.var_samp(side(on)).alias(f"__v_{s}"))])
+    out = flat.groupBy("variable").agg(*[a for s, on in (("with", True), ("without", False)) for a in (F.count(side(on)).alias(f"n_{s}"), F.avg(side(on)).alias(f"mean_{s}"), F.var_samp(side(on)).alias(f"__v_{s}"))])
+    for s, on in (("with", True), ("without", False)):
+        out = with_quantiles(out, flat, ["variable"], side(on), {f"median_{s}": 0.5})
     pooled = F.sqrt((F.col("__v_with") + F.col("__v_without")) / 2)
+    out = out.select("variable", *[f"{c}_{s}" for s in ("with", "without") for c in ("n", "mean", "median", "__v") if c != "__v"], "__v_with", "__v_without")
     return out.withColumn("smd", F.when((F.col("n_with") > 1) & (F.col("n_without") > 1) & (pooled > 0), (F.col("mean_with") - F.col("mean_without")) / pooled)).drop("__v_with", "__v_without")
 
 

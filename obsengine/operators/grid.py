@@ -125,16 +125,41 @@ def edges_of(rings: DataFrame, key: str) -> DataFrame:
 def point_in_polygon(points: DataFrame, edges: DataFrame, point_key: str, key: str, bucket: float = 1.0) -> DataFrame:
     """points (point_key, lon, lat) with the smallest key of a polygon that holds them; null if none does.
 
-    A ray to the east crosses an edge whose latitudes straddle the point's. Edges are dealt to the latitude bands they
-    span, points to their own, so the join is an equi-join; an odd number of crossings is inside. A point on an edge's
-    lower end counts, on its upper end not, so that it lies in one of two neighbours."""
-    low, high = F.floor(F.least("y1", "y2") / bucket), F.floor(F.greatest("y1", "y2") / bucket)
-    banded = edges.filter("y1 <> y2").select("*", F.explode(F.sequence(low, high)).alias("band"))
-    mine = points.select(point_key, "lon", "lat", F.floor(F.col("lat") / bucket).alias("band"))
-    straddles = (F.col("y1") <= F.col("lat")) != (F.col("y2") <= F.col("lat"))
-    at = F.col("x1") + (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    hit = mine.join(banded, "band").filter(straddles & (at > F.col("lon")))
-    inside = hit.groupBy(point_key, key).count().filter("count % 2 = 1").groupBy(point_key).agg(F.min(key).alias(key))
+    An odd number of edges crossed on a way out of the polygon is inside; an edge counts at its lower and western ends and
+    not at the others, so a point on a border lies in one of two neighbours. Ways are short: the plane is cut into cells of
+    `bucket` degrees. For each polygon and cell, the south-east corner is judged once by the edges that cross the corner's
+    latitude; a point goes east to its cell's border and along that to the corner, and meets the edges in its cell alone.
+    So points and cells meet by an equi-join on the cell, and a polygon's cells without edges cost a row each."""
+    size = F.lit(float(bucket))
+    plain = edges.select(F.col(key).alias("__k"), "x1", "y1", "x2", "y2")
+    cell = lambda v: F.floor(v / size)
+    west, east = F.ceil(F.least("x1", "x2") / size) - 1, cell(F.greatest("x1", "x2"))  # an edge on a border is in the cell west of it too
+    south, north = cell(F.least("y1", "y2")), cell(F.greatest("y1", "y2"))
+    banded = plain.withColumn("__w", west).withColumn("__e", east).withColumn("__row", F.explode(F.sequence(south, north)))
+    across = lambda a, b, at: (a <= at) != (b <= at)
+    edge_y = F.col("__row") * size
+    cut = F.when(across(F.col("y1"), F.col("y2"), edge_y), F.col("x1") + (edge_y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
+    corners = banded.groupBy("__k", "__row").agg(F.collect_list(cut).alias("cuts"), F.sequence(F.min("__w"), F.max("__e")).alias("cols"))
+    corners = corners.select("__k", "__row", "cuts", F.explode("cols").alias("__col"))
+    corners = corners.select("__k", "__row", "__col", (F.size(F.filter("cuts", lambda c: c > (F.col("__col") + 1) * size)) % 2).alias("odd"))
+    inner = banded.withColumn("__col", F.explode(F.sequence("__w", "__e"))).groupBy("__k", "__row", "__col").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    cells = corners.join(inner, ["__k", "__row", "__col"], "left").filter("odd = 1 or edges is not null")
+    mine = points.select(point_key, "lon", "lat", cell(F.col("lat")).alias("__row"), cell(F.col("lon")).alias("__col"))
+    border, base = (F.col("__col") + 1) * size, F.col("__row") * size
+
+    def crossed(e):
+        """Times that the way from the point to the corner crosses an edge. Where the edge lies at the border is told by where
+        it crosses the two latitudes, as for the corner and the point, so that no rounding can make the two disagree."""
+        x = lambda at: e["x1"] + (at - e["y1"]) / (e["y2"] - e["y1"]) * (e["x2"] - e["x1"])
+        lat, rising = F.col("lat"), (e["x2"] - e["x1"]) * (e["y2"] - e["y1"]) > 0
+        by_lat, by_base = across(e["y1"], e["y2"], lat), across(e["y1"], e["y2"], base)
+        eastward = F.when(by_lat, (x(lat) > F.col("lon")) & (x(lat) <= border)).otherwise(False)
+        below = F.when(by_lat, (x(lat) > border) == rising).otherwise(e["y1"] <= lat)
+        above = F.when(by_base, (x(base) <= border) == rising).otherwise(e["y1"] > base)
+        return eastward.cast("int") + (across(e["x1"], e["x2"], border) & below & above).cast("int")
+
+    n = F.col("odd") + F.coalesce(F.aggregate("edges", F.lit(0), lambda total, e: total + crossed(e)), F.lit(0))
+    inside = mine.join(cells, ["__row", "__col"]).filter(n % 2 == 1).groupBy(point_key).agg(F.min("__k").alias(key))
     return points.join(inside, point_key, "left")
 
 

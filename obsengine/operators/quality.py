@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsengine.functions.expressions import all_finite, is_finite
+from obsengine.operators.ranks import with_quantiles
 
 
 def complete_rows(df: DataFrame, required: Sequence[str], above: dict[str, float] | None = None) -> DataFrame:
@@ -139,7 +140,8 @@ def fraction_audit(df: DataFrame, key: Sequence[str], values: Sequence[str], sla
 def mass_balance(df: DataFrame, key: Sequence[str], whole: Column, part: Column, tolerance: float = 1e-8) -> DataFrame:
     """One row: keys, largest and 99th percentile of |whole - sum of parts|, and keys beyond the tolerance."""
     by = df.groupBy(*key).agg(F.abs(F.max(whole) - F.sum(part)).alias("residual"))
-    return by.agg(F.count("*").alias("keys"), F.max("residual").alias("max_residual"), F.percentile("residual", 0.99).alias("p99_residual"), F.count_if(F.col("residual") > tolerance).alias("violations"))
+    out = by.agg(F.count("*").alias("keys"), F.max("residual").alias("max_residual"), F.count_if(F.col("residual") > tolerance).alias("violations"))
+    return with_quantiles(out, by, [], F.col("residual"), {"p99_residual": 0.99}).select("keys", "max_residual", "p99_residual", "violations")
 
 
 def conserved(sums: dict[str, DataFrame]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsengine.operators.ranks import quantiles
+
 
 def complete_window_sums(df: DataFrame, cell: Sequence[str], day: str, value: str, windows: Sequence[int]) -> DataFrame:
     """df (one row a cell and day) with sum_<w>d: the sum over the w days before, null unless all w days have a value."""
@@ -98,6 +100,6 @@ def average_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 def display_ratio(df: DataFrame, value: str, cap: float = 0.95) -> DataFrame:
     """df with display_ratio: log1p of the value over log1p of its cap percentile, at most 1; null if that is not positive."""
-    top = df.agg(F.percentile(value, cap).alias("__cap"))  # one row
-    out = df.crossJoin(F.broadcast(top))
+    top = quantiles(df, [], F.col(value), [cap]).withColumnRenamed("q0", "__cap")  # one row
+    out = df.join(F.broadcast(top), how="left")
     return out.withColumn("display_ratio", F.when(F.col("__cap") > 0, F.least(F.lit(1.0), F.log1p(F.col(value)) / F.log1p("__cap")))).drop("__cap")

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsengine.operators.ranks import quantiles, ranked as in_order, with_quantiles
 from obsengine.operators.windows import case_ranks, group_softmax
 
 
@@ -112,7 +113,7 @@ def within_set_lpm(df: DataFrame, set_col: str, outcome: str, names: Sequence[st
     s = [f"s{k}" for k in range(p)]
     covariance, method = two_way_covariance(scores, bread, first, second, s, n)
     norms = scores.groupBy(set_col).agg(F.sqrt(sum((F.pow(F.sum(c), 2) for c in s), F.lit(0.0))).alias("norm"))
-    d = norms.agg(F.percentile("norm", 0.99), F.max("norm")).first()
+    d = quantiles(norms, [], F.col("norm"), [0.99, 1.0]).first() or (None, None)
     rmse = scores.agg(F.sqrt(F.avg(F.col("__e") * F.col("__e")))).first()[0]
     dm.unpersist()
     return Fit(list(names), beta, covariance, n, {"sets": sets, "method": method, "rmse": rmse, "p99_score": d[0], "max_score": d[1]})
@@ -215,38 +216,64 @@ def grid_search(df: DataFrame, set_col: str, case: str, cell: str, names: Sequen
     return df.sparkSession.createDataFrame([(p, x, p == best) for p, x in got], "penalty double, log_loss double, chosen boolean")
 
 
-def multi_case_logit(df: DataFrame, set_col: str, outcome: str, names: Sequence[str], rounds: int = 40) -> Fit:
+def multi_case_logit(df: DataFrame, set_col: str, outcome: str, names: Sequence[str], rounds: int = 40, most_rows: int = 10_000) -> Fit:
     """Conditional logit with any number of positives a set; sets without or with only positives tell nothing.
 
-    A set (of matched size, hence small) is one group of applyInPandas; the recursion over subset sums is its likelihood.
-    Derivatives are those of the elementary symmetric functions; each Newton step is one pass."""
+    The recursion over subset sums is a set's likelihood; derivatives are those of the elementary symmetric functions. Rows
+    are dealt by set and sorted once; each Newton step is one pass, in which a task takes many sets of one size at a time
+    and hands on one row of sums. A set of over most_rows rows is an error."""
+    import pyarrow as pa
+
     p = len(names)
-    rows = df.select(set_col, F.col(outcome).cast("int").alias("__y"), *[F.col(c).cast("double").alias(c) for c in names])
-    w = Window.partitionBy(set_col)
-    rows = rows.withColumn("__k", F.sum("__y").over(w)).withColumn("__m", F.count("*").over(w)).filter("__k > 0 and __k < __m").persist()
+    rows = df.select(F.xxhash64(set_col).alias("__h"), F.col(set_col).cast("string").alias("__s"), F.col(outcome).cast("int").alias("__y"), *[F.col(c).cast("double").alias(c) for c in names])
+    w = Window.partitionBy("__h", "__s")
+    rows = rows.withColumn("__k", F.sum("__y").over(w)).withColumn("__m", F.count("*").over(w)).filter("__k > 0 and __k < __m")
+    rows = rows.withColumn("__m", F.when(F.col("__m") <= most_rows, F.col("__m")).otherwise(F.raise_error(F.concat(F.lit("too large a set: "), F.col("__s"))).cast("long")))
+    rows = rows.repartition("__h").sortWithinPartitions("__m", "__k", "__h", "__s").select("__y", "__k", "__m", *names).persist()
+
+    def block(x, y, k, beta):
+        """Sums over sets of one size m and one number k of positives. x: sets, m, p."""
+        n, m = y.shape
+        eta = x @ beta
+        top = eta.max(axis=1)
+        e = np.exp(eta - top[:, None])
+        f, g, h = np.zeros((n, k + 1)), np.zeros((n, k + 1, p)), np.zeros((n, k + 1, p, p))
+        f[:, 0] = 1
+        for i in range(m):
+            xi, ei = x[:, i], e[:, i]
+            xx = xi[:, :, None] * xi[:, None, :]
+            for j in range(min(i + 1, k), 0, -1):
+                gx = g[:, j - 1, :, None] * xi[:, None, :]
+                h[:, j] += ei[:, None, None] * (h[:, j - 1] + gx + gx.transpose(0, 2, 1) + f[:, j - 1, None, None] * xx)
+                g[:, j] += ei[:, None] * (g[:, j - 1] + f[:, j - 1, None] * xi)
+                f[:, j] += ei * f[:, j - 1]
+        mean = g[:, k] / f[:, k, None]
+        loss = np.log(f[:, k]) + k * top - (eta * y).sum(axis=1)
+        info = h[:, k] / f[:, k, None, None] - mean[:, :, None] * mean[:, None, :]
+        return np.concatenate(([n, loss.sum()], (mean - (x * y[:, :, None]).sum(axis=1)).sum(axis=0), info.sum(axis=0).ravel()))
 
     def sums(beta):
-        def one(pdf):
-            x, y = pdf[list(names)].to_numpy(), pdf["__y"].to_numpy()
-            k, eta = int(y.sum()), x @ beta
-            e = np.exp(eta - eta.max())
-            f, g, h = np.zeros(k + 1), np.zeros((k + 1, p)), np.zeros((k + 1, p, p))
-            f[0] = 1
-            for i in range(len(y)):
-                for j in range(k, 0, -1):
-                    h[j] += e[i] * (h[j - 1] + np.outer(g[j - 1], x[i]) + np.outer(x[i], g[j - 1]) + f[j - 1] * np.outer(x[i], x[i]))
-                    g[j] += e[i] * (g[j - 1] + f[j - 1] * x[i])
-                    f[j] += e[i] * f[j - 1]
-            mean = g[k] / f[k]
-            value = np.concatenate(([np.log(f[k]) + k * eta.max() - eta @ y], mean - x.T @ y, (h[k] / f[k] - np.outer(mean, mean)).ravel()))
-            return pd.DataFrame({"v": [value.tolist()]})
-
-        import pandas as pd
-
-        each = rows.groupBy(set_col).applyInPandas(one, "v array<double>")
-        row = each.agg(F.count("*"), *[F.sum(F.get("v", F.lit(j))) for j in range(1 + p + p * p)]).first()
-        v = np.array([x or 0.0 for x in row[1:]])
-        return row[0], v[0], v[1 : 1 + p], v[1 + p :].reshape(p, p)
+        def run(batches):
+            total, rest = np.zeros(2 + p + p * p), np.empty((0, 3 + p))
+            for batch in batches:
+                rest = np.concatenate((rest, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3 + p)])))
+                at = 0
+                while at < len(rest):
+                    k, m = int(rest[at, 1]), int(rest[at, 2])
+                    same = (rest[at:, 1] != k) | (rest[at:, 2] != m)
+                    end = at + (int(np.argmax(same)) if same.any() else len(same))
+                    n = min((end - at) // m, max(1, 4_000_000 // (m + k * p * p)))
+                    if not n:  # the rest of this set is in the next batch
+                        break
+                    some = rest[at : at + n * m].reshape(n, m, -1)
+                    total += block(some[:, :, 3:], some[:, :, 0], k, beta)
+                    at += n * m
+                rest = rest[at:]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["v"])
+
+        each = rows.mapInArrow(run, "v array<double>")
+        v = np.array([x or 0.0 for x in each.agg(*[F.sum(F.get("v", F.lit(j))) for j in range(2 + p + p * p)]).first()])
+        return int(v[0]), v[1], v[2 : 2 + p], v[2 + p :].reshape(p, p)
 
     beta = np.zeros(p)
     n, loss, g, h = sums(beta)
@@ -275,19 +302,32 @@ def holm(df: DataFrame, family: Sequence[str], p: str, tie: Sequence[str] = ())
 
 
 def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
-    """One row: mean, and 2.5 and 97.5 percentiles of the mean over replicates.
+    """One row: n, mean, and 2.5 and 97.5 percentiles of the mean over replicates.
 
     Each row's weight in a replicate is a Poisson(1) draw from a hash of key, replicate and seed - the limit of drawing n of
-    n - so replicates need no numbering of rows and no join, and don't depend on partitions."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("r")), F.lit(1 << 53)) / float(1 << 53)
-    cut, mass, weight = 0.0, math.exp(-1), F.lit(0)
-    for k in range(1, 12):
-        cut += mass
-        mass /= k
-        weight = weight + (F.col("u") >= cut).cast("int")
-    draws = df.select(key, F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("u", u).withColumn("k", weight)
-    means = draws.groupBy("r").agg((F.sum(F.col("k") * F.col("x")) / F.sum("k")).alias("m"))
-    ends = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count("m").alias("replicates"))
+    n - so replicates need no numbering of rows and no join, and don't depend on partitions. Each row is read once: a task
+    sums all replicates of a batch before anything is shuffled."""
+    import pyarrow as pa
+
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    rows = df.select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(value).cast("double").alias("x")).filter("x is not null")
+
+    def sums(batches):
+        steps = np.arange(replicates, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        w, wx = np.zeros(replicates), np.zeros(replicates)
+        for batch in batches:
+            h, x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+            for k in range(0, len(h), 1000):
+                z = h[k : k + 1000, None] + steps[None, :]
+                z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                n = np.searchsorted(cuts, (z ^ z >> np.uint64(31)) / 2.0**64, side="right")
+                w += n.sum(axis=0)
+                wx += x[k : k + 1000] @ n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(w), pa.array(wx)], ["r", "w", "wx"])
+
+    means = rows.mapInArrow(sums, "r int, w double, wx double").groupBy("r").agg((F.sum("wx") / F.sum("w")).alias("m"))
+    ends = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count("m").alias("replicates"))  # a row a replicate
     return df.agg(F.avg(value).alias("mean"), F.count(value).alias("n")).crossJoin(ends).select("n", "mean", F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"), "replicates")
 
 
@@ -328,7 +368,9 @@ def fixed_effect_poisson(df: DataFrame, unit: str, exposed: Column, count: str,
 
 def rank_sum(ranked: DataFrame, by: Sequence[str], group: Column, value: str, least: int = 5) -> DataFrame:
     """Two-group medians and rank-sum z (ties corrected) from average_ranks(); null with fewer than `least` on a side."""
-    out = ranked.groupBy(*by).agg(F.count_if(group).cast("double").alias("n1"), F.count_if(~group).cast("double").alias("n2"), F.median(F.when(group, F.col(value))).alias("median1"), F.median(F.when(~group, F.col(value))).alias("median2"), F.sum(F.when(group, F.col("average_rank"))).alias("w"), F.sum(F.col("tie_size") * F.col("tie_size") - 1).cast("double").alias("t"))
+    out = ranked.groupBy(*by).agg(F.count_if(group).cast("double").alias("n1"), F.count_if(~group).cast("double").alias("n2"), F.sum(F.when(group, F.col("average_rank"))).alias("w"), F.sum(F.col("tie_size") * F.col("tie_size") - 1).cast("double").alias("t"))
+    for name, side in (("median1", group), ("median2", ~group)):
+        out = with_quantiles(out, ranked, by, F.when(side, F.col(value)), {name: 0.5})
     n = F.col("n1") + F.col("n2")
     var = F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("t") / (n * (n - 1)))
     z = (F.col("w") - F.col("n1") * (n + 1) / 2) / F.sqrt(var)
@@ -366,14 +408,13 @@ def by_subset(df: DataFrame, subsets: dict[str, Column], fit) -> DataFrame:
 
 def trimmed_refit(df: DataFrame, set_col: str, outcome: str, names: Sequence[str], first: str, second: str, shares: Sequence[float] = (0.005, 0.01)) -> DataFrame:
     """The within-set model on all sets, and without the share of sets of largest score."""
-    from obsengine.operators.windows import without_top_share
-
     fit = within_set_lpm(df, set_col, outcome, names, first, second)
-    norms = set_score_norms(df, set_col, outcome, names, fit.beta)
-    rows = [("all", *fit.rows()[0])]
+    norms = in_order(set_score_norms(df, set_col, outcome, names, fit.beta), [F.desc("norm"), F.col(set_col)], "__r").persist()
+    n, rows = norms.count(), [("all", *fit.rows()[0])]
     for share in shares:
-        kept = without_top_share(norms.withColumn("__g", F.lit(1)), ["__g"], "norm", share, [set_col]).select(set_col)
+        kept = norms.filter(F.col("__r") > math.ceil(n * share)).select(set_col)
         rows.append((f"without top {share:g}", *within_set_lpm(df.join(kept, set_col, "left_semi"), set_col, outcome, names, first, second).rows()[0]))
+    norms.unpersist()
     return df.sparkSession.createDataFrame(rows, "subset string, " + WALD)
 
 

@@ -28,3 +28,50 @@ def test_trailing_rows_reach_as_far_back_as_needed(spark):
         whole = len(before) == 5 and before[-1].replace(microsecond=0) - before[0].replace(microsecond=0) <= timedelta(hours=72)
         want[k] = (5, before[0]) if whole else (None, None)
     assert got == want and got[5][0] == 5
+
+
+def test_points_in_polygons_equal_a_long_ray(spark):
+    """Random, self-crossing and axis-parallel rings with corners on the cells' borders; points on borders too."""
+    import random
+
+    from obsengine.operators import grid
+
+    rng = random.Random(5)
+    rings = {}
+    for k in range(14):
+        step = rng.choice([1.0, 0.5, 0.37])
+        rings[f"k{k:02d}"] = [(rng.randrange(-6, 12) * step, rng.randrange(-6, 12) * step) for _ in range(rng.randrange(3, 9))]
+    rings["square"] = [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0)]
+    points = [(k, rng.randrange(-24, 44) / 4 if k % 2 else rng.uniform(-6, 11), rng.randrange(-24, 44) / 4 if k % 3 else rng.uniform(-6, 11)) for k in range(700)]
+
+    def holds(ring, lon, lat):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            if (y1 <= lat) != (y2 <= lat):
+                odd ^= x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon
+        return odd
+
+    want = {k: min((n for n, ring in rings.items() if holds(ring, lon, lat)), default=None) for k, lon, lat in points}
+    edges = grid.edges_of(spark.createDataFrame([(n, 0, i, x, y) for n, ring in rings.items() for i, (x, y) in enumerate(ring)], "k string, ring int, seq int, lon double, lat double"), "k")
+    for bucket in (1.0, 0.5, 4.0):
+        got = grid.point_in_polygon(spark.createDataFrame(points, "p int, lon double, lat double"), edges, "p", "k", bucket)
+        assert {r.p: r.k for r in got.collect()} == want
+
+
+def test_quantiles_and_ranks(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from obsengine.operators import ranks
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, 0.0, rng.gauss(0, 1), None])) for _ in range(500)] + [("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.q0, r.q1, r.q2) for r in ranks.quantiles(df, ["g"], F.col("v"), [0.0, 0.37, 0.99]).collect()}
+    want = {g: tuple(np.quantile([v for k, v in rows if k == g and v is not None], [0.0, 0.37, 0.99])) for g in ("a", "b", None, "c")}
+    assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
+    assert ranks.quantiles(df.limit(0), ["g"], F.col("v"), [0.5]).count() == 0 and ranks.quantiles(df.limit(0), [], F.col("v"), [0.5]).first().q0 is None
+    numbered = ranks.ranked(spark.range(300).withColumn("v", F.col("id") * 7 % 300).repartition(4), [F.desc("v")], "r").collect()
+    assert sorted(r.r for r in numbered) == list(range(1, 301)) and all(r.r == 300 - r.v for r in numbered)
