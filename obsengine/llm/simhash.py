@@ -125,9 +125,9 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 3, full_from: int = 64)
 
 
 def _stars(met: DataFrame) -> DataFrame:
-    """A link from each point's fingerprints to its smallest."""
-    least = stored(met.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1"), "least")
-    return join_skewed(met, least, "point").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    """A link from each point's fingerprints to its smallest. A point of a full ball is one of 2,081 fingerprints at most."""
+    least = met.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("point", "v")
+    return met.join(least, "point").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, size: int = 4, blocks: int = 3, full_from: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
