@@ -11,7 +11,8 @@ from obsengine.llm.queries import tokenizer_path
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts as toxic go."""
+    """Documents that the toxicity operator predicts as toxic go. Null and empty texts have no hits and stay; repeated rows are
+    judged one by one; an empty table gives no rows."""
     model = toxicity.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return toxicity.remove_toxic(docs, model)
 
@@ -27,18 +28,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go, if these cover a twentieth of their words."""
+    """Documents that hold passages of the benchmark go, if these cover a twentieth of their words. Null and empty texts hold
+    none; rows of null or equal doc_id are judged one by one; an empty benchmark takes nothing away."""
     return decontaminate.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as their rate says: languages with few tokens are repeated, none is thinned out."""
-    _, steps, classifier, _ = mixing.mix(docs, read_table(spark, sf_dir, "labels"), F.col("lang"), least_rate=1.0)
+    """Documents come as often as their rate says: good texts are repeated until they make up their part of all tokens, and
+    none is thinned out. Null and empty texts have rates too and are kept; without labels every row comes once."""
+    quality = F.when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
+    _, steps, classifier, _ = mixing.mix(docs, read_table(spark, sf_dir, "labels"), quality, shares={"good": 0.88, "poor": 0.12}, least_rate=1.0)
     return mixing.apply_rates(docs, classifier, steps, least_rate=1.0)
 
 
 def written(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids as binary records; the result is read back from them, in doc_id order, null first."""
+    """Token ids as binary records; the result is read back from them, in doc_id order, null first. A null or empty text is
+    its end id alone; rows that share a doc_id are records of their own."""
     return records.to_records_and_back(docs, tokenizer_path(), end_id=2, null_ids=True)
 
 
