@@ -116,11 +116,12 @@ def rates_after(steps: list[np.ndarray], least_rate: float, posteriors: np.ndarr
     return r
 
 
-def fit_steps(members: DataFrame, targets: np.ndarray | None, n_domains: int, least_rate: float = 0.0, most_steps: int = 40, tolerance: float = 1e-4, temper: float | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit_steps(members: DataFrame, targets: np.ndarray | None, n_domains: int, least_rate: float = 0.0, most_steps: int = 40, tolerance: float = 1e-4, temper: float | None = None, shares: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps, expected totals after them, and targets. members: stored table of tokens and posterior.
 
-    targets: tokens by domain, null (nan) to keep a domain's. With temper instead, shares are raised to that power and
-    scaled so that no domain has to shrink."""
+    targets: tokens by domain, null (nan) to keep a domain's. With shares instead, these parts of all tokens; if rates under 1
+    aren't allowed, of so many tokens that no domain has to shrink. With temper, the shares found are raised to that power
+    and scaled so that no domain has to shrink."""
 
     def totals(steps):
         def make():
@@ -140,9 +141,13 @@ def fit_steps(members: DataFrame, targets: np.ndarray | None, n_domains: int, le
 
     now, gram = totals([])
     whole = max(now.sum(), 1.0)
-    if temper is not None:
-        shares = np.maximum(now, 0) / whole
-        raised = np.where(shares > 0, np.maximum(shares, 1e-12) ** temper, 0.0)
+    if shares is not None:
+        targets = shares / shares.sum() * now.sum()
+        if least_rate >= 1 and (targets > 0).any():
+            targets = targets * max(1.0, np.max(now[targets > 0] / targets[targets > 0]))
+    elif temper is not None:
+        found = np.maximum(now, 0) / whole
+        raised = np.where(found > 0, np.maximum(found, 1e-12) ** temper, 0.0)
         targets = raised * max(now[k] / raised[k] for k in range(n_domains)) if raised.any() else now
     targets = np.where(np.isnan(targets), now, targets)
     scale = np.where(targets > 0, targets, whole) ** 2
@@ -171,15 +176,17 @@ def fit_steps(members: DataFrame, targets: np.ndarray | None, n_domains: int, le
     return steps, now, targets
 
 
-def mix(documents: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float] | None = None, temper: float | None = 0.7, least_rate: float = 0.0, max_fit_rows: int = 4_000) -> tuple[DataFrame, list[np.ndarray], Classifier, DataFrame]:
+def mix(documents: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float] | None = None, shares: dict[str, float] | None = None, temper: float | None = 0.7, least_rate: float = 0.0, max_fit_rows: int = 4_000) -> tuple[DataFrame, list[np.ndarray], Classifier, DataFrame]:
     """(doc_id, tokens, posterior, domain, rate), the steps, the classifier, and a report by domain.
 
-    targets: tokens wanted by domain; without them, shares are tempered."""
+    targets: tokens wanted by domain. shares: parts of all tokens wanted by domain, 0 for one that isn't named. Without
+    either, the shares found are tempered."""
     classifier = fit_classifier(documents, labels, domain, max_fit_rows)
     members = stored(memberships(documents, classifier), "memberships")
     k = len(classifier.domains)
     asked = None if targets is None else np.array([targets.get(d, np.nan) for d in classifier.domains], float)
-    steps, reached, wanted = fit_steps(members, asked, k, least_rate, temper=temper if targets is None else None)
+    parts = None if shares is None else np.array([shares.get(d, 0.0) for d in classifier.domains], float)
+    steps, reached, wanted = fit_steps(members, asked, k, least_rate, temper=temper if targets is None else None, shares=parts if parts is not None and parts.any() else None)
     best = F.get(F.array(*map(F.lit, classifier.domains)), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
     rated = members.withColumn("domain", best).withColumn("rate", rate(steps, least_rate))
     report = documents.sparkSession.createDataFrame([(d, float(w), float(e)) for d, w, e in zip(classifier.domains, wanted, reached, strict=True)], "domain string, target double, expected double")
@@ -187,7 +194,7 @@ def mix(documents: DataFrame, labels: DataFrame, domain: Column, targets: dict[s
 
 
 def apply_rates(documents: DataFrame, classifier: Classifier, steps: list[np.ndarray], least_rate: float = 0.0) -> DataFrame:
-    """Each row as often as its rate says: the whole part, and once more by a hash of the text for the rest. Columns stay;
+    """Each row as often as its rate says: the whole part, and once more by a hash of its doc_id for the rest. Columns stay;
     nothing is shuffled."""
     import xxhash
 
