@@ -4,7 +4,8 @@ A classifier fitted on a labelled table (softmax regression on hashed pieces of
 over domains. The expected tokens of domain k under document rates r are E_k = sum of r_d * tokens_d * posterior_dk. The
 rates that match targets T are fitted by projected gradient on the relative squares sum_k ((E_k - T_k) / T_k)^2: a step
 moves r_d along posterior_d . g (the gradient scaled by 1 / tokens_d, so that length doesn't decide) and back to
-r_d >= least_rate, 0 unless asked otherwise. Step sizes are Barzilai-Borwein's.
+r_d >= least_rate, 0 unless asked otherwise. Step sizes are Barzilai and Borwein's two in turn; the rates of the least sum
+of squares are kept.
 
 One iteration is one Spark aggregation of K sums over the table of tokens and posteriors. A document's rate is made anew
 from the K-vectors of all steps so far, so no rates are stored, and the driver holds K numbers a step.
@@ -126,20 +127,23 @@ def fit_steps(members: DataFrame, targets: np.ndarray | None, n_domains: int, le
     def totals(steps):
         def make():
             def f(batch):
+                if not batch.num_rows:
+                    return {"e": [], "gram": [], "moved": []}
                 p = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, n_domains)[batch.column(1).offset :][: batch.num_rows]
                 n = batch.column(0).to_numpy(zero_copy_only=False)
-                e = (rates_after(steps, least_rate, p) * n) @ p
+                before = rates_after(steps[:-1], least_rate, p)
+                rates = np.maximum(least_rate, before - p @ steps[-1]) if steps else before
                 gram = (p * n[:, None]).T @ p
-                return {"e": [e.tolist()], "gram": [gram.ravel().tolist()]}
+                return {"e": [((rates * n) @ p).tolist()], "gram": [gram.ravel().tolist()], "moved": [float(np.sum(n * (rates - before) ** 2))]}
 
             return f
 
-        sums = per_batch(members.select("tokens", "posterior"), "e array<double>, gram array<double>", make)
-        row = sums.select([F.sum(F.get("e", F.lit(k))).alias(f"e{k}") for k in range(n_domains)] + [F.sum(F.get("gram", F.lit(k))).alias(f"g{k}") for k in range(n_domains**2)]).first()
+        sums = per_batch(members.select("tokens", "posterior"), "e array<double>, gram array<double>, moved double", make)
+        row = sums.select([F.sum(F.get("e", F.lit(k))).alias(f"e{k}") for k in range(n_domains)] + [F.sum(F.get("gram", F.lit(k))).alias(f"g{k}") for k in range(n_domains**2)] + [F.sum("moved")]).first()
         got = np.array([x or 0.0 for x in row])
-        return got[:n_domains], got[n_domains:].reshape(n_domains, n_domains)
+        return got[:n_domains], got[n_domains:-1].reshape(n_domains, n_domains), got[-1]
 
-    now, gram = totals([])
+    now, gram, _ = totals([])
     whole = max(now.sum(), 1.0)
     if shares is not None:
         targets = shares / shares.sum() * now.sum()
@@ -155,25 +159,23 @@ def fit_steps(members: DataFrame, targets: np.ndarray | None, n_domains: int, le
     size = 1 / max(np.abs(np.linalg.eigvals(gram / scale[:, None])).max(), 1e-30) if now.any() else 0.0
     steps: list[np.ndarray] = []
     residual = (now - targets) / scale
-    best = (np.inf, [])
-    for _ in range(most_steps):
-        error = np.abs(residual * scale).max() / whole
+    best = (np.inf, [], now)
+    for t in range(most_steps + 1):
+        error = float(np.sum(residual * residual * scale))
         if error < best[0]:
-            best = (error, list(steps))
-        if error < tolerance:
+            best = (error, list(steps), now)
+        if t == most_steps or np.abs(residual * scale).max() / whole < tolerance:
             break
         steps.append(size * residual)
-        after, _ = totals(steps)
+        after, _, moved = totals(steps)
         new = (after - targets) / scale
-        moved, changed = -steps[-1], new - residual
-        along = float(np.sum(scale * moved * changed))
-        size = float(np.sum(scale * moved * moved)) / along if along > 0 else size / 2
+        along, curved = float((after - now) @ (new - residual)), float((new - residual) @ gram @ (new - residual))
+        if along > 0 and curved > 0:
+            size = moved / along if t % 2 else along / curved
+        else:
+            size /= 2
         residual, now = new, after
-    error = np.abs(residual * scale).max() / whole
-    if error > best[0]:
-        steps = best[1]
-        now, _ = totals(steps)
-    return steps, now, targets
+    return best[1], best[2], targets
 
 
 def mix(documents: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float] | None = None, shares: dict[str, float] | None = None, temper: float | None = 0.7, least_rate: float = 0.0, max_fit_rows: int = 4_000) -> tuple[DataFrame, list[np.ndarray], Classifier, DataFrame]:

@@ -53,29 +53,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z - self.thresholds, -30, 30)))
 
 
+def loss_and_gradient(theta: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: np.ndarray, grades: np.ndarray, ridge: float) -> tuple[float, list[np.ndarray]]:
+    """Mean negative log likelihood of the grades and half the ridge, and its gradient. theta: weights of words, of shape
+    measures, and the first threshold with the logarithms of the gaps to the next."""
+    w, s, g = theta
+    n, k = len(grades), len(g)
+    below, above = np.maximum(grades - 1, 0), np.minimum(grades, k - 1)
+    cuts = g[0] + np.concatenate(([0.0], np.cumsum(np.exp(g[1:]))))
+    z = np.bincount(rows, w[cols] * values, minlength=n) + shape @ s
+    up = np.where(grades > 0, 1 / (1 + np.exp(-np.clip(z - cuts[below], -30, 30))), 1.0)  # P(grade >= own)
+    over = np.where(grades < k, 1 / (1 + np.exp(-np.clip(z - cuts[above], -30, 30))), 0.0)  # P(grade > own)
+    p = np.maximum(up - over, 1e-9)
+    d_up, d_over = up * (1 - up) / p, over * (1 - over) / p  # of log p
+    dz = -(d_up - d_over) / n
+    d_cuts = np.zeros(k)
+    np.add.at(d_cuts, below, np.where(grades > 0, d_up, 0) / n)
+    np.add.at(d_cuts, above, np.where(grades < k, -d_over, 0) / n)
+    tail = np.cumsum(d_cuts[::-1])[::-1]
+    gradient = [np.bincount(cols, values * dz[rows], minlength=len(w)) + ridge * w, shape.T @ dz + ridge * s, np.concatenate((tail[:1], tail[1:] * np.exp(g[1:])))]
+    return float(-np.log(p).mean() + 0.5 * ridge * (w @ w + s @ s)), gradient
+
+
 def fit_rows(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: np.ndarray, grades: np.ndarray, n_grades: int, bits: int, rounds: int = 150, ridge: float = 1e-4, rate: float = 0.3) -> Model:
-    """Adam on the mean negative log likelihood of the grades; thresholds are a first one and exponents of gaps."""
-    n, k = len(grades), n_grades - 1
+    """Adam on loss_and_gradient()."""
+    k = n_grades - 1
     share = np.array([np.clip(np.mean(grades > t), 1e-3, 1 - 1e-3) for t in range(k)])
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(k))
     theta = [np.zeros(1 << bits), np.zeros(SHAPE), np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-2))))]
     moment, square = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    below, above = np.maximum(grades - 1, 0), np.minimum(grades, k - 1)
     for step in range(1, rounds + 1):
-        w, s, g = theta
-        cuts = g[0] + np.concatenate(([0.0], np.cumsum(np.exp(g[1:]))))
-        z = np.bincount(rows, w[cols] * values, minlength=n) + shape @ s
-        up = np.where(grades > 0, 1 / (1 + np.exp(-np.clip(z - cuts[below], -30, 30))), 1.0)  # P(grade >= own)
-        over = np.where(grades < k, 1 / (1 + np.exp(-np.clip(z - cuts[above], -30, 30))), 0.0)  # P(grade > own)
-        p = np.maximum(up - over, 1e-9)
-        d_up, d_over = up * (1 - up) / p, over * (1 - over) / p  # of log p
-        dz = -(d_up - d_over) / n
-        d_cuts = np.zeros(k)
-        np.add.at(d_cuts, below, np.where(grades > 0, d_up, 0) / n)
-        np.add.at(d_cuts, above, np.where(grades < k, -d_over, 0) / n)
-        tail = np.cumsum(d_cuts[::-1])[::-1]
-        grad = [np.bincount(cols, values * dz[rows], minlength=1 << bits) + ridge * w, shape.T @ dz + ridge * s, np.concatenate((tail[:1], tail[1:] * np.exp(g[1:])))]
-        for j, d in enumerate(grad):
+        for j, d in enumerate(loss_and_gradient(theta, rows, cols, values, shape, grades, ridge)[1]):
             moment[j] = 0.9 * moment[j] + 0.1 * d
             square[j] = 0.999 * square[j] + 0.001 * d * d
             theta[j] = theta[j] - rate * (1 - step / (rounds + 1)) * (moment[j] / (1 - 0.9**step)) / (np.sqrt(square[j] / (1 - 0.999**step)) + 1e-8)
