@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsengine.functions import expressions as X
 from obsengine.plans import marts, models
 from obsengine.plans.model_queries import price_frame
-from obsengine.plans.observation_queries import MATCHED, matched_user_days, query, rounded, table
+from obsengine.plans.observation_queries import MATCHED, matched_user_days, query, rounded, scratch, table
 from obsengine.operators import matching
 from obsengine.sources import readers
 from obsengine.streaming import jobs
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary one if all runs in one process, as in tests;
-    on a cluster that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 MONTHLY = "monthly as (select date_trunc('month', o_orderdate)::date d, round(avg(o_totalprice) / 50000 - 5, 6) v from orders group by 1)"
 
 

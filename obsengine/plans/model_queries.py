@@ -7,8 +7,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import functions as F
 
 from obsengine.operators import aggregates, matching, windows
-from obsengine.plans import models
-from obsengine.plans.observation_queries import MATCHED, matched_user_days, normal_p, query, rounded, table, wald_rows, wald_sql, within_set_sql
+from obsengine.plans import ablation, models
+from obsengine.plans.observation_queries import MATCHED, matched_user_days, normal_p, query, rounded, scratch, table, wald_rows, wald_sql, within_set_sql
 
 # --- multiple testing, ranks
 
@@ -110,6 +110,25 @@ def spatial_cv(spark, sf_dir):
     return models.grid_search(x, "matched_set_id", "outcome", "cell", ["a", "b"], folds, "block", 5, [0.01, 0.1, 1.0, 10.0, 100.0])
 
 
+@query()
+def family_ablation(spark, sf_dir):
+    """Explicit, embedding and combined features of matched user-days; embeddings by cell; three spans of days. Penalties are
+    chosen on the first, rehearsed on the second, frozen, and tested on the third."""
+    e = table(spark, sf_dir, "embeddings")
+    bands = [f"e{k}" for k in range(4)]
+    cells = e.select(e.columns[0], *[F.get("embedding", F.lit(k)).cast("double").alias(b) for k, b in enumerate(bands)]).withColumnRenamed(e.columns[0], "at")
+    x = covariates(spark, sf_dir).withColumn("at", F.col("grid_row") * 10 + F.col("grid_col")).join(cells, "at")
+    first, second = F.col("date") < F.lit("2024-01-15").cast("date"), F.col("date") < F.lit("2024-01-21").cast("date")
+    families = {"explicit": ["a", "b"], "embedding_only": bands, "combined": ["a", "b", *bands]}
+    grid = [0.01, 0.1, 1.0, 10.0, 100.0]
+    developed = ablation.develop(x, first, ~first & second, "matched_set_id", "outcome", "cell", "block", families, {"explicit": [0.0], "embedding_only": grid, "combined": grid}).persist()
+    columns, lock, out = ["matched_set_id", "outcome", "date", "cell", "a", "b", *bands], scratch(spark, "lock"), scratch(spark, "tested")
+    ablation.freeze(developed, x, columns, lock)
+    tested = ablation.test_locked(x, columns, lock, second, ~second, "matched_set_id", "outcome", families, out)
+    both = developed.select("family", "penalty", F.round("cv_log_loss", 6).alias("cv_log_loss"), F.round("log_loss", 6).alias("rehearsal_log_loss"))
+    return both.join(tested.select("family", "sets", *[F.round(c, 6).alias(c) for c in ("log_loss", "top1", "mrr")]), "family")
+
+
 @query()
 def bootstrap_gain(spark, sf_dir):
     """Mean loss difference of two models by matched set, with a bootstrap interval."""

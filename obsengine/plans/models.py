@@ -150,11 +150,11 @@ def cond_logit_sums(df: DataFrame, set_col: str, case: str, names: Sequence[str]
     return row[0], row[1] or 0.0, np.array([v or 0.0 for v in row[2 : 2 + p]]), symmetric(row[2 + p :], p)
 
 
-def cond_logit(df: DataFrame, set_col: str, case: str, names: Sequence[str], ridge: float = 0.0, first: str | None = None, second: str | None = None, rounds: int = 40, tolerance: float = 1e-5) -> Fit:
+def cond_logit(df: DataFrame, set_col: str, case: str, names: Sequence[str], ridge: float = 0.0, first: str | None = None, second: str | None = None, rounds: int = 40, tolerance: float = 1e-9) -> Fit:
     """Newton steps with halving on the likelihood of one case a set, plus ridge / 2 |beta|^2; one Spark pass a step.
 
     The frame is dealt by set once. Where the information is singular, a small ridge is added for the step. Converged when
-    the largest gradient is below the tolerance; otherwise an error."""
+    the largest gradient is below the tolerance times the number of sets; otherwise an error."""
     rows = df.select(set_col, *dict.fromkeys([c for c in (first, second) if c]), F.col(case).cast("int").alias("__case"), *[F.col(c).cast("double").alias(c) for c in names]).repartition(set_col).persist()
     p = len(names)
 
@@ -165,7 +165,7 @@ def cond_logit(df: DataFrame, set_col: str, case: str, names: Sequence[str], rid
     beta = np.zeros(p)
     n, loss, g, h = at(beta)
     for _ in range(rounds):
-        if np.abs(g).max() < tolerance:
+        if np.abs(g).max() < tolerance * max(1, n):
             break
         step = np.linalg.solve(h + (1e-8 * max(1.0, np.trace(h))) * np.eye(p), -g)
         size = 1.0
@@ -198,22 +198,144 @@ def ranking_metrics(df: DataFrame, set_col: str, case: str, names: Sequence[str]
     return loss.join(ranks, set_col).agg(F.count("*").alias("sets"), F.avg("loss").alias("log_loss"), F.avg("top1").alias("top1"), F.avg(1 / F.col("average_rank")).alias("mrr"), F.avg("uniform").alias("uniform_loss"))
 
 
+def _in_sets(df: DataFrame, set_col: str, case: str, names: Sequence[str], keep: Sequence[str] = (), most_rows: int = 10_000) -> DataFrame:
+    """case, size of the set, `keep` and the names, as doubles, dealt and sorted by size and set, so that a task meets whole
+    sets of one size in a row. A set of over most_rows rows is an error."""
+    w = Window.partitionBy("__h", "__s")
+    rows = df.select(F.xxhash64(set_col).alias("__h"), F.col(set_col).cast("string").alias("__s"), F.col(case).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in (*keep, *names)]).withColumn("__m", F.count("*").over(w))
+    rows = rows.withColumn("__m", F.when(F.col("__m") <= most_rows, F.col("__m")).otherwise(F.raise_error(F.concat(F.lit("too large a set: "), F.col("__s"))).cast("long")).cast("double"))
+    return rows.repartition("__h").sortWithinPartitions("__m", "__h", "__s").select("__y", "__m", *keep, *names)
+
+
+def _over_sets(rows: DataFrame, size: int, each) -> np.ndarray:
+    """Sum over all tasks of each(values of n sets of one size: n, m, columns), a vector of `size` numbers. rows: _in_sets()."""
+    import pyarrow as pa
+
+    def run(batches):
+        total, rest = np.zeros(size), None
+        for batch in batches:
+            new = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rest = new if rest is None else np.concatenate((rest, new))
+            at = 0
+            while at < len(rest):
+                m = int(rest[at, 1])
+                other = rest[at:, 1] != m
+                n = min((int(np.argmax(other)) if other.any() else len(other)) // m, max(1, 100_000 // m))
+                if not n:  # the rest of this set is in the next batch
+                    break
+                total += each(rest[at : at + n * m].reshape(n, m, -1))
+                at += n * m
+            rest = rest[at:]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
+
+    row = rows.mapInArrow(run, "v array<double>").agg(*[F.sum(F.get("v", F.lit(j))) for j in range(size)]).first()
+    return np.array([x or 0.0 for x in row])
+
+
+def fits_in_step(rows: DataFrame, problems: Sequence[tuple[int, float]], first_name: int, p: int, rounds: int = 60, tolerance: float = 1e-7) -> np.ndarray:
+    """Ridge conditional logits of many problems, all in the same passes: a row of coefficients each.
+
+    rows: _in_sets() with columns of 0 and 1, one of which says for each problem (its number among all columns, its penalty)
+    which sets it is fitted on. A pass tries one step of every problem that has not converged; a step that doesn't lower the
+    loss is halved. Converged when the largest gradient is below the tolerance times the number of sets; else an error."""
+    k = len(problems)
+    width = 2 + p + p * p
+    beta, trial, size = np.zeros((k, p)), np.zeros((k, p)), np.ones(k)
+    state: list = [None] * k
+    done = np.zeros(k, bool)
+
+    def at(betas, todo):
+        masks = [c for c, _ in problems]
+
+        def each(v):
+            x, y, out = v[:, :, first_name:], v[:, :, 0], np.zeros((k, width))
+            for j in todo:
+                mine = v[:, 0, masks[j]] > 0
+                if mine.any():
+                    xs, ys = x[mine], y[mine]
+                    eta = xs @ betas[j]
+                    top = eta.max(axis=1, keepdims=True)
+                    e = np.exp(eta - top)
+                    z = e.sum(axis=1, keepdims=True)
+                    q = e / z
+                    mean = np.einsum("nm,nmp->np", q, xs)
+                    second = np.einsum("nm,nmp,nmq->pq", q, xs, xs, optimize=True)
+                    loss = np.sum((top + np.log(z))[:, 0] - np.sum(eta * ys, axis=1))
+                    out[j] = np.concatenate(([len(xs), loss], (mean - np.einsum("nm,nmp->np", ys, xs)).sum(axis=0), (second - mean.T @ mean).ravel()))
+            return out.ravel()
+
+        got = _over_sets(rows, k * width, each).reshape(k, width)
+        out = []
+        for j, (_, ridge) in enumerate(problems):
+            b = betas[j]
+            out.append((got[j, 0], got[j, 1] + 0.5 * ridge * b @ b, got[j, 2 : 2 + p] + ridge * b, got[j, 2 + p :].reshape(p, p) + ridge * np.eye(p)))
+        return out
+
+    for _ in range(rounds):
+        todo = np.flatnonzero(~done).tolist()
+        if not todo:
+            return beta
+        tried = at(trial, todo)
+        for j in todo:
+            if state[j] is None or tried[j][1] <= state[j][1] + 1e-12 or size[j] < 1e-4:
+                beta[j], state[j], size[j] = trial[j], tried[j], 1.0
+                n, _, g, h = state[j]
+                done[j] = np.abs(g).max() < tolerance * max(1, n)
+            else:
+                size[j] /= 2
+            n, _, g, h = state[j]
+            trial[j] = beta[j] + size[j] * np.linalg.solve(h + (1e-8 * max(1.0, np.trace(h))) * np.eye(p), -g)
+    raise RuntimeError(f"{int((~done).sum())} conditional logits did not converge")
+
+
+def held_out_losses(rows: DataFrame, masks: Sequence[int], betas: np.ndarray, first_name: int) -> list[tuple[int, float, float, float]]:
+    """Of each mask (a column that says which sets are held out) and coefficients: sets, mean log loss (probabilities kept above
+    1e-15), share of cases ranked first (ties share), mean reciprocal of the average rank."""
+
+    def each(v):
+        x, y, out = v[:, :, first_name:], v[:, :, 0], np.zeros((len(masks), 4))
+        for j, c in enumerate(masks):
+            mine = v[:, 0, c] > 0
+            if mine.any():
+                eta, ys = x[mine] @ betas[j], y[mine] > 0
+                q = np.exp(eta - eta.max(axis=1, keepdims=True))
+                q /= q.sum(axis=1, keepdims=True)
+                own = np.sum(np.where(ys, eta, 0.0), axis=1, keepdims=True)
+                above, tied = np.sum(eta > own + 1e-12, axis=1), np.sum(np.abs(eta - own) <= 1e-12, axis=1)
+                out[j] = [mine.sum(), -np.log(np.maximum(np.sum(q * ys, axis=1), 1e-15)).sum(), np.where(above == 0, 1 / tied, 0.0).sum(), (1 / (above + (tied + 1) / 2)).sum()]
+        return out.ravel()
+
+    got = _over_sets(rows, 4 * len(masks), each).reshape(-1, 4)
+    return [(int(n), *(float(x / max(n, 1)) for x in rest)) for n, *rest in got]
+
+
+def with_folds(df: DataFrame, set_col: str, cell: str, folds: DataFrame, block: str, n_folds: int) -> DataFrame:
+    """df with test_<k> and train_<k>: whether the row's set is held out in fold k, or may be fitted on, as it shares no cell
+    with a set that is."""
+    rows = df.join(folds, block)
+    of_set = rows.groupBy(set_col).agg(F.min("fold").alias("__fold"))
+    rows = rows.drop("fold").join(of_set, set_col)
+    touched = rows.groupBy(cell).agg(F.collect_set("__fold").alias("__folds"))  # n_folds numbers at most
+    near = rows.join(touched, cell).groupBy(set_col).agg(F.array_distinct(F.flatten(F.collect_list("__folds"))).alias("__near"))
+    out = rows.join(near, set_col)
+    for k in range(n_folds):
+        out = out.withColumn(f"test_{k}", (F.col("__fold") == k).cast("double")).withColumn(f"train_{k}", (~F.array_contains("__near", k)).cast("double"))
+    return out.drop("__fold", "__near")
+
+
 def grid_search(df: DataFrame, set_col: str, case: str, cell: str, names: Sequence[str], folds: DataFrame, block: str, n_folds: int, penalties: Sequence[float]) -> DataFrame:
-    """penalty, mean held-out log loss over purged spatial folds, chosen (least loss; ties to the larger penalty)."""
-    from obsengine.operators.matching import purged_split
-
-    rows = df.join(folds, block).persist()
-    got = []
-    for penalty in penalties:
-        losses = []
-        for k in range(n_folds):
-            test, train = purged_split(rows, F.col("fold") == k, set_col, cell)
-            fit = cond_logit(train, set_col, case, names, ridge=penalty, tolerance=1e-3)
-            losses.append(ranking_metrics(test, set_col, case, names, fit.beta).first().log_loss)
-        got.append((float(penalty), float(np.mean(losses))))
+    """penalty, mean held-out log loss over purged spatial folds, chosen (least loss; ties to the larger penalty). All
+    penalties and folds are fitted in the same passes."""
+    marks = [f"{part}_{k}" for part in ("train", "test") for k in range(n_folds)]
+    rows = _in_sets(with_folds(df, set_col, cell, folds, block, n_folds), set_col, case, names, marks).persist()
+    every = [(k, float(penalty)) for penalty in penalties for k in range(n_folds)]
+    at = 2 + len(marks)
+    betas = fits_in_step(rows, [(2 + k, penalty) for k, penalty in every], at, len(names))
+    losses = held_out_losses(rows, [2 + n_folds + k for k, _ in every], betas, at)
     rows.unpersist()
+    got = [(float(penalty), float(np.mean([x[1] for x, (_, q) in zip(losses, every, strict=True) if q == penalty and x[0]]))) for penalty in map(float, penalties)]
     best = min(got, key=lambda r: (r[1], -r[0]))[0]
-    return df.sparkSession.createDataFrame([(p, x, p == best) for p, x in got], "penalty double, log_loss double, chosen boolean")
+    return df.sparkSession.createDataFrame([(q, x, q == best) for q, x in got], "penalty double, log_loss double, chosen boolean")
 
 
 def multi_case_logit(df: DataFrame, set_col: str, outcome: str, names: Sequence[str], rounds: int = 40, most_rows: int = 10_000) -> Fit:

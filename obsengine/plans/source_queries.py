@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from obsengine.functions import expressions as X
 from obsengine.operators import grid, quality
 from obsengine.plans import marts
-from obsengine.plans.mart_queries import monthly_index, scratch
-from obsengine.plans.observation_queries import query, rounded, table
+from obsengine.plans.mart_queries import monthly_index
+from obsengine.plans.observation_queries import query, rounded, scratch, table
 from obsengine.sources import readers
 
 
