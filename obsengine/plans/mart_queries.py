@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from obsengine.functions import expressions as X
 from obsengine.plans import marts, models
-from obsengine.plans.model_queries import price_frame
-from obsengine.plans.observation_queries import MATCHED, matched_user_days, query, rounded, scratch, table
+from obsengine.plans.model_queries import PRICE, price_frame, price_sql
+from obsengine.plans.observation_queries import MATCHED, ORACLES, matched_user_days, normal_p, query, rounded, scratch, table, within_set_sql
 from obsengine.operators import matching
 from obsengine.sources import readers
 from obsengine.streaming import jobs
@@ -70,6 +70,83 @@ def explorer_dense(spark, sf_dir):
     return cubes(spark, sf_dir)["dense_monthly"]
 
 
+@query(f"""with o as ({CUBE_SQL}), l as (select max(cast(d as date)) t from o) select nation, s, cast(max(y) as int) "year", count(*) records, cast(t as varchar) through, t < make_date(year(t), 12, 31) partial from o, l where y = year(t) group by nation, s, t""")
+def explorer_snapshot(spark, sf_dir):
+    return cubes(spark, sf_dir)["snapshot"].withColumn("through", F.col("through").cast("string"))
+
+
+@query(f"""with n as (select cast(count(*) as double) n from ({CUBE_SQL})) select 'sum of ' || unnest(['source', 'annual', 'monthly', 'dense']) "rule", n "value", true passed from n union all select unnest(['dense grid errors', 'sensitive fields']), 0, true""")
+def explorer_gates(spark, sf_dir):
+    return cubes(spark, sf_dir)["gates"]
+
+
+LINES = """pts as (select s_nationkey nation, case when l_linenumber < 7 then l_quantity end v from lineitem join supplier on l_suppkey = s_suppkey where s_nationkey <> 7), ar as (select n_nationkey nation, cast(t as double) threshold, cast(n_nationkey * t as double) exposed_area, cast(2000 - n_nationkey * t as double) other_area from nation, (values (15), (25), (40)) x(t)),
+    ct as (select nation, cast(t as double) threshold, count(*) filter (v >= t) a, count(*) filter (v < t) b, count(*) filter (v is null) u from pts, (values (15), (25), (40)) x(t) group by 1, 2)"""
+
+
+def line_exposure(spark, sf_dir) -> dict[str, DataFrame]:
+    """Lines as detections with the quantity as the raster's value; nation 7 has no source row, nation 0 no exposed area."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+    points = table(spark, sf_dir, "lineitem").join(s, "l_suppkey").filter("nation <> 7").select("nation", F.when(F.col("l_linenumber") < 7, F.col("l_quantity")).alias("v"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.explode(F.array(F.lit(15.0), F.lit(25.0), F.lit(40.0))).alias("threshold"))
+    areas = n.withColumn("exposed_area", F.col("nation") * F.col("threshold")).withColumn("other_area", 2000 - F.col("exposed_area"))
+    return marts.exposure_thresholds(points, areas, "nation", "v", [15, 25, 40])
+
+
+@query(f"""with {LINES}, r as (select *, round(case when exposed_area > 0 then a * 1000 / exposed_area end, 6) er, round(b * 1000 / other_area, 6) orr from ar left join ct using (nation, threshold))
+    select nation, threshold, a above, b below, u "unknown", exposed_area, other_area, er exposed_rate, orr other_rate, round(case when orr > 0 then er / orr end, 6) rate_ratio, a is not null source_row_present from r""")
+def exposure_by_unit(spark, sf_dir):
+    return line_exposure(spark, sf_dir)["by_unit"]
+
+
+@query(f"""with {LINES}, s as (select threshold, sum(a)::double c1, sum(b)::double c2, sum(exposed_area) a1, sum(other_area) a2 from ar join ct using (nation, threshold) group by 1)
+    select threshold, c1, c2, round(c1 / a1, 9) rate1, round(c2 / a2, 9) rate2, round((c1 / a1) / (c2 / a2), 6) ratio, round(exp(ln(((c1 + 0.5) / a1) / ((c2 + 0.5) / a2)) - 1.96 * sqrt(1 / (c1 + 0.5) + 1 / (c2 + 0.5))), 6) low,
+    round(exp(ln(((c1 + 0.5) / a1) / ((c2 + 0.5) / a2)) + 1.96 * sqrt(1 / (c1 + 0.5) + 1 / (c2 + 0.5))), 6) high, round((c1 - c2 * a1 / a2) / sqrt((c1 + c2) * a1 / a2), 6) score from s""")
+def exposure_pooled(spark, sf_dir):
+    return rounded(rounded(line_exposure(spark, sf_dir)["pooled"], ["rate1", "rate2"], 9), ["ratio", "low", "high", "score"])
+
+
+@query()
+def exposure_fixed_effects(spark, sf_dir):
+    return line_exposure(spark, sf_dir)["fixed_effects"]
+
+
+def counted_sql(frames: str) -> str:
+    return f"n as (select subset, count(*) sets, count(*) filter (lo <> hi) varying_sets from (select subset, c, min(y) lo, max(y) hi from ({frames}) group by 1, 2) group by 1), {within_set_sql(frames)}, w as (select *, {normal_p('(estimate / se)')} p from fit join n using (subset))"
+
+
+PP = "round(estimate * 100, 4) difference_pp, round((estimate - 1.96 * se) * 100, 4) low_pp, round((estimate + 1.96 * se) * 100, 4) high_pp, round(p, 5) p"
+TABLE_1 = price_sql(("'primary'", "y1", "true"), ("'higher threshold'", "y2", "true"), ("'other outcome'", "y3", "true"), ("'early years'", "y1", "yr < 1996"))
+TABLE_S2 = "select cast(yr as varchar) subset, c, c a, m, y1 y, x from price"
+TABLE_S3 = price_sql(*[(f"'{t}'", "y3", f"pre >= {t}") for t in (0.5, 1.0, 1.5)])
+
+
+@query(f"""with {PRICE}, {counted_sql(TABLE_1)}, h as (select *, case when subset <> 'primary' then p * (count(*) filter (subset <> 'primary') over () - row_number() over (order by subset = 'primary', p, subset) + 1) end raw from w)
+    select subset analysis, sets matched_sets, {PP}, case when subset <> 'primary' then round(least(1.0, max(raw) over (order by subset = 'primary', p, subset)), 5) end p_holm, case when subset = 'primary' then 'primary, unadjusted' else 'secondary, Holm family' end "role" from h""")
+def table_1(spark, sf_dir):
+    every, year = F.lit(True), F.col("year")
+    fits = models.subset_fits(price_frame(spark, sf_dir), {"primary": (every, "y1"), "higher threshold": (every, "y2"), "other outcome": (every, "y3"), "early years": (year < 1996, "y1")}, "set_id", ["x"], "set_id", "m")
+    return marts.effects_table(fits, "primary")
+
+
+@query(ORACLES["model_family"].replace("select outcome, sets, \"varying\", case when ok then 'fitted'", "select outcome destination, case when ok then sets end matched_sets, \"varying\" varying_sets, case when ok then 'fitted'").replace("round(estimate, 6) end estimate, case when ok then round(se, 6) end se", "round(estimate * 100, 4) end difference_pp"))
+def table_2(spark, sf_dir):
+    return marts.destinations_table(models.model_family(price_frame(spark, sf_dir), "set_id", ["y1", "y2", "y3"], ["x"], "set_id", "m"))
+
+
+@query(f"""with {PRICE}, {counted_sql(TABLE_S2)} select subset "year", sets matched_sets, varying_sets, (select count(distinct c) from price) - sets excluded_sets, {PP} from w""")
+def table_s2(spark, sf_dir):
+    f = price_frame(spark, sf_dir)
+    years = [r.year for r in f.select("year").distinct().orderBy("year").collect()]
+    return marts.subsets_table(models.subset_fits(f, {str(y): (F.col("year") == y, "y1") for y in years}, "set_id", ["x"], "set_id", "m"), "year")
+
+
+@query(f"""with {PRICE}, {counted_sql(TABLE_S3)} select subset threshold, sets matched_sets, varying_sets, (select count(distinct c) from price) - sets excluded_sets, {PP} from w""")
+def table_s3(spark, sf_dir):
+    fits = models.subset_fits(price_frame(spark, sf_dir), {str(t): (F.col("pre") >= t, "y3") for t in (0.5, 1.0, 1.5)}, "set_id", ["x"], "set_id", "m")
+    return marts.subsets_table(fits, "threshold")
+
+
 @query(f"""with o as ({CUBE_SQL}) select cast(y as int) "year", count(*) filter (s = 'F') "n_F", count(*) filter (s = 'O') "n_O", count(*) total, count(distinct d) active_days from o group by 1""")
 def portal_composition(spark, sf_dir):
     return marts.portal_context(nation_orders(spark, sf_dir), "d", "s", ["F", "O"])["composition"]

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsengine.functions.expressions import safe_rate, threshold_state
-from obsengine.operators import aggregates, joins, windows
+from obsengine.operators import aggregates, joins, quality, windows
+from obsengine.plans import models
+
+# Fields that no published table may have.
+SENSITIVE = ("cell_id", "grid_row", "grid_col", "latitude", "longitude", "lat", "lon", "village")
 
 
 def index_context(series: DataFrame, day: str, value: str, threshold: float = 0.5) -> dict[str, DataFrame]:
@@ -42,15 +46,29 @@ def synthesis(a: DataFrame, b: DataFrame, index: DataFrame, value_a: str, value_
 
 
 def explorer_cubes(records: DataFrame, units: DataFrame, day: str, unit: str, platform: str) -> dict[str, DataFrame]:
-    """Annual, monthly and dense monthly counts by unit and platform. Dense rows without source stay null."""
+    """Annual, monthly and dense monthly counts by unit and platform, the snapshot of the last, unfinished year, and the gates.
+
+    Dense rows without source stay null. The snapshot counts the last year by unit and platform up to its last day, and says
+    whether the year is partial. gates: a row a rule - sums that must agree, rows of the dense table that are missing, extra or
+    no counts, and fields that must not be published."""
     rows = records.withColumn("year", F.year(day)).withColumn("month", F.month(day))
     cube = aggregates.counts_cube(rows, [["year", unit, platform], ["year", "month", unit, platform]], day)
     names = rows.select("year", "month", unit, platform)
     annual = cube.filter(F.col("level") == f"year+{unit}+{platform}").drop("month", "level")
     monthly = cube.filter(F.col("level") != f"year+{unit}+{platform}").drop("level")
     total = monthly.groupBy("year", "month", unit).agg(F.sum("records").alias("records"))
-    dense = joins.densify(total, {"year": names.select("year"), "month": names.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month")), unit: units.select(unit)}, ["records"])
-    return {"annual": annual, "monthly": monthly, "dense_monthly": dense}
+    axes = {"year": names.select("year"), "month": names.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("month")), unit: units.select(unit)}
+    dense = joins.densify(total, axes, ["records"])
+    last = rows.agg(F.max(day).alias("through"))  # one row
+    snapshot = rows.join(F.broadcast(last), F.col("year") == F.year("through")).groupBy(unit, platform).agg(F.max("year").alias("year"), F.count("*").alias("records"), F.max("through").alias("through"))
+    snapshot = snapshot.withColumn("partial", F.col("through") < F.make_date("year", F.lit(12), F.lit(31)))
+    sums = quality.conserved({"source": rows.agg(F.count("*")), "annual": annual.agg(F.sum("records")), "monthly": monthly.agg(F.sum("records")), "dense": dense.agg(F.sum("records"))})
+    grid = quality.dense_grid_errors(dense.withColumn("records", F.coalesce("records", F.lit(0))), axes, "records").agg(F.count("*").alias("value"))
+    secret = len(quality.forbidden_fields(dense, SENSITIVE))
+    gates = sums.select(F.concat(F.lit("sum of "), "name").alias("rule"), "value", F.col("agrees").alias("passed"))
+    gates = gates.unionByName(grid.select(F.lit("dense grid errors").alias("rule"), F.col("value").cast("double").alias("value"), (F.col("value") == 0).alias("passed")))
+    gates = gates.unionByName(grid.select(F.lit("sensitive fields").alias("rule"), F.lit(float(secret)).alias("value"), F.lit(secret == 0).alias("passed")))
+    return {"annual": annual, "monthly": monthly, "dense_monthly": dense, "snapshot": snapshot, "gates": gates}
 
 
 def country_table(counts: DataFrame, areas: DataFrame, key: str, exposed: str, total: str) -> DataFrame:
@@ -62,6 +80,26 @@ def country_table(counts: DataFrame, areas: DataFrame, key: str, exposed: str, t
     return out.withColumn("rate_ratio", F.round(safe_rate("exposed_rate", "other_rate"), 6)).withColumn("source_row_present", F.col(total).isNotNull())
 
 
+def exposure_thresholds(points: DataFrame, areas: DataFrame, key: str, value: str, thresholds: Sequence[float]) -> dict[str, DataFrame]:
+    """Detections by exposure at several thresholds of a raster value (null: unknown).
+
+    by_unit: country_table() of each threshold, with the unknown ones. pooled: the two rates over all units, their ratio,
+    interval and score. fixed_effects: the rate ratio with an effect a unit, p times the number of thresholds.
+    areas: key, threshold, exposed_area, other_area; a unit without area on both sides tells the fit nothing."""
+    counts = aggregates.threshold_split(points, [key], value, thresholds)
+    both = areas.join(counts, [key, "threshold"], "left")
+    out = both.withColumn("exposed_rate", safe_rate("above", "exposed_area", 1000, 6)).withColumn("other_rate", safe_rate("below", "other_area", 1000, 6)).withColumn("source_row_present", F.col("above").isNotNull())
+    out = out.select(key, "threshold", "above", "below", "unknown", "exposed_area", "other_area", "exposed_rate", "other_rate", F.round(safe_rate("exposed_rate", "other_rate"), 6).alias("rate_ratio"), "source_row_present")
+    sides = F.array(F.struct(F.lit(True).alias("exposed"), F.col("above").alias("n"), F.col("exposed_area").alias("area")), F.struct(F.lit(False).alias("exposed"), F.col("below").alias("n"), F.col("other_area").alias("area")))
+    long = both.filter("above is not null").select(key, "threshold", F.explode(sides).alias("s")).select(key, "threshold", "s.*")
+    fits = []
+    for t in thresholds:
+        fit = models.fixed_effect_poisson(long.filter(F.col("threshold") == float(t)), key, F.col("exposed"), "n", "area", tests=len(thresholds))
+        fits.append((float(t), fit.n, *fit.rows()[0], fit.info["p_bonferroni"]))
+    fixed = points.sparkSession.createDataFrame(fits, f"threshold double, units long, {models.WALD}, p_bonferroni double")
+    return {"by_unit": out, "pooled": models.rate_ratio(long, F.col("exposed"), "n", "area", ["threshold"]), "fixed_effects": fixed}
+
+
 def finalisation_report(frame: DataFrame, set_col: str, checks: dict[str, Column]) -> DataFrame:
     """metric, value: rows, sets, cells, cases, and rows that break each check, in one pass."""
     row = frame.agg(F.count("*").alias("rows"), F.count_distinct(set_col).alias("sets"), F.count_distinct("cell_id").alias("cells"), F.count_if(F.col("outcome") == 1).alias("cases"), *[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in checks.items()])
@@ -75,6 +113,28 @@ def readiness(statuses: DataFrame, asset: str, status: str, ready: Sequence[str]
     return by.unionByName(whole)
 
 
+def effects_table(fits: DataFrame, primary: str) -> DataFrame:
+    """Table 1: the primary analysis, which stands alone, and the sensitivities, which are one Holm family. fits: subset_fits()."""
+    first = F.col("subset") == primary
+    others = models.holm(fits.filter(~first).withColumn("__f", F.lit(1)), ["__f"], "p", ["subset"]).drop("__f")
+    both = others.unionByName(fits.filter(first).withColumn("p_holm", F.lit(None).cast("double")))
+    return both.select(F.col("subset").alias("analysis"), F.col("sets").alias("matched_sets"), *percent_points(), F.round("p", 5).alias("p"), F.round("p_holm", 5).alias("p_holm"), F.when(first, "primary, unadjusted").otherwise("secondary, Holm family").alias("role"))
+
+
+def percent_points(digits: int = 4) -> list[Column]:
+    return [F.round(F.col(c) * 100, digits).alias(n) for c, n in (("estimate", "difference_pp"), ("low", "low_pp"), ("high", "high_pp"))]
+
+
+def destinations_table(family: DataFrame) -> DataFrame:
+    """Table 2: a row an outcome of model_family(), fitted or not."""
+    return family.select(F.col("outcome").alias("destination"), "status", F.col("varying").alias("varying_sets"), F.when(F.col("status") == "fitted", F.col("sets")).alias("matched_sets"), F.round(F.col("estimate") * 100, 4).alias("difference_pp"), F.round("p", 5).alias("p"), F.round("p_holm", 5).alias("p_holm"))
+
+
+def subsets_table(fits: DataFrame, label: str) -> DataFrame:
+    """Tables S2 (single years) and S3 (selection thresholds): a row a subset. fits: subset_fits()."""
+    return fits.select(F.col("subset").alias(label), F.col("sets").alias("matched_sets"), "varying_sets", "excluded_sets", *percent_points(), F.round("p", 5).alias("p"))
+
+
 def publication_table(estimates: DataFrame, label: str, scale: float = 100.0, digits: int = 3) -> DataFrame:
     """Estimates as they are printed: label, estimate and interval scaled and rounded, p to four digits."""
     cols = [F.round(F.col(c) * scale, digits).alias(c) for c in ("estimate", "low", "high")]

@@ -528,6 +528,18 @@ def by_subset(df: DataFrame, subsets: dict[str, Column], fit) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "subset string, " + WALD)
 
 
+def subset_fits(df: DataFrame, subsets: dict[str, tuple[Column, str]], set_col: str, names: Sequence[str], first: str, second: str) -> DataFrame:
+    """The within-set model's first coefficient for each (rows kept, outcome): subset, sets, sets whose outcome varies, sets of
+    the frame that the subset leaves out, and the Wald columns."""
+    every, rows = df.select(set_col).distinct().count(), []
+    for label, (keep, outcome) in subsets.items():
+        kept = df.filter(keep)
+        varying = kept.groupBy(set_col).agg((F.min(outcome) != F.max(outcome)).alias("v")).agg(F.count_if("v")).first()[0]
+        fit = within_set_lpm(kept, set_col, outcome, names, first, second)
+        rows.append((label, fit.info["sets"], varying, every - fit.info["sets"], *fit.rows()[0]))
+    return df.sparkSession.createDataFrame(rows, "subset string, sets long, varying_sets long, excluded_sets long, " + WALD)
+
+
 def trimmed_refit(df: DataFrame, set_col: str, outcome: str, names: Sequence[str], first: str, second: str, shares: Sequence[float] = (0.005, 0.01)) -> DataFrame:
     """The within-set model on all sets, and without the share of sets of largest score."""
     fit = within_set_lpm(df, set_col, outcome, names, first, second)
