@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsengine.functions.expressions import EARTH_RADIUS_KM, haversine_km
+from obsengine.operators.sizes import short
 
 # WGS84 semi-major axis and eccentricity, and the standard parallel of EPSG:6933.
 WGS84_A, WGS84_E, PARALLEL = 6378137.0, 0.0818191908426215, 30.0
@@ -197,7 +198,7 @@ def transitions(pixels: DataFrame, specs: DataFrame, cell: str, pixel: str, klas
     """Pixels by cell, event year, horizon and packed code pre * 100 + post.
 
     pixels: cell, pixel, year, klass. specs: event_year, horizon, pre_year, post_year (a short list)."""
-    pre = pixels.join(F.broadcast(specs), pixels["year"] == specs["pre_year"]).select(cell, pixel, "event_year", "horizon", "post_year", F.col(klass).alias("pre"))
+    pre = pixels.join(short(specs), pixels["year"] == specs["pre_year"]).select(cell, pixel, "event_year", "horizon", "post_year", F.col(klass).alias("pre"))
     post = pixels.select(cell, pixel, F.col("year").alias("post_year"), F.col(klass).alias("post"))
     return pre.join(post, [cell, pixel, "post_year"]).groupBy(cell, "event_year", "horizon", (F.col("pre") * 100 + F.col("post")).alias("code")).agg(F.count("*").cast("double").alias("n"))
 

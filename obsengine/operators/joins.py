@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsengine.operators.sizes import short
+
 
 def asof_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, values: Sequence[str], strict: bool = True, tie: str | None = None) -> DataFrame:
     """left with the right row of the same `by` that is latest before left_at (ties: the largest `tie`): asof_<right_at> and values.
@@ -100,7 +102,7 @@ def densify(df: DataFrame, axes: dict[str, DataFrame], values: Sequence[str]) ->
     grid = None
     for name, axis in axes.items():
         one = axis.select(name).distinct()
-        grid = one if grid is None else grid.crossJoin(F.broadcast(one))
+        grid = one if grid is None else grid.crossJoin(short(one))
     return grid.join(df.select(*axes, *values, F.lit(True).alias("source_row_present")), list(axes), "left").withColumn("source_row_present", F.coalesce("source_row_present", F.lit(False)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from obsengine.functions.expressions import all_finite, is_finite
 from obsengine.operators.ranks import with_quantiles
+from obsengine.operators.sizes import short
 
 
 def complete_rows(df: DataFrame, required: Sequence[str], above: dict[str, float] | None = None) -> DataFrame:
@@ -159,7 +160,7 @@ def dense_grid_errors(df: DataFrame, axes: dict[str, DataFrame], count: str) ->
     want = None
     for name, values in axes.items():
         one = values.select(name).distinct()
-        want = one if want is None else want.crossJoin(F.broadcast(one))  # an axis is a short list of units
+        want = one if want is None else want.crossJoin(short(one))  # an axis is a short list of units
     bad = completeness(df, want, list(axes)).filter("status <> 'present'").select(*axes, "status")
     odd = df.filter(F.col(count).isNull() | (F.col(count) < 0) | (F.col(count) != F.floor(F.col(count)))).select(*axes, F.lit("bad_count").alias("status"))
     return bad.unionByName(odd)
