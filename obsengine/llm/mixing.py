@@ -12,7 +12,7 @@ from the K-vectors of all steps so far, so no rates are stored, and the driver h
 
 Cases: null and empty texts have no tokens and no pieces; their posterior is the classifier's for no evidence and their
 rate follows from it without changing any total; repeated rows count one by one; a domain without target keeps its
-tokens; targets of 0 are taken relative to the whole; documents whose domain label is null aren't fitted on; without
+tokens; targets of 0 are taken relative to the whole; labels that repeat count once, by the largest of each column; documents whose domain label is null aren't fitted on; without
 labels there is one domain, "all"; an empty table gives no rows.
 """
 
@@ -56,7 +56,9 @@ class Classifier:
 def fit_classifier(documents: DataFrame, labels: DataFrame, domain: Column, max_fit_rows: int = 4_000, bits: int = 11, rounds: int = 120) -> Classifier:
     """labels: doc_id; domain: a column of documents or labels. At most max_fit_rows labelled documents, by a hash of
     doc_id, are fitted on; their features, max_fit_rows times 2**bits numbers, come to the driver."""
-    chosen = labels.filter("doc_id is not null").select("doc_id", *[c for c in labels.columns if c not in documents.columns]).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
+    own = [c for c in labels.columns if c not in documents.columns]
+    once = labels.filter("doc_id is not null").groupBy("doc_id")
+    chosen = (once.agg(*[F.max(c).alias(c) for c in own]) if own else labels.select("doc_id").filter("doc_id is not null").distinct()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
     rows = documents.join(F.broadcast(chosen), "doc_id").select("text", domain.cast("string").alias("domain")).filter("domain is not null")
     rows = stored(rows, "domains")
 

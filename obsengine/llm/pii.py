@@ -150,7 +150,7 @@ def _account(text: str, at: int, cue: str) -> tuple[int, int] | None:
     if not m:
         return None
     plain = re.sub(r"[ \-]", "", m[1])
-    while sum(c in _DIGITS for c in plain) < 5 or (cue == "iban" and not (plain[:2].isalpha() and plain[2:4].isdigit() and mod97(plain.upper()))):
+    if sum(c in _DIGITS for c in plain) < 5 or (cue == "iban" and not (plain[:2].isalpha() and plain[2:4].isdigit() and mod97(plain.upper()))):
         return None
     return m.start(1), m.end(1)
 

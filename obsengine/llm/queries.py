@@ -107,14 +107,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-# Domains come from the labelled table alone, and the parts of all tokens that each is to have.
-DOMAIN = F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good")
+# The parts of all tokens that the domains are to have; the domains come from the labelled table alone.
 SHARES = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains that no document names: the classifier learns good, poor and toxic texts from the labels. Targets: SHARES."""
-    rated, _, _, _ = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), DOMAIN, shares=SHARES)
+    domain = F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good")
+    rated, _, _, _ = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), domain, shares=SHARES)
     return rated.select("doc_id", "tokens", "domain", F.array_max("posterior").alias("posterior"), "rate")
 
 

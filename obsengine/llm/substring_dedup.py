@@ -342,7 +342,3 @@ def deduplicated(documents: DataFrame, size: int = 20, anchor_words: int = 5, sh
         return f
 
     return per_batch(both, schema, make)
-
-
-def kept_digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()

@@ -66,3 +66,12 @@ def test_every_query_has_its_columns(spark):
     }
     for name, want in columns.items():
         assert want <= set(QUERIES[name](spark, SF).columns), name
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert 'pipeline' in e.queries() and len([q for q in e.queries() if q.startswith('op')]) >= 10"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], check=True, timeout=120)
