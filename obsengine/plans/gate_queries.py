@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from obsengine.functions import expressions as X
-from obsengine.operators import aggregates, grid, matching, quality, windows
+from obsengine.operators import aggregates, grid, quality, windows
 from obsengine.plans import models
 from obsengine.plans.observation_queries import query, rounded, table
 

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsengine.functions import expressions as X
-from obsengine.operators import aggregates, grid, joins, matching, quality, windows
-from obsengine.plans import models
+from obsengine.operators import joins, matching, windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
