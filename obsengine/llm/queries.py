@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsengine.llm import decontaminate, mixing, order_minhash, ordinal_quality, pii, records, simhash, substring_dedup, token_rollups, toxicity
+from obsengine.llm import decontaminate, mixing, order_minhash, ordinal_quality, periodic_runs, pii, records, simhash, substring_dedup, token_rollups, toxicity
 from obsengine.llm.common import read_table, stored, work_dir
 
 
@@ -118,6 +120,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "tokens", "domain", F.array_max("posterior").alias("posterior"), "rate")
 
 
+def _made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """By the contract: of a tenth of the documents, the words from one on repeat a few of them. A null doc_id has no number."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(read_table(spark, sf_dir, "documents"), edit=_made_periodic)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.col("strongest")
+    milli = F.expr("1000 * strongest.length div strongest.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), milli.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -129,6 +150,7 @@ QUERIES = {
     "op8_token_rollups": op8_token_rollups,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op13_periodic_runs": op13_periodic_runs,
     "word_rollups": word_rollups,
 }
 
