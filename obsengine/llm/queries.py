@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsengine.llm import decontaminate, mixing, order_minhash, ordinal_quality, periodic_runs, pii, records, simhash, substring_dedup, token_rollups, toxicity
+from obsengine.llm import decontaminate, merkle, mixing, order_minhash, ordinal_quality, periodic_runs, pii, records, simhash, substring_dedup, token_rollups, toxicity
 from obsengine.llm.common import read_table, stored, work_dir
 
 
@@ -120,6 +120,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "tokens", "domain", F.array_max("posterior").alias("posterior"), "rate")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered: the line feeds of half of the texts go. A null doc_id has no number, and its text stays."""
+    documents = read_table(spark, sf_dir, "documents")
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf(*rest, F.replace("text", F.lit("\n"), F.lit(""))))
+    rows = documents.select("doc_id", "source", merkle.leaf(*rest, F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    proven = merkle.manifest(rows, "source", ["doc_id"], "leaf")
+    at = F.coalesce(merkle.hex_text(F.col("row.tampered")), F.col("leaf"))
+    out = proven.select("row.doc_id", "leaf", "subroot", "root", merkle.digest_of_path(F.col("left"), F.col("right")).alias("proof_sha256"), merkle.folded(at, F.col("left"), F.col("right")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def _made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """By the contract: of a tenth of the documents, the words from one on repeat a few of them. A null doc_id has no number."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -150,6 +162,7 @@ QUERIES = {
     "op8_token_rollups": op8_token_rollups,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
     "word_rollups": word_rollups,
 }
@@ -172,6 +185,29 @@ ORACLE_SQL = {
         v as (select source, lang, 'words' tokenizer_version, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) n from t where r = 1
               union all select source, lang, 'bytes', coalesce(octet_length(encode(text)), 0) from t where r = 1)
         select source, lang, tokenizer_version, count(*) docs, cast(sum(n) as bigint) tokens from v group by 1, 2, 3""",
+    "op12_merkle_manifest": r"""
+        with recursive part as (select doc_id, source, text, concat_ws('', coalesce(octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                     coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(cast(n_chars as varchar))) || ':' || n_chars, '-')) a from documents),
+        told as (select doc_id, source, sha256(a || coalesce(octet_length(encode(text)) || ':' || text, '-')) leaf, sha256(a || coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-')) changed,
+                     -- the register of crc32 over the bytes of the decimal number, bit by bit; the sum is its complement
+                     list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(cast(doc_id as varchar)) + 1), lambda i: [ascii(cast(doc_id as varchar)[i]), 0, 0, 0, 0, 0, 0, 0]))),
+                         lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))) r from part),
+        leaves as (select doc_id, source, leaf, case when r & 1 = 1 then changed else leaf end cur, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 i, count(*) over (partition by source) n from told),
+        tree as (select source, 0 l, i, n, leaf h from leaves
+                 union all select source, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from tree where n > 1 group by source, l, n, i // 3),
+        subroots as (select source, l, h subroot, row_number() over (order by source nulls first) - 1 k, count(*) over () m from tree where n = 1),
+        upper_ as (select 0 l, k i, m n, subroot h from subroots union all select l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from upper_ where n > 1 group by l, n, i // 3),
+        -- each row's run on every level of its source and then of the sources, as texts to the left and right
+        low as (select source, l, i, coalesce(string_agg(case when o < i then h end, '' order by o), '') a, coalesce(string_agg(case when o > i then h end, '' order by o), '') b
+                from (select x.source, x.l, x.i, y.i o, y.h from tree x join tree y on x.source is not distinct from y.source and x.l = y.l and x.i // 3 = y.i // 3 and x.n > 1) group by 1, 2, 3),
+        high as (select l, i, coalesce(string_agg(case when o < i then h end, '' order by o), '') a, coalesce(string_agg(case when o > i then h end, '' order by o), '') b
+                from (select x.l, x.i, y.i o, y.h from upper_ x join upper_ y on x.l = y.l and x.i // 3 = y.i // 3 and x.n > 1) group by 1, 2),
+        walk as (select doc_id, v.source, v.leaf, v.i pos, s.l depth, s.k, s.subroot, 0 l, cur, '' proof from leaves v join subroots s on v.source is not distinct from s.source
+                 union all select w.doc_id, w.source, w.leaf, w.pos, w.depth, w.k, w.subroot, w.l + 1, sha256(coalesce(p.a, q.a) || w.cur || coalesce(p.b, q.b)), w.proof || coalesce(p.a, q.a) || coalesce(p.b, q.b)
+                 from walk w left join low p on w.l < w.depth and p.source is not distinct from w.source and p.l = w.l and p.i = w.pos // cast(power(3, w.l) as bigint)
+                 left join high q on w.l >= w.depth and q.l = w.l - w.depth and q.i = w.k // cast(power(3, greatest(w.l - w.depth, 0)) as bigint) where p.a is not null or q.a is not null)
+        select doc_id, leaf, subroot, root, sha256(proof) proof_sha256, cur folded_root, cur = root verified
+        from (select *, l - depth = (select max(l) from upper_) done from walk), (select h root from upper_ where n = 1) where done""",
     "op9_substring_dedup": r"""
         with dw as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
         win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 18)) i from dw where len(w) >= 20)),
