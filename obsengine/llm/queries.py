@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsengine.llm import decontaminate, merkle, mixing, order_minhash, ordinal_quality, periodic_runs, pii, records, simhash, substring_dedup, token_rollups, toxicity
+from obsengine.llm import decontaminate, merkle, mixing, neighbours, order_minhash, ordinal_quality, periodic_runs, pii, records, simhash, substring_dedup, token_rollups, toxicity
 from obsengine.llm.common import read_table, stored, work_dir
 
 
@@ -120,6 +120,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "tokens", "domain", F.array_max("posterior").alias("posterior"), "rate")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.build(vectors), vectors.filter("vec_id % 20 = 0"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampered: the line feeds of half of the texts go. A null doc_id has no number, and its text stays."""
     documents = read_table(spark, sf_dir, "documents")
@@ -162,6 +167,7 @@ QUERIES = {
     "op8_token_rollups": op8_token_rollups,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_neighbours": op11_neighbours,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
     "word_rollups": word_rollups,
