@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsengine.operators.ranges import MOST, carried, last_rows
 from obsengine.operators.sizes import short
 
 
-def asof_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, values: Sequence[str], strict: bool = True, tie: str | None = None) -> DataFrame:
+def asof_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, values: Sequence[str], strict: bool = True, tie: str | None = None, most: int | None = MOST) -> DataFrame:
     """left with the right row of the same `by` that is latest before left_at (ties: the largest `tie`): asof_<right_at> and values.
 
-    Both sides are put in one order by key and time and the last right row is carried forward, so each side is shuffled
-    once and nothing is paired. Left rows without an earlier right row get nulls."""
+    Both sides are put in one order by key and time and the last right row is carried forward, so each side is shuffled once
+    and nothing is paired; keys of over `most` rows are cut into ranges of time (ranges.py). Left rows without an earlier
+    right row get nulls; null keys meet."""
     payload = F.struct(*[F.col(c) for c in dict.fromkeys([right_at, *([tie] if tie else []), *values])])
-    kind = right.select(payload.alias("p")).schema["p"].dataType
+    kind, keys = right.select(payload.alias("p")).schema["p"].dataType, [f"__k{i}" for i in range(len(by))]
     order = 1 if strict else 0  # a right row of the same time comes after (strict) or before the left one
-    a = left.select(F.struct(*left.columns).alias("__row"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(left_at).alias("__at"), F.lit(1 - order).alias("__o"), F.lit(None).cast(kind).alias("__p"))
-    b = right.select(F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(right_at).alias("__at"), F.lit(order).alias("__o"), payload.alias("__p")).filter("__at is not null")
-    w = Window.partitionBy(*[f"__k{i}" for i in range(len(by))]).orderBy("__at", "__o", *([F.col("__p")[tie]] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("__p", F.last("__p", ignorenulls=True).over(w)).filter("__row is not null")
-    return out.select("__row.*", F.col("__p")[right_at].alias(f"asof_{right_at}"), *[F.col("__p")[v].alias(v) for v in values])
+    named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    tied = right.select(F.col(tie) if tie else F.lit(0)).schema[0].dataType
+    a = left.select(F.struct(*left.columns).alias("__row"), *named, F.col(left_at).alias("__at"), F.lit(1 - order).alias("__o"), F.lit(None).cast(tied).alias("__tie"), F.lit(None).cast(kind).alias("__p"))
+    b = right.select(F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), *named, F.col(right_at).alias("__at"), F.lit(order).alias("__o"), (F.col(tie) if tie else F.lit(0)).alias("__tie"), payload.alias("__p")).filter("__at is not null")
+    out = carried(a.unionByName(b), keys, ["__at", "__o", "__tie"], {"__got": F.col("__p")}, include=True, most=most).filter("__row is not null")
+    return out.select("__row.*", F.col("__got")[right_at].alias(f"asof_{right_at}"), *[F.col("__got")[v].alias(v) for v in values])
 
 
 def asof_in_band(left: DataFrame, right: DataFrame, by: Sequence[str], key: Sequence[str], event: str, start: str, values: Sequence[str], oldest: int, newest: int) -> DataFrame:
@@ -40,12 +43,13 @@ def asof_in_band(left: DataFrame, right: DataFrame, by: Sequence[str], key: Sequ
 
 
 def latest_with_ties(df: DataFrame, by: Sequence[str], at: str, value: str, weight: str) -> DataFrame:
-    """By group: the rows of the latest `at`, all of them, averaged with weights; plainly, where weights sum to 0."""
-    w = Window.partitionBy(*by)
-    top = df.withColumn("__top", F.max(at).over(w)).filter(F.col(at) == F.col("__top"))
-    total = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
-    mean = F.when(total > 0, F.sum(F.col(value) * F.col(weight)) / total).otherwise(F.avg(value))
-    return top.groupBy(*by).agg(F.max(at).alias(at), F.count("*").alias("ties"), mean.alias("weighted_mean"))
+    """By group: the rows of the latest `at`, all of them, averaged with weights; plainly, where weights sum to 0.
+
+    Sums by group and time come first, so no group is gathered. A group whose `at` is null everywhere has no row."""
+    known = F.col(value).isNotNull()
+    sums = df.filter(F.col(at).isNotNull()).groupBy(*by, at).agg(F.count("*").alias("ties"), F.sum(F.when(known, F.col(weight))).alias("w"), F.sum(F.col(value) * F.col(weight)).alias("vw"), F.avg(value).alias("mean"))
+    top = sums.groupBy(*by).agg(F.max_by(F.struct(at, "ties", "w", "vw", "mean"), at).alias("__top")).select(*by, "__top.*")
+    return top.select(*by, at, "ties", F.when(F.col("w") > 0, F.col("vw") / F.col("w")).otherwise(F.col("mean")).alias("weighted_mean"))
 
 
 def interval_features(left: DataFrame, right: DataFrame, by: Sequence[str], key: Sequence[str], event: str, ts: str, hours: int, aggs: Sequence[Column], exact_rows: int | None = None) -> DataFrame:
@@ -66,20 +70,35 @@ def interval_features(left: DataFrame, right: DataFrame, by: Sequence[str], key:
     return left.join(out, list(key), "left").withColumn("rows_in_interval", F.coalesce("rows_in_interval", F.lit(0)))
 
 
-def trailing_rows(left: DataFrame, right: DataFrame, by: Sequence[str], key: Sequence[str], event: str, ts: str, n: int, span_hours: int, aggs: Sequence[Column]) -> DataFrame:
-    """left (one row a key) with aggregates of the last n right rows before the event; null unless there are n and the last
-    of them is within span_hours of the first, however long before the event they lie.
+def total(rows: Column, field: str) -> Column:
+    """Sum of a field over an array of rows; null if one of them is null."""
+    return F.aggregate(rows, F.lit(0.0), lambda s, r: s + r[field])
 
-    Each right row carries itself and the n - 1 rows before it, and an event takes the latest right row before it
-    (asof_before), so nothing is paired and no row is out of reach."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    known = right.dropna(subset=[*by, ts])  # null keys equal nothing
-    last = known.withColumn("__rows", F.collect_list(F.struct(*right.columns)).over(w.rowsBetween(1 - n, 0))).withColumn("__n", F.row_number().over(w))
-    a = left.select(*dict.fromkeys([*by, *key, event])).withColumnRenamed(event, "__event")
-    rows = asof_before(a, last.select(*by, ts, "__n", "__rows"), by, "__event", ts, ["__rows"], tie="__n").filter(F.size("__rows") == n)
-    at = lambda k: F.unix_seconds(F.element_at("__rows", k)[ts].cast("timestamp"))
-    out = rows.filter(at(n) - at(1) <= span_hours * 3600).select(*key, F.explode("__rows").alias("__r")).select(*key, *[F.col("__r")[c].alias(c) for c in right.columns if c not in key])
-    return left.join(out.groupBy(*key).agg(F.count("*").alias("trailing"), *aggs), list(key), "left")
+
+def mean(rows: Column, field: str) -> Column:
+    return total(rows, field) / F.size(rows)
+
+
+def largest(rows: Column, field: str) -> Column:
+    return F.array_max(F.transform(rows, lambda r: r[field]))
+
+
+def trailing_rows(left: DataFrame, right: DataFrame, by: Sequence[str], event: str, ts: str, lasts: Sequence[int], span_hours: float, aggs: dict[str, Callable[[Column], Column]], tie: str | None = None, most: int | None = MOST) -> DataFrame:
+    """left with, for each n of lasts, <name>_<n>: the aggregate over the last n right rows before the event, and support:
+    complete if there are as many as the largest n and the first of those lies at most span_hours before the event, else
+    missing, with nulls.
+
+    aggs: functions from an array of right rows, by time, to a value. Each right row carries itself and the rows before it in
+    one array, and an event takes that of the latest right row before it (asof_before), so nothing is paired, and the shorter
+    windows are ends of the longest. Right rows with a null key or time don't count; rows of one time go by tie."""
+    n = max(lasts)
+    known = right.dropna(subset=[*by, ts]).select(*by, F.col(ts).alias("__ts"), (F.col(tie) if tie else F.xxhash64(*right.columns)).alias("__tie"), F.struct(*right.columns).alias("__r"))
+    arrays = last_rows(known, by, ["__ts", "__tie"], F.col("__r"), n, "__rows", most).select(*by, "__ts", "__tie", "__rows")
+    out = asof_before(left, arrays, by, event, "__ts", ["__rows"], tie="__tie", most=most)
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
+    good = (F.size("__rows") == n) & (seconds(F.col(event)) - seconds(F.get("__rows", F.lit(0))[ts]) <= span_hours * 3600)
+    found = {f"{name}_{k}": F.when(good, f(F.slice("__rows", n - k + 1, k))) for k in lasts for name, f in aggs.items()}
+    return out.withColumns(found).withColumn("support", F.when(good, "complete").otherwise("missing")).drop("__rows", "asof___ts")
 
 
 def many_to_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -109,9 +128,10 @@ def densify(df: DataFrame, axes: dict[str, DataFrame], values: Sequence[str]) ->
 def alias_join(left: DataFrame, names: DataFrame, aliases: DataFrame, left_key: Column, id_col: str) -> DataFrame:
     """left with the id of the first name or alias that its key equals, or null.
 
-    names: key, id_col, priority. aliases: key, target_key. Each key's smallest priority counts."""
-    every = names.select("key", id_col, "priority").unionByName(aliases.join(names.withColumnRenamed("key", "target_key"), "target_key").select("key", id_col, (F.col("priority") + 1_000_000).alias("priority")))
-    best = every.groupBy("key").agg(F.min_by(id_col, F.struct("priority", id_col)).alias(id_col))
+    names: key, id_col, priority. aliases: key, target_key. A name goes before any alias; then the smallest priority counts."""
+    every = names.select("key", id_col, F.struct(F.lit(0).alias("by_alias"), "priority").alias("rank"))
+    every = every.unionByName(aliases.join(names.withColumnRenamed("key", "target_key"), "target_key").select("key", id_col, F.struct(F.lit(1).alias("by_alias"), "priority").alias("rank")))
+    best = every.groupBy("key").agg(F.min_by(id_col, F.struct("rank", id_col)).alias(id_col))
     return left.withColumn("__key", left_key).join(best, F.col("__key") == best["key"], "left").drop("__key", "key")
 
 

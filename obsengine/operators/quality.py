@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsengine.functions.expressions import all_finite, is_finite
+from obsengine.operators.ranges import MOST, carried
 from obsengine.operators.ranks import with_quantiles
 from obsengine.operators.sizes import short
 
@@ -71,8 +72,8 @@ def set_integrity(df: DataFrame, set_col: str, member_col: str, positive: Column
 
 def drop_invalid_sets(df: DataFrame, set_col: str, invalid: Column) -> DataFrame:
     """Sets none of whose members is invalid. A null verdict counts as invalid."""
-    w = Window.partitionBy(set_col)
-    return df.withColumn("__bad", F.max(F.coalesce(invalid, F.lit(True)).cast("int")).over(w)).filter("__bad = 0").drop("__bad")
+    bad = df.filter(F.coalesce(invalid, F.lit(True))).select(F.col(set_col).alias("__bad")).distinct()
+    return df.join(bad, F.col(set_col).eqNullSafe(F.col("__bad")), "left_anti")
 
 
 def exclusion_report(df: DataFrame, set_col: str, reasons: dict[str, Column]) -> DataFrame:
@@ -243,16 +244,19 @@ def hash_chain(df: DataFrame, log: Sequence[str], sequence: str, payload: Column
     return rows.mapInArrow(run, df.withColumn("previous_hash", F.lit(None).cast("string")).withColumn("entry_hash", F.lit(None).cast("string")).schema)
 
 
-def verify_chain(df: DataFrame, log: Sequence[str], sequence: str, payload: Column, entry: str = "entry_hash", previous: str = "previous_hash") -> DataFrame:
-    """Rows that break a log: sequence_gap (numbers count from 1), broken_predecessor_link or entry_tampered, as an array of codes."""
-    w = Window.partitionBy(*log).orderBy(sequence)
-    out = df.withColumn("__before", F.lag(entry).over(w)).withColumn("__seq", F.coalesce(F.lag(sequence).over(w), F.lit(0)))
+def verify_chain(df: DataFrame, log: Sequence[str], sequence: str, payload: Column, entry: str = "entry_hash", previous: str = "previous_hash", most: int | None = MOST) -> DataFrame:
+    """Rows that break a log: sequence_gap (numbers count from 1), broken_predecessor_link or entry_tampered, as an array of codes.
+
+    Unlike making a chain, this needs no order of work: each entry is held against the one before it, and a log of over `most`
+    entries is cut into ranges of numbers, so that all tasks verify it."""
+    out = carried(df, log, [sequence], {"__last": F.struct(F.col(sequence).alias("number"), F.col(entry).alias("hash"))}, most=most)
+    out = out.withColumn("__before", F.col("__last")["hash"]).withColumn("__seq", F.coalesce(F.col("__last")["number"], F.lit(0)))
     codes = error_codes({
         "sequence_gap": F.col(sequence) != F.col("__seq") + 1,
         "broken_predecessor_link": ~F.col(previous).eqNullSafe(F.col("__before")),
         "entry_tampered": ~F.col(entry).eqNullSafe(entry_hash(F.col(sequence), F.col(previous), payload)),
     })
-    return out.withColumn("errors", codes).filter(F.size("errors") > 0).drop("__before", "__seq")
+    return out.withColumn("errors", codes).filter(F.size("errors") > 0).drop("__last", "__before", "__seq")
 
 
 def reconcile(local: DataFrame, recorded: DataFrame, key: Sequence[str], value: str) -> DataFrame:

@@ -489,7 +489,9 @@ def fixed_effect_poisson(df: DataFrame, unit: str, exposed: Column, count: str,
 
 
 def rank_sum(ranked: DataFrame, by: Sequence[str], group: Column, value: str, least: int = 5) -> DataFrame:
-    """Two-group medians and rank-sum z (ties corrected) from average_ranks(); null with fewer than `least` on a side."""
+    """Two-group medians and rank-sum z (ties corrected) from average_ranks(); null with fewer than `least` on a side.
+    Rows without a rank or a side don't count."""
+    ranked = ranked.filter(F.col("average_rank").isNotNull() & group.isNotNull())
     out = ranked.groupBy(*by).agg(F.count_if(group).cast("double").alias("n1"), F.count_if(~group).cast("double").alias("n2"), F.sum(F.when(group, F.col("average_rank"))).alias("w"), F.sum(F.col("tie_size") * F.col("tie_size") - 1).cast("double").alias("t"))
     for name, side in (("median1", group), ("median2", ~group)):
         out = with_quantiles(out, ranked, by, F.when(side, F.col(value)), {name: 0.5})

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsengine.functions import expressions as X
 from obsengine.operators import joins, matching, windows
+from obsengine.sources.shared import scratch  # noqa: F401  for the query modules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,15 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary one if all runs in one process, as in tests;
-    on a cluster that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def query(sql: str | None = None):
     """Registers a function as a query under its name, with its oracle."""
 
@@ -220,13 +209,16 @@ def interval_features(spark, sf_dir):
     return joins.interval_features(left, right, ["user_id"], ["event_id"], "ts", "at", 72, aggs).drop("user_id", "ts")
 
 
-@query("""with j as (select a.event_id, b.ts, b.value, row_number() over (partition by a.event_id order by b.ts desc) n from events a join events b on a.user_id = b.user_id and b.ts < a.ts),
-    g as (select event_id, sum(value) s from j where n <= 5 group by 1 having count(*) = 5 and floor(epoch(max(ts))) - floor(epoch(min(ts))) <= 72 * 3600)
-    select e.event_id, case when g.event_id is null then null else 5 end "trailing", round(s, 4) sum_5 from events e left join g using (event_id)""")
+@query("""with j as (select a.event_id, a.ts at_, b.ts, b.value, row_number() over (partition by a.event_id order by b.ts desc, b.event_id desc) n from events a join events b on a.user_id = b.user_id and b.ts < a.ts),
+    g as (select event_id, round(sum(value) filter (n <= 2), 4) sum_2, round(avg(value) filter (n <= 2), 6) mean_2, max(value) filter (n <= 2) top_2, round(sum(value), 4) sum_6, round(avg(value), 6) mean_6, max(value) top_6
+        from j where n <= 6 group by event_id having count(*) = 6 and epoch_us(max(at_)) - epoch_us(min(ts)) <= 73 * 3600000000)
+    select event_id, sum_2, mean_2, top_2, sum_6, mean_6, top_6, case when g.event_id is null then 'missing' else 'complete' end support from events left join g using (event_id)""")
 def trailing_rows(spark, sf_dir):
+    """The last 2 and the last 6 readings before each event; the first of them is at most 73 hours old."""
     e = table(spark, sf_dir, "events")
-    out = joins.trailing_rows(e.select("event_id", "user_id", "ts"), e.select("user_id", F.col("ts").alias("at"), "value"), ["user_id"], ["event_id"], "ts", "at", 5, 72, [F.round(F.sum("value"), 4).alias("sum_5")])
-    return out.select("event_id", F.col("trailing").cast("int").alias("trailing"), "sum_5")
+    aggs = {"sum": lambda r: F.round(joins.total(r, "value"), 4), "mean": lambda r: F.round(joins.mean(r, "value"), 6), "top": lambda r: joins.largest(r, "value")}
+    right = e.select("user_id", F.col("ts").alias("at"), "value", F.col("event_id").alias("reading"))
+    return joins.trailing_rows(e.select("event_id", "user_id", "ts"), right, ["user_id"], "ts", "at", [2, 6], 73, aggs, tie="reading").drop("user_id", "ts")
 
 
 # --- other joins

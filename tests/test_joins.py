@@ -3,31 +3,42 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from obsengine.operators import joins
 
 
-def test_trailing_rows_reach_as_far_back_as_needed(spark):
+def trailing_case():
     rng, start = random.Random(2), datetime(2024, 1, 1)
     rows = [(1, start + timedelta(hours=10 * k), float(k)) for k in range(5)] + [(1, start + timedelta(days=30), 9.0)]  # five within 72 h, then a long gap
+    rows += [(1, start + timedelta(days=60, hours=12 * k), 1.0) for k in range(9)]  # the sixth is 72 h after the first
     rows += [(2, start + timedelta(hours=40 * k), 1.0) for k in range(6)]  # never five within 72 h
     for user in range(3, 9):
         at = start
         for k in range(40):
             at += timedelta(hours=rng.choice([0, 1, 5, 20, 300]), seconds=rng.randrange(9))
             rows.append((user, at, float(k)))
-    rows += [(None, start + timedelta(hours=k), 1.0) for k in range(8)] + [(1, None, 1.0)]
+    return rows + [(None, start + timedelta(hours=k), 1.0) for k in range(8)] + [(1, None, 1.0)]
+
+
+@pytest.mark.parametrize("most", [10**6, 12])
+def test_trailing_rows_end_at_the_event(spark, most):
+    rows = trailing_case()
     e = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "event_id long, user_id long, ts timestamp, value double").repartition(3)
-    aggs = [F.sum("value").alias("s"), F.min("at").alias("first")]
-    got = joins.trailing_rows(e.select("event_id", "user_id", "ts"), e.select("user_id", F.col("ts").alias("at"), "value"), ["user_id"], ["event_id"], "ts", "at", 5, 72, aggs)
-    got = {r.event_id: (r.trailing, r.first) for r in got.collect()}
+    aggs = {"s": lambda r: joins.total(r, "value"), "m": lambda r: joins.mean(r, "value"), "top": lambda r: joins.largest(r, "value"), "first": lambda r: r[0]["at"]}
+    right = e.select("user_id", F.col("ts").alias("at"), "value", F.col("event_id").alias("id"))
+    got = joins.trailing_rows(e.select("event_id", "user_id", "ts"), right, ["user_id"], "ts", "at", [5, 2], 72, aggs, tie="id", most=most)
+    got = {r.event_id: (r.support, r.s_5, r.m_2, r.top_2, r.first_5) for r in got.collect()}
     want = {}
     for k, (user, ts, _) in enumerate(rows):
-        before = sorted(t for u, t, _ in rows if user is not None and ts and u == user and t and t < ts)[-5:]
-        whole = len(before) == 5 and before[-1].replace(microsecond=0) - before[0].replace(microsecond=0) <= timedelta(hours=72)
-        want[k] = (5, before[0]) if whole else (None, None)
-    assert got == want and got[5][0] == 5
+        before = sorted((t, j, v) for j, (u, t, v) in enumerate(rows) if user is not None and ts and u == user and t and t < ts)[-5:]
+        if len(before) == 5 and ts - before[0][0] <= timedelta(hours=72):
+            values = [v for _, _, v in before]
+            want[k] = ("complete", sum(values), sum(values[-2:]) / 2, max(values[-2:]), before[0][0])
+        else:
+            want[k] = ("missing", None, None, None, None)
+    assert got == want and got[5][0] == "missing" and got[11][0] == "complete"  # an old window doesn't count; five rows within the span
 
 
 def test_points_in_polygons_equal_a_long_ray(spark):
