@@ -252,22 +252,42 @@ def closed_day_stream(spark, sf_dir):
     return spark.read.schema("day date, event_type string, n long").parquet(path).withColumn("day", F.col("day").cast("string"))
 
 
-@query("""with w as (select user_id, ts, max(case when event_type <> 'error' then ts end) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) l from events)
-    select cast(user_id as varchar) cell, epoch_us(ts) ts_us, cast(case when epoch_us(ts) - epoch_us(l) <= 72 * 3600000000 then epoch_us(l) end as bigint) last_negative_us from w""")
+def in_pieces(spark, sf_dir, pieces: int, late_seconds: int) -> str:
+    """The events as files in order of time, but for events that come up to late_seconds late; returns the folder."""
+    e, path = table(spark, sf_dir, "events"), scratch(spark, "pieces")
+    comes = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(late_seconds + 1))
+    first, last = e.agg(F.min(comes), F.max(comes)).first()
+    piece = F.least(F.lit(pieces - 1), F.floor((comes - first) * pieces / F.greatest(F.lit(1), F.lit(last) - first)))
+    for k in range(pieces):  # one after the other, as the source goes by the files' times
+        e.filter(piece == k).write.mode("append").parquet(f"{path}/events")
+    return path
+
+
+@query("""with w as (select user_id, event_id, ts, max(case when event_type <> 'error' then ts end) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) l from events)
+    select cast(user_id as varchar) cell, cast(event_id as varchar) id, epoch_us(ts) ts_us, cast(case when epoch_us(ts) - epoch_us(l) <= 72 * 3600000000 then epoch_us(l) end as bigint) last_negative_us, false late from w""")
 def lookback_stream(spark, sf_dir):
-    """The look-back of last_negative_lookback as a stateful stream."""
-    stream = event_stream(spark, sf_dir).withColumn("negative", F.col("event_type") != "error")
-    path = scratch(spark, "lookback")
-    jobs.last_negative_stream(stream, "user_id", "ts", "negative").writeStream.outputMode("append").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path=path, format="parquet").awaitTermination()
-    out = spark.read.schema(jobs.LOOKBACK).parquet(path)
-    return out.select("cell", F.unix_micros("ts").alias("ts_us"), F.unix_micros("last_negative").alias("last_negative_us"))
-
-
-@query("""select cast(cast(ts as date) as varchar) "date", count(*) n from events group by 1""")
+    """The look-back of last_negative_lookback as a stateful stream of several batches, in which events come up to an hour late:
+    rows wait for the watermark, so what is shown is what the batch job finds. A last row of no cell moves the watermark on."""
+    path = in_pieces(spark, sf_dir, 3, 3600)
+    e = spark.read.parquet(f"{path}/events")
+    e.agg(*[(F.max(c) + F.expr("interval 30 days") if c == "ts" else F.lit(None).cast(e.schema[c].dataType)).alias(c) for c in e.columns]).write.mode("append").parquet(f"{path}/events")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events").withColumn("negative", F.coalesce(F.col("event_type") != "error", F.lit(False)))
+    found = jobs.last_negative_stream(stream, "user_id", "ts", "negative", delay="90 minutes", tie="event_id", wait=True, piece_minutes=7 * 1440)
+    found.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(path=f"{path}/found", format="parquet").awaitTermination()
+    out = spark.read.schema(jobs.LOOKBACK).parquet(f"{path}/found").filter("cell is not null")
+    return out.select("cell", "id", F.unix_micros("ts").alias("ts_us"), F.unix_micros("last_negative").alias("last_negative_us"), "late")
+
+
+@query("""select cast(cast(ts as date) as varchar) "date", count(*) n, count(distinct user_id) users from events group by 1""")
 def daily_partition_stream(spark, sf_dir):
-    """Day partitions written by foreachBatch, run twice over the same input: the second run changes nothing."""
-    path = scratch(spark, "daily")
-    count = lambda df: df.groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+    """Days that arrive in pieces, by two runs of one stream of which the second changes nothing; then days are closed, the earlier
+    ones first, and the rest."""
+    path = in_pieces(spark, sf_dir, 3, 2 * 86_400)
+    schema = table(spark, sf_dir, "events").schema
+    middle = spark.read.parquet(f"{path}/events").agg(F.to_date(F.percentile_approx("ts", 0.5))).first()[0]
+    process = lambda df: df.groupBy("date").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
     for run in range(2):
-        jobs.daily_partitions(event_stream(spark, sf_dir), "ts", count, path, f"{path}-checkpoint-{run}").awaitTermination()
-    return spark.read.parquet(path).select(F.col("date").cast("string").alias("date"), "n")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+        jobs.daily_partitions(stream, "ts", f"{path}/daily", f"{path}/checkpoint-{run}").awaitTermination()
+        jobs.close_days(spark, schema, process, f"{path}/daily", before=None if run else middle)
+    return jobs.closed(spark, f"{path}/daily", "date date, n long, users long").select(F.col("date").cast("string").alias("date"), "n", "users")

@@ -2,52 +2,116 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import date
+from functools import partial
+from hashlib import sha256
+from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-LOOKBACK = "cell string, ts timestamp, negative boolean, last_negative timestamp"
-
-
-def last_negative_stream(swaths: DataFrame, cell: str, ts: str, negative: str, hours: int = 72, delay: str = "1 hour") -> DataFrame:
-    """Each row with the stamp of the last negative of its cell before it, within `hours`.
-
-    One state a cell: the last negative, dropped by event time once `hours` have passed. Rows later than the watermark are
-    dropped by Spark and never applied to the state; late_rows() keeps them for a table of their own. Order within a
-    batch is by stamp."""
-    import pandas as pd
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+LOOKBACK = "cell string, ts timestamp, id string, negative boolean, last_negative timestamp, late boolean"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LookBack(StatefulProcessor):
+    """The state of a cell: the stamp of its last negative, and rows that still wait, by pieces of time, in the state store and not
+    in memory. What a worker holds is one Arrow batch of input or the rows of one piece."""
+
+    def __init__(self, hours: float, piece_us: int, wait: bool):
+        self.span, self.piece, self.wait = int(hours * 3_600_000_000), piece_us, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+        self.waiting = handle.getMapState("waiting", "piece long, batch long", "us array<long>, id array<string>, negative array<boolean>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N803  Spark's names
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        first, rows = next(rows), iter(rows)
+        second = next(rows, None)
+        if second is None and not self.wait:  # one Arrow batch: nothing has to be put away
+            late = first["us"] < watermark
+            if late.any():
+                yield self._shown(key, first[late], [None] * int(late.sum()), True)
+            yield from self._in_order(key, first[~late], watermark)
+            return
+        known = set(self.waiting.keys())
+        batch = max((b for _, b in known), default=-1) + 1
+        for pdf in chain([first] if second is None else [first, second], rows):
+            late = pdf["us"] < watermark
+            if late.any():
+                yield self._shown(key, pdf[late], [None] * int(late.sum()), True)
+            kept = pdf[~late]
+            for piece, part in kept.groupby(kept["us"] // self.piece):
+                self.waiting.updateValue((int(piece), batch), (part["us"].tolist(), part["id"].tolist(), part["negative"].tolist()))
+                known.add((int(piece), batch))
+                if self.wait:
+                    self.handle.registerTimer((int(piece) + 1) * self.piece // 1000)
+            batch += 1
+        if not self.wait:
+            yield from self._applied(key, known, watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N803
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        yield from self._applied(key, {k for k in self.waiting.keys() if (k[0] + 1) * self.piece <= watermark}, watermark)
+        if self.last.exists() and self.last.get()[0] + self.span < watermark and not any(True for _ in self.waiting.keys()):
+            self.last.clear()
+
+    def _applied(self, key, entries: set, watermark: int) -> Iterator:
+        """Rows of these entries, piece by piece, each with the last negative before it."""
+        import pandas as pd
+
+        for piece in sorted({p for p, _ in entries}):
+            own = sorted(e for e in entries if e[0] == piece)
+            pdf = pd.concat([pd.DataFrame(dict(zip(("us", "id", "negative"), self.waiting.getValue(e), strict=True))) for e in own])
+            for e in own:
+                self.waiting.removeKey(e)
+            yield from self._in_order(key, pdf, watermark)
+
+    def _in_order(self, key, pdf, watermark: int) -> Iterator:
+        if pdf.empty:
             return
-        pdf = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        last = state.get[0] if state.exists else None
-        out = []
-        for at, is_negative in zip(pdf["ts"], pdf["negative"], strict=True):
-            us = int(at.value // 1000)
-            out.append(pd.Timestamp(last, unit="us") if last is not None and us - last <= hours * 3_600_000_000 and last < us else None)
-            if is_negative:
-                last = us
-        if last is not None:
-            state.update((last,))
-            until = last // 1000 + hours * 3_600_000
-            if until > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(until)
-            else:
-                state.remove()
-        yield pd.DataFrame({"cell": key[0], "ts": pdf["ts"].to_numpy(), "negative": pdf["negative"].to_numpy(), "last_negative": pd.to_datetime(pd.Series(out, dtype="object"))})
-
-    rows = swaths.select(F.col(cell).cast("string").alias("cell"), F.col(ts).cast("timestamp").alias("ts"), F.col(negative).alias("negative")).withWatermark("ts", delay)
-    return rows.groupBy("cell").applyInPandasWithState(step, LOOKBACK, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def late_rows(rows: DataFrame, ts: str, watermark: str) -> DataFrame:
-    """Rows of a batch older than a watermark (a timestamp literal): for the side table."""
-    return rows.filter(F.col(ts) < F.to_timestamp(F.lit(watermark)))
+        pdf = pdf.sort_values(["us", "id"], kind="stable")
+        last = before = self.last.get()[0] if self.last.exists() else None
+        found = []
+        for us, negative in zip(pdf["us"].tolist(), pdf["negative"].tolist(), strict=True):
+            found.append(last if last is not None and last <= us <= last + self.span else None)
+            if negative:
+                last = us if last is None else max(last, us)
+        if last != before:
+            self.last.update((last,))
+            self.handle.registerTimer(max((last + self.span) // 1000, watermark // 1000) + 1)
+        yield self._shown(key, pdf, found, False)
+
+    @staticmethod
+    def _shown(key, pdf, found: list, late: bool):
+        import pandas as pd
+
+        stamps = lambda x: pd.to_datetime(pd.Series(x, dtype="Int64").reset_index(drop=True), unit="us")
+        return pd.DataFrame({"cell": key[0], "ts": stamps(pdf["us"].tolist()), "id": pdf["id"].to_numpy(), "negative": pdf["negative"].to_numpy(), "last_negative": stamps(found), "late": late})
+
+
+def last_negative_stream(swaths: DataFrame, cell: str, ts: str, negative: str, hours: float = 72, delay: str = "1 hour", tie: str | None = None, wait: bool = False, piece_minutes: int = 1440) -> DataFrame:
+    """Each row (LOOKBACK; id: the tie as text) with the stamp of the last negative of its cell before it, by stamp and tie, within
+    `hours`.
+
+    Rows that come later than the watermark (the latest stamp less `delay`) are in the same result, with late, and change
+    nothing. With wait, a row is shown once the watermark has passed its piece of time, and what is shown is what a batch job
+    would find, in whatever order rows came; else it is shown at once, in the order of stamps of its micro-batch, and a
+    negative that comes after it is not seen. A piece of piece_minutes is what is put in order in memory. The last negative is dropped by event time once `hours` have passed. Rows
+    without a stamp or verdict are left out. Sets the RocksDB state store unless the session names one."""
+    spark = swaths.sparkSession
+    if STORE not in spark.conf.getAll:
+        spark.conf.set(STORE, ROCKS)
+    rows = swaths.select(F.col(cell).cast("string").alias("cell"), F.col(ts).cast("timestamp").alias("__ts"), (F.col(tie).cast("string") if tie else F.lit("")).alias("id"), F.col(negative).alias("negative"))
+    # As a number the stamp is no event time to Spark, which would drop late rows before the state sees them.
+    rows = rows.withWatermark("__ts", delay).filter("__ts is not null and negative is not null").select("cell", "id", "negative", F.unix_micros("__ts").alias("us"))
+    return rows.groupBy("cell").transformWithStateInPandas(LookBack(hours, piece_minutes * 60_000_000, wait), LOOKBACK, "append", "eventTime")
 
 
 def closed_days(events: DataFrame, ts: str, by: list[str], delay: str = "0 seconds") -> DataFrame:
@@ -57,11 +121,93 @@ def closed_days(events: DataFrame, ts: str, by: list[str], delay: str = "0 secon
     return out.select(F.to_date("w.start").alias("day"), *by, "n")
 
 
-def daily_partitions(events: DataFrame, ts: str, process, path: str, checkpoint: str) -> StreamingQuery:
-    """Resumable processing by day: each batch rewrites the partitions of the days it holds, so a batch that runs again
-    leaves the same files. process: a function from a batch to rows with a `date` column, all of a day's in one batch."""
+RECEIPT = "batch long, part string, date date, rows long"
+DAY = "date date, parts string, rows long, status string"
+
+
+def _day(ts: str):
+    return F.to_date(F.col(ts).cast("timestamp"))
+
+
+def _print_of(batch: DataFrame) -> DataFrame:
+    """Rows and a fingerprint of their content by date, whatever their order."""
+    return batch.groupBy("date").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*batch.columns).cast("decimal(38,0)")).cast("string").alias("sum"))
+
+
+def _there(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The table at a path, an empty one if nothing is written there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def _parts(spark: SparkSession, path: str, rows: T.StructType) -> DataFrame:
+    fields = [f for f in rows.fields if f.name not in ("date", "part")]
+    return _there(spark, f"{path}/parts", T.StructType([*fields, T.StructField("date", T.DateType()), T.StructField("part", T.StringType())]))
+
+
+def keep_batch(batch: DataFrame, number: int, ts: str, path: str) -> None:
+    """Writes a batch's rows as parts of their days, one a (date, batch), then its receipts. Columns date and part are set anew.
+
+    A batch that has receipts for the same number and content is passed over, so a replay changes nothing; one that died
+    between rows and receipts writes the same parts again. Another content under a known number (a stream begun anew) has parts
+    of its own."""
+    spark = batch.sparkSession
+    rows = batch.withColumn("date", _day(ts)).filter("date is not null").persist()
+    try:
+        prints = _print_of(rows).orderBy("date").collect()  # a row a day of the batch
+        mark = sha256("".join(f"{r.date}:{r.rows}:{r.sum};" for r in prints).encode()).hexdigest()
+        name = f"{number:012d}-{mark[:16]}"
+        if prints and _there(spark, f"{path}/receipts", RECEIPT).filter(F.col("part") == name).isEmpty():
+            rows.withColumn("part", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "part").parquet(f"{path}/parts")
+            spark.createDataFrame([(number, name, r.date, r.rows) for r in prints], RECEIPT).coalesce(1).write.mode("append").parquet(f"{path}/receipts")
+    finally:
+        rows.unpersist()
+
+
+def close_days(spark: SparkSession, rows: T.StructType, process: Callable[[DataFrame], DataFrame], path: str, before: date | None = None) -> DataFrame:
+    """Merges each day before a date (None: all) that has parts with receipts which it has not been merged from: all of its parts go
+    through process, from rows with a date column to a result with one, into path/merged; then the day gets a receipt. Returns the
+    last receipt of each day: parts, rows, status (complete, or complete_no_rows if the result has none).
+
+    rows: the schema of the stream. A part that comes later makes its day due again; days that aren't due are not read. A run
+    that dies leaves days without a receipt, which the next one merges again. The days that are due are a list in the driver."""
+    wanted = _there(spark, f"{path}/receipts", RECEIPT).filter(F.lit(True) if before is None else F.col("date") < F.lit(before))
+    wanted = wanted.groupBy("date").agg(F.array_join(F.array_sort(F.collect_set("part")), ",").alias("parts"))  # a row a day
+    done = _last_receipts(spark, path).select("date", F.col("parts").alias("merged"))
+    due = wanted.join(done, "date", "left").filter(~F.col("parts").eqNullSafe(F.col("merged"))).select("date", "parts").collect()
+    if due:
+        days = [r.date for r in due]
+        named = spark.createDataFrame(due, "date date, parts string").select("date", F.explode(F.split("parts", ",")).alias("part"))
+        given = _parts(spark, path, rows).filter(F.col("date").isin(days)).join(F.broadcast(named), ["date", "part"])  # only what has receipts
+        result = process(given.drop("part"))
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/merged")
+        files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        for d in days:  # a day whose result has no rows any more would keep the old ones
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"date={d}"), True)
+        result.write.mode("append").partitionBy("date").parquet(f"{path}/merged")
+        counts = _there(spark, f"{path}/merged", result.schema).filter(F.col("date").isin(days)).groupBy("date").agg(F.count("*").alias("rows"))
+        receipts = spark.createDataFrame(due, "date date, parts string").join(counts, "date", "left").select("date", "parts", F.coalesce("rows", F.lit(0)).alias("rows"))
+        receipts.withColumn("status", F.when(F.col("rows") > 0, "complete").otherwise("complete_no_rows")).coalesce(1).write.mode("append").parquet(f"{path}/days")
+    return _last_receipts(spark, path)
+
+
+def _last_receipts(spark: SparkSession, path: str) -> DataFrame:
+    """Of each day the receipt with most parts: a day's parts only become more."""
+    last = _there(spark, f"{path}/days", DAY).groupBy("date").agg(F.max_by(F.struct("parts", "rows", "status"), F.length("parts")).alias("r"))
+    return last.select("date", "r.*")
+
+
+def closed(spark: SparkSession, path: str, result: T.StructType | str) -> DataFrame:
+    """The results of days that have a receipt; result: the schema of process's result."""
+    return _there(spark, f"{path}/merged", result).join(_last_receipts(spark, path).select("date"), "date", "left_semi")
+
+
+def daily_partitions(events: DataFrame, ts: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a stream's rows by day as they come, resumably: keep_batch() for each micro-batch. A day may come in any number of
+    batches; close_days() makes the results of days that are over. Rows without a stamp are left out."""
+    return events.writeStream.foreachBatch(partial(_kept, ts=ts, path=path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def write(batch: DataFrame, _: int) -> None:
-        process(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _kept(batch: DataFrame, number: int, ts: str, path: str) -> None:
+    keep_batch(batch, number, ts, path)

@@ -1,9 +1,11 @@
 """Scans, sinks and streams on small files."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsengine.sources import readers
 from obsengine.streaming import jobs
@@ -102,3 +104,94 @@ def test_state_expires_and_order(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.cell, r.ts, r.last_negative) for r in spark.read.schema(jobs.LOOKBACK).parquet(str(tmp_path / "out")).collect())
     assert got == [("c", base, None), ("c", base + dt.timedelta(hours=10), base), ("c", base + dt.timedelta(hours=90), None), ("d", base, None)]
+
+
+SWATHS = "cell string, ts timestamp, negative boolean, id long"
+
+
+def looked_back(spark, path, files, **options):
+    """The rows that come out of the stream of these lists of rows, a file a micro-batch."""
+    for rows in files:
+        spark.createDataFrame(rows, SWATHS).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(SWATHS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    found = jobs.last_negative_stream(stream, "cell", "ts", "negative", tie="id", **options)
+    found.writeStream.outputMode("append").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start(path=f"{path}/out", format="parquet").awaitTermination()
+    return {int(r.id): (r.cell, r.ts, r.last_negative, r.late) for r in spark.read.schema(jobs.LOOKBACK).parquet(f"{path}/out").collect()}
+
+
+@pytest.mark.parametrize("arrow_rows", [10000, 7])
+@pytest.mark.parametrize("wait", [False, True])
+def test_a_hot_cell_is_worked_through_in_pieces(spark, tmp_path, wait, arrow_rows):
+    """Ties by id, Arrow batches of seven rows, pieces of a day, rows out of order within the delay; the whole is one batch job's."""
+    rng, base = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(rng.choice(["hot", "hot", "hot", "b"]), base + dt.timedelta(hours=rng.randrange(400)), rng.random() < 0.1, k) for k in range(300)]
+    rows.sort(key=lambda r: r[1] + dt.timedelta(hours=rng.randrange(5) if wait else 0))
+    files = [rows[:150], rows[150:], [("end", base + dt.timedelta(days=90), False, -1)]]
+    if not wait:
+        cut = [r[1] for r in rows[:150]][-1]
+        files = [[r for r in rows if r[1] <= cut], [r for r in rows if r[1] > cut]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow_rows)
+    try:
+        got = looked_back(spark, str(tmp_path), files, delay="6 hours", wait=wait)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = {}, {}
+    for cell, ts, negative, k in sorted(rows, key=lambda r: (r[1], str(r[3]))):
+        before = last.get(cell)
+        want[k] = (cell, ts, before if before and ts - before <= dt.timedelta(hours=72) else None, False)
+        if negative:
+            last[cell] = ts
+    got.pop(-1, None)
+    assert got == want
+
+
+def test_late_rows_come_out_flagged_and_change_nothing(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    at = lambda h: base + dt.timedelta(hours=h)
+    got = looked_back(spark, str(tmp_path), [[("c", at(0), True, 0), ("c", at(50), False, 1)], [("c", at(60), False, 2)], [("c", at(10), True, 3), ("d", at(61), False, 4), ("c", at(59.5), False, 5)]])
+    assert {k: r[2:] for k, r in got.items()} == {0: (None, False), 1: (at(0), False), 2: (at(0), False), 3: (None, True), 4: (None, False), 5: (at(0), False)}
+
+
+DAILY = T.StructType([T.StructField("k", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("v", T.DoubleType())])
+
+
+def daily(spark, path, name, rows=None):
+    """Runs the stream over all files so far; name: of the checkpoint."""
+    if rows:
+        spark.createDataFrame(rows, DAILY).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(DAILY).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    jobs.daily_partitions(stream, "ts", f"{path}/out", f"{path}/{name}").awaitTermination()
+
+
+def merged(spark, path, before=None):
+    count = lambda df: df.groupBy("date").agg(F.count("*").alias("n"), F.sum("v").alias("v")).filter("v > 0")
+    receipts = {r.date.day: (r.rows, r.status, len(r.parts.split(","))) for r in jobs.close_days(spark, DAILY, count, f"{path}/out", before).collect()}
+    return receipts, {r.date.day: (r.n, r.v) for r in jobs.closed(spark, f"{path}/out", "date date, n long, v double").collect()}
+
+
+def test_a_day_in_two_batches_a_replay_and_a_crash(spark, tmp_path):
+    path, on = str(tmp_path), lambda d, h=0: dt.datetime(2024, 1, d, h)
+    daily(spark, path, "a", [(1, on(1), 1.0), (2, on(2), 1.0), (3, None, 9.0)])
+    daily(spark, path, "a", [(4, on(1, 5), 1.0), (5, on(3), -1.0)])
+    assert merged(spark, path, dt.date(2024, 1, 2)) == ({1: (1, "complete", 2)}, {1: (2, 2.0)})  # both batches' rows; later days are open
+    once = merged(spark, path)
+    assert once == ({1: (1, "complete", 2), 2: (1, "complete", 1), 3: (0, "complete_no_rows", 1)}, {1: (2, 2.0), 2: (1, 1.0)})
+    daily(spark, path, "b")  # a stream begun anew over the same files: nothing changes
+    assert merged(spark, path) == once and spark.read.parquet(f"{path}/out/receipts").count() == 4
+    # A batch that dies between its rows and its receipts is not part of any result until it runs again.
+    batch = spark.createDataFrame([(6, on(2, 7), 5.0)], DAILY)
+    whole = jobs._there
+    try:
+        jobs._there = lambda *a: (_ for _ in ()).throw(OSError("lost")) if "receipts" in a[1] else whole(*a)
+        with pytest.raises(OSError, match="lost"):
+            jobs.keep_batch(batch, 2, "ts", f"{path}/out")
+    finally:
+        jobs._there = whole
+    rows = batch.withColumn("date", F.to_date("ts")).withColumn("part", F.lit("000000000002-unfinished"))
+    rows.write.mode("append").partitionBy("date", "part").parquet(f"{path}/out/parts")
+    assert merged(spark, path) == once
+    for _ in range(2):
+        jobs.keep_batch(batch, 2, "ts", f"{path}/out")
+    assert merged(spark, path)[0][2] == (1, "complete", 2) and merged(spark, path)[1] == {1: (2, 2.0), 2: (2, 6.0)}
+    jobs.keep_batch(spark.createDataFrame([(7, on(1, 9), -50.0)], DAILY), 3, "ts", f"{path}/out")  # a late part that takes the day's result away
+    assert merged(spark, path)[0][1] == (0, "complete_no_rows", 3) and merged(spark, path)[1] == {2: (2, 6.0)}
