@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsengine.operators import matching
-from obsengine.plans.models import _in_sets, fits_in_step, grid_search, held_out_losses
+from obsengine.plans.models import fits_in_step, grid_search, held_out_losses
+from obsengine.plans.sets import FIRST, in_sets
 from obsengine.sources.readers import create_lock
 
 REVISION = "family-ablation-1"
@@ -27,9 +28,9 @@ def evaluated(df: DataFrame, fit_on: Column, test_on: Column, set_col: str, case
     out = []
     for family, names in families.items():
         marked = df.withColumn("__fit", F.coalesce(fit_on, F.lit(False))).withColumn("__test", F.coalesce(test_on, F.lit(False)))
-        rows = _in_sets(marked, set_col, case, names, ["__fit", "__test"]).persist()
-        beta = fits_in_step(rows, [(2, penalties[family])], 4, len(names))
-        out.append((family, penalties[family], *held_out_losses(rows, [3], beta, 4)[0]))
+        rows = in_sets(marked, set_col, case, names, ["__fit", "__test"]).persist()
+        beta = fits_in_step(rows, [(FIRST, penalties[family])], FIRST + 2, len(names))
+        out.append((family, penalties[family], *held_out_losses(rows, [FIRST + 1], beta, FIRST + 2)[0]))
         rows.unpersist()
     return df.sparkSession.createDataFrame(out, METRICS)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from obsengine.operators.ranks import quantiles, ranked as in_order, with_quantiles
 from obsengine.operators.windows import case_ranks, group_softmax
+from obsengine.plans.sets import FIRST, gram, in_sets, logit_sums, over_sets, subset_sums
 
 
 @dataclass
@@ -35,6 +36,8 @@ def wald(name: str, estimate: float, se: float) -> tuple:
     return (name, float(estimate), float(se), z, math.erfc(abs(z) / math.sqrt(2)), float(estimate - 1.96 * se), float(estimate + 1.96 * se), math.exp(min(estimate, 700)))
 
 
+# With more columns, sums of products are made by matrices inside tasks instead of a SQL sum each.
+WIDE = 8
 WALD = "name string, estimate double, se double, z double, p double, low double, high double, ratio double"
 
 
@@ -79,9 +82,12 @@ def cluster_meat(scores: DataFrame, clusters: Sequence[str], names: Sequence[str
     """Sum over clusters of the outer product of their score sums, times G / (G - 1) * (n - 1) / max(n - p, 1)."""
     p = len(names)
     sums = scores.groupBy(*clusters).agg(*[F.sum(c).alias(c) for c in names])
-    row = sums.agg(F.count("*").alias("g"), *pair_sums([F.col(c) for c in names], "m")).first()
-    g = row["g"]
-    return symmetric(row[1:], p) * (g / max(g - 1, 1)) * ((n - 1) / max(n - p, 1))
+    if p > WIDE:
+        g, total = gram(sums, names)
+    else:
+        row = sums.agg(F.count("*").alias("g"), *pair_sums([F.col(c) for c in names], "m")).first()
+        g, total = row["g"], symmetric(row[1:], p)
+    return total * (g / max(g - 1, 1)) * ((n - 1) / max(n - p, 1))
 
 
 def two_way_covariance(scores: DataFrame, bread: np.ndarray, first: str, second: str, names: Sequence[str], n: int) -> tuple[np.ndarray, str]:
@@ -150,16 +156,24 @@ def cond_logit_sums(df: DataFrame, set_col: str, case: str, names: Sequence[str]
     return row[0], row[1] or 0.0, np.array([v or 0.0 for v in row[2 : 2 + p]]), symmetric(row[2 + p :], p)
 
 
+def set_sums(rows: DataFrame, beta: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """As cond_logit_sums(), of in_sets(), for any number of columns."""
+    p = len(beta)
+    v = over_sets(rows, 2 + p + p * p, lambda v: logit_sums(v[:, :, FIRST:], v[:, :, 0], beta))
+    return int(v[0]), v[1], v[2 : 2 + p], v[2 + p :].reshape(p, p)
+
+
 def cond_logit(df: DataFrame, set_col: str, case: str, names: Sequence[str], ridge: float = 0.0, first: str | None = None, second: str | None = None, rounds: int = 40, tolerance: float = 1e-9) -> Fit:
     """Newton steps with halving on the likelihood of one case a set, plus ridge / 2 |beta|^2; one Spark pass a step.
 
-    The frame is dealt by set once. Where the information is singular, a small ridge is added for the step. Converged when
+    The frame is dealt by set once; beyond WIDE columns a step is one pass of matrices over sets. Where the information is singular, a small ridge is added for the step. Converged when
     the largest gradient is below the tolerance times the number of sets; otherwise an error."""
-    rows = df.select(set_col, *dict.fromkeys([c for c in (first, second) if c]), F.col(case).cast("int").alias("__case"), *[F.col(c).cast("double").alias(c) for c in names]).repartition(set_col).persist()
     p = len(names)
+    rows = df.select(set_col, *dict.fromkeys([c for c in (first, second) if c]), F.col(case).cast("int").alias("__case"), *[F.col(c).cast("double").alias(c) for c in names])
+    rows = in_sets(rows, set_col, "__case", names).persist() if p > WIDE else rows.repartition(set_col).persist()
 
     def at(b):
-        n, loss, g, h = cond_logit_sums(rows, set_col, "__case", names, b)
+        n, loss, g, h = set_sums(rows, b) if p > WIDE else cond_logit_sums(rows, set_col, "__case", names, b)
         return n, loss + 0.5 * ridge * float(b @ b), g + ridge * b, h + ridge * np.eye(p)
 
     beta = np.zeros(p)
@@ -175,18 +189,18 @@ def cond_logit(df: DataFrame, set_col: str, case: str, names: Sequence[str], rid
                 break
             size /= 2
         beta, (n, loss, g, h) = beta + size * step, tried
-    rows_kept = rows
-    if np.abs(g).max() >= tolerance * max(1, n):
-        rows_kept.unpersist()
+    if not np.abs(g).max() < tolerance * max(1, n):
+        rows.unpersist()
         raise RuntimeError(f"conditional logit did not converge: gradient {np.abs(g).max():.3g}")
     bread = np.linalg.pinv(h)
     covariance, method = bread, "model"
     if first:
-        x = group_softmax(rows.withColumn("__eta", linear_score(names, beta)), [set_col], "__eta")
+        own = df.select(set_col, *dict.fromkeys([c for c in (first, second) if c]), F.col(case).cast("int").alias("__case"), *[F.col(c).cast("double").alias(c) for c in names]) if p > WIDE else rows
+        x = group_softmax(own.withColumn("__eta", linear_score(names, beta)), [set_col], "__eta")
         scores = x.withColumns({f"s{k}": (F.col("__case") - F.col("probability")) * F.col(c) for k, c in enumerate(names)})
         s = [f"s{k}" for k in range(p)]
         covariance, method = two_way_covariance(scores, bread, first, second, s, n) if second else (bread @ cluster_meat(scores, [first], s, n) @ bread, first)
-    rows_kept.unpersist()
+    rows.unpersist()
     return Fit(list(names), beta, covariance, n, {"loss": loss, "method": method, "gradient": float(np.abs(g).max())})
 
 
@@ -198,44 +212,10 @@ def ranking_metrics(df: DataFrame, set_col: str, case: str, names: Sequence[str]
     return loss.join(ranks, set_col).agg(F.count("*").alias("sets"), F.avg("loss").alias("log_loss"), F.avg("top1").alias("top1"), F.avg(1 / F.col("average_rank")).alias("mrr"), F.avg("uniform").alias("uniform_loss"))
 
 
-def _in_sets(df: DataFrame, set_col: str, case: str, names: Sequence[str], keep: Sequence[str] = (), most_rows: int = 10_000) -> DataFrame:
-    """case, size of the set, `keep` and the names, as doubles, dealt and sorted by size and set, so that a task meets whole
-    sets of one size in a row. A set of over most_rows rows is an error."""
-    w = Window.partitionBy("__h", "__s")
-    rows = df.select(F.xxhash64(set_col).alias("__h"), F.col(set_col).cast("string").alias("__s"), F.col(case).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in (*keep, *names)]).withColumn("__m", F.count("*").over(w))
-    rows = rows.withColumn("__m", F.when(F.col("__m") <= most_rows, F.col("__m")).otherwise(F.raise_error(F.concat(F.lit("too large a set: "), F.col("__s"))).cast("long")).cast("double"))
-    return rows.repartition("__h").sortWithinPartitions("__m", "__h", "__s").select("__y", "__m", *keep, *names)
-
-
-def _over_sets(rows: DataFrame, size: int, each) -> np.ndarray:
-    """Sum over all tasks of each(values of n sets of one size: n, m, columns), a vector of `size` numbers. rows: _in_sets()."""
-    import pyarrow as pa
-
-    def run(batches):
-        total, rest = np.zeros(size), None
-        for batch in batches:
-            new = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            rest = new if rest is None else np.concatenate((rest, new))
-            at = 0
-            while at < len(rest):
-                m = int(rest[at, 1])
-                other = rest[at:, 1] != m
-                n = min((int(np.argmax(other)) if other.any() else len(other)) // m, max(1, 100_000 // m))
-                if not n:  # the rest of this set is in the next batch
-                    break
-                total += each(rest[at : at + n * m].reshape(n, m, -1))
-                at += n * m
-            rest = rest[at:]
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
-
-    row = rows.mapInArrow(run, "v array<double>").agg(*[F.sum(F.get("v", F.lit(j))) for j in range(size)]).first()
-    return np.array([x or 0.0 for x in row])
-
-
 def fits_in_step(rows: DataFrame, problems: Sequence[tuple[int, float]], first_name: int, p: int, rounds: int = 60, tolerance: float = 1e-7) -> np.ndarray:
     """Ridge conditional logits of many problems, all in the same passes: a row of coefficients each.
 
-    rows: _in_sets() with columns of 0 and 1, one of which says for each problem (its number among all columns, its penalty)
+    rows: in_sets() with columns of 0 and 1, one of which says for each problem (its number among all columns, its penalty)
     which sets it is fitted on. A pass tries one step of every problem that has not converged; a step that doesn't lower the
     loss is halved. Converged when the largest gradient is below the tolerance times the number of sets; else an error."""
     k = len(problems)
@@ -252,19 +232,10 @@ def fits_in_step(rows: DataFrame, problems: Sequence[tuple[int, float]], first_n
             for j in todo:
                 mine = v[:, 0, masks[j]] > 0
                 if mine.any():
-                    xs, ys = x[mine], y[mine]
-                    eta = xs @ betas[j]
-                    top = eta.max(axis=1, keepdims=True)
-                    e = np.exp(eta - top)
-                    z = e.sum(axis=1, keepdims=True)
-                    q = e / z
-                    mean = np.einsum("nm,nmp->np", q, xs)
-                    second = np.einsum("nm,nmp,nmq->pq", q, xs, xs, optimize=True)
-                    loss = np.sum((top + np.log(z))[:, 0] - np.sum(eta * ys, axis=1))
-                    out[j] = np.concatenate(([len(xs), loss], (mean - np.einsum("nm,nmp->np", ys, xs)).sum(axis=0), (second - mean.T @ mean).ravel()))
+                    out[j] = logit_sums(x[mine], y[mine], betas[j])
             return out.ravel()
 
-        got = _over_sets(rows, k * width, each).reshape(k, width)
+        got = over_sets(rows, k * width, each).reshape(k, width)
         out = []
         for j, (_, ridge) in enumerate(problems):
             b = betas[j]
@@ -305,7 +276,7 @@ def held_out_losses(rows: DataFrame, masks: Sequence[int], betas: np.ndarray, fi
                 out[j] = [mine.sum(), -np.log(np.maximum(np.sum(q * ys, axis=1), 1e-15)).sum(), np.where(above == 0, 1 / tied, 0.0).sum(), (1 / (above + (tied + 1) / 2)).sum()]
         return out.ravel()
 
-    got = _over_sets(rows, 4 * len(masks), each).reshape(-1, 4)
+    got = over_sets(rows, 4 * len(masks), each).reshape(-1, 4)
     return [(int(n), *(float(x / max(n, 1)) for x in rest)) for n, *rest in got]
 
 
@@ -327,88 +298,44 @@ def grid_search(df: DataFrame, set_col: str, case: str, cell: str, names: Sequen
     """penalty, mean held-out log loss over purged spatial folds, chosen (least loss; ties to the larger penalty). All
     penalties and folds are fitted in the same passes."""
     marks = [f"{part}_{k}" for part in ("train", "test") for k in range(n_folds)]
-    rows = _in_sets(with_folds(df, set_col, cell, folds, block, n_folds), set_col, case, names, marks).persist()
+    rows = in_sets(with_folds(df, set_col, cell, folds, block, n_folds), set_col, case, names, marks).persist()
     every = [(k, float(penalty)) for penalty in penalties for k in range(n_folds)]
-    at = 2 + len(marks)
-    betas = fits_in_step(rows, [(2 + k, penalty) for k, penalty in every], at, len(names))
-    losses = held_out_losses(rows, [2 + n_folds + k for k, _ in every], betas, at)
+    at = FIRST + len(marks)
+    betas = fits_in_step(rows, [(FIRST + k, penalty) for k, penalty in every], at, len(names))
+    losses = held_out_losses(rows, [FIRST + n_folds + k for k, _ in every], betas, at)
     rows.unpersist()
     got = [(float(penalty), float(np.mean([x[1] for x, (_, q) in zip(losses, every, strict=True) if q == penalty and x[0]]))) for penalty in map(float, penalties)]
     best = min(got, key=lambda r: (r[1], -r[0]))[0]
     return df.sparkSession.createDataFrame([(q, x, q == best) for q, x in got], "penalty double, log_loss double, chosen boolean")
 
 
-def multi_case_logit(df: DataFrame, set_col: str, outcome: str, names: Sequence[str], rounds: int = 40, most_rows: int = 10_000) -> Fit:
+def multi_case_logit(df: DataFrame, set_col: str, outcome: str, names: Sequence[str], rounds: int = 40, tolerance: float = 1e-6, most_rows: int = 10_000) -> Fit:
     """Conditional logit with any number of positives a set; sets without or with only positives tell nothing.
 
-    The recursion over subset sums is a set's likelihood; derivatives are those of the elementary symmetric functions. Rows
-    are dealt by set and sorted once; each Newton step is one pass, in which a task takes many sets of one size at a time
-    and hands on one row of sums. A set of over most_rows rows is an error."""
-    import pyarrow as pa
-
+    Rows are dealt by set and sorted once; each Newton step is one pass of subset_sums(). Converged when the largest gradient
+    is below the tolerance times the number of sets; otherwise an error. A set of over most_rows rows is an error."""
     p = len(names)
-    rows = df.select(F.xxhash64(set_col).alias("__h"), F.col(set_col).cast("string").alias("__s"), F.col(outcome).cast("int").alias("__y"), *[F.col(c).cast("double").alias(c) for c in names])
-    w = Window.partitionBy("__h", "__s")
-    rows = rows.withColumn("__k", F.sum("__y").over(w)).withColumn("__m", F.count("*").over(w)).filter("__k > 0 and __k < __m")
-    rows = rows.withColumn("__m", F.when(F.col("__m") <= most_rows, F.col("__m")).otherwise(F.raise_error(F.concat(F.lit("too large a set: "), F.col("__s"))).cast("long")))
-    rows = rows.repartition("__h").sortWithinPartitions("__m", "__k", "__h", "__s").select("__y", "__k", "__m", *names).persist()
-
-    def block(x, y, k, beta):
-        """Sums over sets of one size m and one number k of positives. x: sets, m, p."""
-        n, m = y.shape
-        eta = x @ beta
-        top = eta.max(axis=1)
-        e = np.exp(eta - top[:, None])
-        f, g, h = np.zeros((n, k + 1)), np.zeros((n, k + 1, p)), np.zeros((n, k + 1, p, p))
-        f[:, 0] = 1
-        for i in range(m):
-            xi, ei = x[:, i], e[:, i]
-            xx = xi[:, :, None] * xi[:, None, :]
-            for j in range(min(i + 1, k), 0, -1):
-                gx = g[:, j - 1, :, None] * xi[:, None, :]
-                h[:, j] += ei[:, None, None] * (h[:, j - 1] + gx + gx.transpose(0, 2, 1) + f[:, j - 1, None, None] * xx)
-                g[:, j] += ei[:, None] * (g[:, j - 1] + f[:, j - 1, None] * xi)
-                f[:, j] += ei * f[:, j - 1]
-        mean = g[:, k] / f[:, k, None]
-        loss = np.log(f[:, k]) + k * top - (eta * y).sum(axis=1)
-        info = h[:, k] / f[:, k, None, None] - mean[:, :, None] * mean[:, None, :]
-        return np.concatenate(([n, loss.sum()], (mean - (x * y[:, :, None]).sum(axis=1)).sum(axis=0), info.sum(axis=0).ravel()))
+    rows = in_sets(df, set_col, outcome, names, most_rows=most_rows, mixed=True).persist()
 
     def sums(beta):
-        def run(batches):
-            total, rest = np.zeros(2 + p + p * p), np.empty((0, 3 + p))
-            for batch in batches:
-                rest = np.concatenate((rest, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3 + p)])))
-                at = 0
-                while at < len(rest):
-                    k, m = int(rest[at, 1]), int(rest[at, 2])
-                    same = (rest[at:, 1] != k) | (rest[at:, 2] != m)
-                    end = at + (int(np.argmax(same)) if same.any() else len(same))
-                    n = min((end - at) // m, max(1, 4_000_000 // (m + k * p * p)))
-                    if not n:  # the rest of this set is in the next batch
-                        break
-                    some = rest[at : at + n * m].reshape(n, m, -1)
-                    total += block(some[:, :, 3:], some[:, :, 0], k, beta)
-                    at += n * m
-                rest = rest[at:]
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["v"])
-
-        each = rows.mapInArrow(run, "v array<double>")
-        v = np.array([x or 0.0 for x in each.agg(*[F.sum(F.get("v", F.lit(j))) for j in range(2 + p + p * p)]).first()])
+        # A block of sets holds polynomials with p * p numbers a coefficient.
+        v = over_sets(rows, 2 + p + p * p, lambda v: subset_sums(v[:, :, FIRST:], v[:, :, 0], beta), 4_000_000 // (p * p))
         return int(v[0]), v[1], v[2 : 2 + p], v[2 + p :].reshape(p, p)
 
     beta = np.zeros(p)
     n, loss, g, h = sums(beta)
     for _ in range(rounds):
-        if np.abs(g).max() < 1e-6 * max(1, n):
+        if np.abs(g).max() < tolerance * max(1, n):
             break
         step, size = np.linalg.solve(h + 1e-9 * np.eye(p), -g), 1.0
         tried = sums(beta + step)
-        while tried[1] > loss + 1e-12 and size > 1e-4:
+        while not tried[1] <= loss + 1e-12 and size > 1e-4:
             size /= 2
             tried = sums(beta + size * step)
         beta, (n, loss, g, h) = beta + size * step, tried
     rows.unpersist()
+    if not np.abs(g).max() < tolerance * max(1, n):
+        raise RuntimeError(f"conditional logit of several cases did not converge: gradient {np.abs(g).max():.3g}")
     return Fit(list(names), beta, np.linalg.pinv(h), n, {"loss": loss})
 
 
@@ -465,7 +392,7 @@ def rate_ratio(df: DataFrame, exposed: Column, count: str, exposure: str, by: Se
 
 def fixed_effect_poisson(df: DataFrame, unit: str, exposed: Column, count: str, exposure: str, tests: int = 1, rounds: int = 50) -> Fit:
     """Log rate ratio with a fixed effect a unit and log-exposure offset: given a unit's total, its exposed count is
-    binomial, so each Newton step is one aggregate over units. Errors clustered by unit; p times `tests`, at most 1."""
+    binomial, so each Newton step is one aggregate over units; not converging is an error. Errors clustered by unit; p times `tests`, at most 1."""
     units = df.groupBy(unit).agg(*[F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0)).cast("double").alias(n) for n, c, v in (("y1", exposed, count), ("y0", ~exposed, count), ("a1", exposed, exposure), ("a0", ~exposed, exposure))])
     units = units.filter("a1 > 0 and a0 > 0 and y1 + y0 > 0").persist()
     b = 0.0
@@ -473,13 +400,13 @@ def fixed_effect_poisson(df: DataFrame, unit: str, exposed: Column, count: str,
         q = F.col("a1") * math.exp(b) / (F.col("a1") * math.exp(b) + F.col("a0"))
         u = F.col("y1") - (F.col("y1") + F.col("y0")) * q
         row = units.agg(F.sum(u), F.sum((F.col("y1") + F.col("y0")) * q * (1 - q)), F.sum(u * u), F.count("*")).first()
-        if row[3] == 0 or not row[1]:
-            break
-        step = float(np.clip(row[0] / row[1], -2, 2))
+        step = float(np.clip(row[0] / row[1], -2, 2)) if row[1] else 0.0
         b += step
-        if abs(step) < 1e-10:
+        if row[3] == 0 or not row[1] or abs(step) < 1e-10:
             break
     units.unpersist()
+    if row[3] and (not row[1] or not abs(step) < 1e-10):
+        raise RuntimeError(f"fixed-effect rates did not converge: {b:.3g} after a step of {step:.3g}")
     n = row[3]
     se2 = (row[2] / row[1] ** 2) * (n / max(n - 1, 1)) if n and row[1] else 0.0
     fit = Fit(["exposed"], np.array([b]), np.array([[se2]]), n)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from obsengine.operators import matching
 from obsengine.plans import models
+from obsengine.plans.sets import gram, in_sets, subset_sums
 
 
 def sets(spark, n=250, k=5, seed=0, beta=(1.0, -0.5)):
@@ -68,6 +69,96 @@ def test_several_positives_agree_with_one(spark):
     assert fit.beta == pytest.approx(numpy_logit(rows)[0], abs=1e-3)
 
 
+def log_space_loss(x, y, b):
+    """Negative log likelihood of the cases of one set, over all subsets of their number, by sums of logarithms."""
+    eta, k = x @ b, int(y.sum())
+    total = np.full(k + 1, -np.inf)
+    total[0] = 0
+    for e in eta:
+        total[1:] = np.logaddexp(total[1:], total[:-1] + e)
+    return total[k] - (eta * y).sum()
+
+
+@pytest.mark.parametrize(("m", "k", "scale"), [(2, 1, 1.0), (7, 3, 1.0), (1100, 550, 1.0), (1100, 2, 3.0), (64, 63, 5.0), (300, 100, 30.0)])
+def test_sums_over_subsets_equal_those_in_log_space(m, k, scale):
+    rng, p = np.random.default_rng(m + k), 2
+    x, y, b = rng.normal(size=(1, m, p)) * scale, np.zeros((1, m)), np.array([0.7, -0.4])
+    y[0, rng.choice(m, k, replace=False)] = 1
+    n, loss, *rest = subset_sums(x, y, b)
+    assert n == 1 and loss == pytest.approx(log_space_loss(x[0], y[0], b), rel=1e-10)
+    for j, d in enumerate(np.eye(p) * 1e-5):
+        slope = (log_space_loss(x[0], y[0], b + d) - log_space_loss(x[0], y[0], b - d)) / 2e-5
+        assert rest[j] == pytest.approx(slope, rel=1e-5, abs=1e-5)
+        assert rest[p + j * p : p + j * p + p] == pytest.approx((subset_sums(x, y, b + d)[2:4] - subset_sums(x, y, b - d)[2:4]) / 2e-5, rel=1e-4, abs=1e-5)
+
+
+def test_large_sets_of_many_positives_fit_and_failure_is_an_error(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for s, (m, k) in enumerate([(1100, 550), (1100, 500), (40, 3), (40, 3), (9, 8), (5, 0), (5, 5)]):
+        x = rng.normal(size=(m, 2))
+        top = np.argsort(-(x @ np.array([1.0, -0.5]) + rng.logistic(size=m)))[:k]  # nearly the draw that the likelihood is of
+        rows += [(f"s{s}", int(i in set(top.tolist())), *map(float, x[i])) for i in range(m)]
+    df = spark.createDataFrame(rows, "set_id string, y int, x0 double, x1 double").repartition(3)
+    fit = models.multi_case_logit(df, "set_id", "y", ["x0", "x1"])
+    every = {}
+    for s, y, *x in rows:
+        every.setdefault(s, []).append((y, x))
+    loss = lambda b: sum(log_space_loss(np.array([x for _, x in v]), np.array([y for y, _ in v]), b) for v in every.values() if 0 < sum(y for y, _ in v) < len(v))
+    assert fit.n == 5 and fit.info["loss"] == pytest.approx(loss(fit.beta), rel=1e-9) and fit.beta == pytest.approx([1.0, -0.5], abs=0.2)
+    assert all(loss(fit.beta + d) > fit.info["loss"] for d in np.vstack((np.eye(2), -np.eye(2))) * 1e-2)
+    apart = spark.createDataFrame([(f"s{s}", int(i < 2), float(i < 2)) for s in range(4) for i in range(5)], "set_id string, y int, x double")
+    with pytest.raises(RuntimeError, match="did not converge"):
+        models.multi_case_logit(apart, "set_id", "y", ["x"], rounds=3)
+    with pytest.raises(RuntimeError, match="did not converge"):
+        models.cond_logit(sets(spark, n=40)[0], "set_id", "y", ["x0", "x1"], rounds=1)
+    none = spark.createDataFrame([(u, e, 5 if e else 0, 10.0) for u in range(4) for e in (True, False)], "u int, e boolean, n long, a double")
+    with pytest.raises(RuntimeError, match="did not converge"):
+        models.fixed_effect_poisson(none, "u", F.col("e"), "n", "a")
+
+
+def test_a_fit_as_wide_as_an_embedding(spark):
+    """73 columns: the step, the fit and its clustered errors equal numpy's; products in matrices equal SQL's."""
+    rng, p, names = np.random.default_rng(6), 73, [f"x{k}" for k in range(73)]
+    x = rng.normal(size=(400, 5, p))
+    eta = x @ np.where(np.arange(p) < 3, 0.8, 0.0)
+    case = (eta + rng.gumbel(size=eta.shape)).argmax(axis=1)
+    rows = [(s, f"c{(s * 5 + i) % 37}", f"d{s % 11}", int(i == case[s]), *map(float, x[s, i])) for s in range(400) for i in range(5)]
+    df = spark.createDataFrame(rows, "set_id int, cell string, date string, y int, " + ", ".join(f"{n} double" for n in names)).repartition(3).cache()
+    y = np.eye(5)[case]
+
+    def at(b):
+        q = np.exp(x @ b)
+        q /= q.sum(axis=1, keepdims=True)
+        mean = np.einsum("nm,nmp->np", q, x)
+        return q, (mean - np.einsum("nm,nmp->np", y, x)).sum(axis=0) + 5.0 * b, np.einsum("nm,nmp,nmq->pq", q, x, x, optimize=True) - mean.T @ mean + 5.0 * np.eye(p)
+
+    b = np.zeros(p)
+    for _ in range(25):
+        q, g, h = at(b)
+        b = b - np.linalg.solve(h, g)
+    q, _, h = at(b)
+    u, bread = (y - q)[:, :, None] * x, np.linalg.inv(h)
+
+    def meat(key):
+        sums = {}
+        for s in range(400):
+            for i in range(5):
+                sums[key(s, i)] = sums.get(key(s, i), 0) + u[s, i]
+        return sum(np.outer(v, v) for v in sums.values()) * len(sums) / (len(sums) - 1) * 399 / (400 - p)
+
+    fit = models.cond_logit(df, "set_id", "y", names, ridge=5.0, first="cell", second="date")
+    cell, date = (lambda s, i: (s * 5 + i) % 37), (lambda s, i: s % 11)
+    want = meat(cell) if fit.info["method"] == "cell only" else meat(cell) + meat(date) - meat(lambda s, i: (cell(s, i), date(s, i)))
+    assert fit.beta == pytest.approx(b, abs=1e-5) and fit.covariance == pytest.approx(bread @ want @ bread, rel=1e-3, abs=1e-7)
+    narrow = names[:4]
+    by_sql = models.cond_logit_sums(df, "set_id", "y", narrow, [0.1, 0.2, 0.3, 0.4])
+    by_matrix = models.set_sums(in_sets(df, "set_id", "y", narrow), np.array([0.1, 0.2, 0.3, 0.4]))
+    assert by_sql[0] == by_matrix[0] and all(a == pytest.approx(c, rel=1e-9) for a, c in zip(by_sql[1:], by_matrix[1:], strict=True))
+    n, total = gram(df, narrow)
+    assert n == 2000 and total == pytest.approx(np.einsum("nmp,nmq->pq", x[:, :, :4], x[:, :, :4]), rel=1e-9)
+
+
 def test_linear_model_and_clusters(spark):
     df, rows = sets(spark)
     fit = models.within_set_lpm(df, "set_id", "y", ["x0", "x1"], "cell", "date")
