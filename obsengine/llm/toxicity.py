@@ -10,7 +10,8 @@ score.
 
 The fit takes at most max_fit_rows labelled rows (by a hash of doc_id), in folds: the regression sees each row through a
 lexicon learned on the other folds, and the model's lexicon is learned on all. Term counts by fold are aggregated by Spark;
-the driver sees only the terms kept (most_terms) and two numbers for each row fitted on.
+the driver sees the terms over the bounds of share and weight and the words that are exceptions to them, all from the bounded
+sample and none cut off, and two numbers for each row fitted on.
 
 Cases: null and empty texts have no hits and get the score of no hits; repeated rows are scored one by one; labels that
 repeat count once, by their largest; without labels, or of one class alone, the lexicon is empty and every score is
@@ -160,7 +161,7 @@ def _term_counts(rows: DataFrame, folds: int) -> DataFrame:
     return per_batch(rows.select("text", "y", "fold"), "term string, " + ", ".join(f"{n} long" for n in names), make).groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _lexicon(counts: DataFrame, totals: dict, parts: list[int], least_rows: int, least_share: float, least_weight: float, most_terms: int) -> tuple[dict[str, float], list[str]]:
+def _lexicon(counts: DataFrame, totals: dict, parts: list[int], least_rows: int, least_share: float, least_weight: float) -> tuple[dict[str, float], list[str]]:
     """Weights of terms, and words that begin like one but are at home in other documents, from the folds named."""
     pos, neg = (sum(totals.get((k, y), 0) for k in parts) for y in (1, 0))
     if not pos or not neg:
@@ -169,7 +170,7 @@ def _lexicon(counts: DataFrame, totals: dict, parts: list[int], least_rows: int,
     odds = F.log((p + 0.5) / (pos + 1)) - F.log((n + 0.5) / (neg + 1))
     known = counts.select("term", p.alias("pos"), n.alias("neg"), odds.alias("w"))
     best = known.filter((F.col("pos") >= max(least_rows, least_share * pos)) & (F.col("w") >= least_weight))
-    best = best.orderBy(F.desc(F.col("pos") * F.col("w")), F.desc(F.length("term")), "term").limit(most_terms).collect()
+    best = best.orderBy(F.desc(F.col("pos") * F.col("w")), F.desc(F.length("term")), "term").collect()
     weights: dict[str, float] = {}
     for r in best:  # a term that a chosen start covers adds nothing
         if not any(r.term.startswith(t) for t in (r.term[: m + 1] for m in STARTS) if t in weights and t != r.term):
@@ -181,17 +182,17 @@ def _lexicon(counts: DataFrame, totals: dict, parts: list[int], least_rows: int,
     begins = F.lit(False)
     for m in STARTS:
         begins = begins | F.left(F.col("term"), F.lit(m + 1)).isin(starts)
-    return weights, [r.term for r in homes.filter(begins).orderBy(F.desc("neg"), "term").limit(most_terms).collect()]
+    return weights, [r.term for r in homes.filter(begins).orderBy(F.desc("neg"), "term").collect()]
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_rows: int = 20_000, least_rows: int = 4, least_share: float = 0.01, least_weight: float = 3.0, most_terms: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS, folds: int = 3) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_fit_rows: int = 20_000, least_rows: int = 4, least_share: float = 0.01, least_weight: float = 3.0, exceptions: tuple[str, ...] = EXCEPTIONS, folds: int = 3) -> Model:
     rows = labelled(documents, labels, label, max_fit_rows, folds)
     totals = {(r.fold, r.y): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
     counts = stored(_term_counts(rows, folds), "terms")
     given = [f" {' '.join(folded(e))} " for e in exceptions]
 
     def model(parts: list[int]) -> Model:
-        weights, homes = _lexicon(counts, totals, parts, least_rows, least_share, least_weight, most_terms)
+        weights, homes = _lexicon(counts, totals, parts, least_rows, least_share, least_weight)
         return Model(weights, given + homes, [0.0] * 3)
 
     whole, others = model(list(range(folds))), [model([j for j in range(folds) if j != k]) for k in range(folds)]

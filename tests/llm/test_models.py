@@ -162,3 +162,20 @@ def test_mixing_upsamples_only_and_edge_tables(spark):
     assert {r.doc_id for r in mixing.apply_rates(docs, classifier, steps, 1.0).collect()} == set(range(80))
     rated, *_ = mixing.mix(docs.limit(0), docs.limit(0).select("doc_id"), F.col("lang"))
     assert rated.count() == 0
+
+
+def test_no_term_and_no_exception_is_cut_off(spark):
+    """3,000 toxic words, each with a harmless one that begins like it: all count, and none of the harmless ones does."""
+    rng = random.Random(4)
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    bad, good = [f"zq{name(k)}xx" for k in range(3000)], [f"zq{name(k)}yy" for k in range(3000)]
+    rows = []
+    for k in range(3000):
+        words = [f"w{rng.choice('abcdefgh')}" for _ in range(20)]
+        rows.append((f"{' '.join(words)} {' '.join(bad[(k + 17 * j) % 3000] for j in range(40))}", 1))
+        rows.append((f"{' '.join(words)} {' '.join(good[(k + 17 * j) % 3000] for j in range(40))}", 0))
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, least_share=0.001)
+    assert all(f" {w} " in model.weights or any(f" {w[:n]}" in model.weights for n in (4, 5, 6)) for w in bad)
+    assert all(model.score(f"{w} wa") < 0.5 <= model.score(f"{v} wa") for w, v in zip(good, bad, strict=True))
