@@ -13,7 +13,8 @@ from the K-vectors of all steps so far, so no rates are stored, and the driver h
 Cases: null and empty texts have no tokens and no pieces; their posterior is the classifier's for no evidence and their
 rate follows from it without changing any total; repeated rows count one by one; a domain without target keeps its
 tokens; targets of 0 are taken relative to the whole; labels that repeat count once, by the largest of each column; documents whose domain label is null aren't fitted on; without
-labels there is one domain, "all"; an empty table gives no rows.
+labels there is one domain, "all"; an empty table gives no rows. Of columns that documents and labels both have, the labels' are meant;
+other columns of documents are not read unless the domain names them, and apply_rates() passes them through.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsengine.llm.common import by_value, id_and_text, per_batch, raw_texts, stored
+from obsengine.llm.common import by_value, id_and_text, per_batch, raw_texts, remove, stored
 from obsengine.llm.substring_dedup import word_hashes
 
 
@@ -54,12 +55,14 @@ class Classifier:
 
 
 def fit_classifier(documents: DataFrame, labels: DataFrame, domain: Column, max_fit_rows: int = 4_000, bits: int = 11, rounds: int = 120) -> Classifier:
-    """labels: doc_id; domain: a column of documents or labels. At most max_fit_rows labelled documents, by a hash of
+    """labels: doc_id; domain: a column of labels or, if labels have none of that name, of documents. At most max_fit_rows labelled documents, by a hash of
     doc_id, are fitted on; their features, max_fit_rows times 2**bits numbers, come to the driver."""
-    own = [c for c in labels.columns if c not in documents.columns]
-    once = labels.filter("doc_id is not null").groupBy("doc_id")
-    chosen = (once.agg(*[F.max(c).alias(c) for c in own]) if own else labels.select("doc_id").filter("doc_id is not null").distinct()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
-    rows = documents.join(F.broadcast(chosen), "doc_id").select("text", domain.cast("string").alias("domain")).filter("domain is not null")
+    own = [c for c in labels.columns if c != "doc_id"]
+    once = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__labels"), *[F.max(c).alias(c) for c in own])
+    chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows).drop("__labels")
+    other = [c for c in documents.columns if c not in ("doc_id", *own)]
+    rows = documents.select(F.col("doc_id").alias("__doc_id"), F.col("text").cast("string").alias("__text"), *other).join(F.broadcast(chosen), F.col("__doc_id") == F.col("doc_id"))
+    rows = rows.select(F.col("__text").alias("text"), domain.cast("string").alias("domain")).filter("domain is not null")
     rows = stored(rows, "domains")
 
     def make():
@@ -69,6 +72,7 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, domain: Column, max_
         return f
 
     got = per_batch(rows, "domain string, x binary", make).toPandas()
+    remove(rows)
     domains = sorted(set(got["domain"])) or ["all"]
     weights, bias = np.zeros((1 << bits, len(domains))), np.zeros(len(domains))
     if len(domains) > 1:

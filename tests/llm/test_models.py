@@ -155,6 +155,15 @@ def test_mixing_meets_targets(spark):
     assert max(sums.values()) < 1.3 * min(sums.values())
 
 
+def test_the_labels_columns_count_where_documents_have_them_too(spark):
+    rows = [(k, "aa bb cc" if k % 4 else "zz yy", int(k % 4 > 0)) for k in range(80)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, q, "other") for k, _, q in rows], "doc_id long, quality int, text string")
+    domain = F.when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
+    clash = docs.withColumn("quality", F.lit(0)).withColumn("toxic", F.lit("x")).withColumn("__labels", F.lit(3))
+    (a, *_, x), (b, *_, y) = mixing.mix(docs, labels, domain, shares={"good": 0.5, "poor": 0.5}), mixing.mix(clash, labels, domain, shares={"good": 0.5, "poor": 0.5})
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and x.collect() == y.collect() and {r.domain for r in x.collect()} == {"good", "poor"}
+
+
 def test_mixing_upsamples_only_and_edge_tables(spark):
     docs = spark.createDataFrame([(k, "aa bb cc" if k % 4 else "zz yy", "l" if k % 4 else "r") for k in range(80)], "doc_id long, text string, lang string")
     rated, steps, classifier, _ = mixing.mix(docs, docs.select("doc_id"), F.col("lang"), least_rate=1.0)
