@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -29,7 +30,7 @@ def shared_base(spark: SparkSession) -> str:
         context = spark.sparkContext
         at = context._jsc.sc().getCheckpointDir()
         if at.isEmpty():
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", context.master):  # local-cluster has folders of several processes
                 raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             at = context._jsc.sc().getCheckpointDir()

@@ -204,9 +204,11 @@ def manifest(rows: DataFrame, tree: str, order: Sequence[str], leaf: str, height
     folder; they are .tables of the result."""
     if not 1 <= height <= 12:
         raise ValueError("height is 1 to 12, so that a block fits into memory")
-    placed = _placed(rows.select(F.col(tree).alias("tree"), F.col(leaf).alias("leaf"), F.struct(*[F.col(c) for c in rows.columns]).alias("row")), order)
+    # The digests are made once: to deal them to ranges they are read twice.
+    leaves = stored(rows.select(F.col(tree).alias("tree"), F.col(leaf).alias("leaf"), F.struct(*[F.col(c) for c in rows.columns]).alias("row")), "leaves")
+    placed = _placed(leaves, order)
     groups = _groups(placed, height)
-    remove(placed.ranged)
+    remove(leaves, placed.ranged)
     subroots = None
     for blocks in groups:
         last = blocks.filter(F.col("total") <= 3**height).select("tree", F.col("root").alias("subroot"))
