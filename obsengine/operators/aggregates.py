@@ -135,7 +135,7 @@ def distribution(df: DataFrame, by: Sequence[str], variables: Sequence[str]) ->
 
 def standardised_difference(df: DataFrame, flag: Column, variables: Sequence[str]) -> DataFrame:
     """By variable: n, mean and median of rows with and without the flag, and the standardised mean difference; null
-    where a side has fewer than two values or neither varies."""
+    where a side has fewer than two values, and where neither varies 0 if the means are equal, else null."""
     flat = df.select(flag.alias("f"), F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables])).alias("s")).select("f", "s.*").filter(is_finite("x") & F.col("f").isNotNull())
     side = lambda on: F.when(F.col("f") if on else ~F.col("f"), F.col("x"))
     out = flat.groupBy("variable").agg(*[a for s, on in (("with", True), ("without", False)) for a in (F.count(side(on)).alias(f"n_{s}"), F.avg(side(on)).alias(f"mean_{s}"), F.var_samp(side(on)).alias(f"__v_{s}"))])
@@ -143,7 +143,15 @@ def standardised_difference(df: DataFrame, flag: Column, variables: Sequence[str
         out = with_quantiles(out, flat, ["variable"], side(on), {f"median_{s}": 0.5})
     pooled = F.sqrt((F.col("__v_with") + F.col("__v_without")) / 2)
     out = out.select("variable", *[f"{c}_{s}" for s in ("with", "without") for c in ("n", "mean", "median", "__v") if c != "__v"], "__v_with", "__v_without")
-    return out.withColumn("smd", F.when((F.col("n_with") > 1) & (F.col("n_without") > 1) & (pooled > 0), (F.col("mean_with") - F.col("mean_without")) / pooled)).drop("__v_with", "__v_without")
+    apart = F.col("mean_with") - F.col("mean_without")
+    smd = F.when((F.col("n_with") > 1) & (F.col("n_without") > 1), F.when(pooled > 0, apart / pooled).when(apart == 0, 0.0))
+    return out.withColumn("smd", smd).drop("__v_with", "__v_without")
+
+
+def year_flow(cases: DataFrame, year: str, included: Column) -> DataFrame:
+    """By year: candidate, included and excluded sets (a row a set's case), and the share included."""
+    out = cases.groupBy(F.col(year).alias("year")).agg(F.count("*").alias("candidate_sets"), F.count_if(F.coalesce(included, F.lit(False))).alias("included_sets"))
+    return out.withColumn("excluded_sets", F.col("candidate_sets") - F.col("included_sets")).withColumn("included_share", F.col("included_sets") / F.col("candidate_sets"))
 
 
 def unadjusted_risk(df: DataFrame, exposed: Column, outcome: str, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsengine.functions.expressions import all_finite, is_finite
-from obsengine.operators.ranges import MOST, carried
+from obsengine.operators.ranges import MOST, carried, same
 from obsengine.operators.ranks import with_quantiles
 from obsengine.operators.sizes import short
 
@@ -129,6 +129,66 @@ def gaps(df: DataFrame, group: Sequence[str], number: Column, most: int = 1) ->
     return steps.filter(F.col("after") - F.col("before") > most).select(*group, "before", "after")
 
 
+def composite_key(name: Column) -> Column:
+    """Struct of year, doy and tile from a name of a 16-day composite (MOD13Q1.AYYYYDDD.hHHvVV.061....hdf); null if it doesn't fit."""
+    pattern = r"^MOD13Q1\.A(\d{4})(\d{3})\.h(\d{2})v(\d{2})\.061\..+\.hdf$"
+    year, doy, h, v = (F.regexp_extract(name, pattern, k) for k in range(1, 5))
+    return F.when(name.rlike(pattern), F.struct(year.try_cast("int").alias("year"), doy.try_cast("int").alias("doy"), F.concat(F.lit("h"), h, F.lit("v"), v).alias("tile")))
+
+
+def composite_calendar(spark: SparkSession, first_year: int, last_year: int, step: int = 16) -> DataFrame:
+    """year, doy, day of composites that start every `step` days and anew each January 1."""
+    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+    days = years.select("year", F.explode(F.sequence(F.lit(1), F.lit(366), F.lit(step))).alias("doy"))
+    return days.withColumn("day", F.date_add(F.make_date("year", F.lit(1), F.lit(1)), F.col("doy") - 1)).filter(F.year("day") == F.col("year"))
+
+
+def islands(df: DataFrame, group: Sequence[str], number: Column) -> DataFrame:
+    """By group: distinct numbers, the first and last, and how many runs of consecutive numbers they form (1: contiguous). A run starts
+    at each number whose predecessor isn't there."""
+    seen = df.select(*group, number.alias("n")).filter("n is not null").distinct()
+    before = seen.select(*[F.col(c).alias(f"__of_{c}") for c in group], (F.col("n") + 1).alias("__n"))
+    starts = seen.join(before, same(group, "__of_") & (F.col("n") == F.col("__n")), "left").withColumn("start", F.col("__n").isNull())
+    return starts.groupBy(*group).agg(F.count("*").alias("distinct_numbers"), F.min("n").alias("first"), F.max("n").alias("last"), F.count_if("start").alias("runs"))
+
+
+def composite_completeness(names: DataFrame, name: str, first_year: int, last_year: int, step: int = 16) -> DataFrame:
+    """A row a tile seen and composite of the calendar or of a name: n files, status missing, extra, duplicate or present. Names that
+    don't fit have a row of status malformed with their number."""
+    keyed = names.select(composite_key(F.col(name)).alias("k"))
+    seen = keyed.filter("k is not null").select("k.tile", "k.year", "k.doy")
+    calendar = composite_calendar(names.sparkSession, first_year, last_year, step).select("year", "doy")
+    want = short(seen.select("tile").distinct()).crossJoin(short(calendar))  # the product of two short lists is what is asked for
+    bad = keyed.filter("k is null").agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(None).cast("string").alias("tile"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("int").alias("doy"), "n", F.lit("malformed").alias("status"))
+    return completeness(seen, want, ["tile", "year", "doy"]).unionByName(bad)
+
+
+def archive_audit(files: DataFrame, manifest: DataFrame, step: int = 16, heads: Sequence[str] = ()) -> DataFrame:
+    """One row of an archive of composites against its manifest: files, malformed names, distinct tiles and composites, tiles times
+    composites without a file, runs of consecutive composites, files the manifest lacks and entries without a file, files of no
+    bytes or of other first bytes than `heads` (hex), and status: complete if nothing is amiss, else needs_review.
+
+    files: name, bytes, head. manifest: name."""
+    one = files.withColumn("k", composite_key(F.col("name")))
+    per_year = -(-366 // step)
+    number = F.when((F.col("k.doy") - 1) % step == 0, F.col("k.year") * per_year + ((F.col("k.doy") - 1) / step).cast("int"))
+    wrong = F.coalesce(F.col("bytes"), F.lit(0)) == 0
+    if heads:
+        wrong = wrong | ~F.coalesce(F.col("head").rlike(f"^({'|'.join(heads)})"), F.lit(False))
+    seen = one.agg(
+        F.count("*").alias("files"), F.count_if(F.col("k").isNull()).alias("malformed"), F.count_distinct("k.tile").alias("tiles"), F.count_distinct(F.when(F.col("k").isNotNull(), F.struct("k.year", "k.doy"))).alias("composites"),
+        F.count_distinct(F.when(F.col("k").isNotNull(), F.col("k"))).alias("__pairs"), F.count_if(F.col("k").isNotNull() & number.isNull()).alias("off_calendar"), F.count_if(wrong).alias("bad_content"),
+    )
+    seen = seen.withColumn("holes", F.col("tiles") * F.col("composites") - F.col("__pairs")).drop("__pairs")
+    runs = islands(one, [], number).select(F.col("runs"))
+    listed = manifest.select("name").distinct()
+    here = one.select("name").distinct()
+    unlisted, absent = here.join(listed, "name", "left_anti").agg(F.count("*").alias("not_in_manifest")), listed.join(here, "name", "left_anti").agg(F.count("*").alias("not_in_archive"))
+    out = seen.crossJoin(runs).crossJoin(unlisted).crossJoin(absent)  # one row each
+    good = (F.col("files") > 0) & (F.col("malformed") + F.col("holes") + F.col("off_calendar") + F.col("bad_content") + F.col("not_in_manifest") + F.col("not_in_archive") == 0) & (F.col("runs") == 1)
+    return out.withColumn("status", F.when(good, "complete").otherwise("needs_review"))
+
+
 def fraction_audit(df: DataFrame, key: Sequence[str], values: Sequence[str], slack: float = 1e-9) -> DataFrame:
     """One row: rows, repeated keys, values not finite, values outside 0..1."""
     repeats = df.groupBy(*key).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("repeated_keys"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from obsengine.functions import expressions as X
 from obsengine.operators import aggregates, grid, quality, windows
 from obsengine.plans import models
-from obsengine.plans.observation_queries import query, rounded, table
+from obsengine.plans.observation_queries import query, rounded, scratch, table
+from obsengine.sources import files, readers
 
 # --- gates
 
@@ -80,6 +81,37 @@ def day_gaps(spark, sf_dir):
     return quality.gaps(table(spark, sf_dir, "events"), ["user_id"], F.datediff(F.to_date("ts"), F.lit("1970-01-01")))
 
 
+@query("""with k as (select printf('h%02dv%02d', o_custkey % 36, o_custkey % 17) tile, year(o_orderdate) y, 1 + 16 * ((dayofyear(o_orderdate) - 1) // 16) + case when o_orderkey % 700 = 3 then 1 else 0 end d from orders where o_orderkey % 500 <> 0),
+    s as (select tile, y, d, count(*) n from k group by all), c as (select tile, y, d from (select distinct tile from k), range(1993, 1998) a(y), range(1, 366, 16) b(d))
+    select tile, cast(y as int) "year", cast(d as int) doy, coalesce(n, 0) n, case when n is null then 'missing' when c_ is null then 'extra' when n > 1 then 'duplicate' else 'present' end status from s full join (select *, true c_ from c) using (tile, y, d)
+    union all select null, null, null, count(*), 'malformed' from orders where o_orderkey % 500 = 0 having count(*) > 0""")
+def composite_completeness(spark, sf_dir):
+    """Names of 16-day composites by tile: some malformed, some off the calendar, the first and last years outside it."""
+    o, doy = table(spark, sf_dir, "orders"), F.dayofyear("o_orderdate")
+    start = 1 + 16 * F.floor((doy - 1) / 16) + F.when(F.col("o_orderkey") % 700 == 3, 1).otherwise(0)
+    name = F.format_string("MOD13Q1.A%04d%03d.h%02dv%02d.061.%d.hdf", F.year("o_orderdate"), start, F.col("o_custkey") % 36, F.col("o_custkey") % 17, F.col("o_orderkey"))
+    names = o.select(F.when(F.col("o_orderkey") % 500 == 0, F.concat(F.lit("MOD13Q1.bad"), "o_orderkey")).otherwise(name).alias("name"))
+    return quality.composite_completeness(names, "name", 1993, 1997)
+
+
+ARCHIVE = """f as (select s_suppkey k, s_suppkey // 5 c, s_suppkey % 5 t, s_suppkey % 50 = 7 bad from supplier), g as (select * from f where not bad), d as (select distinct c from g)"""
+
+
+@query(f"""with {ARCHIVE}, x as (select (select count(*) from f) files, (select count(*) from f where bad) malformed, count(distinct t) tiles, count(distinct c) composites, count(distinct (t, c)) pairs from g),
+    y as (select count(*) filter (k % 40 = 3) bad_content, count(*) filter (k % 30 = 0) not_in_manifest from f), z as (select count(*) runs from d where c - 1 not in (select c from d))
+    select files, malformed, tiles, composites, cast(0 as bigint) off_calendar, bad_content, tiles * composites - pairs holes, runs, not_in_manifest, cast(1 as bigint) not_in_archive, 'needs_review' status from x, y, z""")
+def archive_audit(spark, sf_dir):
+    """A file a supplier, of five tiles and consecutive composites: some names are malformed, some contents are no HDF, some files are
+    not in the manifest, which has one entry too many."""
+    k = F.col("s_suppkey")
+    c = F.floor(k / 5)
+    name = F.format_string("MOD13Q1.A%04d%03d.h%02dv08.061.%d.hdf", 2010 + F.floor(c / 23), 1 + 16 * (c % 23), k % 5, k)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 50 == 7, F.concat(F.lit("lost-"), k.cast("string"), F.lit(".hdf"))).otherwise(name).alias("name"), F.when(k % 40 == 3, "text").otherwise(F.concat(F.lit("HDF1 "), k.cast("string"))).alias("line"))
+    path = readers.named_files(s, "line", F.col("name"), None, scratch(spark, "archive"))
+    manifest = s.filter("s_suppkey % 30 <> 0").select("name").unionByName(spark.range(1).select(F.lit("MOD13Q1.A2009001.h00v08.061.0.hdf").alias("name")))
+    return quality.archive_audit(files.fingerprints(spark, path), manifest, heads=["48444631"])
+
+
 @query("""select l_returnflag, count(*) "rows", count(*) filter (l_quantity > 2) valid_rows, count(distinct (l_orderkey, l_linenumber)) distinct_keys, count(*) filter (not (l_discount between 0 and 0.09)) bad_discount,
     count(*) filter (o_orderkey is null) orphan_order, count(*) filter (p_partkey is null) orphan_part from lineitem left join orders on l_orderkey = o_orderkey and o_orderstatus <> 'P' left join part on l_partkey = p_partkey and p_size < 40 group by 1""")
 def frame_audit(spark, sf_dir):
@@ -222,11 +254,16 @@ def distribution(spark, sf_dir):
     return rounded(aggregates.distribution(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_quantity", "l_discount", "l_extendedprice"]), ["mean", "sd", "median", "p05", "p25", "p75", "p95"])
 
 
-@query("""with f as (select l_returnflag = 'R' f, unnest([{'variable': 'l_quantity', 'x': l_quantity}, {'variable': 'l_tax', 'x': l_tax}], recursive := true) from lineitem)
-    select variable, count(*) filter (f) n_with, round(avg(x) filter (f), 6) mean_with, round(median(x) filter (f), 6) median_with, count(*) filter (not f) n_without, round(avg(x) filter (not f), 6) mean_without, round(median(x) filter (not f), 6) median_without,
-        round((avg(x) filter (f) - avg(x) filter (not f)) / sqrt((var_samp(x) filter (f) + var_samp(x) filter (not f)) / 2), 6) smd from f group by 1""")
+SMD = """case when count(x) filter (f) > 1 and count(x) filter (not f) > 1 then case when sqrt((var_samp(x) filter (f) + var_samp(x) filter (not f)) / 2) > 0
+    then (avg(x) filter (f) - avg(x) filter (not f)) / sqrt((var_samp(x) filter (f) + var_samp(x) filter (not f)) / 2) when avg(x) filter (f) = avg(x) filter (not f) then 0 end end"""
+
+
+@query(f"""with f as (select l_returnflag = 'R' f, unnest([{{'variable': 'l_quantity', 'x': l_quantity}}, {{'variable': 'l_tax', 'x': l_tax}}, {{'variable': 'same', 'x': 2}}, {{'variable': 'apart', 'x': cast(l_returnflag = 'R' as int)}}], recursive := true) from lineitem)
+    select variable, count(*) filter (f) n_with, round(avg(x) filter (f), 6) mean_with, round(median(x) filter (f), 6) median_with, count(*) filter (not f) n_without, round(avg(x) filter (not f), 6) mean_without, round(median(x) filter (not f), 6) median_without, round({SMD}, 6) smd from f group by 1""")
 def smd(spark, sf_dir):
-    return rounded(aggregates.standardised_difference(table(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "R", ["l_quantity", "l_tax"]), ["mean_with", "median_with", "mean_without", "median_without", "smd"])
+    """Two columns that vary, one that never does, and one that differs only between the sides."""
+    l = table(spark, sf_dir, "lineitem").withColumn("same", F.lit(2.0)).withColumn("apart", (F.col("l_returnflag") == "R").cast("double"))
+    return rounded(aggregates.standardised_difference(l, F.col("l_returnflag") == "R", ["l_quantity", "l_tax", "same", "apart"]), ["mean_with", "median_with", "mean_without", "median_without", "smd"])
 
 
 @query("""with r as (select year(l_shipdate) "year", count(*) filter (l_discount > 0.05) n_exposed, count(*) filter (not l_discount > 0.05) n_other, avg(case when l_returnflag = 'R' then 1 else 0 end) filter (l_discount > 0.05) a, avg(case when l_returnflag = 'R' then 1 else 0 end) filter (not l_discount > 0.05) b from lineitem group by 1)

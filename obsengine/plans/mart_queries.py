@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from obsengine.functions import expressions as X
 from obsengine.plans import marts, models
 from obsengine.plans.model_queries import PRICE, price_frame, price_sql
+from obsengine.plans.gate_queries import SMD
 from obsengine.plans.observation_queries import MATCHED, ORACLES, matched_user_days, normal_p, query, rounded, scratch, table, within_set_sql
 from obsengine.operators import matching
 from obsengine.sources import readers
@@ -134,6 +135,33 @@ def table_2(spark, sf_dir):
     return marts.destinations_table(models.model_family(price_frame(spark, sf_dir), "set_id", ["y1", "y2", "y3"], ["x"], "set_id", "m"))
 
 
+ATTRITION = """x as (select l_orderkey k, bool_or(l_discount > 0.09) discount, bool_or(l_tax > 0.07) tax, bool_or(l_discount > 0.09) or bool_or(l_tax > 0.07) out_ from lineitem group by 1), c as (select l.*, not out_ f from lineitem l join x on k = l_orderkey where l_linenumber = 1)"""
+
+
+def line_attrition(spark, sf_dir) -> dict[str, DataFrame]:
+    """Orders as sets, whose first line is the case."""
+    l = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    reasons = {"discount": F.col("l_discount") > 0.09, "tax": F.col("l_tax") > 0.07}
+    return marts.attrition(l, "l_orderkey", F.col("l_linenumber") == 1, "year", reasons, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@query(f"""with {ATTRITION} select cast(year(l_shipdate) as int) "year", count(*) candidate_sets, count(*) filter (f) included_sets, count(*) filter (not f) excluded_sets, round(count(*) filter (f) / count(*), 6) included_share from c group by 1""")
+def year_flow(spark, sf_dir):
+    return rounded(line_attrition(spark, sf_dir)["flow"], ["included_share"])
+
+
+@query(f"""with {ATTRITION} select count(*) sets, count(*) filter (out_) excluded_sets, count(*) filter (discount) discount, count(*) filter (tax) tax from x""")
+def attrition_counts(spark, sf_dir):
+    return line_attrition(spark, sf_dir)["counts"]
+
+
+@query(f"""with {ATTRITION}, v as (select f, unnest([{{'variable': 'l_quantity', 'x': l_quantity}}, {{'variable': 'l_extendedprice', 'x': l_extendedprice}}, {{'variable': 'l_discount', 'x': l_discount}}, {{'variable': 'l_tax', 'x': l_tax}}], recursive := true) from c),
+    s as (select variable, count(*) filter (f) included_n, round(avg(x) filter (f), 6) included_mean, round(median(x) filter (f), 6) included_median, count(*) filter (not f) excluded_n, round(avg(x) filter (not f), 6) excluded_mean, round(median(x) filter (not f), 6) excluded_median, {SMD} d from v group by 1)
+    select * exclude (d), round(d, 6) smd, coalesce(abs(d) > 0.1, false) over_limit from s""")
+def table_s1(spark, sf_dir):
+    return rounded(line_attrition(spark, sf_dir)["table_s1"], ["included_mean", "included_median", "excluded_mean", "excluded_median", "smd"])
+
+
 @query(f"""with {PRICE}, {counted_sql(TABLE_S2)} select subset "year", sets matched_sets, varying_sets, (select count(distinct c) from price) - sets excluded_sets, {PP} from w""")
 def table_s2(spark, sf_dir):
     f = price_frame(spark, sf_dir)
@@ -222,7 +250,7 @@ def sorted_sink(spark, sf_dir):
     """A partitioned, sorted sink, read back."""
     path = scratch(spark, "sink")
     readers.sorted_sink(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.year("o_orderdate").alias("year")), path, ["o_orderkey"], by=["year"])
-    return readers.daily_chunks(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string").join(spark.read.parquet(path).select("o_orderkey", F.col("year").cast("long").alias("year")), "o_orderkey")
+    return readers.daily_chunks(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string", "year long", ["o_orderkey"])
 
 
 @query("""with f as (select * from (values ('modis', 0), ('viirs', 1)) t(sensor, k)) select sensor, l_orderkey, l_quantity from lineitem join f on l_suppkey % 2 = k""")

@@ -113,6 +113,19 @@ def readiness(statuses: DataFrame, asset: str, status: str, ready: Sequence[str]
     return by.unionByName(whole)
 
 
+def attrition(frame: DataFrame, set_col: str, case: Column, year: str, reasons: dict[str, Column], variables: Sequence[str]) -> dict[str, DataFrame]:
+    """Who is left out: sets are excluded for any reason that one of their rows gives. flow: year_flow() of the cases; table_s1: the
+    variables of included and excluded cases (means, medians, standardised difference, whether over 0.1); counts: sets in
+    all, excluded, and by reason."""
+    flags = quality.exclusion_report(frame, set_col, reasons)
+    cases = frame.filter(case).join(flags.select(F.col(set_col).alias("__set"), "excluded"), F.col(set_col).eqNullSafe(F.col("__set"))).drop("__set")
+    s1 = aggregates.standardised_difference(cases, ~F.col("excluded"), variables)
+    names = {f"{c}_{s}": f"{side}_{c}" for s, side in (("with", "included"), ("without", "excluded")) for c in ("n", "mean", "median")}
+    s1 = s1.withColumnsRenamed(names).withColumn("over_limit", F.coalesce(F.abs("smd") > 0.1, F.lit(False)))
+    counts = flags.agg(F.count("*").alias("sets"), F.count_if("excluded").alias("excluded_sets"), *[F.count_if(F.col(r)).alias(r) for r in reasons])
+    return {"flow": aggregates.year_flow(cases, year, ~F.col("excluded")), "table_s1": s1, "counts": counts}
+
+
 def effects_table(fits: DataFrame, primary: str) -> DataFrame:
     """Table 1: the primary analysis, which stands alone, and the sensitivities, which are one Holm family. fits: subset_fits()."""
     first = F.col("subset") == primary

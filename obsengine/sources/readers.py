@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from obsengine.sources import files
+
 # Season code to the month that ends it; NDJ ends in January of the next year.
 SEASON_END_MONTH = {"DJF": 2, "JFM": 3, "FMA": 4, "MAM": 5, "AMJ": 6, "MJJ": 7, "JJA": 8, "JAS": 9, "ASO": 10, "SON": 11, "OND": 12, "NDJ": 1}
 # The header of a portal file, and the names its columns get here.
@@ -164,9 +166,24 @@ def tagged_union(parts: dict[str, DataFrame], columns: Sequence[str], tag: str =
     return out
 
 
-def daily_chunks(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    """Parquet below base with a declared schema: chunks without rows, or without some columns, give nulls or nothing."""
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(base)
+def daily_chunks(spark: SparkSession, base: str, schema: str, partitions: str = "", required: Sequence[str] = ()) -> DataFrame:
+    """Parquet below base with a declared schema: chunks without rows or without some columns give nothing or nulls.
+
+    partitions: names and types of columns that folders have (year=2015/date=2015-07-01), if any; a filter on them keeps Spark
+    from reading other folders. Without them, folders of any names are looked through. Footers are read first: chunks without
+    any columns, which Spark can't read, are passed over, and chunks that have rows but lack a required column are an error."""
+    chunks = files.footers(spark, base)
+    lacks = F.size(F.array_except(F.array(*[F.lit(c) for c in required]).cast("array<string>"), F.col("columns"))) > 0
+    seen = chunks.agg(F.count_if(F.size("columns") == 0), F.min(F.when((F.col("rows") > 0) & lacks, F.col("path")))).first()
+    if seen[1]:
+        raise ValueError(f"a chunk with rows lacks one of {list(required)}: {seen[1]}")
+    reader = spark.read.schema(f"{schema}, {partitions}" if partitions else schema)
+    reader = reader if partitions else reader.option("recursiveFileLookup", "true")
+    if not seen[0]:
+        return reader.parquet(base)
+    # As many paths as Spark's own index of files holds.
+    whole = [r.path for r in chunks.filter(F.size("columns") > 0).select("path").collect()]
+    return (reader.option("basePath", base) if partitions else reader).parquet(*whole) if whole else spark.createDataFrame([], f"{schema}, {partitions}" if partitions else schema)
 
 
 def receipts(spark: SparkSession, path: str) -> DataFrame:
@@ -180,19 +197,16 @@ def receipt_status(df: DataFrame) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, path: str, allowed: Sequence[str] = ()) -> DataFrame:
-    """By extension (and in all): files, bytes, GiB, and whether policy allows it. Contents are not read;
-    Spark doesn't list empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    """By extension (and in all): files, bytes, GiB, and whether policy allows it. Contents are not read; empty files count."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    out = files.rollup(ext.alias("extension")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.grouping_id().alias("__g"))
+    out = files.listed(spark, path).rollup(ext.alias("extension")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.grouping_id().alias("__g"))
     name = F.when(F.col("__g") == 1, F.lit("*")).otherwise(F.col("extension"))
     return out.select(name.alias("extension"), "files", "bytes", F.round(F.col("bytes") / 2**30, 6).alias("gib"), (F.col("extension").isin(list(allowed)) if allowed else F.lit(True)).alias("allowed"))
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 of every file. Spark hashes; a file is one row, so files have to fit a task's memory."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes, sha256 of every file, of any size."""
+    return files.fingerprints(spark, path).select("path", "bytes", "sha256")
 
 
 def inventory_hash(inventory: DataFrame) -> DataFrame:

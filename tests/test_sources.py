@@ -1,13 +1,16 @@
 """Scans, sinks and streams on small files."""
 
 import datetime as dt
+import hashlib
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsengine.sources import readers
+from obsengine.sources import files, readers
 from obsengine.streaming import jobs
 
 HEADER = "gid_0;gid_1;province;year;month;burned_area_ha;fire_count\n"
@@ -195,3 +198,51 @@ def test_a_day_in_two_batches_a_replay_and_a_crash(spark, tmp_path):
     assert merged(spark, path)[0][2] == (1, "complete", 2) and merged(spark, path)[1] == {1: (2, 2.0), 2: (2, 6.0)}
     jobs.keep_batch(spark.createDataFrame([(7, on(1, 9), -50.0)], DAILY), 3, "ts", f"{path}/out")  # a late part that takes the day's result away
     assert merged(spark, path)[0][1] == (0, "complete_no_rows", 3) and merged(spark, path)[1] == {2: (2, 6.0)}
+
+
+def test_files_of_any_size_are_hashed_in_pieces(spark, tmp_path):
+    """An empty file, one of over 2 GB, folders in folders, placeholders and compiled code."""
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/__pycache__").mkdir()
+    (tmp_path / "a/__pycache__/x.pyc").write_bytes(b"1")
+    (tmp_path / "a/.gitkeep").write_bytes(b"")
+    (tmp_path / "a/empty.txt").write_bytes(b"")
+    (tmp_path / "a/b/one.txt").write_bytes(b"one")
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate((1 << 31) + 5)
+        f.seek(1 << 31)
+        f.write(b"end")
+    got = {r.name: (r.bytes, r.sha256, r.head) for r in files.fingerprints(spark, str(tmp_path)).collect()}
+    digest = hashlib.sha256()
+    for k in range(1 << 5):
+        digest.update(bytes(1 << 26))
+    digest.update(b"end\0\0")
+    assert got == {"empty.txt": (0, hashlib.sha256(b"").hexdigest(), ""), "one.txt": (3, hashlib.sha256(b"one").hexdigest(), b"one".hex()), "large.bin": ((1 << 31) + 5, digest.hexdigest(), "00" * 8)}
+    listing = [r.path for r in files.listed(spark, str(tmp_path)).orderBy(F.lower("path")).collect()]
+    assert listing == sorted((str(p) for p in tmp_path.rglob("*") if p.is_file() and p.name != ".gitkeep" and "__pycache__" not in p.parts), key=str.casefold)
+    assert {r.extension: (r.files, r.bytes) for r in readers.file_inventory(spark, str(tmp_path)).collect()} == {"txt": (2, 3), "bin": (1, (1 << 31) + 5), "*": (3, (1 << 31) + 8)}
+    assert [r.name for r in files.required(spark, [str(tmp_path / "a/b"), str(tmp_path / "a/empty.txt")]).orderBy("name").collect()] == ["empty.txt", "one.txt"]
+    for bad in ([], [str(tmp_path / "nowhere")], [str(tmp_path / "a/b"), str(tmp_path / "a/__pycache__")][:1] + [str(tmp_path / "a/.gitkeep")]):
+        with pytest.raises(ValueError, match="source"):
+            files.required(spark, bad)
+
+
+def test_chunks_are_pruned_and_may_be_empty(spark, tmp_path):
+    base = str(tmp_path / "hive")
+    spark.createDataFrame([(1, 2, 2015, "2015-07-01"), (3, 4, 2016, "2016-07-01")], "grid_row long, grid_col long, year long, date string").write.partitionBy("year", "date").parquet(base)
+    pq.write_table(pa.table({}), f"{base}/year=2016/date=2016-07-01/none.parquet")  # a day without cases: no rows and no columns
+    pq.write_table(pa.table({"grid_row": pa.array([], pa.int64())}), f"{base}/year=2016/date=2016-07-01/rowless.parquet")
+    rows = readers.daily_chunks(spark, base, "grid_row long, grid_col long", "year long, date date", ["grid_row", "grid_col"])
+    assert sorted(map(tuple, rows.collect())) == [(1, 2, 2015, dt.date(2015, 7, 1)), (3, 4, 2016, dt.date(2016, 7, 1))]
+    plan = rows.filter("year = 2016").select("grid_row")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and rows.filter("year = 2016").count() == 1
+    flat = tmp_path / "flat"
+    (flat / "2015").mkdir(parents=True)
+    pq.write_table(pa.table({"grid_row": [7]}), f"{flat}/2015/2015-07-01.parquet")
+    pq.write_table(pa.table({}), f"{flat}/2015/2015-07-02.parquet")
+    assert [tuple(r) for r in readers.daily_chunks(spark, str(flat), "grid_row long, grid_col long").collect()] == [(7, None)]
+    with pytest.raises(ValueError, match="2015-07-01"):
+        readers.daily_chunks(spark, str(flat), "grid_row long, grid_col long", required=["grid_row", "grid_col"])
+    (tmp_path / "bare").mkdir()
+    pq.write_table(pa.table({}), f"{tmp_path}/bare/a.parquet")
+    assert readers.daily_chunks(spark, str(tmp_path / "bare"), "x long").count() == 0
