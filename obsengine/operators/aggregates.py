@@ -160,12 +160,12 @@ def unadjusted_risk(df: DataFrame, exposed: Column, outcome: str, by: Sequence[s
     return out.withColumn("risk_difference", F.col("risk_exposed") - F.col("risk_other")).withColumn("risk_ratio", safe_rate("risk_exposed", "risk_other"))
 
 
-def index_correlation(df: DataFrame, index: str, total: str, least: int = 3) -> DataFrame:
-    """Pearson r of an index and log1p of totals, and n; null for fewer than `least` pairs or no variance."""
+def index_correlation(df: DataFrame, index: str, total: str, least: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Pearson r of an index and log1p of totals, and n, by group; null for fewer than `least` pairs or no variance."""
     x, y = F.col(index).cast("double"), F.log1p(F.col(total).cast("double"))
-    both = df.select(x.alias("x"), y.alias("y")).filter(is_finite("x") & is_finite("y"))
-    out = both.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    return out.select("n", F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("r")).alias("r"))
+    both = df.select(*by, x.alias("x"), y.alias("y")).filter(is_finite("x") & is_finite("y"))
+    out = both.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("xy"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    return out.select(*by, "n", F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("xy") / (F.col("sx") * F.col("sy"))).alias("r"))
 
 
 def ranking_facts(df: DataFrame, year: str, value: str, index: str, top: int = 3) -> DataFrame:

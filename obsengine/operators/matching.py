@@ -79,17 +79,23 @@ def horizon_frame(rows: DataFrame, fractions: DataFrame, horizon: int, least_pre
     return whole.withColumn("outcome_share", F.col("loss") / F.col("pre_natural")).withColumn("outcome_flag", (F.col("outcome_share") >= threshold).cast("int"))
 
 
-def spatial_folds(df: DataFrame, block: str, set_col: str, folds: int) -> DataFrame:
+def spatial_folds(df: DataFrame, block: str, set_col: str, folds: int, most_blocks: int = 100_000) -> DataFrame:
     """block, fold: blocks, largest first (ties by name), go to the fold with the fewest sets so far.
 
-    The counts are Spark's; the greedy pass is over the list of blocks alone, which a study area bounds."""
-    counts = df.groupBy(block).agg(F.count_distinct(set_col).alias("n")).orderBy(F.desc("n"), block).collect()
+    The counts are Spark's. The greedy pass is in the driver over the most_blocks largest; blocks beyond these, which are small
+    and many, go to folds by a hash of their name, in Spark."""
+    counts = df.groupBy(block).agg(F.count_distinct(set_col).alias("n"))
+    first = counts.orderBy(F.desc("n"), block).limit(most_blocks).collect()
     load, rows = [0] * folds, []
-    for r in counts:
+    for r in first:
         k = min(range(folds), key=lambda j: (load[j], j))
         load[k] += r.n
         rows.append((r[block], k))
-    return df.sparkSession.createDataFrame(rows, f"{block} {df.schema[block].dataType.simpleString()}, fold int")
+    dealt = df.sparkSession.createDataFrame(rows, f"{block} {df.schema[block].dataType.simpleString()}, fold int")
+    if len(first) < most_blocks:
+        return dealt
+    rest = counts.join(F.broadcast(dealt.select(F.col(block).alias("__block"))), F.col(block).eqNullSafe(F.col("__block")), "left_anti")
+    return dealt.unionByName(rest.select(block, F.pmod(F.xxhash64(block), F.lit(folds)).cast("int").alias("fold")))
 
 
 def purged_split(df: DataFrame, fold: Column, set_col: str, cell: str) -> tuple[DataFrame, DataFrame]:

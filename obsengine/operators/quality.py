@@ -332,12 +332,24 @@ def frame_audit(df: DataFrame, key: Sequence[str], status: str, valid: str, rule
     return df.groupBy(status).agg(F.count("*").alias("rows"), F.count_if(F.col(valid)).alias("valid_rows"), F.count_distinct(*key).alias("distinct_keys"), *[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in rules.items()])
 
 
-def hourly_audit(df: DataFrame, ts: str, variables: Sequence[str]) -> DataFrame:
-    """By month of a timestamp: hours expected and distinct hours found, first and last stamp, nulls, complete."""
+def hourly_audit(df: DataFrame, ts: str, variables: Sequence[str], extent: tuple[str, str] | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """By month of a timestamp: hours expected and distinct hours found, first and last stamp, nulls, complete.
+
+    extent: columns of latitude and longitude; box: south, north, west, east. With them also the extent found, covers_box
+    (it reaches each side), rows outside the box, and complete asks for the first."""
     month = F.trunc(F.col(ts).cast("date"), "month")
-    out = df.groupBy(month.alias("month")).agg(F.count_distinct(F.date_trunc("hour", ts)).alias("hours"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.sum(sum((F.col(v).isNull().cast("long") for v in variables), F.lit(0))).alias("missing_values"))
+    found = [f(c).alias(n) for c, names in zip(extent, (("south", "north"), ("west", "east")), strict=True) for f, n in zip((F.min, F.max), names, strict=True)] if extent else []
+    inside = F.col(extent[0]).between(*box[:2]) & F.col(extent[1]).between(*box[2:]) if extent else None
+    outside = [F.count_if(~F.coalesce(inside, F.lit(False))).alias("rows_outside")] if extent else []
+    out = df.groupBy(month.alias("month")).agg(F.count_distinct(F.date_trunc("hour", ts)).alias("hours"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.sum(sum((F.col(v).isNull().cast("long") for v in variables), F.lit(0))).alias("missing_values"), *found, *outside)
     want = F.dayofmonth(F.last_day("month")) * 24
-    return out.withColumn("expected_hours", want).withColumn("complete", (F.col("hours") == want) & (F.col("missing_values") == 0))
+    complete = (F.col("hours") == want) & (F.col("missing_values") == 0)
+    out = out.withColumn("expected_hours", want)
+    if extent:
+        covers = (F.col("south") <= box[0]) & (F.col("north") >= box[1]) & (F.col("west") <= box[2]) & (F.col("east") >= box[3])
+        out = out.withColumn("covers_box", F.coalesce(covers, F.lit(False)))
+        complete = complete & F.col("covers_box")
+    return out.withColumn("complete", complete)
 
 
 def asset_gate(manifest: DataFrame, inventory: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -193,12 +193,14 @@ def reconcile(spark, sf_dir):
     return quality.reconcile(o.filter("k % 10 <> 1"), o.filter("k % 10 <> 2").withColumn("v", F.round(F.col("v") + F.when(F.col("k") % 50 == 0, 1).otherwise(0), 2)), ["k"], "v")
 
 
-@query("""with g as (select date_trunc('month', ts) m, count(distinct date_trunc('hour', ts)) "hours", min(ts) a, max(ts) b from events group by 1)
-    select strftime(m, '%Y-%m-%d') "month", "hours", epoch_us(a) first_us, epoch_us(b) last_us, cast(0 as bigint) missing_values, cast(day(last_day(m)) * 24 as int) expected_hours, "hours" = day(last_day(m)) * 24 complete from g""")
+@query("""with e as (select ts, user_id / 10.0 lat, value lon from events), g as (select date_trunc('month', ts) m, count(distinct date_trunc('hour', ts)) "hours", min(ts) a, max(ts) b, min(lat) south, max(lat) north, min(lon) west, max(lon) east, count(*) filter (not (lat between 1 and 12 and lon between 5 and 90)) rows_outside from e group by 1)
+    select strftime(m, '%Y-%m-%d') "month", "hours", epoch_us(a) first_us, epoch_us(b) last_us, cast(0 as bigint) missing_values, cast(day(last_day(m)) * 24 as int) expected_hours, round(south, 6) south, round(north, 6) north, round(west, 6) west, round(east, 6) east, rows_outside,
+        south <= 1 and north >= 12 and west <= 5 and east >= 90 covers_box, "hours" = day(last_day(m)) * 24 and south <= 1 and north >= 12 and west <= 5 and east >= 90 complete from g""")
 def hourly_audit(spark, sf_dir):
-    out = quality.hourly_audit(table(spark, sf_dir, "events"), "ts", ["value"])
+    e = table(spark, sf_dir, "events").withColumn("lat", F.col("user_id") / 10).withColumn("lon", F.col("value"))
+    out = rounded(quality.hourly_audit(e, "ts", ["value"], ("lat", "lon"), (1, 12, 5, 90)), ["south", "north", "west", "east"])
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return out.select(F.col("month").cast("string").alias("month"), "hours", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"), "missing_values", "expected_hours", "complete")
+    return out.select(F.col("month").cast("string").alias("month"), "hours", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"), "missing_values", "expected_hours", "south", "north", "west", "east", "rows_outside", "covers_box", "complete")
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_partkey <> 65535 and l_partkey & 3 = 0 and (l_partkey >> 2) & 15 <= 1 and (l_partkey >> 8) & 1 = 0 and (l_partkey >> 10) & 1 = 0

@@ -10,7 +10,7 @@ from obsengine.plans import marts, models
 from obsengine.plans.model_queries import PRICE, price_frame, price_sql
 from obsengine.plans.gate_queries import SMD
 from obsengine.plans.observation_queries import MATCHED, ORACLES, matched_user_days, normal_p, query, rounded, scratch, table, within_set_sql
-from obsengine.operators import matching
+from obsengine.operators import matching, quality
 from obsengine.sources import readers
 from obsengine.streaming import jobs
 
@@ -119,7 +119,7 @@ def counted_sql(frames: str) -> str:
 PP = "round(estimate * 100, 4) difference_pp, round((estimate - 1.96 * se) * 100, 4) low_pp, round((estimate + 1.96 * se) * 100, 4) high_pp, round(p, 5) p"
 TABLE_1 = price_sql(("'primary'", "y1", "true"), ("'higher threshold'", "y2", "true"), ("'other outcome'", "y3", "true"), ("'early years'", "y1", "yr < 1996"))
 TABLE_S2 = "select cast(yr as varchar) subset, c, c a, m, y1 y, x from price"
-TABLE_S3 = price_sql(*[(f"'{t}'", "y3", f"pre >= {t}") for t in (0.5, 1.0, 1.5)])
+TABLE_S3 = price_sql(*[(f"'{t}'", "y3", f"pre >= {t}") for t in (0.5, 0.6, 0.7, 0.8)])
 
 
 @query(f"""with {PRICE}, {counted_sql(TABLE_1)}, h as (select *, case when subset <> 'primary' then p * (count(*) filter (subset <> 'primary') over () - row_number() over (order by subset = 'primary', p, subset) + 1) end raw from w)
@@ -171,7 +171,7 @@ def table_s2(spark, sf_dir):
 
 @query(f"""with {PRICE}, {counted_sql(TABLE_S3)} select subset threshold, sets matched_sets, varying_sets, (select count(distinct c) from price) - sets excluded_sets, {PP} from w""")
 def table_s3(spark, sf_dir):
-    fits = models.subset_fits(price_frame(spark, sf_dir), {str(t): (F.col("pre") >= t, "y3") for t in (0.5, 1.0, 1.5)}, "set_id", ["x"], "set_id", "m")
+    fits = models.subset_fits(price_frame(spark, sf_dir), {str(t): (F.col("pre") >= t, "y3") for t in (0.5, 0.6, 0.7, 0.8)}, "set_id", ["x"], "set_id", "m")
     return marts.subsets_table(fits, "threshold")
 
 
@@ -180,6 +180,14 @@ def portal_composition(spark, sf_dir):
     return marts.portal_context(nation_orders(spark, sf_dir), "d", "s", ["F", "O"])["composition"]
 
 
+@query(f"""with o as ({CUBE_SQL}), {MONTHLY}, i as (select year(d) y, avg(v) x from monthly where month(d) between 8 and 11 group by 1), c as (select y, s, count(*) n from o group by 1, 2 union all select y, '*', count(*) from o group by 1)
+    select s, count(*) n, case when count(*) >= 3 then round(corr(x, ln(1 + n)), 6) end r from c join i using (y) group by s""")
+def portal_correlation(spark, sf_dir):
+    """The index and the records of each sensor, and of all."""
+    index = marts.index_context(monthly_index(spark, sf_dir), "d", "v")["seasons"]
+    return rounded(marts.portal_context(nation_orders(spark, sf_dir), "d", "s", ["F", "O"], index)["correlation"], ["r"])
+
+
 @query("""with a as (select year(o_orderdate) y, round(sum(o_totalprice), 2) v from orders group by 1), b as (select year(l_shipdate) y, count(*) n from lineitem group by 1), i as (select year(l_shipdate) y, round(avg(l_discount) * 100 - 5, 6) x from lineitem where month(l_shipdate) between 8 and 11 group by 1),
     j as (select a.y, v, n, x from a join b using (y) left join i using (y))
     select cast(y as int) "year", v price, n lines, x "index", rank() over (order by v desc) rank_a, rank() over (order by n desc) rank_b, rank() over (order by v desc) <= 3 and rank() over (order by n desc) <= 3 top_in_both, abs(x) < 0.5 neutral from j""")
@@ -202,12 +210,20 @@ def country_table(spark, sf_dir):
     return marts.country_table(counts, areas, "nation", "f", "n")
 
 
-@query(f"""with {MATCHED}, i as (select *, substr(sha256(concat_ws(':', 'phase1b-grid', grid_row, grid_col)), 1, 20) cell_id from matched)
-    select 'rows' metric, count(*) "value" from i union all select 'sets', count(distinct matched_set_id) from i union all select 'cells', count(distinct cell_id) from i union all select 'cases', count(*) from i where outcome = 1
-    union all select 'few_events', count(*) from i where n_events < 2""")
+@query(f"""with {MATCHED}, i as (select *, substr(sha256(concat_ws(':', 'phase1b-grid', grid_row, grid_col)), 1, 20) cell_id, cast("date" as date) d from matched), days as (select unnest(generate_series(date '2024-01-01', date '2024-02-10', interval 1 day))::date d),
+    s as (select count(*) filter (not (members = 5 and cases = 1 and cells = 5)) bad from (select matched_set_id, count(*) members, count(*) filter (outcome = 1) cases, count(distinct cell_id) cells from i group by 1)),
+    u as (select month(d) u, count(*) e, count(*) filter (d in (select d from i)) h from days group by 1),
+    k as (select (select count(*) from i where n_events = 3) duplicate_rows_removed, cast(0 as bigint) conflicting_keys, count(*) "rows", count(distinct matched_set_id) sets, count(distinct cell_id) cells, count(*) filter (outcome = 1) cases, count(*) filter (n_events < 2) few_events, cast(0 as bigint) support_missing, cast(0 as bigint) support_reversed,
+        count(*) filter (10 + 3 * n_events < 16) support_after_cutoff, count(distinct case when day(d) % 5 = 0 then d end) fallback_days, count(*) filter (day(d) % 5 = 0) fallback_rows, (select bad from s) sets_not_exact, (select cast(sum(e) as bigint) from u) expected_days, (select cast(sum(h) as bigint) from u) supported_days, (select count(*) filter (h / e < 0.8) from u) units_below_support, cast(0 as bigint) ready from i)
+    select * from (unpivot k on columns(*) into name metric value "value")""")
 def finalisation_report(spark, sf_dir):
+    """Matched user-days, some of them twice, with supports that start some days before and last 16."""
     frame = matching.privatised(matched_user_days(spark, sf_dir))
-    return marts.finalisation_report(frame, "matched_set_id", {"few_events": F.col("n_events") < 2})
+    frame = frame.unionByName(frame.filter("n_events = 3")).withColumn("day", F.to_date("date"))
+    start = F.date_sub("day", (10 + 3 * F.col("n_events")).cast("int"))
+    support, fallback = quality.support_reason(start, F.date_add(start, 16), F.col("day")), F.dayofmonth("day") % 5 == 0
+    days = quality.calendar(spark, "2024-01-01", "2024-02-10")
+    return marts.finalisation_report(frame, "matched_set_id", ["matched_set_id", "cell_id", "outcome"], {"few_events": F.col("n_events") < 2}, "cell_id", F.col("outcome") == 1, 4, support, fallback, "day", days, F.month("day"))
 
 
 @query("""with s as (select p_brand asset, p_type status from part), b as (select asset, bool_and(status in ('SMALL', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD')) ready, list_sort(list_distinct(list(status))) statuses from s group by 1)

@@ -30,9 +30,16 @@ def area_context(monthly: DataFrame, index: DataFrame, day: str, area: str) -> d
     return {"totals": both, "correlation": aggregates.index_correlation(both, "index", area), "ranking": aggregates.ranking_facts(both, "year", area, "index")}
 
 
-def portal_context(records: DataFrame, day: str, platform: str, platforms: Sequence[str]) -> dict[str, DataFrame]:
+def portal_context(records: DataFrame, day: str, platform: str, platforms: Sequence[str], index: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Composition by year, years without records, and with an index (year, mean) its correlation with the log of records, by
+    platform and in all (*): few years, so r is a description."""
     rows = records.withColumn("year", F.year(day))
-    return {"composition": aggregates.composition(rows, ["year"], platform, platforms, day), "missing_years": aggregates.missing_years(rows, "year")}
+    more = {}
+    if index is not None:
+        yearly = rows.rollup("year", platform).agg(F.count("*").alias("records"), F.grouping_id().alias("__g")).filter("__g < 2").select("year", F.when(F.col("__g") == 1, "*").otherwise(F.col(platform)).alias(platform), "records")
+        both = yearly.join(index.select("year", F.col("mean").alias("index")), "year")
+        more["correlation"] = aggregates.index_correlation(both, "index", "records", by=[platform])
+    return more | {"composition": aggregates.composition(rows, ["year"], platform, platforms, day), "missing_years": aggregates.missing_years(rows, "year")}
 
 
 def synthesis(a: DataFrame, b: DataFrame, index: DataFrame, value_a: str, value_b: str, top: int = 3) -> DataFrame:
@@ -100,10 +107,31 @@ def exposure_thresholds(points: DataFrame, areas: DataFrame, key: str, value: st
     return {"by_unit": out, "pooled": models.rate_ratio(long, F.col("exposed"), "n", "area", ["threshold"]), "fixed_effects": fixed}
 
 
-def finalisation_report(frame: DataFrame, set_col: str, checks: dict[str, Column]) -> DataFrame:
-    """metric, value: rows, sets, cells, cases, and rows that break each check, in one pass."""
-    row = frame.agg(F.count("*").alias("rows"), F.count_distinct(set_col).alias("sets"), F.count_distinct("cell_id").alias("cells"), F.count_if(F.col("outcome") == 1).alias("cases"), *[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in checks.items()])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in row.columns])).alias("x")).select("x.*")
+def finalisation_report(frame: DataFrame, set_col: str, key: Sequence[str], checks: dict[str, Column], member: str, positive: Column, controls: int, support: Column, fallback: Column, day: str, expected: DataFrame, unit: Column, least: float = 0.8) -> DataFrame:
+    """metric, value: what a frame is turned down or passed for.
+
+    Identical copies of a row are taken out and counted; keys that still repeat are conflicts. Of the rest: rows, sets, cells, cases,
+    rows that break each check (null counts as broken), sets that aren't one case and `controls` distinct controls, rows by what is
+    wrong with their support (support_reason()), days and rows that use a fallback, the calendar's days, those with rows, units of
+    it under `least`, and ready: 1 if there are rows and none of these is amiss."""
+    copies = frame.groupBy(*frame.columns).agg(F.count("*").alias("__n"))
+    rows = copies.drop("__n")
+    out = copies.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows_removed"))
+    reasons = ("support_missing", "support_reversed", "support_after_cutoff")
+    parts = [
+        rows.groupBy(*key).count().agg(F.count_if(F.col("count") > 1).alias("conflicting_keys")),
+        rows.agg(
+            F.count("*").alias("rows"), F.count_distinct(set_col).alias("sets"), F.count_distinct("cell_id").alias("cells"), F.count_if(positive).alias("cases"), *[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in checks.items()],
+            *[F.count_if(support == r).alias(r) for r in reasons], F.count_distinct(F.when(fallback, F.col(day))).alias("fallback_days"), F.count_if(fallback).alias("fallback_rows"),
+        ),
+        quality.set_integrity(rows, set_col, member, positive, controls).agg(F.count_if(~F.coalesce("exact", F.lit(False))).alias("sets_not_exact")),
+        quality.calendar_coverage(rows.select(F.col(day).alias("day")), expected, unit, least).agg(F.sum("expected_days").alias("expected_days"), F.sum("supported_days").alias("supported_days"), F.count_if(~F.col("supported")).alias("units_below_support")),
+    ]
+    for part in parts:
+        out = out.crossJoin(part)  # one row each
+    amiss = [*checks, *reasons, "conflicting_keys", "sets_not_exact", "units_below_support"]
+    out = out.withColumn("ready", ((F.col("rows") > 0) & (sum((F.col(c) for c in amiss), F.lit(0)) == 0)).cast("long"))
+    return out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value")) for c in out.columns])).alias("x")).select("x.*")
 
 
 def readiness(statuses: DataFrame, asset: str, status: str, ready: Sequence[str] = ("ready", "complete")) -> DataFrame:

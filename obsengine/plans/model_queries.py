@@ -212,12 +212,22 @@ def influence_refit(spark, sf_dir):
     return wald_rows(models.trimmed_refit(price_frame(spark, sf_dir), "set_id", "y1", ["x"], "set_id", "m"))
 
 
-CHANGE = price_sql(("'post'", "y1", "true"), ("'pre'", "y3", "true"), ("'post minus pre'", "y1 - y3", "true"))
+# Sets of a customer's first five orders; the outcome is of groups of customers by year, and some group-years have none.
+CONTROL = """cases as (select * from (select o_orderkey id, o_custkey c, o_orderkey % 40 cell, year(o_orderdate) yr, date_trunc('month', o_orderdate) m, case when o_orderstatus = 'F' then 1.0 else 0.0 end x, row_number() over (partition by o_custkey order by o_orderkey) r from orders) where r <= 5),
+    outs as (select o_orderkey % 40 cell, year(o_orderdate) yr, avg(o_totalprice) / 1e5 share from orders where (o_orderkey % 40 + year(o_orderdate)) % 11 <> 0 group by 1, 2), o2 as (select *, cast(share > 2.5 as double) flag from outs),
+    post as (select * from (select cases.*, flag, share, count(*) over (partition by c) n from cases join o2 using (cell, yr)) where n = 5),
+    pre as (select * from (select cases.*, flag, share, count(*) over (partition by c) n from cases join o2 on o2.cell = cases.cell and o2.yr + 2 = cases.yr) where n = 5),
+    both_ as (select * from (select post.id, post.c, post.m, post.x, post.cell, post.flag - pre.flag df, post.share - pre.share ds, count(*) over (partition by post.c) n from post join pre using (id)) where n = 5)"""
+CONTROLS = "select 'pre' subset, c, cell a, m, flag y, x from pre union all select 'post minus pre', c, cell, m, df, x from both_ union all select 'share post minus pre', c, cell, m, ds, x from both_"
 
 
-@query(f"""with {PRICE}, {within_set_sql(CHANGE)} {wald_sql()}""")
+@query(f"""with {CONTROL}, {within_set_sql(CONTROLS)} {wald_sql()}""")
 def negative_control(spark, sf_dir):
-    return wald_rows(models.before_and_after(price_frame(spark, sf_dir), "set_id", "y1", "y3", ["x"], "set_id", "m"))
+    o = table(spark, sf_dir, "orders").withColumn("cell", F.col("o_orderkey") % 40).withColumn("yr", F.year("o_orderdate"))
+    cases = windows.first_n(o, ["o_custkey"], ["o_orderkey"], 5).select("o_orderkey", "o_custkey", "cell", "yr", F.trunc("o_orderdate", "month").alias("m"), (F.col("o_orderstatus") == "F").cast("double").alias("x"))
+    outcomes = o.filter((F.col("cell") + F.col("yr")) % 11 != 0).groupBy("cell", "yr").agg((F.avg("o_totalprice") / 1e5).alias("share")).withColumn("flag", (F.col("share") > 2.5).cast("double"))
+    found = models.pre_exposure_control(cases, outcomes, "o_orderkey", "o_custkey", 5, "cell", "yr", "flag", "share", ["x"], "cell", "m")
+    return wald_rows(found.drop("rows"))
 
 
 @query("""with f as (select year(o_orderdate) y, o_totalprice p from orders), s as (select avg(p) m, stddev_pop(p) s from f where y <= 1999) select o_orderkey, round((o_totalprice - m) / s, 6) + 0.0 z, cast(o_totalprice >= 200000 as double) exposed, round(case when o_totalprice >= 200000 then (o_totalprice - m) / s else 0 end, 6) + 0.0 exposed_x_z from orders, s""")

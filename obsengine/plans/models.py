@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsengine.operators import joins
 from obsengine.operators.ranks import quantiles, ranked as in_order, with_quantiles
 from obsengine.operators.windows import case_ranks, group_softmax
 from obsengine.plans.sets import FIRST, gram, in_sets, logit_sums, over_sets, subset_sums
@@ -481,6 +482,25 @@ def trimmed_refit(df: DataFrame, set_col: str, outcome: str, names: Sequence[str
     return df.sparkSession.createDataFrame(rows, "subset string, " + WALD)
 
 
+def pre_exposure_control(cases: DataFrame, outcomes: DataFrame, key: str, set_col: str, size: int, cell: str, year: str, flag: str, share: str, names: Sequence[str], first: str, second: str, back: int = 2) -> DataFrame:
+    """The negative control: does what comes later already tell what came `back` years before?
+
+    cases: key, set_col, cell, year and the columns; outcomes: cell, year, flag, share. The outcome of `back` years earlier is put
+    under the later year (shifted()) and joined; sets that aren't whole then go. On sets that are whole with both outcomes
+    (common_support()), the model is also fitted on the differences. subset (pre, post minus pre, share post minus pre), rows,
+    and the Wald columns."""
+    whole = lambda df: df.withColumn("__n", F.count("*").over(Window.partitionBy(set_col))).filter(F.col("__n") == size).drop("__n")
+    post = whole(cases.join(outcomes, [cell, year]))
+    pre = whole(cases.join(joins.shifted(outcomes, year, back), [cell, year]))
+    both = joins.common_support(post, pre.select(key, flag, share), [key], set_col, size)
+    both = both.withColumn("__flag", F.col(flag) - F.col(f"{flag}_b")).withColumn("__share", F.col(share) - F.col(f"{share}_b"))
+    out = []
+    for label, df, outcome in (("pre", pre, flag), ("post minus pre", both, "__flag"), ("share post minus pre", both, "__share")):
+        fit = within_set_lpm(df, set_col, outcome, names, first, second)
+        out.append((label, fit.n, *fit.rows()[0]))
+    return cases.sparkSession.createDataFrame(out, "subset string, rows long, " + WALD)
+
+
 def before_and_after(df: DataFrame, set_col: str, post: str, pre: str, names: Sequence[str], first: str, second: str) -> DataFrame:
     """The negative control: the model on the outcome, on the outcome before exposure, and on their difference."""
     both = df.withColumn("__change", F.col(post) - F.col(pre))

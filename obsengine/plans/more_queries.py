@@ -93,29 +93,29 @@ def polygon_totals(spark, sf_dir):
     return rounded(out, ["area_km2"], 4)
 
 
-BLOCKS = " union all ".join(f"select '{size} cells' subset, o_custkey c, (o_orderkey // 100 // {size}) || ':' || (o_orderkey % 100 // {size}) a, date_trunc('month', o_orderdate) m, cast(o_totalprice > 200000 as double) y, case when o_orderstatus = 'F' then 1.0 else 0.0 end x from orders" for size in (25, 50))
+BLOCKS = " union all ".join(f"select '{size} cells' subset, o_custkey c, (o_orderkey // 100 // {size}) || ':' || (o_orderkey % 100 // {size}) a, date_trunc('month', o_orderdate) m, cast(o_totalprice > 200000 as double) y, case when o_orderstatus = 'F' then 1.0 else 0.0 end x from orders" for size in (25, 50, 100))
 
 
 @query(f"""with {within_set_sql(BLOCKS)}, named as (select subset || case when one_way then ', block only' else ', block and m' end subset, estimate, se from fit) {wald_sql("named")}""")
 def block_clustering(spark, sf_dir):
-    """The within-set model with errors clustered by month and by spatial blocks of two sizes."""
+    """The within-set model with errors clustered by month and by spatial blocks of three sizes."""
     o = table(spark, sf_dir, "orders").withColumn("set_id", F.col("o_custkey")).withColumn("x", (F.col("o_orderstatus") == "F").cast("double")).withColumn("y", (F.col("o_totalprice") > 200_000).cast("int")).withColumn("m", F.trunc("o_orderdate", "month"))
     row, col = F.floor(F.col("o_orderkey") / 100), F.col("o_orderkey") % 100
     rows = []
-    for size in (25, 50):
+    for size in (25, 50, 100):
         fit = models.within_set_lpm(o.withColumn("block", grid.block_id(row, col, size)), "set_id", "y", ["x"], "block", "m")
         rows.append((f"{size} cells, {fit.info['method']}", *fit.rows()[0]))
     return wald_rows(spark.createDataFrame(rows, "subset string, " + models.WALD))
 
 
-SWEEP = price_sql(*[(f"'pre >= {t:g}'", "y3", f"pre >= {t}") for t in (0.0, 0.5, 1.0)])
+SWEEP = price_sql(*[(f"'pre >= {t:g}'", "y3", f"pre >= {t}") for t in (0.5, 0.6, 0.7, 0.8)])
 
 
 @query(f"""with {PRICE}, {within_set_sql(SWEEP)} {wald_sql()}""")
 def threshold_sweep(spark, sf_dir):
     """The within-set model on frames of rising eligibility."""
     f = price_frame(spark, sf_dir)
-    keep = {f"pre >= {t:g}": F.col("pre") >= t for t in (0.0, 0.5, 1.0)}
+    keep = {f"pre >= {t:g}": F.col("pre") >= t for t in (0.5, 0.6, 0.7, 0.8)}
     return wald_rows(models.by_subset(f, keep, lambda d: models.within_set_lpm(d, "set_id", "y3", ["x"], "set_id", "m")))
 
 

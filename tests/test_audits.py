@@ -70,3 +70,35 @@ def test_attrition(spark):
     assert flow == {2015: (4, 3, 1, 0.75), 2016: (4, 2, 2, 0.5)}
     s1 = {r.variable: r for r in got["table_s1"].collect()}
     assert s1["peat"].included_n == 5 and s1["peat"].excluded_median == 6.0 and s1["peat"].over_limit and s1["peat"].included_mean == pytest.approx(2.0)
+
+
+def test_hours_within_an_extent(spark):
+    rows = [(f"2024-02-{d:02d} {h:02d}:10:00", 1.0 + 9 * (h % 2), 5.0 + 10 * (h % 3)) for d in range(1, 30) for h in range(24)]
+    df = spark.createDataFrame(rows, "ts string, lat double, lon double").withColumn("ts", F.to_timestamp("ts"))
+    whole = quality.hourly_audit(df, "ts", ["lat"], ("lat", "lon"), (1, 10, 5, 25)).first()
+    assert (whole.hours, whole.south, whole.north, whole.west, whole.east, whole.rows_outside, whole.covers_box, whole.complete) == (696, 1.0, 10.0, 5.0, 25.0, 0, True, True)
+    part = quality.hourly_audit(df, "ts", ["lat"], ("lat", "lon"), (2, 10, 5, 26)).first()
+    assert (part.rows_outside, part.covers_box, part.complete) == (348, False, False)
+    assert quality.hourly_audit(df, "ts", ["lat"]).first().complete
+
+
+def test_a_finalised_frame(spark):
+    days = quality.calendar(spark, "2024-01-01", "2024-01-10")
+    rows = [(f"s{s}", f"c{s}-{k}", int(k == 0), f"2024-01-{s + 1:02d}", 20) for s in range(9) for k in range(5)]
+
+    def report(rows):
+        df = spark.createDataFrame(rows, "set_id string, cell_id string, outcome int, day string, lag int").withColumn("day", F.to_date("day"))
+        support = quality.support_reason(F.date_sub("day", F.col("lag")), F.date_add(F.date_sub("day", F.col("lag")), 16), F.col("day"))
+        return {r.metric: r.value for r in marts.finalisation_report(df, "set_id", ["set_id", "cell_id"], {"unknown": F.col("outcome").isNull()}, "cell_id", F.col("outcome") == 1, 4, support, F.dayofmonth("day") == 3, "day", days, F.month("day")).collect()}
+
+    good = report([*rows, rows[0], rows[0]])
+    assert good["ready"] == 1 and (good["duplicate_rows_removed"], good["rows"], good["sets"], good["cases"], good["fallback_days"], good["fallback_rows"], good["supported_days"]) == (2, 45, 9, 9, 1, 5, 9)
+    bad = report([*rows[:30], ("s0", "c0-1", 1, "2024-01-01", 10), ("s1", "c1-4", 0, "2024-01-02", None)])
+    assert bad["ready"] == 0 and (bad["conflicting_keys"], bad["sets_not_exact"], bad["support_after_cutoff"], bad["support_missing"], bad["units_below_support"]) == (2, 2, 1, 1, 1)
+
+
+def test_correlation_by_sensor(spark):
+    rows = [(f"{2010 + y}-09-01", s) for y, n in enumerate((1, 3, 9, 27)) for s in ["a"] * n + ["b"] * 2]
+    index = spark.createDataFrame([(2010 + y, float(y)) for y in range(4)], "year int, mean double")
+    got = {r.s: (r.n, r.r) for r in marts.portal_context(spark.createDataFrame(rows, "d string, s string").withColumn("d", F.to_date("d")), "d", "s", ["a", "b"], index)["correlation"].collect()}
+    assert got["a"][0] == 4 and got["a"][1] > 0.98 and got["*"][1] > 0.95 and got["b"] == (4, None)  # no variance

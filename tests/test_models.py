@@ -197,6 +197,33 @@ def test_ranking_and_folds(spark):
     assert train.select("set_id").distinct().count() < 6
 
 
+def test_folds_beyond_the_list_in_the_driver(spark):
+    rows = [(f"b{b}", f"s{b}-{k}") for b in range(60) for k in range(1 + b % 3)]
+    df = spark.createDataFrame(rows, "block string, set_id string")
+    whole, part = ({r.block: r.fold for r in matching.spatial_folds(df, "block", "set_id", 4, n).collect()} for n in (60, 20))
+    assert set(whole) == set(part) == {f"b{b}" for b in range(60)} and set(part.values()) == {0, 1, 2, 3}
+    large = [f"b{b}" for b in range(2, 60, 3)]  # the 20 with three sets are dealt as before
+    assert {b: part[b] for b in large} == {b: whole[b] for b in large}
+
+
+def test_what_came_before_exposure(spark):
+    """Loss two years back has nothing to do with x, later loss does; a set with a missing year goes as a whole."""
+    rng, cases, outcomes = np.random.default_rng(8), [], []
+    for s in range(120):
+        for k in range(5):
+            cell, x = s * 5 + k, float(k == 0)
+            cases.append((cell, f"s{s}", cell, 2018, x, f"m{s % 7}"))
+            if (s, k) != (0, 3):
+                outcomes.append((cell, 2018, 0.0, 0.5 * x + float(rng.normal(0, 0.1))))
+            if (s, k) != (1, 2):
+                outcomes.append((cell, 2016, 0.0, float(rng.normal(0, 0.1))))
+    outcomes = [(c, y, float(v > 0.25), v) for c, y, _, v in outcomes]
+    got = models.pre_exposure_control(spark.createDataFrame(cases, "k long, set_id string, cell long, year int, x double, m string"), spark.createDataFrame(outcomes, "cell long, year int, flag double, share double"), "k", "set_id", 5, "cell", "year", "flag", "share", ["x"], "set_id", "m")
+    got = {r.subset: r for r in got.collect()}
+    assert got["pre"].rows == 595 and got["share post minus pre"].rows == 590
+    assert abs(got["pre"].estimate) < 0.05 and got["share post minus pre"].estimate == pytest.approx(0.5, abs=0.05) and got["post minus pre"].estimate > 0.9
+
+
 def test_penalty_ties_and_bootstrap(spark):
     df = spark.createDataFrame([(k, float(k % 7)) for k in range(500)], "k int, x double")
     a, b = models.bootstrap_mean(df, "k", "x", 300).first(), models.bootstrap_mean(df.repartition(7), "k", "x", 300).first()
