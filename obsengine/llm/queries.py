@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsengine.llm import decontaminate, merkle, mixing, neighbours, order_minhash, ordinal_quality, periodic_runs, pii, records, simhash, substring_dedup, token_rollups, toxicity
-from obsengine.llm.common import read_table, stored, work_dir
+from obsengine.llm.common import join_skewed, read_table, stored, work_dir
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -59,8 +59,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _told_apart(documents: DataFrame) -> DataFrame:
-    """What the rollups need of documents: keys, text, a guess of its tokens, and what tells equal texts."""
-    return documents.select("doc_id", "source", "lang", "text", F.xxhash64("text").alias("of_text"), F.char_length("text").alias("n"), F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / 4).cast("long").alias("guess"))
+    """What the rollups need of documents: keys, text, a guess of its tokens, and what tells equal texts: their digest."""
+    return documents.select("doc_id", "source", "lang", "text", F.coalesce(F.sha2("text", 256), F.lit("none")).alias("of_text"), F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / 4).cast("long").alias("guess"))
 
 
 def _rolled_up(spark: SparkSession, counted: DataFrame, versions: list[str]) -> DataFrame:
@@ -68,8 +68,8 @@ def _rolled_up(spark: SparkSession, counted: DataFrame, versions: list[str]) ->
     to its tokens; 3 inserts all under the next version; 4 deletes all but the first of equal texts under both. Batches are
     committed more than once, and 1 again after it was folded. counted: of _told_apart(), with a column for each version."""
     counted, none = stored(counted, "counted"), F.lit(None).cast("long")
-    first = counted.groupBy("of_text", "n").agg(F.min("doc_id").alias("first")).withColumnsRenamed({"of_text": "of_first", "n": "n_first"})
-    deleted = counted.join(first, F.col("of_text").eqNullSafe(F.col("of_first")) & F.col("n").eqNullSafe(F.col("n_first"))).filter(F.col("doc_id") > F.col("first"))
+    first = stored(counted.groupBy("of_text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "first")
+    deleted = join_skewed(counted, first, "of_text").filter(F.col("doc_id") > F.col("first"))
 
     def batch(kind: str, version: str, old, new, rows: DataFrame = counted) -> DataFrame:
         return rows.select(F.lit(kind).alias("kind"), old.alias("old_tokens"), new.alias("new_tokens"), "source", "lang", F.lit(version).alias("tokenizer_version"))

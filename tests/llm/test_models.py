@@ -137,6 +137,25 @@ def test_rollups_of_two_tokenizers_equal_brute_force(spark):
     assert got == want
 
 
+def test_commits_are_whole_or_absent(spark, monkeypatch):
+    store, into = work_dir(spark, "rollup"), work_dir(spark, "rollup")
+    row = lambda n: spark.createDataFrame([("insert", None, n, "s", "en", "1", "clash", 9)], "kind string, old_tokens long, new_tokens long, source string, lang string, tokenizer_version string, docs string, batch_id int")
+    sums = lambda at: [tuple(r)[3:] for r in token_rollups.totals(spark, at).collect()]
+    assert sums(store) == []
+    token_rollups.commit(row(5), store, 1)
+    monkeypatch.setattr(token_rollups, "_mark", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    for f in (lambda: token_rollups.commit(row(7), store, 1), lambda: token_rollups.commit(row(7), store, 2), lambda: token_rollups.compact(spark, store, into, 2)):
+        with pytest.raises(OSError, match="lost"):
+            f()
+        assert sums(store) == [(1, 5)] and sums(into) == []  # rows were written, but nothing that shows them
+    monkeypatch.undo()
+    token_rollups.commit(row(7), store, 1)
+    token_rollups.compact(spark, store, into, 2)
+    assert sums(store) == sums(into) == [(1, 7)] and not token_rollups.commit(row(9), into, 1)
+    with pytest.raises(OSError, match="there already"):
+        token_rollups.compact(spark, store, into, 2)
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(2)
     words = {"x": ["xara", "xuna", "xolo"], "y": ["ypsi", "ytri"], "z": ["zed", "zum"]}
