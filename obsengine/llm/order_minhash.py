@@ -2,11 +2,12 @@
 
 A text is cut into words at white space; each run of k words is a k-mer, numbered by its occurrence in the text, and each
 numbered k-mer has a hash. The hash names one of `tuples` bins and the order within it. Of each bin the `picked` least
-numbered k-mers are taken, put back into text order and hashed together: that is one element of the signature. Two
-texts that differ by a few edits share most numbered k-mers and their order, so they share elements; the same words in
+numbered k-mers are taken, put back into text order and hashed together: that is one element of the signature. A bin that has
+fewer borrows the least of the next bin that isn't empty (and so on, round), so that every element of a text of two k-mers or more
+holds an order. This is one permutation with borrowing instead of a permutation for each element. Two texts that differ by a few edits share most numbered k-mers and their order, so they share elements; the same words in
 another order share few. All of this happens inside the row, on sorted arrays of longs, without a shuffle.
 
-A fingerprint lists, for each bin that isn't empty, the bin (two to four hex digits) and the element (four). likeness() is
+A fingerprint lists, for each bin that isn't empty, the bin (two to five hex digits) and the element (eight). likeness() is
 the share of equal elements among the bins that are not empty in both, 1 if there are none.
 
 Cases: null counts as empty; an empty text, or one of white space, has the empty fingerprint; fewer than k words
@@ -59,11 +60,11 @@ def fingerprint(text: Column, tuples: int = TUPLES, picked: int = PICKED, k: int
 
     def elements(t: Column) -> Column:
         def element(x: Column, i: Column) -> Column:
-            own = F.filter(F.slice(t, i + 1, picked), lambda y: high(y, bin_shift) == high(x, bin_shift))
+            own = F.slice(F.concat(t, F.slice(t, 1, picked)), i + 1, F.least(F.lit(picked), F.size(t)))  # from the next bins too, and round
             # Text order: the place goes to the front for the sort.
             order = F.sort_array(F.transform(own, lambda y: F.shiftleft(y.bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(high(y, 31))))
             hashed = F.xxhash64(F.transform(order, lambda y: y.bitwiseAND(F.lit(0xFFFFFFFF))))
-            digits = F.hex(F.shiftleft(high(x, bin_shift) + tuples, 16).bitwiseOR(hashed.bitwiseAND(F.lit(0xFFFF))))
+            digits = F.hex(F.shiftleft(high(x, bin_shift) + tuples, 32).bitwiseOR(hashed.bitwiseAND(F.lit(0xFFFFFFFF))))
             return F.when((i == 0) | (high(F.get(t, i - 1), bin_shift) != high(x, bin_shift)), F.lower(digits))
 
         return F.array_join(F.transform(t, element), ",")  # nulls are left out
@@ -74,7 +75,7 @@ def fingerprint(text: Column, tuples: int = TUPLES, picked: int = PICKED, k: int
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal elements of two fingerprints, of the bins that are not empty in both."""
     a, b = (F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ",")) for x in (a, b))
-    bins = F.size(F.array_distinct(F.transform(F.concat(a, b), lambda x: F.left(x, F.length(x) - 4))))
+    bins = F.size(F.array_distinct(F.transform(F.concat(a, b), lambda x: F.left(x, F.length(x) - 8))))
     return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / bins)
 
 

@@ -34,16 +34,18 @@ def brute_signature(text, tuples=32, picked=2, k=3):
         value = hashed(g, (seen[g],)) >> 31 & 0xFFFFFFFF
         seen[g] += 1
         bins.setdefault(value * tuples >> 32, []).append((value, place))
+    taken = [(b, x) for b in sorted(bins) for x in sorted(bins[b])[:picked]]
     out = []
     for b in sorted(bins):
-        chosen = sorted(sorted(bins[b])[:picked], key=lambda x: x[1])
-        out.append(f"{(b + tuples) << 16 | hashed(*[v for v, _ in chosen]) & 0xFFFF:x}")
+        at = next(i for i, (c, _) in enumerate(taken) if c == b)
+        own = [taken[(at + j) % len(taken)][1] for j in range(min(picked, len(taken)))]  # a bin of one borrows from the next
+        out.append(f"{b + tuples:x}{hashed(*[v for v, _ in sorted(own, key=lambda x: x[1])]) & 0xFFFFFFFF:08x}")
     return ",".join(out)
 
 
 def brute_likeness(a, b):
     a, b = (set(x.split(",")) if x else set() for x in (a, b))
-    bins = {x[:-4] for x in a | b}
+    bins = {x[:-8] for x in a | b}
     return len(a & b) / len(bins) if bins else 1.0
 
 

@@ -166,6 +166,15 @@ def test_order_counts(spark):
     assert r.same == 1.0 and r.turned < r.moved < 1.0
 
 
+@pytest.mark.parametrize("n", [15, 20, 40, 80, 400])
+def test_swapped_halves_look_less_alike_than_their_words(spark, n):
+    """Nearly all k-mers are shared; an order that a pair keeps is kept with a half: 0.5 in the long run."""
+    rows = [(" ".join(w), " ".join(w[n // 2 :] + w[: n // 2])) for s in range(60) for w in [[f"w{s}x{k}" for k in range(n)]]]
+    df = spark.createDataFrame(rows, "a string, b string")
+    mean = df.agg(F.avg(order_minhash.likeness(order_minhash.fingerprint(F.col("a")), order_minhash.fingerprint(F.col("b"))))).first()[0]
+    assert mean < 0.58
+
+
 def test_previous_and_edge_tables(spark):
     one = order_minhash.with_edits(docs_of(spark, ["alone in the table"])).first()
     assert one.near_next == 1.0 and one.edited == "alone in the t" + "alon"
