@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from obsengine.operators.sizes import short
 from obsengine.sources import files
 
 # Season code to the month that ends it; NDJ ends in January of the next year.
@@ -88,18 +89,28 @@ def portal_records(lines: DataFrame, first_day: str | None = None, last_day: str
     return good, rows.filter("reason is not null").select("source_file", "reason", F.sha2("value", 256).alias("content_sha256"), "value")
 
 
-def portal_scan(spark: SparkSession, path: str, **bounds) -> tuple[DataFrame, DataFrame]:
+def portal_scan(spark: SparkSession, path: str | list[str], **bounds) -> tuple[DataFrame, DataFrame]:
     """portal_records() of text files, each of which starts with the header PORTAL_HEADER, or is the JSON {"data": []}: a valid
-    zero. Another header, no header, and other JSON fail."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("content"), F.col("_metadata.file_path").alias("source_file"))
-    start = F.ltrim(F.col("content"))
-    empty = F.regexp_replace("content", r"\s", "") == '{"data":[]}'
-    is_json = start.startswith("{") | start.startswith("[")
-    files = whole.filter(failing(~is_json | empty, "unexpected JSON response", F.col("source_file"))).filter(~is_json)
-    lines = F.split("content", r"\r?\n")
-    header = quoted_fields(F.element_at(lines, 1))
-    files = files.filter(failing(F.array_join(header, "\n") == "\n".join(PORTAL_HEADER), "unexpected header", F.concat_ws(" ", "source_file", F.element_at(lines, 1))))
-    rows = files.select("source_file", F.explode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("value"))
+    zero. Another header, no header, an empty file, and other JSON fail.
+
+    Files are read by lines, in splits: a file's first line is that of the least place in its first split, and no task holds
+    more than a split. Of each file the first lines alone are gathered, a row a file."""
+    if not files.listed(spark, path).filter((F.col("bytes") == 0) & ~F.col("name").rlike("^[._]")).isEmpty():
+        raise ValueError(f"an empty file below {path}")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), place.alias("place"))
+    solid = F.regexp_replace("value", "[\\s\ufeff]", "")
+    of_file = lines.groupBy("source_file").agg(F.min("place").alias("first"), F.min_by("value", "place").alias("header"), F.min_by(solid, F.when(solid != "", F.col("place"))).alias("start"), F.sum(F.length(solid)).alias("solid"))
+    is_json = F.coalesce(F.col("start").rlike(r"^[{\[]"), F.lit(False))
+    header = F.array_join(quoted_fields(F.regexp_replace("header", "^\ufeff", "")), "\n")
+    tables = of_file.filter(~is_json).filter(failing(header == "\n".join(PORTAL_HEADER), "unexpected header", F.concat_ws(" ", "source_file", "header"))).select(F.col("source_file").alias("file"), "first")
+    # A JSON file that is a valid zero has eleven characters; of others no text is gathered.
+    zero = '{"data":[]}'
+    small = of_file.filter(is_json).filter(failing(F.col("solid") == len(zero), "unexpected JSON response", F.col("source_file"))).select(F.col("source_file").alias("file"))
+    texts = lines.filter(solid != "").join(short(small), F.col("source_file") == F.col("file")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", solid.alias("text")))).alias("lines"))
+    texts = texts.filter(failing(F.array_join(F.transform("lines", lambda x: x["text"]), "") == zero, "unexpected JSON response", F.col("file")))
+    texts.write.format("noop").mode("overwrite").save()  # fails here if one isn't
+    rows = lines.join(short(tables), (F.col("source_file") == F.col("file")) & (F.col("place") > F.col("first"))).select("source_file", "value")
     return portal_records(rows, **bounds)
 
 

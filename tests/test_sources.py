@@ -246,3 +246,29 @@ def test_chunks_are_pruned_and_may_be_empty(spark, tmp_path):
     (tmp_path / "bare").mkdir()
     pq.write_table(pa.table({}), f"{tmp_path}/bare/a.parquet")
     assert readers.daily_chunks(spark, str(tmp_path / "bare"), "x long").count() == 0
+
+
+def test_portal_files_are_read_in_splits(spark, tmp_path):
+    """Splits of a few lines: the header is the file's first line, wherever splits are; another one is a record that is turned down."""
+    header = ",".join(readers.PORTAL_HEADER)
+    row = lambda k: f"P,D,S,V{k},14-09-2015,01:00,NPP,high,-1.5,{100 + k % 50}"
+    for name in ("a", "b"):
+        lines = [header, *[row(k) for k in range(60)]]
+        lines.insert(40, header)
+        (tmp_path / f"{name}.csv").write_text(("﻿" if name == "a" else "") + "\r\n".join(lines) + "\r\n", encoding="utf-8")
+    (tmp_path / "none.txt").write_text('\n {"data":\n\n []}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        good, bad = readers.portal_scan(spark, str(tmp_path))
+        assert good.count() == 120 and {(r.reason, r.value) for r in bad.collect()} == {("bad_date", header)} and good.rdd.getNumPartitions() > 10
+        (tmp_path / "void.csv").write_bytes(b"")
+        with pytest.raises(ValueError, match="empty file"):
+            readers.portal_scan(spark, str(tmp_path))
+        (tmp_path / "void.csv").write_text('{"data": [1]}')
+        with pytest.raises(Exception, match="unexpected JSON"):
+            readers.portal_scan(spark, str(tmp_path))
+        (tmp_path / "void.csv").write_text('{"data":}[]')
+        with pytest.raises(Exception, match="unexpected JSON"):
+            readers.portal_scan(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
