@@ -6,9 +6,11 @@ match and go on after it; a match that fails validation is dropped and the parse
 
 Kinds. email: local part, at-sign, labels joined by dots (at least two). ip: four groups of digits joined by dots, each
 at most 255. card: digits with at most one space or hyphen between, 14 to 19 of them, Luhn sum right. phone: plus sign,
-digit, further digits and separators up to the last digit, 10 to 15 digits. Two kinds more: url: a scheme, "://" and
+digit, further digits and separators up to the last digit, 10 to 15 digits. Three kinds more: url: a scheme, "://" and
 what follows up to white space, quotes or brackets, if it names a user ("user@" or "user:word@"); account: the number
-after an identifier cue, of 6 to 34 letters and digits with at least 5 digits (mod-97 checked after "iban").
+after an identifier cue, of 6 to 34 letters and digits with at least 5 digits (mod-97 checked after "iban"); secret: what is
+assigned to, or follows, a cue such as token or password: 16 letters, digits and signs or more, of them 4 letters and 4 digits at
+least. Cues count in any case.
 
 Offsets are code points, end exclusive. Cases: a null or empty text has no spans; rows that repeat are handled one by
 one; an empty table gives no rows; other columns are not read.
@@ -25,8 +27,11 @@ from pyspark.sql import types as T
 from obsengine.llm.common import id_and_text, per_batch
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "account")
+KINDS = (*BASE, "url", "account", "secret")
 CUES = ("account number", "account no", "account:", "acct", "iban", "passport", "ssn", "tax id", "customer id", "kontonummer", "numéro de compte", "número de cuenta")
+SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "private key", "private_key", "client_secret", "bearer")
+# A-Z to a-z, where lower() would change the length of a text.
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 _DIGITS = frozenset("0123456789")
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -34,6 +39,7 @@ _LOCAL = _LETTERS | _DIGITS | frozenset("._%+-")
 _LABEL = _LETTERS | _DIGITS | frozenset("-")
 _PHONE = _DIGITS | frozenset(" ().-")
 _ACCOUNT = re.compile(r"[\s:#.\-]{0,4}(?:(?:no|nr|number|is|es|est|ist)\b[\s:#.\-]{0,4})?([A-Za-z0-9](?:[ \-]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"[\"'`]?(?:\s{0,3}(?::=|=>|[:=])\s{0,3}|\s{1,3}(?:is\s{1,3})?)[\"'`]?([A-Za-z0-9_\-./+]{16,}={0,2})")
 _AFTER_SCHEME = re.compile(r"[^\s\"'<>()\[\]{}]+")
 
 
@@ -61,11 +67,26 @@ def anchors():
         found.add_word(d, ("digit", 1))
         found.add_word("+" + d, ("phone", 2))
     found.add_word("://", ("url", 3))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, ("account", len(form)))
     found.make_automaton()
-    return found
+    cues = ahocorasick.Automaton()
+    for kind, words in (("account", CUES), ("secret", SECRET_CUES)):
+        for cue in words:
+            cues.add_word(cue, (kind, len(cue)))
+    cues.make_automaton()
+    return found, cues
+
+
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
+def _secret(text: str, at: int) -> tuple[int, int] | None:
+    """What a cue that ends at `at` gives."""
+    m = _SECRET.match(text, at)
+    if not m or sum(c in _DIGITS for c in m[1]) < 4 or sum(c in _LETTERS for c in m[1]) < 4:
+        return None
+    return m.start(1), m.end(1)
 
 
 def _email(text: str, at: int, least: int) -> tuple[int, int] | None:
@@ -158,8 +179,14 @@ def _account(text: str, at: int, cue: str) -> tuple[int, int] | None:
 def spans_of(text: str, found) -> list[tuple[str, int, int]]:
     """All spans of a text, by start, then kind as listed in KINDS. found: anchors()."""
     out: list[tuple[int, int, int]] = []
-    after = {"email": 0, "ip": 0, "card": 0, "phone": 0, "url": 0, "account": 0}
-    for end, (kind, size) in found.iter(text):
+    after = dict.fromkeys(KINDS, 0)
+    low = _lower(text)
+    for end, (kind, size) in found[1].iter(low):
+        at = end - size + 1
+        if at >= after[kind] and (m := _account(text, end + 1, low[at : end + 1]) if kind == "account" else _secret(text, end + 1)):
+            after[kind] = m[1]
+            out.append((m[0], KINDS.index(kind), m[1]))
+    for end, (kind, size) in found[0].iter(text):
         at = end - size + 1
         if kind == "digit":
             if at >= after["ip"] and (at == 0 or text[at - 1] not in _DIGITS) and (m := _ip(text, at)):
@@ -182,13 +209,9 @@ def spans_of(text: str, found) -> list[tuple[str, int, int]]:
                 after["phone"] = m[1]
                 if m[2]:
                     out.append((at, 3, m[1]))
-        elif kind == "url":
-            if at >= after["url"] and (m := _url(text, at)):
-                after["url"] = m[1]
-                out.append((m[0], 4, m[1]))
-        elif at >= after["account"] and (m := _account(text, end + 1, text[at : end + 1].lower())):
-            after["account"] = m[1]
-            out.append((m[0], 5, m[1]))
+        elif at >= after["url"] and (m := _url(text, at)):
+            after["url"] = m[1]
+            out.append((m[0], 4, m[1]))
     out.sort()
     return [(KINDS[k], s, e) for s, k, e in out]
 

@@ -55,7 +55,7 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.counted(pii.find(read_table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_url", "n_account", F.sha2("base_text", 256).alias("base_sha256"), F.col("span_text").alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_url", "n_account", "n_secret", F.sha2("base_text", 256).alias("base_sha256"), F.col("span_text").alias("spans"))
 
 
 def _told_apart(documents: DataFrame) -> DataFrame:

@@ -223,6 +223,16 @@ def test_other_kinds_and_digests(spark):
     assert pii.find(docs_of(spark, [])).count() == 0
 
 
+def test_cues_in_any_case_and_secrets():
+    found = pii.anchors()
+    kinds = lambda t: [(k, t[s:e]) for k, s, e in pii.spans_of(t, found) if k in ("account", "secret")]
+    key = "04dbebab91ab85687d33eeaaf9ac699e"
+    for text in (f'token = "{key}"', f"API_KEY: {key}", f"İs Password is {key}.", f"Authorization: Bearer {key}", f"'secret' => '{key}'"):
+        assert [v.rstrip(".") for k, v in kinds(text) if k == "secret"] == [key], text
+    assert kinds("AcCoUnT NuMbEr 12345678, NUMÉRO DE COMPTE: 87654321") == [("account", "12345678"), ("account", "87654321")]
+    assert kinds("a token of appreciation, the password is notverysecretatall, secret: 1234") == [] and kinds("") == []
+
+
 # --- substring dedup
 
 
