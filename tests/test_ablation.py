@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from obsengine.operators import matching
 from obsengine.plans import ablation, marts, models
+from obsengine.plans.sets import FIRST, in_sets
 
 
 @pytest.fixture(scope="module")
@@ -26,13 +27,13 @@ def sets(spark):
 
 def test_many_fits_equal_single_ones(sets):
     marked = sets.withColumn("all", F.lit(1.0)).withColumn("late", (F.col("year") > 2019).cast("double"))
-    rows = models._in_sets(marked, "set_id", "outcome", ["a", "b"], ["all", "late"])
-    betas = models.fits_in_step(rows, [(2, 0.0), (2, 5.0), (3, 1.0)], 4, 2)
+    rows = in_sets(marked, "set_id", "outcome", ["a", "b"], ["all", "late"])
+    betas = models.fits_in_step(rows, [(FIRST, 0.0), (FIRST, 5.0), (FIRST + 1, 1.0)], FIRST + 2, 2)
     for beta, df, ridge in zip(betas, (sets, sets, sets.filter("year > 2019")), (0.0, 5.0, 1.0), strict=True):
         one = models.cond_logit(df, "set_id", "outcome", ["a", "b"], ridge=ridge)
         assert np.allclose(beta, one.beta, atol=1e-5)
         want = models.ranking_metrics(df, "set_id", "outcome", ["a", "b"], one.beta).first()
-        got = models.held_out_losses(rows, [2 if df is sets else 3], np.array([beta]), 4)[0]
+        got = models.held_out_losses(rows, [FIRST if df is sets else FIRST + 1], np.array([beta]), FIRST + 2)[0]
         assert got[0] == want.sets and np.allclose(got[1:], (want.log_loss, want.top1, want.mrr), atol=1e-5)
 
 
