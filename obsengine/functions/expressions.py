@@ -125,7 +125,7 @@ def z_score(x: Column | str, mean: Column | float, sd: Column | float) -> Column
 
 def qa_pass(qa: Column | str, value: Column | str, fill: int = 65535, low: float = -2000, high: float = 10000) -> Column:
     """Fields of a 16-bit quality word: bits 0-1 are 0, 2-5 at most 1, 8, 10, 14 and 15 are 0, 11-13 are 1; value in range."""
-    q = col(qa).cast("int")
+    q = col(qa).cast("long")
     bits = lambda at, n: F.shiftright(q, at).bitwiseAND(F.lit((1 << n) - 1))
     good = (bits(0, 2) == 0) & (bits(2, 4) <= 1) & (bits(8, 1) == 0) & (bits(10, 1) == 0) & (bits(11, 3) == 1) & (bits(14, 2) == 0)
     return F.coalesce((q != fill) & good & col(value).between(low, high), F.lit(False))
