@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -296,15 +298,16 @@ def closed_day_stream(spark, sf_dir):
     return spark.read.schema("day date, event_type string, n long").parquet(path).withColumn("day", F.col("day").cast("string"))
 
 
-def in_pieces(spark, sf_dir, pieces: int, late_seconds: int) -> str:
-    """The events as files in order of time, but for events that come up to late_seconds late; returns the folder."""
-    e, path = table(spark, sf_dir, "events"), scratch(spark, "pieces")
+def in_pieces(spark, sf_dir, pieces: int, late_seconds: int, path: str) -> Iterator[int]:
+    """The events as files at path in order of time, but for events that come up to late_seconds late: a piece has been written
+    as its number is yielded, in as many files as it has."""
+    e = table(spark, sf_dir, "events")
     comes = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(late_seconds + 1))
     first, last = e.agg(F.min(comes), F.max(comes)).first()
     piece = F.least(F.lit(pieces - 1), F.floor((comes - first) * pieces / F.greatest(F.lit(1), F.lit(last) - first)))
-    for k in range(pieces):  # one after the other, as the source goes by the files' times
-        e.filter(piece == k).write.mode("append").parquet(f"{path}/events")
-    return path
+    for k in range(pieces):
+        e.filter(piece == k).write.mode("append").parquet(path)
+        yield k
 
 
 @query("""with w as (select user_id, event_id, ts, max(case when event_type <> 'error' then ts end) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) l from events)
@@ -312,12 +315,19 @@ def in_pieces(spark, sf_dir, pieces: int, late_seconds: int) -> str:
 def lookback_stream(spark, sf_dir):
     """The look-back of last_negative_lookback as a stateful stream of several batches, in which events come up to an hour late:
     rows wait for the watermark, so what is shown is what the batch job finds. A last row of no cell moves the watermark on."""
-    path = in_pieces(spark, sf_dir, 3, 3600)
-    e = spark.read.parquet(f"{path}/events")
-    e.agg(*[(F.max(c) + F.expr("interval 30 days") if c == "ts" else F.lit(None).cast(e.schema[c].dataType)).alias(c) for c in e.columns]).write.mode("append").parquet(f"{path}/events")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events").withColumn("negative", F.coalesce(F.col("event_type") != "error", F.lit(False)))
-    found = jobs.last_negative_stream(stream, "user_id", "ts", "negative", delay="90 minutes", tie="event_id", wait=True, piece_minutes=7 * 1440)
-    found.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(path=f"{path}/found", format="parquet").awaitTermination()
+    path, schema = scratch(spark, "pieces"), table(spark, sf_dir, "events").schema
+
+    def taken() -> None:
+        """One micro-batch of what has come, however many files it is: a file alone would move the watermark past the others of its piece."""
+        stream = spark.readStream.schema(schema).parquet(f"{path}/events").withColumn("negative", F.coalesce(F.col("event_type") != "error", F.lit(False)))
+        found = jobs.last_negative_stream(stream, "user_id", "ts", "negative", delay="90 minutes", tie="event_id", wait=True, piece_minutes=7 * 1440)
+        found.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(path=f"{path}/found", format="parquet").awaitTermination()
+
+    for _ in in_pieces(spark, sf_dir, 3, 3600, f"{path}/events"):
+        taken()
+    e = spark.read.schema(schema).parquet(f"{path}/events")
+    e.agg(*[(F.max(c) + F.expr("interval 30 days") if c == "ts" else F.lit(None).cast(schema[c].dataType)).alias(c) for c in e.columns]).write.mode("append").parquet(f"{path}/events")
+    taken()
     out = spark.read.schema(jobs.LOOKBACK).parquet(f"{path}/found").filter("cell is not null")
     return out.select("cell", "id", F.unix_micros("ts").alias("ts_us"), F.unix_micros("last_negative").alias("last_negative_us"), "late")
 
@@ -326,7 +336,9 @@ def lookback_stream(spark, sf_dir):
 def daily_partition_stream(spark, sf_dir):
     """Days that arrive in pieces, by two runs of one stream of which the second changes nothing; then days are closed, the earlier
     ones first, and the rest."""
-    path = in_pieces(spark, sf_dir, 3, 2 * 86_400)
+    path = scratch(spark, "pieces")
+    for _ in in_pieces(spark, sf_dir, 3, 2 * 86_400, f"{path}/events"):
+        pass
     schema = table(spark, sf_dir, "events").schema
     middle = spark.read.parquet(f"{path}/events").agg(F.to_date(F.percentile_approx("ts", 0.5))).first()[0]
     process = lambda df: df.groupBy("date").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))

@@ -22,8 +22,8 @@ class LookBack(StatefulProcessor):
     """The state of a cell: the stamp of its last negative, and rows that still wait, by pieces of time, in the state store and not
     in memory. What a worker holds is one Arrow batch of input or the rows of one piece."""
 
-    def __init__(self, hours: float, piece_us: int, wait: bool):
-        self.span, self.piece, self.wait = int(hours * 3_600_000_000), piece_us, wait
+    def __init__(self, hours: float, piece_us: int, wait: bool, whole: bool = False):
+        self.span, self.piece, self.wait, self.whole = int(hours * 3_600_000_000), piece_us, wait, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -74,9 +74,13 @@ class LookBack(StatefulProcessor):
             yield from self._in_order(key, pdf, watermark)
 
     def _in_order(self, key, pdf, watermark: int) -> Iterator:
+        import pandas as pd
+
         if pdf.empty:
             return
-        pdf = pdf.sort_values(["us", "id"], kind="stable")
+        if self.whole:  # ids are whole numbers as text, which go by their values
+            pdf = pdf.assign(order=pd.array([None if x is None else int(x) for x in pdf["id"].tolist()], dtype="Int64"))
+        pdf = pdf.sort_values(["us", "order" if self.whole else "id"], kind="stable")
         last = before = self.last.get()[0] if self.last.exists() else None
         found = []
         for us, negative in zip(pdf["us"].tolist(), pdf["negative"].tolist(), strict=True):
@@ -97,8 +101,8 @@ class LookBack(StatefulProcessor):
 
 
 def last_negative_stream(swaths: DataFrame, cell: str, ts: str, negative: str, hours: float = 72, delay: str = "1 hour", tie: str | None = None, wait: bool = False, piece_minutes: int = 1440) -> DataFrame:
-    """Each row (LOOKBACK; id: the tie as text) with the stamp of the last negative of its cell before it, by stamp and tie, within
-    `hours`.
+    """Each row (LOOKBACK; id: the tie as text) with the stamp of the last negative of its cell before it, by stamp and tie (whole
+    numbers by value, all else as text), within `hours`.
 
     Rows that come later than the watermark (the latest stamp less `delay`) are in the same result, with late, and change
     nothing. With wait, a row is shown once the watermark has passed its piece of time, and what is shown is what a batch job
@@ -108,10 +112,11 @@ def last_negative_stream(swaths: DataFrame, cell: str, ts: str, negative: str, h
     spark = swaths.sparkSession
     if STORE not in spark.conf.getAll:
         spark.conf.set(STORE, ROCKS)
+    whole = bool(tie) and isinstance(swaths.select(tie).schema[0].dataType, T.IntegralType)
     rows = swaths.select(F.col(cell).cast("string").alias("cell"), F.col(ts).cast("timestamp").alias("__ts"), (F.col(tie).cast("string") if tie else F.lit("")).alias("id"), F.col(negative).alias("negative"))
     # As a number the stamp is no event time to Spark, which would drop late rows before the state sees them.
     rows = rows.withWatermark("__ts", delay).filter("__ts is not null and negative is not null").select("cell", "id", "negative", F.unix_micros("__ts").alias("us"))
-    return rows.groupBy("cell").transformWithStateInPandas(LookBack(hours, piece_minutes * 60_000_000, wait), LOOKBACK, "append", "eventTime")
+    return rows.groupBy("cell").transformWithStateInPandas(LookBack(hours, piece_minutes * 60_000_000, wait, whole), LOOKBACK, "append", "eventTime")
 
 
 def closed_days(events: DataFrame, ts: str, by: list[str], delay: str = "0 seconds") -> DataFrame:
