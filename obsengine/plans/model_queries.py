@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from obsengine.operators import aggregates, matching, windows
 from obsengine.plans import ablation, models
-from obsengine.plans.observation_queries import MATCHED, matched_user_days, normal_p, query, rounded, scratch, table, wald_rows, wald_sql, within_set_sql
+from obsengine.plans.observation_queries import MATCHED, kept, matched_user_days, normal_p, query, rounded, scratch, table, wald_rows, wald_sql, within_set_sql
 
 # --- multiple testing, ranks
 
@@ -105,7 +105,7 @@ def ridge_logit_metrics(spark, sf_dir):
 @query()
 def spatial_cv(spark, sf_dir):
     """Penalty chosen over purged spatial folds."""
-    x = covariates(spark, sf_dir)
+    x = kept(covariates(spark, sf_dir), "covariates")  # folds, marks and rows are made of it
     folds = matching.spatial_folds(x, "block", "matched_set_id", 5)
     return models.grid_search(x, "matched_set_id", "outcome", "cell", ["a", "b"], folds, "block", 5, [0.01, 0.1, 1.0, 10.0, 100.0])
 

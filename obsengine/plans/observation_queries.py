@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obsengine.functions import expressions as X
 from obsengine.operators import joins, matching, windows
-from obsengine.sources.shared import scratch  # noqa: F401  for the query modules
+from obsengine.sources.shared import kept, scratch  # noqa: F401  for the query modules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -42,3 +42,15 @@ def test_look_back_of_events_in_many_files(spark, tmp_path):
     ties = spark.createDataFrame(ties, "event_id long, event_type string").select("event_id", F.lit("2024-01-15 12:00:00").cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), "event_type", F.lit(1.0).alias("value"), F.lit(None).cast("string").alias("props"))
     events = events.unionByName(ties.withColumn("ts", F.col("ts").cast(events.schema["ts"].dataType))).repartition(4)
     assert differences(spark, "lookback_stream", tmp_path, events=events) == [[], []]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_folds_and_fits_read_matched_rows_that_are_made_once(spark, monkeypatch):
+    """Fails where the matching is in the plan of each pass over the folds."""
+    from obsengine.plans import model_queries
+
+    monkeypatch.setattr(model_queries.models, "grid_search", lambda x, *rest: x)
+    assert "Window" not in plan(model_queries.spatial_cv(spark, "/root/testdata/sf0.001"))
