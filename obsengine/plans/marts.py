@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from obsengine.functions.expressions import safe_rate, threshold_state
 from obsengine.operators import aggregates, joins, quality, windows
 from obsengine.plans import models
+from obsengine.sources.shared import kept
 
 # Fields that no published table may have.
 SENSITIVE = ("cell_id", "grid_row", "grid_col", "latitude", "longitude", "lat", "lon", "village")
@@ -114,7 +115,7 @@ def finalisation_report(frame: DataFrame, set_col: str, key: Sequence[str], chec
     rows that break each check (null counts as broken), sets that aren't one case and `controls` distinct controls, rows by what is
     wrong with their support (support_reason()), days and rows that use a fallback, the calendar's days, those with rows, units of
     it under `least`, and ready: 1 if there are rows and none of these is amiss."""
-    copies = frame.groupBy(*frame.columns).agg(F.count("*").alias("__n"))
+    copies = kept(frame.groupBy(*frame.columns).agg(F.count("*").alias("__n")), "copies")  # every part below reads it
     rows = copies.drop("__n")
     out = copies.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows_removed"))
     reasons = ("support_missing", "support_reversed", "support_after_cutoff")

@@ -54,3 +54,17 @@ def test_folds_and_fits_read_matched_rows_that_are_made_once(spark, monkeypatch)
 
     monkeypatch.setattr(model_queries.models, "grid_search", lambda x, *rest: x)
     assert "Window" not in plan(model_queries.spatial_cv(spark, "/root/testdata/sf0.001"))
+
+
+def test_report_reads_the_frame_once(spark):
+    """Fails where each part of the report makes the frame anew; copies and conflicts are counted as before."""
+    from obsengine.plans import marts
+
+    at = F.lit("2015-07-01").cast("date") + F.col("id").cast("int") % 3
+    frame = spark.range(20).select((F.col("id") % 4).alias("s"), F.col("id").alias("cell_id"), (F.col("id") < 4).cast("int").alias("y"), at.alias("day"))
+    frame = frame.unionByName(frame.filter("s = 1"))
+    days = spark.range(3).select((F.lit("2015-07-01").cast("date") + F.col("id").cast("int")).alias("day"))
+    out = marts.finalisation_report(frame, "s", ["s", "cell_id"], {"odd": F.lit(False)}, "cell_id", F.col("y") == 1, 4, F.lit("ok"), F.lit(False), "day", days, F.month("day"))
+    assert "Range (0, 20" not in plan(out)
+    got = {r.metric: r.value for r in out.collect()}
+    assert (got["duplicate_rows_removed"], got["rows"], got["sets"], got["sets_not_exact"], got["ready"]) == (5, 20, 4, 0, 1)
