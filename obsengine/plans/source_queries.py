@@ -13,9 +13,11 @@ from obsengine.plans.observation_queries import query, rounded, scratch, table
 from obsengine.sources import readers
 
 
-def written_lines(df: DataFrame, name: str, header: str) -> str:
-    """A folder of four text files with the column `line`, each with the header first."""
-    return readers.named_files(df, "line", F.concat(F.lit("f"), F.pmod(F.xxhash64("line"), F.lit(4)), F.lit(".txt")), header, scratch(df.sparkSession, name))
+def written_lines(df: DataFrame, name: str, header: str, lines_a_file: int = 250_000) -> str:
+    """A folder of text files with the column `line`, each with the header first: four, or more if these would have over
+    lines_a_file lines, as a file is one task's work."""
+    n = max(4, -(-df.count() // lines_a_file))
+    return readers.named_files(df, "line", F.concat(F.lit("f"), F.pmod(F.xxhash64("line"), F.lit(n)), F.lit(".txt")), header, scratch(df.sparkSession, name))
 
 
 MONTHS = "select c_nationkey k, year(o_orderdate) y, month(o_orderdate) m, round(sum(o_totalprice), 2) ha, count(*) n from orders join customer on o_custkey = c_custkey group by 1, 2, 3"

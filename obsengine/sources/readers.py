@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from obsengine.operators.sizes import short
 from obsengine.sources import files
+from obsengine.sources.shared import kept
 
 # Season code to the month that ends it; NDJ ends in January of the next year.
 SEASON_END_MONTH = {"DJF": 2, "JFM": 3, "FMA": 4, "MAM": 5, "AMJ": 6, "MJJ": 7, "JJA": 8, "JAS": 9, "ASO": 10, "SON": 11, "OND": 12, "NDJ": 1}
@@ -101,15 +102,17 @@ def portal_scan(spark: SparkSession, path: str | list[str], **bounds) -> tuple[D
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), place.alias("place"))
     solid = F.regexp_replace("value", "[\\s\ufeff]", "")
     of_file = lines.groupBy("source_file").agg(F.min("place").alias("first"), F.min_by("value", "place").alias("header"), F.min_by(solid, F.when(solid != "", F.col("place"))).alias("start"), F.sum(F.length(solid)).alias("solid"))
+    of_file = kept(of_file, "first-lines")  # a row a file, read by all that follows
     is_json = F.coalesce(F.col("start").rlike(r"^[{\[]"), F.lit(False))
     header = F.array_join(quoted_fields(F.regexp_replace("header", "^\ufeff", "")), "\n")
     tables = of_file.filter(~is_json).filter(failing(header == "\n".join(PORTAL_HEADER), "unexpected header", F.concat_ws(" ", "source_file", "header"))).select(F.col("source_file").alias("file"), "first")
     # A JSON file that is a valid zero has eleven characters; of others no text is gathered.
     zero = '{"data":[]}'
     small = of_file.filter(is_json).filter(failing(F.col("solid") == len(zero), "unexpected JSON response", F.col("source_file"))).select(F.col("source_file").alias("file"))
-    texts = lines.filter(solid != "").join(short(small), F.col("source_file") == F.col("file")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", solid.alias("text")))).alias("lines"))
-    texts = texts.filter(failing(F.array_join(F.transform("lines", lambda x: x["text"]), "") == zero, "unexpected JSON response", F.col("file")))
-    texts.write.format("noop").mode("overwrite").save()  # fails here if one isn't
+    if not small.isEmpty():
+        texts = lines.filter(solid != "").join(short(small), F.col("source_file") == F.col("file")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", solid.alias("text")))).alias("lines"))
+        texts = texts.filter(failing(F.array_join(F.transform("lines", lambda x: x["text"]), "") == zero, "unexpected JSON response", F.col("file")))
+        texts.write.format("noop").mode("overwrite").save()  # fails here if one isn't
     rows = lines.join(short(tables), (F.col("source_file") == F.col("file")) & (F.col("place") > F.col("first"))).select("source_file", "value")
     return portal_records(rows, **bounds)
 

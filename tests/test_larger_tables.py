@@ -68,3 +68,13 @@ def test_report_reads_the_frame_once(spark):
     assert "Range (0, 20" not in plan(out)
     got = {r.metric: r.value for r in out.collect()}
     assert (got["duplicate_rows_removed"], got["rows"], got["sets"], got["sets_not_exact"], got["ready"]) == (5, 20, 4, 0, 1)
+
+
+def test_many_lines_go_to_many_files(spark):
+    """Fails where any number of lines goes to four files, a task each."""
+    from obsengine.plans import source_queries
+
+    path = source_queries.written_lines(spark.range(200).select(F.concat(F.lit("x"), "id").alias("line")), "lines", "head", lines_a_file=10)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"))
+    assert lines.filter("value = 'head'").count() == lines.select("f").distinct().count() > 4
+    assert lines.filter("value <> 'head'").distinct().count() == 200
