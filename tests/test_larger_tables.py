@@ -78,3 +78,14 @@ def test_many_lines_go_to_many_files(spark):
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"))
     assert lines.filter("value = 'head'").count() == lines.select("f").distinct().count() > 4
     assert lines.filter("value <> 'head'").distinct().count() == 200
+
+
+def test_partitions_grow_with_the_table(spark, monkeypatch):
+    """Fails where a task's rows grow with the table, as partitions are as many at any size."""
+    from obsengine.operators import quality, sizes
+    from obsengine.plans import gate_queries
+
+    assert sizes.dealt(spark.range(10), 10, "id").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(quality, "frame_audit", lambda df, *rest: df)
+    monkeypatch.setattr(gate_queries, "dealt", lambda df, rows, *by: sizes.dealt(df, rows, *by, most=100))
+    assert gate_queries.frame_audit(spark, "/root/testdata/sf0.001").select("l_quantity").rdd.getNumPartitions() > 30
