@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsengine.operators.ranges import MOST, carried, last_rows
-from obsengine.operators.sizes import short
+from obsengine.operators.sizes import dealt, short
 
 
-def asof_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, values: Sequence[str], strict: bool = True, tie: str | None = None, most: int | None = MOST) -> DataFrame:
+def asof_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, values: Sequence[str], strict: bool = True, tie: str | None = None, most: int | None = MOST, rows: int | None = None) -> DataFrame:
     """left with the right row of the same `by` that is latest before left_at (ties: the largest `tie`): asof_<right_at> and values.
 
     Both sides are put in one order by key and time and the last right row is carried forward, so each side is shuffled once
     and nothing is paired; keys of over `most` rows are cut into ranges of time (ranges.py). Left rows without an earlier
-    right row get nulls; null keys meet."""
+    right row get nulls; null keys meet. rows: how many both sides have, if known; partitions then grow with it."""
     payload = F.struct(*[F.col(c) for c in dict.fromkeys([right_at, *([tie] if tie else []), *values])])
     kind, keys = right.select(payload.alias("p")).schema["p"].dataType, [f"__k{i}" for i in range(len(by))]
     order = 1 if strict else 0  # a right row of the same time comes after (strict) or before the left one
@@ -24,7 +24,8 @@ def asof_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: s
     tied = right.select(F.col(tie) if tie else F.lit(0)).schema[0].dataType
     a = left.select(F.struct(*left.columns).alias("__row"), *named, F.col(left_at).alias("__at"), F.lit(1 - order).alias("__o"), F.lit(None).cast(tied).alias("__tie"), F.lit(None).cast(kind).alias("__p"))
     b = right.select(F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), *named, F.col(right_at).alias("__at"), F.lit(order).alias("__o"), (F.col(tie) if tie else F.lit(0)).alias("__tie"), payload.alias("__p")).filter("__at is not null")
-    out = carried(a.unionByName(b), keys, ["__at", "__o", "__tie"], {"__got": F.col("__p")}, include=True, most=most).filter("__row is not null")
+    both = a.unionByName(b)
+    out = carried(both if rows is None else dealt(both, rows, *keys), keys, ["__at", "__o", "__tie"], {"__got": F.col("__p")}, include=True, most=most).filter("__row is not null")
     return out.select("__row.*", F.col("__got")[right_at].alias(f"asof_{right_at}"), *[F.col("__got")[v].alias(v) for v in values])
 
 

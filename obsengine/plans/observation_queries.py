@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from obsengine.functions import expressions as X
 from obsengine.operators import joins, matching, windows
+from obsengine.operators.sizes import dealt
 from obsengine.sources.shared import kept, scratch  # noqa: F401  for the query modules
 
 QUERIES: dict = {}
@@ -174,8 +175,10 @@ def threshold_episodes(spark, sf_dir):
     from l left join orders o on o.o_custkey = l.o_custkey and o.o_orderdate < l.l_shipdate group by all""")
 def asof_latest_before(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    l = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "l_shipdate").distinct()
-    out = joins.asof_before(l, o.withColumnRenamed("o_orderkey", "asof_orderkey"), ["o_custkey"], "l_shipdate", "o_orderdate", ["asof_orderkey"], tie="asof_orderkey")
+    l = table(spark, sf_dir, "lineitem")
+    n = l.count()
+    l = dealt(l, n, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "l_shipdate").distinct()
+    out = joins.asof_before(l, o.withColumnRenamed("o_orderkey", "asof_orderkey"), ["o_custkey"], "l_shipdate", "o_orderdate", ["asof_orderkey"], tie="asof_orderkey", rows=n + o.count())
     return out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).withColumn("asof_date", F.date_format("asof_o_orderdate", "yyyy-MM-dd HH:mm:ss")).drop("asof_o_orderdate")
 
 

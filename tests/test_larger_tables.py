@@ -89,3 +89,13 @@ def test_partitions_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(quality, "frame_audit", lambda df, *rest: df)
     monkeypatch.setattr(gate_queries, "dealt", lambda df, rows, *by: sizes.dealt(df, rows, *by, most=100))
     assert gate_queries.frame_audit(spark, "/root/testdata/sf0.001").select("l_quantity").rdd.getNumPartitions() > 30
+
+
+def test_asof_partitions_grow_with_the_rows(spark):
+    """Fails where both sides are put in order in the same number of partitions at any size."""
+    from obsengine.operators import joins
+
+    left, right = (spark.range(60).select((F.col("id") % 20).alias("k"), F.col("id").alias(n)) for n in ("at", "was"))
+    out = joins.asof_before(left, right, ["k"], "at", "was", [], rows=5_000_000)
+    assert out.rdd.getNumPartitions() == 10
+    assert {(r["at"], r["asof_was"]) for r in out.collect()} == {(i, i - 20 if i >= 20 else None) for i in range(60)}
