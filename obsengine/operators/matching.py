@@ -34,9 +34,10 @@ def match_controls(candidates: DataFrame, controls: int = 4, most_cells: float =
     picked = hash_top_k(near, ["date", "case_row", "case_col"], text, controls, ["grid_row", "grid_col"])
     w = Window.partitionBy("date", "case_row", "case_col")
     picked = picked.withColumn("__n", F.count("*").over(w)).filter(F.col("__n") == controls).drop("__n")
-    chosen = picked.select("date", "case_row", "case_col", "grid_row", "grid_col", F.lit(0).alias("outcome"), "hash_rank")
-    heads = picked.filter("hash_rank = 1").select("date", "case_row", "case_col", F.col("case_row").alias("grid_row"), F.col("case_col").alias("grid_col"), F.lit(1).alias("outcome"), F.lit(0).alias("hash_rank"))
-    out = chosen.unionByName(heads).join(rows, ["date", "grid_row", "grid_col", "outcome"])
+    member = F.struct("grid_row", "grid_col", F.lit(0).alias("outcome"), "hash_rank")
+    head = F.struct(F.col("case_row").alias("grid_row"), F.col("case_col").alias("grid_col"), F.lit(1).alias("outcome"), F.lit(0).alias("hash_rank"))
+    both = picked.select("date", "case_row", "case_col", F.explode(F.when(F.col("hash_rank") == 1, F.array(member, head)).otherwise(F.array(member))).alias("r"))  # pairs are made once
+    out = both.select("date", "case_row", "case_col", "r.*").join(rows, ["date", "grid_row", "grid_col", "outcome"])
     return out.withColumn("matched_set_id", set_id).withColumn("status", F.when(F.col("outcome") == 1, "case").otherwise("control"))
 
 

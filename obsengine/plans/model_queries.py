@@ -115,8 +115,8 @@ def family_ablation(spark, sf_dir):
     """Explicit (9), embedding (all of its elements) and combined features of matched user-days; embeddings by cell; three spans
     of days. Penalties are chosen on the first, rehearsed on the second, frozen, and tested on the third."""
     e = table(spark, sf_dir, "embeddings")
-    bands = [f"e{k}" for k in range(e.agg(F.max(F.size("embedding"))).first()[0])]
-    cells = e.select(F.col(e.columns[0]).alias("at"), *[F.get("embedding", F.lit(k)).cast("double").alias(b) for k, b in enumerate(bands)])
+    widths = {"embedding": e.agg(F.max(F.size("embedding"))).first()[0]}
+    cells = e.select(F.col(e.columns[0]).alias("at"), "embedding")
     x = covariates(spark, sf_dir).withColumn("at", F.col("grid_row") * 10 + F.col("grid_col")).join(cells, "at")
     a, b = F.col("a"), F.col("b")
     more = {"log_a": F.log1p(a), "log_b": F.log1p(F.abs(b)), "aa": a * a, "bb": b * b, "ab": a * b, "root_a": F.sqrt(a), "root_b": F.sqrt(F.abs(b))}
@@ -125,12 +125,12 @@ def family_ablation(spark, sf_dir):
     x = spark.read.parquet(frame)
     first, second = F.col("date") < F.lit("2024-01-15").cast("date"), F.col("date") < F.lit("2024-01-21").cast("date")
     explicit = ["a", "b", *more]
-    families = {"explicit": explicit, "embedding_only": bands, "combined": [*explicit, *bands]}
+    families = {"explicit": explicit, "embedding_only": ["embedding"], "combined": [*explicit, "embedding"]}
     grid = [0.01, 0.1, 1.0, 10.0, 100.0]
-    developed = ablation.develop(x, first, ~first & second, "matched_set_id", "outcome", "cell", "block", families, {"explicit": [0.0], "embedding_only": grid, "combined": grid})
-    columns, lock, out = ["matched_set_id", "outcome", "date", "cell", *explicit, *bands], scratch(spark, "lock"), scratch(spark, "tested")
+    developed = ablation.develop(x, first, ~first & second, "matched_set_id", "outcome", "cell", "block", families, {"explicit": [0.0], "embedding_only": grid, "combined": grid}, widths=widths)
+    columns, lock, out = ["matched_set_id", "outcome", "date", "cell", *explicit, "embedding"], scratch(spark, "lock"), scratch(spark, "tested")
     ablation.freeze(developed, x, columns, lock)
-    tested = ablation.test_locked(x, columns, lock, second, ~second, "matched_set_id", "outcome", families, out)
+    tested = ablation.test_locked(x, columns, lock, second, ~second, "matched_set_id", "outcome", families, out, widths)
     both = developed.select("family", "penalty", F.round("cv_log_loss", 6).alias("cv_log_loss"), F.round("log_loss", 6).alias("rehearsal_log_loss"))
     return both.join(tested.select("family", "sets", *[F.round(c, 6).alias(c) for c in ("log_loss", "top1", "mrr")]), "family")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from obsengine.operators import joins
 from obsengine.operators.ranks import quantiles, ranked as in_order, with_quantiles
 from obsengine.operators.windows import case_ranks, group_softmax
-from obsengine.plans.sets import FIRST, gram, in_sets, logit_sums, over_sets, subset_sums
+from obsengine.plans.sets import FIRST, gram, in_sets, logit_sums, over_sets, packed, subset_sums
 
 
 @dataclass
@@ -213,101 +213,172 @@ def ranking_metrics(df: DataFrame, set_col: str, case: str, names: Sequence[str]
     return loss.join(ranks, set_col).agg(F.count("*").alias("sets"), F.avg("loss").alias("log_loss"), F.avg("top1").alias("top1"), F.avg(1 / F.col("average_rank")).alias("mrr"), F.avg("uniform").alias("uniform_loss"))
 
 
-def fits_in_step(rows: DataFrame, problems: Sequence[tuple[int, float]], first_name: int, p: int, rounds: int = 60, tolerance: float = 1e-7) -> np.ndarray:
+def _columns(numbers: int | Sequence[int], p: int) -> slice | list[int]:
+    """The columns from a number on, or those of these numbers, as a slice if they are in a row."""
+    numbers = range(numbers, numbers + p) if isinstance(numbers, int) else list(numbers)
+    return slice(numbers[0], numbers[0] + p) if list(numbers) == list(range(numbers[0], numbers[0] + p)) else list(numbers)
+
+
+def _kinds(v: np.ndarray, masks: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which masks hold, and which of the sets these are, for every combination of masks that sets have."""
+    kinds, which = np.unique(v[:, 0, list(masks)] > 0, axis=0, return_inverse=True)
+    for i, kind in enumerate(kinds):
+        if kind.any():
+            yield kind, np.flatnonzero(which.ravel() == i)
+
+
+def _information(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    n, m, p = x.shape
+    mean = np.einsum("nm,nmp->np", q, x)
+    flat = x.reshape(n * m, p)
+    return (flat * q.reshape(-1, 1)).T @ flat - mean.T @ mean
+
+
+def fits_in_step(rows: DataFrame, problems: Sequence[tuple[int, float]], first_name: int | Sequence[int], p: int, rounds: int = 60, tolerance: float = 1e-7) -> np.ndarray:
     """Ridge conditional logits of many problems, all in the same passes: a row of coefficients each.
 
-    rows: in_sets() with columns of 0 and 1, one of which says for each problem (its number among all columns, its penalty)
-    which sets it is fitted on. A pass tries one step of every problem that has not converged; a step that doesn't lower the
-    loss is halved. Converged when the largest gradient is below the tolerance times the number of sets; else an error."""
-    k = len(problems)
-    width = 2 + p + p * p
+    rows: in_sets() or packed() with columns of 0 and 1, one of which says for each problem (its number among all columns, its
+    penalty) which sets it is fitted on. first_name: number of the first column, or of each. A pass tries one step of every
+    problem that has not converged, with its own loss and gradient; the information is that of its sets at the mean of all
+    coefficients, made once for every combination of masks, and at its own where that was too slow (a gradient of over a
+    quarter of the one before, or a step that doesn't lower the loss, which is halved). Converged when the largest gradient is
+    below the tolerance times the number of sets, and so is the step, measured by the information, against the root of it; else
+    an error. The step that is left needs no pass and is made."""
+    k, columns = len(problems), _columns(first_name, p)
+    masks = sorted({c for c, _ in problems})
+    of = np.array([masks.index(c) for c, _ in problems])
     beta, trial, size = np.zeros((k, p)), np.zeros((k, p)), np.ones(k)
     state: list = [None] * k
-    done = np.zeros(k, bool)
+    done, slow = np.zeros(k, bool), np.zeros(k, bool)
 
     def at(betas, todo):
-        masks = [c for c, _ in problems]
+        own, shared = todo[slow[todo]], sorted(set(of[todo[~slow[todo]]].tolist()))
+        about = betas[todo].mean(axis=0)
 
         def each(v):
-            x, y, out = v[:, :, first_name:], v[:, :, 0], np.zeros((k, width))
-            for j in todo:
-                mine = v[:, 0, masks[j]] > 0
-                if mine.any():
-                    out[j] = logit_sums(x[mine], y[mine], betas[j])
-            return out.ravel()
-
-        got = over_sets(rows, k * width, each).reshape(k, width)
-        out = []
-        for j, (_, ridge) in enumerate(problems):
-            b = betas[j]
-            out.append((got[j, 0], got[j, 1] + 0.5 * ridge * b @ b, got[j, 2 : 2 + p] + ridge * b, got[j, 2 + p :].reshape(p, p) + ridge * np.eye(p)))
+            out, info, mine = np.zeros((k, 2 + p)), np.zeros((len(masks), p, p)), np.zeros((len(own), p, p))
+            for kind, sets in _kinds(v, masks):
+                js = todo[kind[of[todo]]]
+                if not len(js):
+                    continue
+                x, y = np.ascontiguousarray(v[sets][:, :, columns]), v[sets, :, 0]
+                n, m, _ = x.shape
+                flat = x.reshape(n * m, p)
+                eta = (flat @ betas[js].T).reshape(n, m, -1)
+                top = eta.max(axis=1, keepdims=True)
+                q = np.exp(eta - top)
+                z = q.sum(axis=1, keepdims=True)
+                q /= z
+                out[js, 0] += n
+                out[js, 1] += (top + np.log(z)).sum(axis=(0, 1)) - np.einsum("nmj,nm->j", eta, y)
+                out[js, 2:] += (q - y[:, :, None]).reshape(n * m, -1).T @ flat
+                here = [c for c in shared if kind[c]]
+                if here:
+                    e = (flat @ about).reshape(n, m)
+                    e = np.exp(e - e.max(axis=1, keepdims=True))
+                    info[here] += _information(x, e / e.sum(axis=1, keepdims=True))
+                for i, j in enumerate(own):
+                    if kind[of[j]]:
+                        mine[i] += _information(x, q[:, :, np.flatnonzero(js == j)[0]])
+            return np.concatenate((out.ravel(), info[shared].ravel(), mine.ravel()))
+
+        got = over_sets(rows, k * (2 + p) + (len(shared) + len(own)) * p * p, each)
+        sums, info = got[: k * (2 + p)].reshape(k, 2 + p), got[k * (2 + p) :].reshape(-1, p, p)
+        out = {}
+        for j in todo:
+            b, ridge = betas[j], problems[j][1]
+            h = info[len(shared) + own.tolist().index(j)] if slow[j] else info[shared.index(of[j])]
+            out[j] = sums[j, 0], sums[j, 1] + 0.5 * ridge * b @ b, sums[j, 2:] + ridge * b, h + ridge * np.eye(p)
         return out
 
     for _ in range(rounds):
-        todo = np.flatnonzero(~done).tolist()
-        if not todo:
+        todo = np.flatnonzero(~done)
+        if not len(todo):
             return beta
         tried = at(trial, todo)
         for j in todo:
-            if state[j] is None or tried[j][1] <= state[j][1] + 1e-12 or size[j] < 1e-4:
+            before = state[j]
+            if before is None or tried[j][1] <= before[1] + 1e-12 * max(1.0, abs(before[1])) or size[j] < 1e-4:
                 beta[j], state[j], size[j] = trial[j], tried[j], 1.0
                 n, _, g, h = state[j]
-                done[j] = np.abs(g).max() < tolerance * max(1, n)
+                step = np.linalg.solve(h + (1e-12 * max(1.0, np.trace(h))) * np.eye(p), -g)
+                done[j] = np.abs(g).max() < tolerance * max(1, n) and -g @ step < tolerance**2 * max(1, n)
+                slow[j] |= before is not None and np.abs(g).max() > np.abs(before[2]).max() / 4
             else:
                 size[j] /= 2
+                slow[j] = True
             n, _, g, h = state[j]
-            trial[j] = beta[j] + size[j] * np.linalg.solve(h + (1e-8 * max(1.0, np.trace(h))) * np.eye(p), -g)
+            trial[j] = beta[j] + size[j] * np.linalg.solve(h + (1e-12 * max(1.0, np.trace(h))) * np.eye(p), -g)
+            if done[j]:
+                beta[j] = trial[j]
     raise RuntimeError(f"{int((~done).sum())} conditional logits did not converge")
 
 
-def held_out_losses(rows: DataFrame, masks: Sequence[int], betas: np.ndarray, first_name: int) -> list[tuple[int, float, float, float]]:
+def held_out_losses(rows: DataFrame, masks: Sequence[int], betas: np.ndarray, first_name: int | Sequence[int]) -> list[tuple[int, float, float, float]]:
     """Of each mask (a column that says which sets are held out) and coefficients: sets, mean log loss (probabilities kept above
     1e-15), share of cases ranked first (ties share), mean reciprocal of the average rank."""
+    columns, every = _columns(first_name, betas.shape[1]), sorted(set(masks))
+    of = np.array([every.index(c) for c in masks])
 
     def each(v):
-        x, y, out = v[:, :, first_name:], v[:, :, 0], np.zeros((len(masks), 4))
-        for j, c in enumerate(masks):
-            mine = v[:, 0, c] > 0
-            if mine.any():
-                eta, ys = x[mine] @ betas[j], y[mine] > 0
-                q = np.exp(eta - eta.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                own = np.sum(np.where(ys, eta, 0.0), axis=1, keepdims=True)
-                above, tied = np.sum(eta > own + 1e-12, axis=1), np.sum(np.abs(eta - own) <= 1e-12, axis=1)
-                out[j] = [mine.sum(), -np.log(np.maximum(np.sum(q * ys, axis=1), 1e-15)).sum(), np.where(above == 0, 1 / tied, 0.0).sum(), (1 / (above + (tied + 1) / 2)).sum()]
+        out = np.zeros((len(masks), 4))
+        for kind, sets in _kinds(v, every):
+            js = np.flatnonzero(kind[of])
+            x, ys = np.ascontiguousarray(v[sets][:, :, columns]), v[sets, :, 0, None] > 0
+            eta = (x.reshape(-1, x.shape[2]) @ betas[js].T).reshape(*x.shape[:2], -1)
+            q = np.exp(eta - eta.max(axis=1, keepdims=True))
+            q /= q.sum(axis=1, keepdims=True)
+            own = np.sum(np.where(ys, eta, 0.0), axis=1, keepdims=True)
+            above, tied = np.sum(eta > own + 1e-12, axis=1), np.sum(np.abs(eta - own) <= 1e-12, axis=1)
+            losses = -np.log(np.maximum(np.sum(q * ys, axis=1), 1e-15))
+            out[js] += np.stack([np.full(len(js), len(sets)), losses.sum(axis=0), np.where(above == 0, 1 / tied, 0.0).sum(axis=0), (1 / (above + (tied + 1) / 2)).sum(axis=0)], axis=1)
         return out.ravel()
 
     got = over_sets(rows, 4 * len(masks), each).reshape(-1, 4)
     return [(int(n), *(float(x / max(n, 1)) for x in rest)) for n, *rest in got]
 
 
-def with_folds(df: DataFrame, set_col: str, cell: str, folds: DataFrame, block: str, n_folds: int) -> DataFrame:
-    """df with test_<k> and train_<k>: whether the row's set is held out in fold k, or may be fitted on, as it shares no cell
-    with a set that is."""
-    rows = df.join(folds, block)
+def fold_marks(df: DataFrame, set_col: str, cell: str, folds: DataFrame, block: str, n_folds: int) -> DataFrame:
+    """A row a set: test_<k> and train_<k>, whether the set is held out in fold k, or may be fitted on, as it shares no cell with a
+    set that is. No other columns of df are moved."""
+    rows = df.select(set_col, cell, block).join(folds, block)
     of_set = rows.groupBy(set_col).agg(F.min("fold").alias("__fold"))
-    rows = rows.drop("fold").join(of_set, set_col)
+    rows = rows.select(set_col, cell).join(of_set, set_col)
     touched = rows.groupBy(cell).agg(F.collect_set("__fold").alias("__folds"))  # n_folds numbers at most
-    near = rows.join(touched, cell).groupBy(set_col).agg(F.array_distinct(F.flatten(F.collect_list("__folds"))).alias("__near"))
-    out = rows.join(near, set_col)
-    for k in range(n_folds):
-        out = out.withColumn(f"test_{k}", (F.col("__fold") == k).cast("double")).withColumn(f"train_{k}", (~F.array_contains("__near", k)).cast("double"))
-    return out.drop("__fold", "__near")
+    near = rows.join(touched, cell).groupBy(set_col).agg(F.min("__fold").alias("__fold"), F.array_distinct(F.flatten(F.collect_list("__folds"))).alias("__near"))
+    marks = [m for k in range(n_folds) for m in ((F.col("__fold") == k).cast("double").alias(f"test_{k}"), (~F.array_contains("__near", k)).cast("double").alias(f"train_{k}"))]
+    return near.select(set_col, *marks)
 
 
-def grid_search(df: DataFrame, set_col: str, case: str, cell: str, names: Sequence[str], folds: DataFrame, block: str, n_folds: int, penalties: Sequence[float]) -> DataFrame:
-    """penalty, mean held-out log loss over purged spatial folds, chosen (least loss; ties to the larger penalty). All
-    penalties and folds are fitted in the same passes."""
+def with_folds(df: DataFrame, set_col: str, cell: str, folds: DataFrame, block: str, n_folds: int) -> DataFrame:
+    """df with the marks of fold_marks()."""
+    return df.join(folds.select(block), block, "left_semi").join(fold_marks(df, set_col, cell, folds, block, n_folds), set_col)
+
+
+def in_folds(df: DataFrame, set_col: str, case: str, cell: str, names: Sequence[str], folds: DataFrame, block: str, n_folds: int, widths: dict[str, int] | None = None) -> DataFrame:
+    """packed() rows of df with train_<k> of all folds, then test_<k>, then the names."""
     marks = [f"{part}_{k}" for part in ("train", "test") for k in range(n_folds)]
-    rows = in_sets(with_folds(df, set_col, cell, folds, block, n_folds), set_col, case, names, marks).persist()
+    return packed(df.join(folds.select(block), block, "left_semi"), set_col, case, names, marks, fold_marks(df, set_col, cell, folds, block, n_folds), widths)
+
+
+def fold_losses(rows: DataFrame, n_folds: int, numbers: Sequence[int], penalties: Sequence[float]) -> list[tuple[float, float, bool]]:
+    """As grid_search(), of in_folds() and the numbers of the names to fit among its names."""
     every = [(k, float(penalty)) for penalty in penalties for k in range(n_folds)]
-    at = FIRST + len(marks)
-    betas = fits_in_step(rows, [(FIRST + k, penalty) for k, penalty in every], at, len(names))
+    at = [FIRST + 2 * n_folds + i for i in numbers]
+    betas = fits_in_step(rows, [(FIRST + k, penalty) for k, penalty in every], at, len(at))
     losses = held_out_losses(rows, [FIRST + n_folds + k for k, _ in every], betas, at)
-    rows.unpersist()
     got = [(float(penalty), float(np.mean([x[1] for x, (_, q) in zip(losses, every, strict=True) if q == penalty and x[0]]))) for penalty in map(float, penalties)]
     best = min(got, key=lambda r: (r[1], -r[0]))[0]
-    return df.sparkSession.createDataFrame([(q, x, q == best) for q, x in got], "penalty double, log_loss double, chosen boolean")
+    return [(q, x, q == best) for q, x in got]
+
+
+def grid_search(df: DataFrame, set_col: str, case: str, cell: str, names: Sequence[str], folds: DataFrame, block: str, n_folds: int, penalties: Sequence[float]) -> DataFrame:
+    """penalty, mean held-out log loss over purged spatial folds, chosen (least loss; ties to the larger penalty). All
+    penalties and folds are fitted in the same passes."""
+    rows = in_folds(df, set_col, case, cell, names, folds, block, n_folds).persist()
+    got = fold_losses(rows, n_folds, range(len(names)), penalties)
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(got, "penalty double, log_loss double, chosen boolean")
 
 
 def multi_case_logit(df: DataFrame, set_col: str, outcome: str, names: Sequence[str], rounds: int = 40, tolerance: float = 1e-6, most_rows: int = 10_000) -> Fit:

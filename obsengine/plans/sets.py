@@ -6,7 +6,7 @@ widths of embeddings; here a task multiplies matrices and hands on one vector, a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,34 +49,102 @@ def in_sets(df: DataFrame, set_col: str, case: str, names: Sequence[str], keep:
     is an error."""
     w = Window.partitionBy("__h", "__s")
     rows = df.select(F.xxhash64(set_col).alias("__h"), F.col(set_col).cast("string").alias("__s"), F.col(case).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in (*keep, *names)])
-    rows = rows.withColumn("__m", F.count("*").over(w)).withColumn("__k", F.sum("__y").over(w))
+    rows = rows.repartition("__h").withColumn("__m", F.count("*").over(w)).withColumn("__k", F.sum("__y").over(w))
     rows = rows.filter("__k > 0 and __k < __m") if mixed else rows
     rows = rows.withColumn("__m", F.when(F.col("__m") <= most_rows, F.col("__m")).otherwise(F.raise_error(F.concat(F.lit("too large a set: "), F.col("__s"))).cast("long")).cast("double"))
-    return rows.repartition("__h").sortWithinPartitions("__m", "__k", "__h", "__s").select("__y", "__m", "__k", *keep, *names)
+    return rows.sortWithinPartitions("__m", "__k", "__h", "__s").select("__y", "__m", "__k", *keep, *names)
 
 
 FIRST = 3  # of in_sets(), the number of the first column of keep and names
 
 
+PACKED = "n long, m long, arrays array<int>, d binary, f binary"
+
+
+def _blocks(batches, matrix: Callable[[pa.RecordBatch], np.ndarray], most_numbers: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """n, m and the rows of n whole sets of one size m and number of cases, of rows in the order of in_sets()."""
+    rest = None
+    for batch in batches:
+        new = matrix(batch)
+        rest = new if rest is None else np.concatenate((rest, new))
+        at = 0
+        while at < len(rest):
+            m = int(rest[at, 1])
+            other = (rest[at:, 1] != m) | (rest[at:, 2] != rest[at, 2])
+            n = min((int(np.argmax(other)) if other.any() else len(other)) // m, max(1, most_numbers // (m * rest.shape[1])))
+            if not n:  # the rest of this set is in the next batch
+                break
+            yield n, m, rest[at : at + n * m]
+            at += n * m
+        rest = rest[at:]
+
+
+def _unpacked(batches) -> Iterator[tuple[int, int, np.ndarray]]:
+    for batch in batches:
+        for n, m, arrays, d, f in zip(*batch.columns, strict=True):
+            n, m, arrays = n.as_py(), m.as_py(), arrays.as_py()
+            d = np.frombuffer(d.as_buffer()).reshape(n * m, -1)
+            v = np.empty((n * m, d.shape[1] + len(arrays)))
+            v[:, np.setdiff1d(np.arange(v.shape[1]), arrays)] = d
+            if arrays:
+                f = f.as_buffer()
+                v[:, arrays] = np.frombuffer(f, f"f{f.size // (n * m * len(arrays))}").reshape(n * m, -1)
+            yield n, m, v
+
+
+def numbers(names: Sequence[str], own: Sequence[str], widths: dict[str, int]) -> list[int]:
+    """Which numbers the columns `own` have among those of `names`, where a column of arrays has as many as widths says."""
+    first, at = {}, 0
+    for c in names:
+        first[c], at = at, at + widths.get(c, 1)
+    return [i for c in own for i in range(first[c], first[c] + widths.get(c, 1))]
+
+
+def packed(df: DataFrame, set_col: str, case: str, names: Sequence[str], keep: Sequence[str] = (), marks: DataFrame | None = None, widths: dict[str, int] | None = None, most_rows: int = 10_000, most_numbers: int = 1_000_000) -> DataFrame:
+    """The rows of in_sets() as PACKED, a row a block of whole sets of one size and number of cases: what many passes read. Rows are
+    shuffled once. marks: columns of keep that df hasn't, a row a set; sets that it hasn't are left out. widths: of names that
+    hold arrays, how many numbers each array has (any other array is an error); arrays of type float stay so."""
+    widths, types = widths or {}, dict(df.dtypes)
+    kind = "float" if all(types[c] == "array<float>" for c in widths) else "double"
+    whole = lambda c: F.when(F.size(c) == widths[c], F.col(c).cast(f"array<{kind}>")).otherwise(F.raise_error(F.lit(f"{c} has not {widths[c]} numbers")))
+    arrays = [c for c in names if c in widths]
+    order = ["__y", "__m", "__k", *keep, *names]
+    rest = [c for c in order if c not in widths]
+    rows = df.select(F.col(set_col).cast("string").alias("__s"), F.col(case).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in rest[3:] if c in types], *([F.concat(*map(whole, arrays)).alias("__f")] if arrays else []))
+    if marks is not None:
+        rows = rows.join(marks.withColumn(set_col, F.col(set_col).cast("string")).withColumnRenamed(set_col, "__s"), "__s")
+    w = Window.partitionBy("__s")
+    rows = rows.withColumn("__m", F.count("*").over(w)).withColumn("__k", F.sum("__y").over(w))
+    rows = rows.withColumn("__m", F.when(F.col("__m") <= most_rows, F.col("__m")).otherwise(F.raise_error(F.concat(F.lit("too large a set: "), F.col("__s"))).cast("long")).cast("double"))
+    rows = rows.sortWithinPartitions("__m", "__k", "__s").select(*rest, *(["__f"] if arrays else []))
+    doubles, single = numbers(order, rest, widths), numbers(order, arrays, widths)
+
+    def matrix(batch):
+        out = np.empty((batch.num_rows, len(doubles) + len(single)))
+        for i, c in zip(doubles, batch.columns, strict=False):
+            out[:, i] = c.to_numpy(zero_copy_only=False)
+        if single:
+            out[:, single] = batch.columns[-1].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return out
+
+    def run(batches):
+        for n, m, v in _blocks(batches, matrix, most_numbers):
+            parts = np.ascontiguousarray(v[:, doubles]).tobytes(), v[:, single].astype("f4" if kind == "float" else "f8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([m]), pa.array([single], pa.list_(pa.int32())), *[pa.array([x], pa.binary()) for x in parts]], ["n", "m", "arrays", "d", "f"])
+
+    return rows.mapInArrow(run, PACKED)
+
+
 def over_sets(rows: DataFrame, size: int, each: Callable[[np.ndarray], np.ndarray], most_numbers: int = 4_000_000) -> np.ndarray:
     """Sum over all tasks of each(values of n sets of one size m and number of cases: n, m, columns), a vector of `size` numbers.
-    rows: in_sets(). A block of sets has at most about most_numbers values."""
+    rows: in_sets() or packed(). A block of sets has at most about most_numbers values, one of packed() what that says."""
+    ready = "d" in rows.columns and dict(rows.dtypes)["d"] == "binary"
 
     def run(batches):
-        total, rest = np.zeros(size), None
-        for batch in batches:
-            new = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            rest = new if rest is None else np.concatenate((rest, new))
-            at = 0
-            while at < len(rest):
-                m = int(rest[at, 1])
-                other = (rest[at:, 1] != m) | (rest[at:, 2] != rest[at, 2])
-                n = min((int(np.argmax(other)) if other.any() else len(other)) // m, max(1, most_numbers // (m * rest.shape[1])))
-                if not n:  # the rest of this set is in the next batch
-                    break
-                total += each(rest[at : at + n * m].reshape(n, m, -1))
-                at += n * m
-            rest = rest[at:]
+        total = np.zeros(size)
+        matrix = lambda batch: np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        for n, m, v in _unpacked(batches) if ready else _blocks(batches, matrix, most_numbers):
+            total += each(v.reshape(n, m, -1))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
 
     return added(rows.mapInArrow(run, "v array<double>"), size)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsengine.operators import matching
 from obsengine.plans import ablation, marts, models
-from obsengine.plans.sets import FIRST, in_sets
+from obsengine.plans.sets import FIRST, in_sets, packed
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +48,40 @@ def test_folds_equal_the_purged_split(sets):
         assert ids(marked.filter(f"test_{k} = 1")) == ids(test) and ids(marked.filter(f"train_{k} = 1")) == ids(train)
 
 
+def test_problems_share_their_information(sets, monkeypatch):
+    """Fails where every penalty has sums of products of its own in each pass; near-collinear columns, without a penalty, are
+    fitted to the end, and arrays count as their numbers."""
+    sizes, over_sets = [], models.over_sets
+    monkeypatch.setattr(models, "over_sets", lambda rows, size, *rest: sizes.append(size) or over_sets(rows, size, *rest))
+    more = sets.withColumn("b", F.col("a") + 1e-3 * F.col("b")).withColumn("v", F.array(F.col("a").cast("float"), F.col("e").cast("float")))
+    marked = more.withColumn("all", F.lit(1.0)).withColumn("late", (F.col("year") > 2019).cast("double"))
+    rows = packed(marked, "set_id", "outcome", ["a", "v", "b"], ["all", "late"], widths={"v": 2}).cache()
+    problems = [(FIRST + k, ridge) for ridge in (0.0, 0.1, 1.0, 2.0) for k in range(2)]
+    betas = models.fits_in_step(rows, problems, [FIRST + 2, FIRST + 5], 2)
+    assert sizes[0] == 8 * 4 + 2 * 4  # sums of each problem, information of each mask
+    for beta, (k, ridge) in zip(betas, problems, strict=True):
+        one = models.cond_logit(more if k == FIRST else more.filter("year > 2019"), "set_id", "outcome", ["a", "b"], ridge=ridge)
+        assert np.allclose(beta, one.beta, rtol=1e-5, atol=1e-5)
+    alone = models.fits_in_step(packed(marked.withColumn("w", F.col("v")[1]), "set_id", "outcome", ["w"], ["all"]), [(FIRST, 0.0)], FIRST + 1, 1)
+    assert np.allclose(models.fits_in_step(rows, [(FIRST, 0.0)], [FIRST + 4], 1), alone, atol=1e-9)
+    with pytest.raises(Exception, match="v has not 3 numbers"):
+        packed(marked, "set_id", "outcome", ["v"], widths={"v": 3}).collect()
+
+
+def test_families_are_dealt_once(sets, monkeypatch):
+    """Fails where each family deals the rows anew, for its folds and for the rehearsal."""
+    from obsengine.plans import sets as of_sets
+
+    made = []
+    for name in ("in_sets", "packed"):
+        for module in (models, ablation):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, lambda *a, f=getattr(of_sets, name), **k: made.append(1) or f(*a, **k))
+    families = {"explicit": ["a"], "combined": ["a", "b", "e"]}
+    ablation.develop(sets, F.col("year") < 2020, F.col("year") == 2020, "set_id", "outcome", "cell", "block", families, dict.fromkeys(families, [1.0]), 2)
+    assert len(made) == 2
+
+
 def test_frozen_choice_is_tested_once(spark, sets, tmp_path):
     families = {"explicit": ["a"], "combined": ["a", "b", "e"]}
     dev, rehearsal, locked = F.col("year") < 2020, F.col("year") == 2020, F.col("year") > 2020
