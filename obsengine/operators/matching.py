@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from obsengine.functions.expressions import is_finite, private_id
 from obsengine.operators.grid import within_distance
-from obsengine.operators.quality import drop_invalid_sets, resolve_duplicates
+from obsengine.operators.quality import resolve_duplicates
 from obsengine.operators.windows import hash_top_k
 
 
@@ -71,13 +71,16 @@ def horizon_frame(rows: DataFrame, fractions: DataFrame, horizon: int, least_pre
 
     rows: matched_set_id, cell_id, year, rain... . fractions: cell_id, event_year, horizon, pre_natural, pre_observed,
     post_observed, loss. A member without a fraction, or not eligible, drops its set."""
-    f = fractions.filter(F.col("horizon") == horizon).select("cell_id", F.col("event_year").alias("year"), "pre_natural", "pre_observed", "post_observed", "loss")
     names = ["pre_natural", "pre_observed", "post_observed", "loss"]
     ok = (F.col("pre_natural") >= least_pre) & (F.col("pre_observed") >= least_observed) & (F.col("post_observed") >= least_observed) & (F.col("loss") >= 0) & (F.col("loss") <= F.col("pre_natural") + 1e-8)
     for n in names:
         ok = ok & is_finite(n)
-    whole = drop_invalid_sets(rows.join(f, ["cell_id", "year"], "left"), "matched_set_id", ~ok)
-    return whole.withColumn("outcome_share", F.col("loss") / F.col("pre_natural")).withColumn("outcome_flag", (F.col("outcome_share") >= threshold).cast("int"))
+    # Verdict and share are made of the fraction alone, so that what isn't asked for doesn't travel; a window makes the join once.
+    f = fractions.filter(F.col("horizon") == horizon).select("cell_id", F.col("event_year").alias("year"), *names, F.coalesce(ok, F.lit(False)).alias("__ok"))
+    f = f.withColumn("outcome_share", F.when(F.col("__ok"), F.col("loss") / F.col("pre_natural")))
+    whole = F.min(F.coalesce("__ok", F.lit(False))).over(Window.partitionBy("matched_set_id"))
+    out = rows.join(f, ["cell_id", "year"], "left").withColumn("__whole", whole).filter("__whole").drop("__ok", "__whole")
+    return out.withColumn("outcome_flag", (F.col("outcome_share") >= threshold).cast("int"))
 
 
 def spatial_folds(df: DataFrame, block: str, set_col: str, folds: int, most_blocks: int = 100_000) -> DataFrame:

@@ -249,9 +249,10 @@ def interval_class(spark, sf_dir):
 def horizon_frame(spark, sf_dir):
     """Orders as sets, lines as members; a line's fractions come from its tax and discount."""
     l = table(spark, sf_dir, "lineitem").withColumn("cell_id", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).withColumn("year", F.lit(2000)).withColumn("matched_set_id", F.col("l_orderkey"))
-    f = l.select("cell_id", F.col("year").alias("event_year"), F.lit(1).alias("horizon"), (0.7 + F.col("l_tax")).alias("pre_natural"), F.when(F.col("l_tax") < 0.08, 1.0).otherwise(0.5).alias("pre_observed"), F.lit(1.0).alias("post_observed"), F.col("l_discount").alias("loss")).distinct()
-    out = matching.horizon_frame(l.select("cell_id", "year", "matched_set_id", "l_orderkey", "l_linenumber", "l_partkey"), f, 1)
-    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "outcome_share", "outcome_flag"), ["outcome_share"])
+    f = l.select("cell_id", F.col("year").alias("event_year"), F.lit(1).alias("horizon"), (0.7 + F.col("l_tax")).alias("pre_natural"), F.when(F.col("l_tax") < 0.08, 1.0).otherwise(0.5).alias("pre_observed"), F.lit(1.0).alias("post_observed"), F.col("l_discount").alias("loss"))
+    f = f.repartition("cell_id").distinct()  # dealt as the join needs it, so it travels once
+    out = matching.horizon_frame(l.select("cell_id", "year", "matched_set_id", "l_linenumber", "l_partkey"), f, 1)
+    return rounded(out.select(F.col("matched_set_id").alias("l_orderkey"), "l_linenumber", "l_partkey", "outcome_share", "outcome_flag"), ["outcome_share"])
 
 
 @query(f"""with {MATCHED}, t as (select distinct matched_set_id from matched where case_row < 5), cells as (select distinct grid_row, grid_col from matched where case_row < 5),
