@@ -101,6 +101,17 @@ def test_asof_partitions_grow_with_the_rows(spark):
     assert {(r["at"], r["asof_was"]) for r in out.collect()} == {(i, i - 20 if i >= 20 else None) for i in range(60)}
 
 
+def test_days_of_many_files_come_in_few_batches(spark, tmp_path, monkeypatch):
+    """Fails where each file is a micro-batch, whose number then grows with the table."""
+    from obsengine.streaming import jobs
+
+    numbers, keep_batch = [], jobs.keep_batch
+    monkeypatch.setattr(jobs, "keep_batch", lambda batch, number, *rest: numbers.append(number) or keep_batch(batch, number, *rest))
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(12)
+    assert differences(spark, "daily_partition_stream", tmp_path, events=events) == [[], []]
+    assert sorted(numbers) == [0, 0, 1, 1, 2, 2]
+
+
 def test_horizon_makes_the_join_once(spark):
     """Fails where the join of rows and fractions is made once for the rows and once for their verdicts, and where fractions travel
     once to be made distinct and once to be joined."""
