@@ -84,7 +84,7 @@ def balls(radius: int, blocks: int) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def points(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+def points(fps: DataFrame, radius: int, blocks: int, most: int = 1_000_000) -> DataFrame:
     """point, fp: all points that each fingerprint emits. A point of one block's choice never equals one of another's."""
     chosen = balls(radius, blocks)
 
@@ -102,16 +102,18 @@ def points(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
 
         return f
 
-    # Fingerprints are taken few at a time, so that a task holds about 200,000 points however large the balls are.
+    # Fingerprints are dealt by the points they become, about a million a task, as their own bytes would make a few tasks of
+    # them; they are taken few at a time, so that a task holds about 200,000 points however large the balls are.
     each = sum(len(flips) for _, _, flips in chosen)
-    return per_batch(fps.select("fp"), "point long, fp long", make, most_bytes=max(8, 8 * 200_000 // each))
+    tasks = max(1, -(-fps.count() * each // most))
+    return per_batch(fps.select("fp").repartition(tasks, "fp"), "point long, fp long", make, most_bytes=max(8, 8 * 200_000 // each))
 
 
 def links(fps: DataFrame, radius: int = 4, blocks: int = 3, full_from: int = 64) -> DataFrame:
     """u, v: links between distinct fingerprints that connect exactly those with a path of pairs within the radius.
 
     fps: distinct fp, not null. Points are shuffled once; a point's fingerprints are counted before any are paired."""
-    met = points(fps.repartition("fp"), radius, blocks)
+    met = points(fps, radius, blocks)
     if blocks == 1:
         return _stars(met)
     # Few points have more than one fingerprint, and only these are kept.
@@ -120,14 +122,15 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 3, full_from: int = 64)
     few = here.filter(F.col("n") <= full_from).select("point", "fp")
     pairs = few.alias("a").join(few.alias("b"), (F.col("a.point") == F.col("b.point")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius))
     pairs = pairs.select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v"))
-    crowd = here.filter(F.col("n") > full_from).select("fp").distinct()
+    crowd = stored(here.filter(F.col("n") > full_from).select("fp").distinct(), "crowd")
     return pairs.union(_stars(points(crowd, radius, 1)))
 
 
 def _stars(met: DataFrame) -> DataFrame:
-    """A link from each point's fingerprints to its smallest. A point of a full ball is one of 2,081 fingerprints at most."""
-    least = met.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("point", "v")
-    return met.join(least, "point").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    """A link from each point's fingerprints to its smallest. A point of a full ball is one of 2,081 fingerprints at most, so a
+    window holds them. A join would be a broadcast through the driver: Spark takes points to be as few as their fingerprints."""
+    least = F.min("fp").over(Window.partitionBy("point"))
+    return met.withColumn("v", least).filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, size: int = 4, blocks: int = 3, full_from: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from obsengine.llm import decontaminate, substring_dedup
+from obsengine.llm import decontaminate, simhash, substring_dedup
 from tests.llm.test_text_operators import HARD, brute_hits, brute_repeats, docs_of, some_text
 
 COLUMNS = ["doc_id", "n_words", "n_hit", "longest", "item_ids", "spans", "n_items"]
@@ -91,6 +91,20 @@ def test_ids_of_any_type_and_more_blocks_than_are_held(spark):
     assert got == {f"d{k}": v[:3] for k, v in want.items()}
 
 
+def test_points_of_a_crowd_do_not_pass_through_the_driver(spark, tmp_path):
+    """Fails where points are joined: Spark sizes them by their fingerprints and broadcasts them. And where all points are made
+    by as few tasks as the fingerprints' bytes fill."""
+    crowd = [0, *(1 << b for b in range(64)), (1 << 20) - 1]
+    spark.createDataFrame([(simhash.signed(f),) for f in crowd], "fp long").coalesce(1).write.parquet(str(tmp_path / "fps"))
+    fps = spark.read.schema("fp long").parquet(str(tmp_path / "fps"))
+    stars = simhash._stars(simhash.points(fps, 4, 1))
+    assert "Broadcast" not in stars._jdf.queryExecution().executedPlan().toString()
+    found = {(r.u, r.v) for r in stars.collect()}
+    assert {v for _, v in found} <= {simhash.signed(f) for f in crowd} and all(((u ^ v) % (1 << 64)).bit_count() <= 4 for u, v in found)
+    assert {u for u, _ in found} | {v for _, v in found} == {simhash.signed(f) for f in crowd[:-1]}
+    assert simhash.points(fps, 4, 1, most=50_000).rdd.getNumPartitions() == 3  # 66 fingerprints of 2,081 points
+
+
 WITHOUT_REPO = """
 import json, sys
 sys.path.insert(0, {repo!r})
