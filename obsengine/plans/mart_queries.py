@@ -314,13 +314,15 @@ def in_pieces(spark, sf_dir, pieces: int, late_seconds: int, path: str) -> Itera
     select cast(user_id as varchar) cell, cast(event_id as varchar) id, epoch_us(ts) ts_us, cast(case when epoch_us(ts) - epoch_us(l) <= 72 * 3600000000 then epoch_us(l) end as bigint) last_negative_us, false late from w""")
 def lookback_stream(spark, sf_dir):
     """The look-back of last_negative_lookback as a stateful stream of several batches, in which events come up to an hour late:
-    rows wait for the watermark, so what is shown is what the batch job finds. A last row of no cell moves the watermark on."""
-    path, schema = scratch(spark, "pieces"), table(spark, sf_dir, "events").schema
+    rows wait for the watermark, so what is shown is what the batch job finds. A last row of no cell moves the watermark on. A
+    bucket of cells holds about 20,000 rows, at any size."""
+    path, events = scratch(spark, "pieces"), table(spark, sf_dir, "events")
+    schema, buckets = events.schema, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), events.count() // 20_000)
 
     def taken() -> None:
         """One micro-batch of what has come, however many files it is: a file alone would move the watermark past the others of its piece."""
         stream = spark.readStream.schema(schema).parquet(f"{path}/events").withColumn("negative", F.coalesce(F.col("event_type") != "error", F.lit(False)))
-        found = jobs.last_negative_stream(stream, "user_id", "ts", "negative", delay="90 minutes", tie="event_id", wait=True, piece_minutes=7 * 1440)
+        found = jobs.last_negative_stream(stream, "user_id", "ts", "negative", delay="90 minutes", tie="event_id", wait=True, piece_minutes=7 * 1440, by_value=True, buckets=buckets)
         found.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(path=f"{path}/found", format="parquet").awaitTermination()
 
     for _ in in_pieces(spark, sf_dir, 3, 3600, f"{path}/events"):

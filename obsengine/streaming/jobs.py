@@ -8,6 +8,7 @@ from functools import partial
 from hashlib import sha256
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,16 +20,17 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class LookBack(StatefulProcessor):
-    """The state of a cell: the stamp of its last negative, and rows that still wait, by pieces of time, in the state store and not
-    in memory. What a worker holds is one Arrow batch of input or the rows of one piece."""
+    """The state of a bucket of cells: the stamps of their last negatives, and rows that still wait, by pieces of time, in the state
+    store and not in memory. What a worker holds is one Arrow batch of input or the rows of one piece. A call to the store takes
+    longer than a cell's rows, so it is made for a bucket, with rows as Arrow bytes, and rows of all its cells are put in order at once."""
 
-    def __init__(self, hours: float, piece_us: int, wait: bool, whole: bool = False):
-        self.span, self.piece, self.wait, self.whole = int(hours * 3_600_000_000), piece_us, wait, whole
+    def __init__(self, hours: float, piece_us: int, wait: bool, by_value: bool = False):
+        self.span, self.piece, self.wait, self.by_value = int(hours * 3_600_000_000), piece_us, wait, by_value
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long")
-        self.waiting = handle.getMapState("waiting", "piece long, batch long", "us array<long>, id array<string>, negative array<boolean>")
+        self.last = handle.getValueState("last", "cells binary")
+        self.waiting = handle.getMapState("waiting", "piece long, batch long", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N803  Spark's names
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
@@ -37,86 +39,137 @@ class LookBack(StatefulProcessor):
         if second is None and not self.wait:  # one Arrow batch: nothing has to be put away
             late = first["us"] < watermark
             if late.any():
-                yield self._shown(key, first[late], [None] * int(late.sum()), True)
-            yield from self._in_order(key, first[~late], watermark)
+                yield _shown(first[late], None, True)
+            if not late.all():
+                shown, last = self._in_order(first[~late], self._known())
+                yield shown
+                self._keep(last, set(), watermark)
             return
         known = set(self.waiting.keys())
         batch = max((b for _, b in known), default=-1) + 1
+        woken = set()
         for pdf in chain([first] if second is None else [first, second], rows):
             late = pdf["us"] < watermark
             if late.any():
-                yield self._shown(key, pdf[late], [None] * int(late.sum()), True)
+                yield _shown(pdf[late], None, True)
             kept = pdf[~late]
             for piece, part in kept.groupby(kept["us"] // self.piece):
-                self.waiting.updateValue((int(piece), batch), (part["us"].tolist(), part["id"].tolist(), part["negative"].tolist()))
+                self.waiting.updateValue((int(piece), batch), (_packed(part, WAITING),))
                 known.add((int(piece), batch))
-                if self.wait:
+                if self.wait and piece not in woken:
                     self.handle.registerTimer((int(piece) + 1) * self.piece // 1000)
+                    woken.add(piece)
             batch += 1
         if not self.wait:
-            yield from self._applied(key, known, watermark)
+            yield from self._applied(known, set(), watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N803
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        yield from self._applied(key, {k for k in self.waiting.keys() if (k[0] + 1) * self.piece <= watermark}, watermark)
-        if self.last.exists() and self.last.get()[0] + self.span < watermark and not any(True for _ in self.waiting.keys()):
-            self.last.clear()
+        known = set(self.waiting.keys())
+        due = {k for k in known if (k[0] + 1) * self.piece <= watermark}
+        yield from self._applied(due, known - due, watermark)
 
-    def _applied(self, key, entries: set, watermark: int) -> Iterator:
-        """Rows of these entries, piece by piece, each with the last negative before it."""
+    def _applied(self, entries: set, rest: set, watermark: int) -> Iterator:
+        """Rows of these entries, piece by piece, each with the last negative before it; rest: the entries that go on waiting."""
         import pandas as pd
 
+        last = self._known()
         for piece in sorted({p for p, _ in entries}):
             own = sorted(e for e in entries if e[0] == piece)
-            pdf = pd.concat([pd.DataFrame(dict(zip(("us", "id", "negative"), self.waiting.getValue(e), strict=True))) for e in own])
+            pdf = pd.concat([_unpacked(self.waiting.getValue(e)[0]) for e in own], ignore_index=True)
             for e in own:
                 self.waiting.removeKey(e)
-            yield from self._in_order(key, pdf, watermark)
+            shown, last = self._in_order(pdf, last)
+            yield shown
+        self._keep(last, rest, watermark)
 
-    def _in_order(self, key, pdf, watermark: int) -> Iterator:
+    def _known(self):
+        """The last negatives so far: cell, us."""
         import pandas as pd
 
-        if pdf.empty:
-            return
-        if self.whole:  # ids are whole numbers as text, which go by their values
-            pdf = pdf.assign(order=pd.array([None if x is None else int(x) for x in pdf["id"].tolist()], dtype="Int64"))
-        pdf = pdf.sort_values(["us", "order" if self.whole else "id"], kind="stable")
-        last = before = self.last.get()[0] if self.last.exists() else None
-        found = []
-        for us, negative in zip(pdf["us"].tolist(), pdf["negative"].tolist(), strict=True):
-            found.append(last if last is not None and last <= us <= last + self.span else None)
-            if negative:
-                last = us if last is None else max(last, us)
-        if last != before:
-            self.last.update((last,))
-            self.handle.registerTimer(max((last + self.span) // 1000, watermark // 1000) + 1)
-        yield self._shown(key, pdf, found, False)
-
-    @staticmethod
-    def _shown(key, pdf, found: list, late: bool):
+        return _unpacked(self.last.get()[0]) if self.last.exists() else pd.DataFrame({"cell": pd.Series(dtype=object), "us": pd.Series(dtype="int64")})
+
+    def _keep(self, last, rest: set, watermark: int) -> None:
+        """Keeps the last negatives that a row may still see, one that waits or one that comes, and wakes when the latest is over."""
+        kept = last[last["us"] + self.span >= min([watermark, *(p * self.piece for p, _ in rest)])]
+        if len(kept):
+            self.last.update((_packed(kept, LAST),))
+            self.handle.registerTimer(max((int(kept["us"].max()) + self.span) // 1000, watermark // 1000) + 1)
+        elif self.last.exists():
+            self.last.clear()
+
+    def _in_order(self, pdf, last):
+        """The rows of pdf (one at least), each with the last negative of its cell before it, and the last negatives after them."""
+        import numpy as np
         import pandas as pd
 
-        stamps = lambda x: pd.to_datetime(pd.Series(x, dtype="Int64").reset_index(drop=True), unit="us")
-        return pd.DataFrame({"cell": key[0], "ts": stamps(pdf["us"].tolist()), "id": pdf["id"].to_numpy(), "negative": pdf["negative"].to_numpy(), "last_negative": stamps(found), "late": late})
+        n, none = len(last), np.iinfo(np.int64).min
+        code, cells = pd.factorize(np.concatenate([last["cell"].to_numpy(object), pdf["cell"].to_numpy(object)]), use_na_sentinel=False)
+        us = np.concatenate([last["us"].to_numpy(np.int64), pdf["us"].to_numpy(np.int64)])
+        negative = np.concatenate([np.ones(n, bool), pdf["negative"].to_numpy(bool)])
+        ids = pa.array(pdf["id"], pa.string(), from_pandas=True)
+        tie = ids.cast(pa.int64()).fill_null(0).to_numpy() if self.by_value else pd.factorize(pdf["id"], sort=True)[0]
+        ties = [np.concatenate([np.zeros(n, np.int64), x]) for x in (tie, ids.is_null().to_numpy(zero_copy_only=False))]  # null is the last
+        # What is known of a cell comes first, then its rows by stamp and tie.
+        order = np.lexsort((*ties, us, np.arange(len(us)) >= n, code))
+        code, us, negative = code[order], us[order], negative[order]
+        so_far = pd.Series(np.where(negative, us, none)).groupby(code).cummax()
+        before = so_far.groupby(code).shift(1, fill_value=none).to_numpy()
+        seen = (before > none) & (before <= us) & (us - np.where(before > none, before, us) <= self.span)
+        own = order >= n
+        ends = np.flatnonzero(np.append(code[1:] != code[:-1], True) & (so_far.to_numpy() > none))
+        return _shown(pdf.iloc[order[own] - n], np.where(seen, before, none)[own], False), pd.DataFrame({"cell": cells[code[ends]], "us": so_far.to_numpy()[ends]})
+
+
+LAST = pa.schema([("cell", pa.string()), ("us", pa.int64())])
+WAITING = pa.schema([*LAST, ("id", pa.string()), ("negative", pa.bool_())])
 
 
-def last_negative_stream(swaths: DataFrame, cell: str, ts: str, negative: str, hours: float = 72, delay: str = "1 hour", tie: str | None = None, wait: bool = False, piece_minutes: int = 1440) -> DataFrame:
-    """Each row (LOOKBACK; id: the tie as text) with the stamp of the last negative of its cell before it, by stamp and tie (whole
-    numbers by value, all else as text), within `hours`.
+def _packed(pdf, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(pa.Table.from_pandas(pdf, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes):
+    return pa.ipc.open_stream(data).read_pandas()
+
+
+def _shown(pdf, found, late: bool):
+    """Rows as LOOKBACK. found: microseconds, or None for all; the least long stands for none, which is NaT."""
+    import numpy as np
+    import pandas as pd
+
+    stamps = lambda x: pd.Series(np.asarray(x, np.int64).view("datetime64[us]")).dt.tz_localize("UTC")  # noqa: E731  not to_datetime, whose cache fails on many equal values and nulls
+    found = np.full(len(pdf), np.iinfo(np.int64).min) if found is None else found
+    return pd.DataFrame({"cell": pdf["cell"].to_numpy(), "ts": stamps(pdf["us"].to_numpy()), "id": pdf["id"].to_numpy(), "negative": pdf["negative"].to_numpy(), "last_negative": stamps(found), "late": late})
+
+
+def last_negative_stream(
+    swaths: DataFrame, cell: str, ts: str, negative: str, hours: float = 72, delay: str = "1 hour", tie: str | None = None, wait: bool = False, piece_minutes: int = 1440, by_value: bool = False, buckets: int = 1024
+) -> DataFrame:
+    """Each row (LOOKBACK; id: the tie as text) with the stamp of the last negative of its cell before it, by stamp and tie (as
+    text; by_value: whole numbers by value), within `hours`.
 
     Rows that come later than the watermark (the latest stamp less `delay`) are in the same result, with late, and change
     nothing. With wait, a row is shown once the watermark has passed its piece of time, and what is shown is what a batch job
     would find, in whatever order rows came; else it is shown at once, in the order of stamps of its micro-batch, and a
-    negative that comes after it is not seen. A piece of piece_minutes is what is put in order in memory. The last negative is dropped by event time once `hours` have passed. Rows
-    without a stamp or verdict are left out. Sets the RocksDB state store unless the session names one."""
+    negative that comes after it is not seen. The last negative is dropped by event time once `hours` have passed. Rows
+    without a stamp or verdict are left out. Sets the RocksDB state store unless the session names one.
+
+    Cells are dealt by hash into buckets, and state is kept by bucket. What is put in order in memory is a piece of piece_minutes
+    of one bucket, so a larger stream takes more buckets; a checkpoint holds to their number."""
     spark = swaths.sparkSession
     if STORE not in spark.conf.getAll:
         spark.conf.set(STORE, ROCKS)
-    whole = bool(tie) and isinstance(swaths.select(tie).schema[0].dataType, T.IntegralType)
+    if by_value and not (tie and isinstance(swaths.select(tie).schema[0].dataType, T.IntegralType)):
+        raise ValueError("by_value: the tie is not a whole number")
     rows = swaths.select(F.col(cell).cast("string").alias("cell"), F.col(ts).cast("timestamp").alias("__ts"), (F.col(tie).cast("string") if tie else F.lit("")).alias("id"), F.col(negative).alias("negative"))
     # As a number the stamp is no event time to Spark, which would drop late rows before the state sees them.
-    rows = rows.withWatermark("__ts", delay).filter("__ts is not null and negative is not null").select("cell", "id", "negative", F.unix_micros("__ts").alias("us"))
-    return rows.groupBy("cell").transformWithStateInPandas(LookBack(hours, piece_minutes * 60_000_000, wait, whole), LOOKBACK, "append", "eventTime")
+    rows = rows.withWatermark("__ts", delay).filter("__ts is not null and negative is not null")
+    rows = rows.select(F.pmod(F.xxhash64("cell"), F.lit(buckets)).alias("bucket"), "cell", "id", "negative", F.unix_micros("__ts").alias("us"))
+    return rows.groupBy("bucket").transformWithStateInPandas(LookBack(hours, piece_minutes * 60_000_000, wait, by_value), LOOKBACK, "append", "eventTime")
 
 
 def closed_days(events: DataFrame, ts: str, by: list[str], delay: str = "0 seconds") -> DataFrame:
